@@ -9,7 +9,7 @@ import numpy as np
 SIZES = (3, 4, 5)
 BUCKETS = 1 << 18
 #: Characters that end a word like white space does.
-STOPS = ".,;:?()[]{}\"| …"
+STOPS = ".,;:?()[]{}\"*#%&|… "
 CHUNK = 1 << 19
 
 

@@ -40,7 +40,7 @@ def log_odds(mean: np.ndarray, size: np.ndarray, p: np.ndarray) -> np.ndarray:
     return (p[0] + p[1] * size) * mean + p[2] + p[3] * size
 
 
-def train(texts: list[str], y: np.ndarray, odds: float, *, dim: int = 16, epochs: int = 16, batch: int = 500, gain: float = 150.0, rate: float = 0.02, spread: float = 0.005, seed: int = 0) -> ToxicityModel:
+def train(texts: list[str], y: np.ndarray, odds: float, *, dim: int = 16, epochs: int = 16, batch: int = 500, gain: float = 150.0, rate: float = 0.02, spread: float = 0.005, least_steps: int = 192, least_texts: int = 3, least_share: float = 0.01, decay: float = 2e-4, seed: int = 0) -> ToxicityModel:
     """Fits the vectors of all buckets and the softmax jointly by Adam. `odds`: of label 1 among all labelled rows; the
     sample's classes are weighted to it. One in five texts is kept from the fit, to turn means into log odds."""
     if len(texts) < 20 or y.min() == y.max():
@@ -51,6 +51,9 @@ def train(texts: list[str], y: np.ndarray, odds: float, *, dim: int = 16, epochs
     kept = rng.random(len(y)) < 0.2
     fitted = np.flatnonzero(~kept)
     row, col, value = bag([texts[i] for i in fitted])
+    spread_over = np.bincount(col, minlength=BUCKETS)  # in how many texts each bucket is: a text has one entry for one
+    common = (spread_over >= max(least_texts, least_share * len(fitted)))[col]
+    row, col, value = row[common], col[common], value[common]
     order = np.argsort(row, kind="stable")
     row, col, value = row[order], col[order], value[order]
     ends = np.searchsorted(row, np.arange(len(fitted) + 1))
@@ -61,6 +64,8 @@ def train(texts: list[str], y: np.ndarray, odds: float, *, dim: int = 16, epochs
     vectors = rng.normal(0, spread, (BUCKETS, dim)).astype(np.float32)
     softmax, bias = rng.normal(0, 0.3, (dim, 2)).astype(np.float32), 0.0
     moments = [np.zeros_like(vectors), np.zeros_like(vectors), np.zeros_like(softmax), np.zeros_like(softmax)]
+    batch = min(batch, max(32, len(fitted) // 8))
+    epochs = max(epochs, least_steps // -(-len(fitted) // batch))
     steps, step = epochs * -(-len(fitted) // batch), 0
     for _ in range(epochs):
         shuffled = rng.permutation(len(fitted))
@@ -79,6 +84,7 @@ def train(texts: list[str], y: np.ndarray, odds: float, *, dim: int = 16, epochs
             now = rate * (1 - step / steps)
             step += 1
             for what, at_, grad, (m, s) in ((vectors, touched, to_vectors, moments[:2]), (softmax, slice(None), to_softmax, moments[2:])):
+                grad = grad + decay * what[at_]
                 m[at_] = 0.9 * m[at_] + 0.1 * grad
                 s[at_] = 0.99 * s[at_] + 0.01 * grad * grad
                 what[at_] -= now * m[at_] / (np.sqrt(s[at_]) + 1e-8)
