@@ -187,13 +187,13 @@ def components(edges: DataFrame) -> DataFrame:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         moves = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "components-moves")
         rounds.append(moves)
-        ends = edges.join(moves.withColumnsRenamed({"node": "a", "root": "ra"}), "a").join(moves.withColumnsRenamed({"node": "b", "root": "rb"}), "b")
+        ends = edges.join(moves.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(moves.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         edges = written(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "components-edges")
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
     found = rounds[0]
     for moves in rounds[1:]:
-        then = moves.withColumnsRenamed({"node": "root", "root": "next"})
+        then = moves.select(F.col("node").alias("root"), F.col("root").alias("next"))
         found = found.join(then, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
     return found
 
