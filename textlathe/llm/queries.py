@@ -8,14 +8,24 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontamination import contamination
+from .html_text import extract_text
 from .mixing import mix_sources
 from .neighbours import nearest
 from .quality import quality
 from .simhash import near_duplicates
+from .substrings import repeat_digests
 from .token_counts import count_tokens
 from .toxicity import toxicity
 
 
+def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeat_digests(table(spark, sf_dir, "documents"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,4 +54,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op4_toxicity, op5_source_mix, op6_neighbours, op7_token_counts, op8_quality, op9_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op3_substring_dedup, op4_toxicity, op5_source_mix, op6_neighbours, op7_token_counts, op8_quality, op9_decontamination, op10_simhash)}
