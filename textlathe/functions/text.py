@@ -59,6 +59,11 @@ def word_count(c: Column) -> Column:
     return F.size(F.filter(F.split(c, r"(?U)\s+"), lambda x: x != "")).cast("long")
 
 
+def issue_date(c: Column) -> Column:
+    """A day-first date; null for what is none."""
+    return F.try_to_timestamp(c, F.lit("d/M/yyyy")).cast("date")
+
+
 def normalize_id(c: Column, kind: str) -> Column:
     """An id as text: integral floating numbers without a fraction, strings stripped and otherwise unchanged."""
     if kind in ("double", "float"):

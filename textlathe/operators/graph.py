@@ -159,3 +159,27 @@ def expired_guidance(documents: DataFrame, edges: DataFrame, doc_id: object, exp
     return rows.join(documents.where(F.col("tinh_trang_hieu_luc") == expired), F.col("src") == F.col("id")).select("id", "title", "rel_type").distinct()
 
 
+def denormalized_edges(rels: DataFrame, meta: DataFrame) -> DataFrame:
+    """Relations with the metadata of both ends: `doc_*` of the citing document, plain names of the cited one."""
+    rels = rels.withColumns({c: id_column(rels, c) for c in ("doc_id", "other_doc_id")})
+    meta = meta.withColumn("id", id_column(meta, "id"))
+    own = meta.withColumnsRenamed({c: f"doc_{c}" for c in meta.columns}).withColumnRenamed("doc_id", "doc_id_")
+    return rels.join(own, F.col("doc_id") == F.col("doc_id_"), "left").join(meta, F.col("other_doc_id") == F.col("id"), "left")
+
+
+def build_graph(metadata: DataFrame, relationships: DataFrame, chunks: DataFrame | None = None, content: DataFrame | None = None) -> dict[str, DataFrame]:
+    """Nodes, edges and chunks of a graph from its tables. Of `chunks` and `content` one may be given; with neither there
+    are no chunks. Edges whose ends are not both documents go, and of chunks only those of documents are linked."""
+    if chunks is not None and content is not None:
+        raise ValueError("chunks and content exclude each other")
+    order = F.monotonically_increasing_id()
+    documents = upsert_nodes(with_metadata_columns(metadata).withColumn("_at", order), "id", "_at").drop("_at")
+    graph = {"documents": documents, "edges": upsert_edges(relationships.withColumn("_at", order), documents, "_at")}
+    if chunks is not None:
+        rows = normalize_chunks(require_columns(chunks, CHUNK_COLUMNS)).withColumn("_at", order)
+        graph["chunks"] = upsert_nodes(rows, "chunk_id", "_at").drop("_at")
+    elif content is not None:
+        graph["chunks"] = content_as_chunks(content)
+    if "chunks" in graph:
+        graph["part_of"] = part_of(graph["chunks"], documents)
+    return graph

@@ -65,3 +65,8 @@ def chunk_integrity(chunks: DataFrame) -> DataFrame:
     index = F.col("chunk_index")
     per = chunks.groupBy("doc_id").agg(F.count("*").alias("n"), F.min(index).alias("lo"), F.max(index).alias("hi"), F.count_distinct(index).alias("n_index"), F.count_distinct("chunk_id").alias("n_id"))
     return per.select("doc_id", "n", ((F.col("lo") == 0) & (F.col("hi") == F.col("n") - 1) & (F.col("n_index") == F.col("n"))).alias("contiguous"), (F.col("n_id") == F.col("n")).alias("unique_ids"))
+
+
+def table_profile(df: DataFrame) -> DataFrame:
+    """Number of rows and columns, and the names of the columns."""
+    return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"), F.lit(" ".join(df.columns)).alias("names"))

@@ -48,6 +48,11 @@ def normalized(vector: Column) -> Column:
     return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
 
 
+def vector_index(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
+    """`vector_id, embedding` of the vectors that are there, as an exact search reads them."""
+    return df.where(F.col(vector_col).isNotNull()).select(F.col(id_col).cast("long").alias("vector_id"), F.col(vector_col).cast("array<float>").alias("embedding"))
+
+
 def vector_search(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], top_k: int = 5, halved: bool = False) -> DataFrame:
     """`id, score`: the exact top by inner product of unit vectors; `halved` gives (1 + score) / 2."""
     score = dot(normalized(F.col(vector_col)), query)

@@ -113,6 +113,16 @@ def chunk_array(part: Column, size: int = MAX_CHARS, overlap: int = OVERLAP, lea
     return run(part)
 
 
+def joined_array(pieces: Column, size: int = MAX_CHARS, least: int = MIN_CHARS, version: int = 2) -> Column:
+    """The pieces of each array, small ones added to what follows them."""
+
+    @F.pandas_udf("array<string>")
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda found: None if found is None else [t for t, _ in joined([(x, []) for x in found], size, least, version)])
+
+    return run(pieces)
+
+
 def exploded(df: DataFrame, pieces: Column, at: str, name: str) -> DataFrame:
     """`df` with one row for each element of `pieces`: its place and itself."""
     return df.select("*", F.posexplode(pieces).alias(at, name))
