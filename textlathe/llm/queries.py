@@ -59,4 +59,7 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: SQL for DuckDB where it can express the operator.
+ORACLES: dict[str, str] = {}
+
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_licences, op3_substring_dedup, op4_toxicity, op5_source_mix, op6_neighbours, op7_token_counts, op8_quality, op9_decontamination, op10_simhash)}
