@@ -59,7 +59,23 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
-#: SQL for DuckDB where it can express the operator.
-ORACLES: dict[str, str] = {}
+OP3_SQL = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS words FROM w, unnest(range(0, len(w) - 19)) u(i)),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1),
+    gone AS (SELECT DISTINCT doc_id, i + j AS at_word FROM again, range(0, 20) v(j)),
+    kept AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.at_word) AS text, count(*) AS n FROM (SELECT doc_id, i AS at_word, w[i + 1] AS word FROM w, unnest(range(0, len(w))) u(i)) t ANTI JOIN gone g ON t.doc_id = g.doc_id AND t.at_word = g.at_word GROUP BY t.doc_id)
+    SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id"""
+TERMS_SQL = r"list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '')"
+OP9_SQL = f"""WITH d AS (SELECT doc_id, {TERMS_SQL} AS w FROM documents), b AS (SELECT item_id, {TERMS_SQL} AS w FROM benchmark),
+    item_windows AS (SELECT DISTINCT item_id, l, array_to_string(w[i + 1 : i + l], ' ') AS words FROM (SELECT *, least(13, len(w)) AS l FROM b WHERE len(w) > 0), unnest(range(0, len(w) - l + 1)) u(i)),
+    doc_windows AS (SELECT doc_id, l, i, array_to_string(w[i + 1 : i + l], ' ') AS words FROM d, (SELECT DISTINCT l FROM item_windows) s, unnest(range(0, greatest(0, len(w) - l + 1))) u(i)),
+    hits AS (SELECT doc_id, item_id, i, l FROM doc_windows JOIN item_windows USING (l, words)),
+    covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, at_word FROM (SELECT doc_id, unnest(range(i, i + l)) AS at_word FROM hits)) GROUP BY doc_id),
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256,
+        coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
+    FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id"""
+#: SQL for DuckDB where it can express the operator; the others hash, learn, tokenize or parse in ways it has no words for.
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op9_decontamination": OP9_SQL}
 
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_licences, op3_substring_dedup, op4_toxicity, op5_source_mix, op6_neighbours, op7_token_counts, op8_quality, op9_decontamination, op10_simhash)}
