@@ -1,4 +1,7 @@
-"""Token counts: Arrow batches are encoded in groups of about equal bytes and only lengths come back."""
+"""Token counts: Arrow batches are encoded in groups of about equal bytes and only lengths come back.
+
+Texts are split at safe boundaries, and of the words between them each different one is encoded once per group.
+"""
 
 from __future__ import annotations
 
@@ -31,6 +34,26 @@ def pieces(text: str, size: int) -> list[str]:
     return out
 
 
+class WordCounts:
+    """Token counts of words that follow a safe boundary, so with a space before them; forgets all when they get many."""
+
+    def __init__(self, counter: Counter, most_chars: int = 1 << 23):
+        self.counter, self.most_chars, self.known, self.chars = counter, most_chars, {}, 0
+
+    def count(self, texts: list[str]) -> list[int]:
+        """The numbers of tokens of some texts, which may begin with a space."""
+        split = [BOUNDARY.split(text) for text in texts]
+        new = list({word for words in split for word in words[1:]}.difference(self.known))
+        for word, n in zip(new, self.counter([f" {word}" for word in new]) if new else (), strict=True):
+            self.known[word] = n
+        heads = self.counter([words[0] for words in split])
+        out = [head + sum(map(self.known.__getitem__, words[1:])) for head, words in zip(heads, split, strict=True)]
+        self.chars += sum(map(len, new))
+        if self.chars > self.most_chars:
+            self.known, self.chars = {}, 0
+        return out
+
+
 def load_counter(path: str) -> tuple[Counter, bool]:
     """A function from texts to token counts, and whether texts may be cut at BOUNDARY.
 
@@ -63,6 +86,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter, may_cut = load_counter(tokenizer)
+        count = WordCounts(counter).count if may_cut else counter
         for batch in batches:
             counts, owner, group, held = [0] * batch.num_rows, [], [], 0
             for row, text in enumerate(batch.column(1).to_pylist()):
@@ -71,10 +95,10 @@ def count_tokens(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", tex
                     group.append(piece)
                     held += len(piece)
                     if held >= batch_chars:
-                        for at, n in zip(owner, counter(group), strict=True):
+                        for at, n in zip(owner, count(group), strict=True):
                             counts[at] += n
                         owner, group, held = [], [], 0
-            for at, n in zip(owner, counter(group) if group else [], strict=True):
+            for at, n in zip(owner, count(group) if group else [], strict=True):
                 counts[at] += n
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(counts, pa.int64())], names=["doc_id", "n_bytes", "n_tokens"])
 
