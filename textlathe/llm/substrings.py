@@ -14,7 +14,8 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -240,7 +241,8 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[np.n
 
 #: What meets: `part` says where; the arrays travel as bytes. `sole` entries want to know whether they are met again.
 MET = "part int, hashes binary, checks binary, keys binary, starts binary, known_keys binary, known_starts binary, many binary"
-FOUND = "key long, marks array<int>"
+#: What is found at places of documents, packed by the documents' buckets: at most one row for each part and bucket.
+FOUND = "bucket int, keys binary, starts binary"
 
 
 def packed(part: int, **columns: np.ndarray) -> dict:
@@ -262,12 +264,37 @@ def spread(parts: int, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield p, order[cuts[p] : cuts[p + 1]]
 
 
-def by_key(keys: np.ndarray, starts: np.ndarray) -> pa.Table:
+def bucket_of(key, parts: int):
+    """The bucket of a document, the same for a column and for an array."""
+    if isinstance(key, Column):
+        return F.pmod(key.bitwiseXOR(F.shiftright(key, 7)).bitwiseXOR(F.shiftright(key, 19)), F.lit(parts)).cast("int")
+    return ((key ^ (key >> 7) ^ (key >> 19)) % parts).astype(np.int64)
+
+
+def by_bucket(keys: np.ndarray, starts: np.ndarray, parts: int) -> pa.Table:
+    bucket = bucket_of(keys, parts)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)) if len(keys) else np.zeros(0, np.int64)
+    rows = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(keys)])]
+    return pa.table([pa.array([int(bucket[i[0]]) for i in rows], pa.int32()), pa.array([keys[i].tobytes() for i in rows], pa.binary()), pa.array([starts[i].tobytes() for i in rows], pa.binary())], names=["bucket", "keys", "starts"])
+
+
+def by_key(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The keys, each once and in order, and the starts of each."""
     order = np.argsort(keys, kind="stable")
     keys, starts = keys[order], starts[order]
-    cuts = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.append(cuts, len(keys)), pa.int32()), pa.array(starts, pa.int32()))
-    return pa.table([pa.array(keys[cuts], pa.int64()), lists if len(cuts) else pa.array([], pa.list_(pa.int32()))], names=["key", "marks"])
+    cuts = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), len(keys)) if len(keys) else np.zeros(1, np.int64)
+    return keys[cuts[:-1]], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(starts, pa.int32()))
+
+
+def with_marks(docs: pa.Table, found: pa.Table, text_at: int) -> pa.Table:
+    """`key, text, marks, doc` of the documents of a bucket; the marks of a document with none are null."""
+    keys, doc = docs.column("key").to_numpy(), docs.column("doc").combine_chunks()
+    known, lists = by_key(column(found, "keys", np.int64), column(found, "starts", np.int32))
+    at = np.searchsorted(known, keys)
+    hit = at < len(known)
+    hit[hit] = known[at[hit]] == keys[hit]
+    return pa.table([pa.array(keys), pc.struct_field(doc, text_at), lists.take(pa.array(at, mask=~hit)), doc], names=["key", "text", "marks", "doc"])
 
 
 def column(table: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -294,26 +321,28 @@ def send_grams(size: int, parts: int) -> Callable:
     return run
 
 
-def meet_grams(table: pa.Table) -> pa.Table:
+def meet_grams(table: pa.Table, parts: int) -> pa.Table:
     """Which places have a 10-gram that was chosen more than once."""
     hashes, keys, starts = column(table, "hashes", U), column(table, "keys", np.int64), column(table, "starts", np.int32)
     many = column(table, "many", U)
     values, counts = np.unique(np.concatenate((hashes, many, many)), return_counts=True)
     again = counts[np.searchsorted(values, hashes)] > 1 if len(hashes) else np.zeros(0, bool)
-    return by_key(np.concatenate((keys[again], column(table, "known_keys", np.int64))), np.concatenate((starts[again], column(table, "known_starts", np.int32))))
+    return by_bucket(np.concatenate((keys[again], column(table, "known_keys", np.int64))), np.concatenate((starts[again], column(table, "known_starts", np.int32))), parts)
 
 
-def send_windows(size: int, parts: int) -> Callable:
+def send_windows(size: int, parts: int, text_at: int) -> Callable:
     """Of each block, the windows whose chosen 10-gram is marked: the first of equal ones travels, the others are known
     to be repeats."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, marks in blocks(batches):
+    def run(docs: pa.Table, found: pa.Table) -> pa.Table:
+        out = [sent([])]
+        marked_docs = with_marks(docs, found, text_at).drop_columns("doc")
+        for block, marks in blocks(marked_docs.filter(pc.is_valid(marked_docs.column("marks"))).to_batches()):
             at, place, _ = block.chosen(size)
             marked = np.zeros(len(block.words) + 1, bool)
-            for i, found in enumerate(marks):
+            for i, starts in enumerate(marks):
                 n = block.first[i + 1] - block.first[i]
-                marked[block.first[i] + found[found < n]] = True
+                marked[block.first[i] + starts[starts < n]] = True
             at = at[marked[place]]
             if not len(at):
                 continue
@@ -326,7 +355,8 @@ def send_windows(size: int, parts: int) -> Callable:
             rows = [packed(p, hashes=h[i], checks=c[i], keys=k[i], starts=s[i]) for p, i in spread(parts, h)]
             known_keys, known_starts = keys[again], starts[again]
             rows += [packed(p, known_keys=known_keys[i], known_starts=known_starts[i]) for p, i in spread(parts, mixed(known_keys.view(U)))]
-            yield sent(rows)
+            out.append(sent(rows))
+        return pa.Table.from_batches(out)
 
     return run
 
@@ -351,15 +381,11 @@ def same_place(hashes: np.ndarray, checks: np.ndarray, keys: np.ndarray, starts:
     return out
 
 
-def meet_windows(table: pa.Table) -> pa.Table:
+def meet_windows(table: pa.Table, parts: int) -> pa.Table:
     """Which windows are repeats."""
     hashes, checks, keys, starts = column(table, "hashes", U), column(table, "checks", np.uint32), column(table, "keys", np.int64), column(table, "starts", np.int32)
     again = repeats(hashes, checks, keys, starts)
-    return by_key(np.concatenate((keys[again], column(table, "known_keys", np.int64))), np.concatenate((starts[again], column(table, "known_starts", np.int32))))
-
-
-def gathered(found: DataFrame) -> DataFrame:
-    return found.groupBy("key").agg(F.flatten(F.collect_list("marks")).alias("marks"))
+    return by_bucket(np.concatenate((keys[again], column(table, "known_keys", np.int64))), np.concatenate((starts[again], column(table, "known_starts", np.int32))), parts)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
@@ -373,33 +399,35 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     third of all documents share do not gather in one task. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts = 2 * shuffle_partitions(spark)
-    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
-    grams = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), F.col(text_col).alias("text"))
-    marks = gathered(grams.mapInArrow(send_grams(size, parts), MET).groupBy("part").applyInArrow(meet_grams, FOUND))
-    met = texts.join(marks, "key").mapInArrow(send_windows(size, parts), MET).groupBy("part").applyInArrow(meet_windows, FOUND)
-    spans = gathered(met)
+    parts = shuffle_partitions(spark) | 1
+    key, text_at = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), docs.columns.index(text_col)
+    # texts go to their buckets once; both rounds read that exchange
+    texts = docs.select(key, F.struct(*[docs[c] for c in docs.columns]).alias("doc")).select(bucket_of(F.col("key"), parts).alias("bucket"), "key", "doc")
+    grams = docs.select(key, F.col(text_col).alias("text")).mapInArrow(send_grams(size, parts), MET)
+    marks = grams.groupBy("part").applyInArrow(lambda table: meet_grams(table, parts), FOUND)
+    met = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(send_windows(size, parts, text_at), MET)
+    spans = met.groupBy("part").applyInArrow(lambda table: meet_windows(table, parts), FOUND)
     schema = T.StructType([T.StructField("doc", texts.schema["doc"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            total, removed, kept = [], [], []
-            for text, found in zip(batch.column("text"), batch.column("marks")):
-                words = words_of(text.as_py())
-                total.append(len(words))
-                if not found.is_valid:
-                    removed.append(0)
-                    kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-                    continue
-                starts = found.values.to_numpy()
-                starts = starts[starts + size <= len(words)]
-                cover = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + size, minlength=len(words) + 1)
-                keep = np.cumsum(cover)[: len(words)] == 0
-                removed.append(len(words) - int(keep.sum()))
-                kept.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]).decode("utf-8", "surrogatepass"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept"])
-
-    return texts.join(spans, "key", "left").mapInArrow(cut, schema)
+    def cut(rows: pa.Table, found: pa.Table) -> pa.Table:
+        rows = with_marks(rows, found, text_at)
+        total, removed, kept = [], [], []
+        for text, spans_of in zip(rows.column("text"), rows.column("marks")):
+            words = words_of(text.as_py())
+            total.append(len(words))
+            if not spans_of.is_valid:
+                removed.append(0)
+                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
+                continue
+            starts = spans_of.values.to_numpy()
+            starts = starts[starts + size <= len(words)]
+            cover = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + size, minlength=len(words) + 1)
+            keep = np.cumsum(cover)[: len(words)] == 0
+            removed.append(len(words) - int(keep.sum()))
+            kept.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]).decode("utf-8", "surrogatepass"))
+        return pa.table([rows.column("doc"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept"])
+
+    return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(cut, schema)
 
 
 def repeat_digests(docs: DataFrame, **params) -> DataFrame:
