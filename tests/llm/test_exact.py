@@ -63,6 +63,24 @@ def test_repeats_on_documents(documents):
     assert {r[0]: tuple(r)[1:] for r in R.repeat_digests(documents).collect()} == removed_by_brute_force(rows)
 
 
+@pytest.mark.parametrize("block_chars", [R.BLOCK_CHARS, 600])
+def test_repeats_of_rows_without_an_id_of_their_own(spark, monkeypatch, block_chars):
+    """Different texts under a null or shared id are documents of their own, equal ones are one; with small blocks, rows
+    of one document are also dealt over buckets."""
+    monkeypatch.setattr(R, "BLOCK_CHARS", block_chars)
+    rows = [(None if i % 3 == 0 else i % 5, text) for i, text in shared_passages(4, 40)]
+    same = " ".join(f"s{i}" for i in range(30))
+    rows += [(None, f"{same} one"), (None, f"{same} two"), (7, f"{same} three"), (7, f"{same} four"), (None, None)] + [(None, f"again {same}")] * 9
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    prints = {(r[0], r[1]): r[2] for r in docs.select("doc_id", "text", F.xxhash64("text")).collect()}
+    keyed = {((-1 if k is None else k, prints[k, t]), t) for k, t in rows}
+    expected = removed_by_brute_force(keyed)
+    got = sorted((tuple(r) for r in R.repeat_digests(docs).collect()), key=repr)
+    assert got == sorted(((k, *expected[-1 if k is None else k, prints[k, t]]) for k, t in rows), key=repr)
+    kept = [r["kept"] for r in R.remove_repeats(docs).collect() if same in r["kept"]]
+    assert len(set(kept)) == 1
+
+
 def test_repeats_within_a_reference(spark):
     known = " ".join(f"k{i}" for i in range(50))
     docs = spark.createDataFrame([(1, f"a b {known} c"), (2, " ".join(known.split()[:19])), (3, None)], "doc_id long, text string")

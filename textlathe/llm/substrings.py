@@ -136,8 +136,8 @@ def mixed(x: np.ndarray) -> np.ndarray:
 class Block:
     """Some documents as one array of word hashes."""
 
-    def __init__(self, keys: np.ndarray, texts: list[bytes]):
-        self.keys = keys
+    def __init__(self, keys: np.ndarray, prints: np.ndarray, texts: list[bytes]):
+        self.keys, self.prints = keys, prints
         data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         inner = ~SPACE[data]
         edges = np.flatnonzero(np.diff(inner, prepend=False, append=False))
@@ -149,14 +149,19 @@ class Block:
         longest = int((ends - starts).max()) if len(starts) else 0
         powers = np.concatenate(([U(1)], np.cumprod(np.full(max(longest, 1), BYTE_FACTOR))))
         place = self.places(data, starts)
-        digits = np.where(inner, (data.astype(U) + U(1)) * powers[np.minimum(place, longest)], U(0))
+        digits = powers[np.minimum(place, longest, out=place)]  # in place: the largest arrays of a task
+        del place
+        digits *= data + np.uint16(1)
+        digits *= inner
         self.words = mixed(np.add.reduceat(digits, starts) + (ends - starts).astype(U)) if len(starts) else np.zeros(0, U)
 
     @staticmethod
     def places(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        at = np.zeros(len(data), np.int64)
+        kind = np.int32 if len(data) < 1 << 31 else np.int64
+        at = np.zeros(len(data), kind)
         if len(starts):
-            at[starts[0] :] = np.arange(len(data) - starts[0]) - np.repeat(starts - starts[0], np.diff(np.concatenate((starts, [len(data)]))))
+            at[starts[0] :] = np.arange(len(data) - starts[0], dtype=kind)
+            at[starts[0] :] -= np.repeat((starts - starts[0]).astype(kind), np.diff(np.concatenate((starts, [len(data)]))))
         return at
 
     def start(self, at: np.ndarray) -> np.ndarray:
@@ -213,24 +218,32 @@ def step(factor: np.uint64, n: int) -> np.uint64:
 
 
 def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[np.ndarray]]]:
-    """Blocks of documents in the order of their keys, and the marked places of each document (`marks`, if given)."""
+    """Blocks of documents in the order of their keys and prints, and the marked places of each document (`marks`, if
+    given). Rows of one key and print are one document; a block has it once."""
     keys: list[int] = []
+    prints: list[int] = []
+    seen: set[tuple[int, int]] = set()
     texts: list[bytes] = []
     marks: list[np.ndarray] = []
     held = 0
 
     def ended() -> tuple[Block, list[np.ndarray]]:
-        order = np.argsort(np.array(keys, np.int64), kind="stable")
-        return Block(np.array(keys, np.int64)[order], [texts[i] for i in order]), [marks[i] for i in order] if marks else []
+        order = np.lexsort((np.array(prints, np.int64), np.array(keys, np.int64)))
+        return Block(np.array(keys, np.int64)[order], np.array(prints, np.int64)[order], [texts[i] for i in order]), [marks[i] for i in order] if marks else []
 
     for batch in batches:
         given = batch.column("marks") if "marks" in batch.schema.names else None
-        for i, (key, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("text").to_pylist())):
+        for i, (key, given_print, text) in enumerate(zip(batch.column("key").to_pylist(), batch.column("print").to_pylist(), batch.column("text").to_pylist())):
+            if (key, given_print) in seen:
+                continue
             data = (text or "").encode("utf-8", "surrogatepass")
             if held and held + len(data) > BLOCK_CHARS:
                 yield ended()
-                keys, texts, marks, held = [], [], [], 0
+                keys, prints, texts, marks, held = [], [], [], [], 0
+                seen.clear()
+            seen.add((key, given_print))
             keys.append(key)
+            prints.append(given_print)
             texts.append(data)
             held += len(data)
             if given is not None:
@@ -240,9 +253,9 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[np.n
 
 
 #: What meets: `part` says where; the arrays travel as bytes. `sole` entries want to know whether they are met again.
-MET = "part int, hashes binary, checks binary, keys binary, starts binary, known_keys binary, known_starts binary, many binary"
+MET = "part int, hashes binary, checks binary, keys binary, prints binary, starts binary, known_keys binary, known_prints binary, known_starts binary, many binary"
 #: What is found at places of documents, packed by the documents' buckets: at most one row for each part and bucket.
-FOUND = "bucket int, keys binary, starts binary"
+FOUND = "bucket int, keys binary, prints binary, starts binary"
 
 
 def packed(part: int, **columns: np.ndarray) -> dict:
@@ -250,7 +263,7 @@ def packed(part: int, **columns: np.ndarray) -> dict:
 
 
 def sent(rows: list[dict]) -> pa.RecordBatch:
-    names = ["hashes", "checks", "keys", "starts", "known_keys", "known_starts", "many"]
+    names = ["hashes", "checks", "keys", "prints", "starts", "known_keys", "known_prints", "known_starts", "many"]
     return pa.RecordBatch.from_arrays([pa.array([r["part"] for r in rows], pa.int32()), *[pa.array([r.get(n, b"") for r in rows], pa.binary()) for n in names]], names=["part", *names])
 
 
@@ -264,19 +277,44 @@ def spread(parts: int, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
             yield p, order[cuts[p] : cuts[p + 1]]
 
 
-def bucket_of(key, parts: int):
-    """The bucket of a document, the same for a column and for an array."""
+def bucket_of(key, print_, parts: int):
+    """The bucket of a document, the same for columns and for arrays."""
     if isinstance(key, Column):
-        return F.pmod(key.bitwiseXOR(F.shiftright(key, 7)).bitwiseXOR(F.shiftright(key, 19)), F.lit(parts)).cast("int")
-    return ((key ^ (key >> 7) ^ (key >> 19)) % parts).astype(np.int64)
+        return F.pmod(key.bitwiseXOR(F.shiftright(key, 7)).bitwiseXOR(F.shiftright(key, 19)).bitwiseXOR(print_), F.lit(parts)).cast("int")
+    return ((key ^ (key >> 7) ^ (key >> 19) ^ print_) % parts).astype(np.int64)
+
+
+def large_documents(docs: DataFrame, parts: int) -> list[tuple[int, int, int]]:
+    """`key, print` of documents whose rows have over BLOCK_CHARS bytes together, and over how many buckets these rows
+    are dealt: at most one more for each BLOCK_CHARS bytes."""
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64))
+    rows = docs.groupBy("key", "print").agg(F.count("*").alias("n"), size.alias("size")).where((F.col("n") > 1) & (F.col("size") > BLOCK_CHARS)).collect()
+    return [(r["key"], r["print"], min(parts, r["n"], -(-r["size"] // BLOCK_CHARS))) for r in rows]
+
+
+def numbered(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
+    """Equal numbers for equal pairs, in the order of the pairs."""
+    order = np.lexsort((prints, keys))
+    k, p = keys[order], prints[order]
+    out = np.zeros(len(keys), np.int64)
+    out[order[1:]] = np.cumsum((k[1:] != k[:-1]) | (p[1:] != p[:-1]))
+    return out
 
 
-def by_bucket(keys: np.ndarray, starts: np.ndarray, parts: int) -> pa.Table:
-    bucket = bucket_of(keys, parts)
+def by_bucket(keys: np.ndarray, prints: np.ndarray, starts: np.ndarray, parts: int, large: list[tuple[int, int, int]]) -> pa.Table:
+    bucket = bucket_of(keys, prints, parts)
+    if large:  # the places in these go to each bucket that has rows of them
+        deal = {(k, p): n for k, p, n in large}
+        at = np.flatnonzero(np.isin(prints, np.array([p for _, p, _ in large], np.int64)))
+        times = np.ones(len(keys), np.int64)
+        times[at] = [deal.get(pair, 1) for pair in zip(keys[at].tolist(), prints[at].tolist())]
+        again = np.repeat(np.arange(len(keys)), times)
+        nth = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
+        keys, prints, starts, bucket = keys[again], prints[again], starts[again], (bucket[again] + nth) % parts
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)) if len(keys) else np.zeros(0, np.int64)
     rows = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(keys)])]
-    return pa.table([pa.array([int(bucket[i[0]]) for i in rows], pa.int32()), pa.array([keys[i].tobytes() for i in rows], pa.binary()), pa.array([starts[i].tobytes() for i in rows], pa.binary())], names=["bucket", "keys", "starts"])
+    return pa.table([pa.array([int(bucket[i[0]]) for i in rows], pa.int32()), *[pa.array([of[i].tobytes() for i in rows], pa.binary()) for of in (keys, prints, starts)]], names=["bucket", "keys", "prints", "starts"])
 
 
 def by_key(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
@@ -288,13 +326,15 @@ def by_key(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.ListArr
 
 
 def with_marks(docs: pa.Table, found: pa.Table, text_at: int) -> pa.Table:
-    """`key, text, marks, doc` of the documents of a bucket; the marks of a document with none are null."""
-    keys, doc = docs.column("key").to_numpy(), docs.column("doc").combine_chunks()
-    known, lists = by_key(column(found, "keys", np.int64), column(found, "starts", np.int32))
+    """`key, print, text, marks, doc` of the rows of a bucket; the marks of a document with none are null."""
+    doc, found_keys = docs.column("doc").combine_chunks(), column(found, "keys", np.int64)
+    pairs = numbered(np.concatenate((found_keys, docs.column("key").to_numpy())), np.concatenate((column(found, "prints", np.int64), docs.column("print").to_numpy())))
+    known, lists = by_key(pairs[: len(found_keys)], column(found, "starts", np.int32))
+    keys = pairs[len(found_keys) :]
     at = np.searchsorted(known, keys)
     hit = at < len(known)
     hit[hit] = known[at[hit]] == keys[hit]
-    return pa.table([pa.array(keys), pc.struct_field(doc, text_at), lists.take(pa.array(at, mask=~hit)), doc], names=["key", "text", "marks", "doc"])
+    return pa.table([docs.column("key"), docs.column("print"), pc.struct_field(doc, text_at), lists.take(pa.array(at, mask=~hit)), doc], names=["key", "print", "text", "marks", "doc"])
 
 
 def column(table: pa.Table, name: str, kind: type) -> np.ndarray:
@@ -312,22 +352,27 @@ def send_grams(size: int, parts: int) -> Callable:
             hashes = grams[place]
             values, at, inverse, counts = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
             twice = counts[inverse] > 1
-            rows = [packed(p, hashes=values[i][counts[i] == 1], keys=block.keys[block.doc[place[at[i][counts[i] == 1]]]], starts=block.start(place[at[i][counts[i] == 1]]), many=values[i][counts[i] > 1]) for p, i in spread(parts, values)]
+            rows = []
+            for p, i in spread(parts, values):
+                once = place[at[i][counts[i] == 1]]
+                rows.append(packed(p, hashes=values[i][counts[i] == 1], keys=block.keys[block.doc[once]], prints=block.prints[block.doc[once]], starts=block.start(once), many=values[i][counts[i] > 1]))
             known = place[twice]
-            rows += [packed(p, known_keys=block.keys[block.doc[known[i]]], known_starts=block.start(known[i])) for p, i in spread(parts, mixed(block.keys[block.doc[known]].view(U)))]
+            known_keys, known_prints, known_starts = block.keys[block.doc[known]], block.prints[block.doc[known]], block.start(known)
+            rows += [packed(p, known_keys=known_keys[i], known_prints=known_prints[i], known_starts=known_starts[i]) for p, i in spread(parts, mixed((known_keys ^ known_prints).view(U)))]
             if rows:
                 yield sent(rows)
 
     return run
 
 
-def meet_grams(table: pa.Table, parts: int) -> pa.Table:
+def meet_grams(table: pa.Table, parts: int, large: list[tuple[int, int, int]]) -> pa.Table:
     """Which places have a 10-gram that was chosen more than once."""
-    hashes, keys, starts = column(table, "hashes", U), column(table, "keys", np.int64), column(table, "starts", np.int32)
+    hashes, keys, prints, starts = column(table, "hashes", U), column(table, "keys", np.int64), column(table, "prints", np.int64), column(table, "starts", np.int32)
     many = column(table, "many", U)
     values, counts = np.unique(np.concatenate((hashes, many, many)), return_counts=True)
     again = counts[np.searchsorted(values, hashes)] > 1 if len(hashes) else np.zeros(0, bool)
-    return by_bucket(np.concatenate((keys[again], column(table, "known_keys", np.int64))), np.concatenate((starts[again], column(table, "known_starts", np.int32))), parts)
+    known = [column(table, "known_keys", np.int64), column(table, "known_prints", np.int64), column(table, "known_starts", np.int32)]
+    return by_bucket(*[np.concatenate((of[again], more)) for of, more in zip((keys, prints, starts), known)], parts, large)
 
 
 def send_windows(size: int, parts: int, text_at: int) -> Callable:
@@ -348,65 +393,67 @@ def send_windows(size: int, parts: int, text_at: int) -> Callable:
                 continue
             hashes = mixed(rolled(block.words, size, WORD_FACTOR))[at]
             checks = (mixed(rolled(block.words, size, CHECK_FACTOR)) >> U(32)).astype(np.uint32)[at]
-            keys, starts = block.keys[block.doc[at]], block.start(at)
-            again = repeats(hashes, checks, keys, starts)
-            first = ~again & (~same_place(hashes, checks, keys, starts) if len(np.unique(block.keys)) < len(block.keys) else True)
-            h, c, k, s = hashes[first], checks[first], keys[first], starts[first]
-            rows = [packed(p, hashes=h[i], checks=c[i], keys=k[i], starts=s[i]) for p, i in spread(parts, h)]
-            known_keys, known_starts = keys[again], starts[again]
-            rows += [packed(p, known_keys=known_keys[i], known_starts=known_starts[i]) for p, i in spread(parts, mixed(known_keys.view(U)))]
+            keys, prints, starts = block.keys[block.doc[at]], block.prints[block.doc[at]], block.start(at)
+            again = repeats(hashes, checks, keys, prints, starts)
+            h, c, k, d, s = hashes[~again], checks[~again], keys[~again], prints[~again], starts[~again]
+            rows = [packed(p, hashes=h[i], checks=c[i], keys=k[i], prints=d[i], starts=s[i]) for p, i in spread(parts, h)]
+            known_keys, known_prints, known_starts = keys[again], prints[again], starts[again]
+            rows += [packed(p, known_keys=known_keys[i], known_prints=known_prints[i], known_starts=known_starts[i]) for p, i in spread(parts, mixed((known_keys ^ known_prints).view(U)))]
             out.append(sent(rows))
         return pa.Table.from_batches(out)
 
     return run
 
 
-def repeats(hashes: np.ndarray, checks: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which windows are equal to one of a smaller (key, start)."""
-    order = np.lexsort((starts, keys, checks, hashes))
-    h, c, k, s = hashes[order], checks[order], keys[order], starts[order]
+def repeats(hashes: np.ndarray, checks: np.ndarray, keys: np.ndarray, prints: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Which windows are equal to one of a smaller (key, print, start)."""
+    order = np.lexsort((starts, prints, keys, checks, hashes))
+    h, c, k, p, s = hashes[order], checks[order], keys[order], prints[order], starts[order]
     new = np.ones(len(order), bool)
     new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
     head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else np.zeros(0, int)
     out = np.zeros(len(order), bool)
-    out[order] = (k != k[head]) | (s != s[head])
-    return out
-
-
-def same_place(hashes: np.ndarray, checks: np.ndarray, keys: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """All but one of equal windows at the same (key, start), which only rows that share an id can have."""
-    order = np.lexsort((starts, keys, checks, hashes))
-    out = np.zeros(len(order), bool)
-    out[order[1:]] = (np.diff(hashes[order]) == 0) & (np.diff(checks[order]) == 0) & (np.diff(keys[order]) == 0) & (np.diff(starts[order]) == 0)
+    out[order] = (k != k[head]) | (p != p[head]) | (s != s[head])
     return out
 
 
-def meet_windows(table: pa.Table, parts: int) -> pa.Table:
+def meet_windows(table: pa.Table, parts: int, large: list[tuple[int, int, int]]) -> pa.Table:
     """Which windows are repeats."""
-    hashes, checks, keys, starts = column(table, "hashes", U), column(table, "checks", np.uint32), column(table, "keys", np.int64), column(table, "starts", np.int32)
-    again = repeats(hashes, checks, keys, starts)
-    return by_bucket(np.concatenate((keys[again], column(table, "known_keys", np.int64))), np.concatenate((starts[again], column(table, "known_starts", np.int32))), parts)
+    hashes, checks, keys, prints, starts = column(table, "hashes", U), column(table, "checks", np.uint32), column(table, "keys", np.int64), column(table, "prints", np.int64), column(table, "starts", np.int32)
+    again = repeats(hashes, checks, keys, prints, starts)
+    known = [column(table, "known_keys", np.int64), column(table, "known_prints", np.int64), column(table, "known_starts", np.int32)]
+    return by_bucket(*[np.concatenate((of[again], more)) for of, more in zip((keys, prints, starts), known)], parts, large)
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
     """`docs` (all columns, in a struct `doc`) with `n_words`, `n_removed` and `kept`: the words outside all windows of
-    `size` words whose sequence also starts earlier (in a smaller id, or at an earlier place of the same id), joined by
-    spaces. Windows are judged on the texts as given.
+    `size` words whose sequence also starts earlier (in a smaller id, for one id in a text of smaller hash, or at an
+    earlier place of the same text), joined by spaces. Windows are judged on the texts as given.
 
     Ids must be integers; a null id comes before all others. Null and empty texts, and those of fewer than `size` words,
-    lose nothing. Rows that share an id count as one document whose parts all start at place 0: of two equal windows at
-    the same place neither is earlier. A window travels at most once from each block of documents, so passages that a
-    third of all documents share do not gather in one task. An empty table gives no rows.
+    lose nothing. A document is known by its id and the hash of its text: rows that share an id, or have none, are
+    documents of their own unless their texts are equal too; those are one document, and none of them repeats another. A
+    window travels at most once from each block of documents, so passages that a third of all documents share do not
+    gather in one task; nor do rows of one document, which are dealt over buckets by their size. An empty table gives no
+    rows.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark) | 1
     key, text_at = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), docs.columns.index(text_col)
+    print_ = F.xxhash64(F.col(text_col)).alias("print")
+    plain = docs.select(key, print_, F.col(text_col).alias("text"))
+    large = large_documents(plain, parts)
     # texts go to their buckets once; both rounds read that exchange
-    texts = docs.select(key, F.struct(*[docs[c] for c in docs.columns]).alias("doc")).select(bucket_of(F.col("key"), parts).alias("bucket"), "key", "doc")
-    grams = docs.select(key, F.col(text_col).alias("text")).mapInArrow(send_grams(size, parts), MET)
-    marks = grams.groupBy("part").applyInArrow(lambda table: meet_grams(table, parts), FOUND)
+    texts = docs.select(key, print_, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
+    bucket = bucket_of(F.col("key"), F.col("print"), parts)
+    if large:
+        texts = texts.join(F.broadcast(spark.createDataFrame(large, "key long, print long, deal int")), ["key", "print"], "left")
+        bucket = F.pmod(bucket + F.coalesce(F.monotonically_increasing_id() % F.col("deal"), F.lit(0)), F.lit(parts)).cast("int")
+    texts = texts.select(bucket.alias("bucket"), "key", "print", "doc")
+    grams = plain.mapInArrow(send_grams(size, parts), MET)
+    marks = grams.groupBy("part").applyInArrow(lambda table: meet_grams(table, parts, large), FOUND)
     met = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(send_windows(size, parts, text_at), MET)
-    spans = met.groupBy("part").applyInArrow(lambda table: meet_windows(table, parts), FOUND)
+    spans = met.groupBy("part").applyInArrow(lambda table: meet_windows(table, parts, large), FOUND)
     schema = T.StructType([T.StructField("doc", texts.schema["doc"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def cut(rows: pa.Table, found: pa.Table) -> pa.Table:
