@@ -6,17 +6,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textlathe.llm.common import table, written
-from textlathe.llm.decontamination import contamination
+from textlathe.llm.decontamination import judged
 from textlathe.llm.mixing import mix_sources
 from textlathe.llm.quality import keep_good
-from textlathe.llm.simhash import near_duplicates
+from textlathe.llm.simhash import copies
 from textlathe.llm.substrings import remove_repeats
 
 
-def without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
-    """`docs` but for the ids given; rows without an id stay. The ids are written, so that Spark knows their size when it
-    chooses how to join."""
-    return docs.join(written(ids.distinct(), name), "doc_id", "left_anti").select(docs.columns)
+def matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
+    """`docs` joined with `doc_id, text_hash` of `rows`; a row is known by its id, null or not, and its text."""
+    rows = rows.select(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_"))
+    return docs.join(rows, docs["doc_id"].eqNullSafe(F.col("id_")) & (F.xxhash64(docs["text"]) == F.col("hash_")), how)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -25,8 +25,13 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates the document of the smallest id stays."""
-    return without(docs, near_duplicates(docs).where("doc_id <> component_id").select("doc_id"), "pipeline-copies")
+    """Of each group of near-duplicates one row stays: that of the smallest id (rows without an id come last), of these
+    that of the smallest text hash, of rows equal in both the least by all columns. What goes is written, so that Spark
+    knows its size when it chooses how to join."""
+    more = written(copies(docs), "pipeline-copies")
+    alone = matched(docs, more, "left_anti").select(docs.columns)
+    repeated = matched(docs, more.where("first"), "left_semi").select(F.xxhash64("text").alias("hash_"), F.struct(*docs.columns).alias("row"))
+    return alone.unionByName(repeated.groupBy("row.doc_id", "hash_").agg(F.min("row").alias("row")).select("row.*"))
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,8 +43,9 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go."""
-    return without(docs, contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id"), "pipeline-contaminated")
+    """Contaminated documents go, with or without an id; of rows that share an id, those whose own text is contaminated."""
+    gone = judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_hash").distinct()
+    return matched(docs, written(gone, "pipeline-contaminated"), "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -112,3 +112,18 @@ def test_pipeline_on_odd_rows(spark, odd, labels, tmp_path):
     for name, table in (("documents", odd), ("labels", labels), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
         table.write.parquet(f"{tmp_path}/{name}.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+
+
+def test_pipeline_decides_by_row(spark, odd, tmp_path):
+    """Rows without an id are judged as well; of rows that share an id, each by its own text; one row of a group stays."""
+    phrase = " ".join(f"q{i}" for i in range(20))
+    other, third = (" ".join(f"{c}{i}" for i in range(40)) for c in "xy")
+    spark.createDataFrame([(1, phrase)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = spark.createDataFrame([(None, f"a {phrase}"), (None, other), (3, phrase), (3, third), (4, None)], "doc_id long, text string")
+    assert sorted(texts(corpus_pipeline.decontamination_stage(spark, docs, str(tmp_path))), key=repr) == [(3, third), (4, None), (None, other)]
+
+    rows = [(None, other, "a"), (None, other, "b"), (None, third, "a"), (3, phrase, "b"), (3, phrase, "a"), (3, phrase, None), (3, f"alone {third} {other}", "a"), (8, phrase, "a"), (5, third, "c"), (5, third, "c"), (9, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    got = sorted((tuple(r) for r in corpus_pipeline.simhash_stage(spark, docs, str(tmp_path)).collect()), key=repr)
+    assert got == sorted([(None, other, "a"), (3, phrase, None), (3, f"alone {third} {other}", "a"), (5, third, "c"), (9, None, None)], key=repr)
+    assert [r["doc_id"] for r in corpus_pipeline.simhash_stage(spark, odd.where("doc_id = 7 or doc_id = 8"), str(tmp_path)).collect()] == [7]

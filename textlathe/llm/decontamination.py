@@ -95,7 +95,12 @@ def phrase_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = 13, share: int = 20) -> DataFrame:
-    """`doc_id, n_words, n_hit, n_items, items_sha256, contaminated` of each row of `docs`.
+    """`doc_id, n_words, n_hit, n_items, items_sha256, contaminated` of each row of `docs`; see `judged`."""
+    return judged(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, size=size, share=share).drop("text_hash")
+
+
+def judged(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = 13, share: int = 20) -> DataFrame:
+    """`doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated` of each row of `docs`.
 
     A word is hit if it lies in an exact occurrence of a window; a document is contaminated if at least one of `share`
     words is hit. Null and empty texts have no words and are clean; so is all if the benchmark is empty. Items without
@@ -115,7 +120,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_i
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return totals.join(found, totals["doc_id"].eqNullSafe(F.col("id_")) & (totals["text_hash"] == F.col("hash_")), "left").select(
-        "doc_id", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
+        "doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )

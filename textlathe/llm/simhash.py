@@ -45,15 +45,15 @@ def majority(hashes: np.ndarray) -> int:
 
 
 def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """`doc_id, fp` (the fingerprint as a signed long) of each row."""
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("fp", T.LongType())])
+    """`doc_id, text_hash, fp` (the fingerprint as a signed long) of each row."""
+    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("text_hash", T.LongType()), T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(1)), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["doc_id", "fp"])
+            found = np.fromiter((fingerprint(t.as_py()) for t in batch.column(2)), np.uint64, batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found.view(np.int64))], names=["doc_id", "text_hash", "fp"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).mapInArrow(run, schema)
 
 
 #: Two fingerprints with at most 3 differing bits share at least 5 of their 8 positional bytes.
@@ -198,6 +198,34 @@ def components(edges: DataFrame) -> DataFrame:
     return found
 
 
+def classed(docs: DataFrame, *, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """`fingerprints` of the rows, and `fp, root, low` of each fingerprint: the same root for what is linked, the
+    smallest id of its rows."""
+    fps = written(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash-fingerprints")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
+    roots = components(link_edges(nodes.select("fp")))
+    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
+    return fps, written(rooted, "simhash-roots")
+
+
+def copies(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`doc_id, text_hash, n, first` of what is in `docs` more than once: with `first` false the documents that are not
+    the first of their component, with `first` true those first ones that `n` rows, more than one, have.
+
+    A document is known by its id and its text. The first is the one of the smallest id (those without an id come last),
+    of these the one of the smallest text hash. Components are told apart by fingerprint, so those without any id, or
+    with the same id, are not taken for one.
+    """
+    fps, rooted = classed(docs, id_col=id_col, text_col=text_col)
+    pairs = fps.groupBy("doc_id", "text_hash", "fp").agg(F.count("*").alias("n")).withColumn("place", F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash"))
+    lowest = pairs.groupBy("fp").agg(F.min("place").alias("place"))
+    lowest = lowest.join(rooted.select("fp", "root"), "fp").select("fp", "root", "place")
+    firsts = lowest.groupBy("root").agg(F.min("place").alias("first_place"))
+    firsts = written(lowest.join(firsts, "root").select("fp", "first_place"), "simhash-firsts")
+    told = pairs.join(firsts, "fp").select("doc_id", "text_hash", "n", F.col("place").eqNullSafe(F.col("first_place")).alias("first"))
+    return told.where(~F.col("first") | (F.col("n") > 1))
+
+
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`doc_id, fingerprint, component_id` of each row.
 
@@ -205,11 +233,7 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     of all rows that links reach from it. Copies meet in one fingerprint before any list is built. Repeated rows give
     repeated results, an empty table none; other columns are not read.
     """
-    fps = written(fingerprints(docs, id_col=id_col, text_col=text_col), "simhash-fingerprints")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("low"))
-    roots = components(link_edges(nodes.select("fp")))
-    rooted = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "low", F.coalesce("root", "fp").alias("root"))
-    rooted = written(rooted, "simhash-roots")
+    fps, rooted = classed(docs, id_col=id_col, text_col=text_col)
     lowest = rooted.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = written(rooted.join(lowest, "root").select("fp", "component_id"), "simhash-classes")
     return fps.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
