@@ -310,21 +310,85 @@ def test_mix(request, which):
     assert M.mix_sources(docs.limit(0)).count() == 0
 
 
-def test_neighbours_reach_recall_and_are_exact(spark, sf_dir):
-    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+def made_vectors(kind: str, n: int, width: int) -> np.ndarray:
+    rng = np.random.default_rng(11)
+    if kind == "clustered":
+        return rng.normal(size=(20, width))[rng.integers(0, 20, n)] + rng.normal(size=(n, width))
+    x = rng.normal(size=(n, width))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    if kind == "mixed lengths":
+        x *= rng.lognormal(0, 0.7, (n, 1))
+    if kind == "one long":
+        x[3] *= 10
+    return x
+
+
+@pytest.mark.parametrize(("kind", "n", "width"), [("table", 0, 0), ("plain", 4000, 64), ("clustered", 4000, 768), ("plain", 1500, 768), ("mixed lengths", 4000, 64), ("one long", 4000, 64)])
+def test_neighbours_reach_recall_and_are_exact(spark, sf_dir, kind, n, width):
+    """Doubles are kept; scores are exact; the recall over all queries is at least 0.9."""
+    if kind == "table":
+        rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    else:
+        rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(made_vectors(kind, n, width))], "vec_id long, embedding array<double>")
     got = defaultdict(list)
     for r in N.nearest(rows, F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
         got[r["query_id"]].append((r["vec_id"], r["score"]))
     data = {r["vec_id"]: np.array(r["embedding"], np.float64) for r in rows.collect()}
+    ids = np.array(list(data))
+    all_vectors = np.stack(list(data.values()))
     hits = 0
     for q, found in got.items():
-        exact = sorted(((-float(v @ data[q]), i) for i, v in data.items() if i != q))[:20]
-        hits += len({i for _, i in exact} & {i for i, _ in found})
+        scores = all_vectors @ data[q]
+        exact = [i for i in ids[np.lexsort((ids, -scores))[:21]].tolist() if i != q][:20]
+        hits += len(set(exact) & {i for i, _ in found})
         assert len(found) == 20 and [i for i, _ in found] == [i for i, s in sorted(found, key=lambda x: (-x[1], x[0]))]
-        assert all(abs(s - float(data[i] @ data[q])) < 1e-12 for i, s in found)
+        assert all(abs(s - float(data[i] @ data[q])) < 1e-12 * max(1, abs(s)) for i, s in found)
     assert set(got) == {i for i in data if i % 20 == 0} and hits >= 0.9 * 20 * len(got)
 
 
+def test_share_of_scored_vectors_falls(spark):
+    """The cells of a query hold a smaller share of all vectors, the more there are, at the same recall."""
+    shares = []
+    for n in (2_000, 20_000):
+        x = made_vectors("plain", n, 64)
+        plan = N.Plan(64, 8, (N.Band(0, n, 1.0, False, N.hash_widths(n, 64, 32), 0),), N.signs(8, 3, 64, 5))
+        scores = x[:64] @ x.T
+        scores[np.arange(64), np.arange(64)] = -9
+        truth = [(x[q], x[i], 0) for q in range(64) for i in np.argsort(-scores[q])[:20]]
+        shares.append(N.scored_share(plan, N.enough_probes(truth, plan, 0.9, 1024)))
+    assert shares[1] < 0.7 * shares[0]
+
+
+def test_probes_come_in_order_of_what_they_miss():
+    rng = np.random.default_rng(2)
+    plan = N.Plan(8, 1, (N.Band(0, 9999, 1.0, False, (8, 4), 0),), N.signs(1, 2, 8, 5))
+    v = rng.normal(size=(5, 8))
+    got = plan.probes_of(v, plan.bands[0], 0, 40)
+    x = plan.padded(v, plan.bands[0], False)
+    short = [(r.max(axis=1, keepdims=True) - r) ** 2 for r in (N.axes(x, plan.diagonals[0, h], w) for h, w in enumerate((8, 4)))]
+    every = (short[0][:, :, None] + short[1][:, None, :]).reshape(5, -1)
+    assert (np.sort(every, axis=1)[:, :40] == np.take_along_axis(every, got, 1)).all()
+    assert (got[:, 0] == plan.cells_of(v, plan.bands[0])[:, 0]).all()
+
+
+def test_rows_that_share_an_id_have_their_own_vectors(spark):
+    rows = spark.createDataFrame([(0, [1.0, 0.0]), (5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [0.17, 0.0]), (7, [0.17, 0.0])], "vec_id long, embedding array<double>")
+    got = [tuple(r) for r in N.nearest(rows, F.col("vec_id") == 0).orderBy("rank").collect()]
+    assert got == [(0, 1, 5, 1.0), (0, 2, 7, 0.17), (0, 3, 5, 0.0)]
+    both = [tuple(r) for r in N.nearest(rows, F.col("vec_id") == 5).orderBy("rank", F.desc("score"), "vec_id").collect()]
+    assert both == [(5, 1, 0, 1.0), (5, 1, 0, 0.0), (5, 2, 7, 0.17), (5, 2, 5, 0.0), (5, 3, 5, 0.0), (5, 3, 7, 0.0)]
+
+
+def test_queries_with_too_few_candidates_ask_all(spark, monkeypatch):
+    """With one probe only, many queries find fewer than k; they get k all the same, and so does the plain comparison."""
+    monkeypatch.setattr(N, "enough_probes", lambda *_: 1)
+    x = made_vectors("plain", 600, 16)
+    rows = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    for exact in (False, True):
+        got = N.nearest(rows, F.col("vec_id") % 20 == 0, tables=2, exact=exact).groupBy("query_id").count().collect()
+        assert {r["count"] for r in got} == {20} and len(got) == 30
+
+
 def test_neighbours_of_odd_vectors(spark):
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 2.0]), (3, None), (4, [0.0, 0.0]), (5, [float("nan"), 1.0]), (6, [float("inf"), 1.0]), (7, [None, 1.0]), (20, [1.0, 0.0]), (20, [1.0, 0.0]), (40, [-1.0, 0.5]), (None, [1.0, 1.0]), (60, [1.0])]
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("rank", F.lit("x"))

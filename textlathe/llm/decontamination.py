@@ -10,13 +10,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import small, written
 
 #: What stands between words: every ASCII character but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Terms or windows up to this many are broadcast (some tens of bytes each); more are joined by shuffles.
-BROADCAST_ROWS = 200_000
 
 
 def words(text: Column) -> Column:
@@ -30,11 +28,6 @@ def words(text: Column) -> Column:
     return F.slice(parts, first + 1, n - first - last)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """`df`, with a broadcast hint if it has no more than `rows` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def term_counts(corpus: DataFrame, terms: DataFrame) -> DataFrame:
     """`term, n`: how often each term stands in the `words` of the corpus, over all rows; absent terms have no row."""
     return corpus.select(F.explode("words").alias("term")).join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
