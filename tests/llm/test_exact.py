@@ -180,6 +180,7 @@ def components_by_brute_force(rows):
 @pytest.mark.parametrize("which", ["documents", "odd"])
 def test_simhash(request, which):
     docs = request.getfixturevalue(which)
+    assert H.near_duplicates(docs.limit(0)).count() == 0
     rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
     assert sorted((tuple(r) for r in H.near_duplicates(docs).collect()), key=repr) == components_by_brute_force(rows)
 
@@ -187,7 +188,7 @@ def test_simhash(request, which):
 @pytest.mark.parametrize("dense", [False, True])
 def test_links_among_fingerprints(spark, monkeypatch, dense):
     """Chains of fingerprints; with short lists declared long, so that the finer lists are used too."""
-    monkeypatch.setattr(H, "LONG_LIST", 8 if dense else 2048)
+    monkeypatch.setattr(H, "LONG_LIST", 3 if dense else 2048)
     rng = random.Random(5)
     codes = set()
     for _ in range(40):
@@ -220,29 +221,33 @@ def test_links_among_fingerprints(spark, monkeypatch, dense):
     assert sorted(map(sorted, ours.values())) == sorted(map(sorted, theirs.values()))
 
 
-def test_forest_of_masked_lists(monkeypatch):
+def test_finer_lists_hold_every_pair():
+    """Of pairs of at most 3 differing bits, each shares the bits of one list on every level, and the last level bounds
+    a list by the bits that are left."""
     rng = random.Random(7)
-    codes = np.array(sorted({rng.getrandbits(24) & 0x0FF0FF for _ in range(200)}), np.uint64)
-    full = {tuple(sorted(e)) for e in H.forest(codes)}
-    monkeypatch.setattr(H, "LONG_LIST", 4)
-    masked = {tuple(sorted(e)) for e in H.forest(codes)}
-
-    def groups(edges):
-        parent = {int(c): int(c) for c in codes}
-
-        def root(x):
-            while parent[x] != x:
-                x = parent[x]
-            return x
-
-        for a, b in edges:
-            parent[root(a)] = root(b)
-        out = defaultdict(set)
-        for c in parent:
-            out[root(c)].add(c)
-        return sorted(map(sorted, out.values()))
-
-    assert groups(full) == groups(masked)
+    first, levels = H.list_masks()
+    unsigned = lambda mask: mask & (1 << 64) - 1
+    assert all(64 - unsigned(mask).bit_count() == free for masks, free in ((first.values(), 40), ((m for _, _, m in levels[0]), 24), ((m for _, _, m in levels[1]), 12)) for mask in masks)
+    for _ in range(300):
+        differing = sum({1 << rng.randrange(64) for _ in range(3)})
+        for number, mask in first.items():
+            if not differing & unsigned(mask):
+                finer = [n for of, n, m in levels[0] if of == number and not differing & unsigned(m)]
+                assert finer and all(any(of == n and not differing & unsigned(m) for of, _, m in levels[1]) for n in finer)
+        assert any(not differing & unsigned(mask) for mask in first.values())
+
+
+@pytest.mark.parametrize("descending", [False, True])
+def test_a_long_chain_takes_few_rounds(spark, monkeypatch, descending):
+    rounds = []
+    plain = H.written
+    monkeypatch.setattr(H, "written", lambda df, name: rounds.append(name) or plain(df, name))
+    n = 10_000
+    edges = spark.range(n - 1).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    edges = edges.selectExpr(f"{n} - a AS a", f"{n} - b AS b") if descending else edges
+    roots = H.components(edges).select("node", "root").collect()
+    assert len(roots) == n and len({r["root"] for r in roots}) == 1
+    assert rounds.count("components-moves") <= 20
 
 
 @pytest.mark.parametrize("which", ["documents", "odd"])

@@ -8,11 +8,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions, written
+from .common import shuffle_partitions, small, written
 
 WIDTH = 3
 SEED = 42
@@ -59,33 +59,50 @@ def fingerprints(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
 #: Two fingerprints with at most 3 differing bits share at least 5 of their 8 positional bytes.
 BYTES, DISTANCE = 8, 3
 SHARED = BYTES - DISTANCE
-#: Of any 5 of the 8 positions, 3 lie in the same half: the lists of these 8 triples find every such pair.
-TRIPLES = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
-#: A list of more fingerprints than this is replaced by lists of two more positions.
+#: A list of more fingerprints than this is replaced by lists that have more in common.
 LONG_LIST = 2048
 
 
-def posting_key(fp: Column, positions: Sequence[int]) -> Column:
-    """The bytes of a fingerprint at some positions, as one long."""
-    mask = sum(0xFF << (8 * p) for p in positions)
-    return fp.bitwiseAND(F.lit(mask - (1 << 64) if mask >> 63 else mask))
+def bits_of(positions: Sequence[int], width: int) -> int:
+    """The bits of some positions of `width` bits each, as a signed long."""
+    mask = sum(((1 << width) - 1) << (width * p) for p in positions)
+    return mask - (1 << 64) if mask >> 63 else mask
 
 
-def postings(fps: DataFrame, keys: Sequence[Sequence[int]], first: int = 0) -> DataFrame:
-    """`list, key, fp`: each fingerprint in the list of its bytes at each of the given position sets."""
-    rows = F.array(*[F.struct(F.lit(first + i).alias("list"), posting_key(F.col("fp"), p).alias("key")) for i, p in enumerate(keys)])
+def list_masks() -> tuple[dict[int, int], list[list[tuple[int, int, int]]]]:
+    """The bits that the fingerprints of a list have in common, by the number of the list; and for each of two more
+    levels, the lists that replace a long one, as its number, theirs and their bits.
+
+    Of any 5 of the 8 bytes 3 lie in the same half, so 8 triples find every pair. Of the other 5 bytes a pair shares at
+    least 2: ten lists. Of the 3 bytes left, taken as 6 half bytes, it shares at least 3: twenty lists, of no more than
+    2**12 fingerprints each.
+    """
+    first, second, third = {}, [], []
+    triples = [t for half in (range(4), range(4, 8)) for t in combinations(half, 3)]
+    for i, triple in enumerate(triples):
+        first[i] = bits_of(triple, 8)
+        others = [p for p in range(BYTES) if p not in triple]
+        for j, pair in enumerate(combinations(others, 2)):
+            number = 100 * (i + 1) + j
+            second.append((i, number, bits_of((*triple, *pair), 8)))
+            halves = [h for p in others if p not in pair for h in (2 * p, 2 * p + 1)]
+            known = [h for p in (*triple, *pair) for h in (2 * p, 2 * p + 1)]
+            third += [(number, 100 * number + n, bits_of((*known, *some), 4)) for n, some in enumerate(combinations(halves, 3))]
+    return first, [second, third]
+
+
+def postings(fps: DataFrame) -> DataFrame:
+    """`list, key, fp`: each fingerprint in the lists of its bytes."""
+    rows = F.array(*[F.struct(F.lit(n).alias("list"), F.col("fp").bitwiseAND(F.lit(mask)).alias("key")) for n, mask in list_masks()[0].items()])
     return fps.select("fp", F.explode(rows).alias("at")).select("at.list", "at.key", "fp")
 
 
-def forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
+def forest(fps: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Edges that connect exactly what the links among these distinct fingerprints connect; at most len(fps) - 1.
 
-    From each fingerprint reached, the positional bytes shared with each one not yet reached are tallied; those with the
+    From each fingerprint reached, the positional bytes shared with all not yet reached are tallied; those with the
     guaranteed number are compared bit by bit.
     """
-    if len(fps) > LONG_LIST:
-        yield from masked_forest(fps)
-        return
     left = fps
     while len(left):
         reached, left = [left[0]], left[1:]
@@ -95,81 +112,47 @@ def forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
             tally = (differing.view(np.uint8).reshape(-1, BYTES) == 0).sum(axis=1)
             linked = (tally >= SHARED) & (np.bitwise_count(differing) <= DISTANCE)
             found = left[linked]
-            for other in found.tolist():
-                yield int(here), other
-            reached.extend(found)
-            left = left[~linked]
-
-
-def masked_forest(fps: np.ndarray) -> Iterator[tuple[int, int]]:
-    """The same for a long list of 5 common bytes, whose fingerprints differ in 24 bits only: those equal but for 3
-    given bits all link to each other, and every linked pair is equal but for some 3 bits."""
-    free = [b for b in range(64) if (np.bitwise_or.reduce(fps) ^ np.bitwise_and.reduce(fps)) >> np.uint64(b) & np.uint64(1)]
-    root = np.arange(len(fps))
-    for bits in combinations(free, min(DISTANCE, len(free))):
-        kept = fps & np.uint64((1 << 64) - 1 - sum(1 << b for b in bits))
-        _, first, inverse = np.unique(kept, return_index=True, return_inverse=True)
-        if len(first) == len(fps):
-            continue
-        for a, b in zip(np.arange(len(fps)), first[inverse]):
-            while root[a] != a:
-                root[a] = root[root[a]]
-                a = root[a]
-            while root[b] != b:
-                root[b] = root[root[b]]
-                b = root[b]
-            if a != b:
-                root[max(a, b)] = min(a, b)
-    for i in range(len(fps)):
-        if root[i] != i:
-            yield int(fps[i]), int(fps[root[i]])
+            if len(found):
+                yield np.full(len(found), here), found
+                reached.extend(found)
+                left = left[~linked]
 
 
 def link_edges(fps: DataFrame) -> DataFrame:
     """`a, b`: edges between distinct fingerprints (`fp`) whose components are those of all links.
 
-    Lists are sorted and streamed; each gives at most one edge less than it has fingerprints. A list of over LONG_LIST
-    fingerprints is spread over ten lists of two more positions each, which hold all its links (a linked pair shares at
-    least two of the other five) and at most 2**24 fingerprints.
+    Lists are sorted and streamed; each gives at most one edge less than it has fingerprints. Long lists are replaced by
+    lists of more common bits, see `list_masks`; those of the last level are bounded, and none is cut short.
     """
     spark = fps.sparkSession
-    short = postings(fps, TRIPLES)
-    long_lists = written(short.groupBy("list", "key").count().where(F.col("count") > LONG_LIST).select("list", "key"), "simhash-long")
-    if not long_lists.isEmpty():
-        finer = []
-        for i, triple in enumerate(TRIPLES):
-            more = [(*triple, *pair) for pair in combinations([p for p in range(BYTES) if p not in triple], 2)]
-            hot = short.where(F.col("list") == i).join(long_lists, ["list", "key"], "left_semi").select("fp")
-            finer.append(postings(hot, more, 100 * (i + 1)))
-        short = short.join(long_lists, ["list", "key"], "left_anti")
-        for rows in finer:
-            short = short.unionByName(rows)
+    short = postings(fps)
+    for level in list_masks()[1]:
+        long_lists = written(short.groupBy("list", "key").count().where(F.col("count") > LONG_LIST).select("list", "key"), "simhash-long")
+        if long_lists.isEmpty():
+            break
+        finer = F.broadcast(spark.createDataFrame(level, "list int, finer int, mask long"))  # 80 rows, then 1,600
+        hot = short.join(small(long_lists), ["list", "key"], "left_semi").join(finer, "list")
+        hot = hot.select(F.col("finer").alias("list"), F.col("fp").bitwiseAND(F.col("mask")).alias("key"), "fp")
+        short = short.join(small(long_lists), ["list", "key"], "left_anti").unionByName(hot)
+
+    def edges_in(lists: np.ndarray, keys: np.ndarray, values: np.ndarray) -> Iterator[pa.RecordBatch]:
+        starts = np.flatnonzero(np.concatenate(([True], (lists[1:] != lists[:-1]) | (keys[1:] != keys[:-1])))) if len(lists) else np.zeros(0, np.int64)
+        ends = np.append(starts[1:], len(lists))
+        several = ends - starts > 1
+        found = [edge for a, b in zip(starts[several].tolist(), ends[several].tolist()) for edge in forest(values[a:b])]
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([e[i] for e in found]).view(np.int64)) for i in (0, 1)], names=["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        at = None
-
-        def ended() -> Iterator[tuple[int, int]]:
-            fps = np.concatenate(held)
-            if len(fps) > 1:
-                yield from forest(fps)
-
+        held = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)]  # the list that may go on
         for batch in batches:
-            lists, keys = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            values = batch.column(2).to_numpy().view(np.uint64)
-            cuts = np.flatnonzero((np.diff(lists) != 0) | (np.diff(keys) != 0)) + 1
-            edges: list[tuple[int, int]] = []
-            starts, ends = [0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]
-            for a, b in zip(starts, ends):
-                if at != (here := (lists[a], keys[a])):
-                    if held and (len(held) > 1 or len(held[0]) > 1):
-                        edges += ended()
-                    held, at = [], here
-                held.append(values[a:b])
-            if edges:
-                yield pa.RecordBatch.from_arrays([pa.array(np.array([e[i] for e in edges], np.uint64).view(np.int64)) for i in (0, 1)], names=["a", "b"])
-        if held and (edges := list(ended())):
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([e[i] for e in edges], np.uint64).view(np.int64)) for i in (0, 1)], names=["a", "b"])
+            held = [np.concatenate((old, new)) for old, new in zip(held, (batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy().view(np.uint64)))]
+            if not len(held[0]):
+                continue
+            goes_on = (held[0] == held[0][-1]) & (held[1] == held[1][-1])
+            yield from edges_in(*[h[~goes_on] for h in held])
+            held = [h[goes_on] for h in held]
+        yield from edges_in(*held)
 
     dealt = short.repartition(shuffle_partitions(spark), "list", "key").sortWithinPartitions("list", "key", "fp")
     return dealt.mapInArrow(run, "a long, b long")
@@ -178,23 +161,28 @@ def link_edges(fps: DataFrame) -> DataFrame:
 def components(edges: DataFrame) -> DataFrame:
     """`node, root` of each node of the edges `a, b`: the same root for what is connected.
 
-    Every round moves each node to the smallest of its neighbours and itself and contracts the edges, so that at most
-    half of the nodes stay; rounds end when no edge is left. Each round is written to the shared folder.
+    Every round gives the nodes new random ranks, moves each to the one of the least rank among its neighbours and
+    itself, and contracts the edges. What is left are nodes that are the least somewhere: on a chain, where they are
+    the most, about half in each round, whatever the order of the nodes is. Each round is written to the shared folder.
     """
-    rounds = []
+    rounds: list[DataFrame] = []
     edges = written(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "components-edges")
     while not edges.isEmpty():
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        moves = written(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("root")), "components-moves")
+        ranked = lambda c: F.struct(F.xxhash64(F.lit(len(rounds)), c).alias("rank"), F.col(c).alias("node"))  # noqa: B023, E731
+        both = edges.select("a", ranked("b").alias("to")).unionByName(edges.select(F.col("b").alias("a"), ranked("a").alias("to")))
+        moves = both.groupBy("a").agg(F.min("to").alias("to")).select(F.col("a").alias("node"), F.least("to", ranked("a"))["node"].alias("root"))
+        moves = written(moves, "components-moves")
         rounds.append(moves)
         ends = edges.join(moves.select(F.col("node").alias("a"), F.col("root").alias("ra")), "a").join(moves.select(F.col("node").alias("b"), F.col("root").alias("rb")), "b")
         edges = written(ends.where("ra <> rb").select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct(), "components-edges")
     if not rounds:
         return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-    found = rounds[0]
-    for moves in rounds[1:]:
-        then = moves.select(F.col("node").alias("root"), F.col("root").alias("next"))
-        found = found.join(then, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+    # from the last round back: what is looked up is always the smaller side
+    found = rounds[-1]
+    for number, moves in enumerate(reversed(rounds[:-1]), 1):
+        then = found.select(F.col("node").alias("root"), F.col("root").alias("next"))
+        found = moves.join(then, "root", "left").select("node", F.coalesce("next", "root").alias("root"))
+        found = written(found, "components-found") if number % 4 == 0 else found
     return found
 
 
