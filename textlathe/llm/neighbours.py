@@ -15,10 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, written
+from .common import written
 
-#: A group of cells that one call searches has about so many vectors.
-GROUP_ROWS = 40_000
+#: A group of cells that one call searches has about so many vectors; small tables are dealt to so many groups.
+GROUP_ROWS, LEAST_GROUPS = 32_768, 12
 #: A cell of more vectors is cut into blocks; with so many blocks at most that are no whole cells.
 BLOCK_ROWS, MOST_BLOCKS = 4096, 100_000
 #: Vectors of one band differ in length by no more than this factor; shorter ones than those of so many bands share one.
@@ -160,7 +160,7 @@ def probed(vectors: DataFrame, queries: DataFrame, plan: Plan, *, k: int, probes
     large = {r["cell"]: -(-r["n"] // block) for r in counted.collect()}  # each has over `block` of `rows`: at most MOST_BLOCKS
     spark = vectors.sparkSession
     shared = spark.sparkContext.broadcast((plan, large))
-    groups = max(-(-rows // GROUP_ROWS), shuffle_partitions(spark))
+    groups = max(-(-rows // GROUP_ROWS), LEAST_GROUPS)
 
     def group_of(cell: np.ndarray, at: np.ndarray) -> np.ndarray:
         return (mixed(mixed(cell.astype(np.uint64)) + at.astype(np.uint64)) % np.uint64(groups)).astype(np.int64)
