@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import random
+
 import pytest
+from pyspark.sql import functions as F
+
 from textlathe.operators import graph as G
 
 
@@ -32,9 +36,43 @@ def test_incoming(graph):
     assert [tuple(r) for r in G.incoming_relations(graph["documents"], graph["edges"], 2).collect()] == [("SUA_OI_BOI", "1", "A")]
 
 
-@pytest.mark.parametrize(("a", "b", "path"), [(1, 3, [["1", "2", "3"]]), (3, 1, [["3", "2", "1"]]), (1, 4, []), (2, 2, [["2"]])])
-def test_shortest_path(graph, a, b, path):
-    assert [r["path"] for r in G.shortest_path(graph["documents"], graph["edges"], a, b).collect()] == path
+@pytest.mark.parametrize(("a", "b", "path", "titles"), [(1, 3, [["1", "2", "3"]], [["A", "B", "C"]]), (3, 1, [["3", "2", "1"]], [["C", "B", "A"]]), (1, 4, [], []), (2, 2, [["2"]], [["B"]]), (1, 99, [], [])])
+def test_shortest_path(graph, a, b, path, titles):
+    found = G.shortest_path(graph["documents"], graph["edges"], a, b).collect()
+    assert [r["path"] for r in found] == path and [r["titles"] for r in found] == titles
+
+
+@pytest.mark.parametrize("hops", [1, 2, 3, 4])
+def test_paths_of_a_random_graph(spark, hops):
+    """Against a search of all paths: the fewest hops, and of these the first ids; the bound on hops holds."""
+    rng = random.Random(hops)
+    pairs = {(rng.randrange(14), rng.randrange(14)) for _ in range(16)}
+    docs = spark.createDataFrame([(str(i), f"t{i}") for i in range(14)], "id string, title string")
+    edges = spark.createDataFrame([(str(a), str(b), f"R{(a + b) % 3}") for a, b in pairs], "src string, dst string, rel_type string")
+    near = {str(i): {str(b) for a, b in pairs if a == i} | {str(a) for a, b in pairs if b == i} for i in range(14)}
+    paths = [["0"]]
+    for _ in range(hops):
+        if any(p[-1] == "9" for p in paths):
+            break
+        paths = [[*p, n] for p in paths for n in near[p[-1]] if n not in p]
+    expected = min((p for p in paths if p[-1] == "9"), default=None)
+    assert [r["path"] for r in G.shortest_path(docs, edges, 0, 9, hops).collect()] == ([expected] if expected else [])
+
+
+def test_inputs_without_chunks_warn(spark, graph):
+    with pytest.warns(UserWarning, match="no chunks"):
+        bare = G.build_graph(graph["documents"], spark.createDataFrame([], "doc_id string, other_doc_id string, relationship string"), indexes=False)
+    assert set(bare) == {"documents", "edges"}
+    assert {(r["term"], r["id"]) for r in graph["title_terms"].collect()} == {(t.lower(), str(i)) for i, t in enumerate("ABCDE", 1)}
+    assert {r["term"] for r in graph["chunk_terms"].collect()} == {"một", "bảy"}
+
+
+def test_last_row_by_a_column_or_by_value(spark):
+    rows = spark.createDataFrame([(1, "x", 1), (1, "b", 3), (1, "c", 2)], "id long, title string, at int")
+    rels = spark.createDataFrame([(1, 1, "a b", 1), (1, 1, "A B", 2)], "doc_id long, other_doc_id long, relationship string, at int")
+    for order, title, label in ((None, "x", "a b"), ("at", "b", "A B")):
+        got = G.build_graph(rows, rels, content=rows.select("id", F.lit("x").alias("text")), order=order, indexes=False)
+        assert got["documents"].first()["title"] == title and got["edges"].first()["raw_label"] == label
 
 
 def test_parts_and_articles(spark):
@@ -49,6 +87,12 @@ def test_index_that_cannot_be_found_fails(spark):
     assert G.normalize_chunks(rows, plain_suffix=True).first()["chunk_index"] == 0
 
 
+def test_chunk_rows(spark):
+    rows = spark.createDataFrame([("72_c0", None, None, None, "12,13a"), ("72_0", None, "5", "1", None), ("9_c12", "9", None, "2", " 1 ,, 2 ")], "chunk_id string, doc_id string, chunk_index string, part_index string, articles string").withColumn("text", F.lit("x"))
+    got = [tuple(r)[:5] for r in G.normalize_chunks(rows).collect()]
+    assert got == [("72_c0", "72", 0, 0, ["12", "13a"]), ("72_0", "72_0", 5, 1, []), ("9_c12", "9", 12, 2, ["1", "2"])]
+
+
 def test_inputs_are_checked(spark, graph):
     with pytest.raises(ValueError):
         G.build_graph(graph["documents"], graph["edges"], chunks=graph["chunks"], content=graph["chunks"])

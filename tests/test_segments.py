@@ -6,6 +6,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import pytest
+from pyspark.sql import functions as F
+
 from textlathe.operators import profile as P
 from textlathe.operators import segment as S
 
@@ -62,3 +64,28 @@ def test_integrity_sees_gaps_and_repeats(spark):
     rows = spark.createDataFrame([("a", 0, "a_0"), ("a", 2, "a_2"), ("b", 0, "b_0"), ("b", 1, "b_0")], "doc_id string, chunk_index long, chunk_id string")
     found = {r["doc_id"]: (r["contiguous"], r["unique_ids"]) for r in P.chunk_integrity(rows).collect()}
     assert found == {"a": (False, True), "b": (True, False)}
+
+
+def plain_windows(text, size, overlap, marks):
+    """By the words of the rule, character by character."""
+    out, start = [], 0
+    while start < len(text):
+        stop = min(start + size, len(text))
+        if stop < len(text):
+            found = [[i for i in range(start + 1, stop) if text[i] == m] for m in marks]
+            stop = next((f[-1] for f in found if f), stop)
+        out.append(text[start:stop].strip())
+        start = stop - overlap if stop - overlap > start else stop
+    return [x for x in out if x]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text("ab \n", max_size=200), st.integers(2, 30), st.integers(0, 12), st.sampled_from([1, 2]))
+def test_windows_by_the_rule(text, size, overlap, version):
+    assert S.windows(text, size, overlap, version) == plain_windows(text, size, overlap, " " if version == 1 else "\n ")
+
+
+def test_a_text_that_fits_is_stripped(spark):
+    rows = spark.createDataFrame([(1, "  a b \n"), (2, " "), (3, ""), (4, None)], "id int, t string")
+    got = {r["id"]: r["w"] for r in rows.select("id", S.window_array(F.col("t")).alias("w")).collect()}
+    assert got == {1: ["a b"], 2: [""], 3: [], 4: None}

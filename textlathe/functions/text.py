@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+import html
+import unicodedata
+from functools import cache
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Headings that begin an attached document, and notices that are no content.
 PART_HEADINGS = (r"QUY\s*ĐỊNH\s*:", r"QUY\s*CHẾ\s*:", r"NỘI\s*QUY\s*:", r"ĐIỀU\s*LỆ\s*:", r"QUY\s*TRÌNH\s*:")
 NOTICES = ("xem file đính kèm", "có file đính kèm", "có văn bản đính kèm", "văn bản đính kèm", "văn bản mật")
 NOTICE_MAX_CHARS = 40
 GAP = " [...] "
-BASE = {
-    "A": "ÀÁẢÃẠĂẰẮẲẴẶÂẦẤẨẪẬ", "E": "ÈÉẺẼẸÊỀẾỂỄỆ", "I": "ÌÍỈĨỊ", "O": "ÒÓỎÕỌÔỒỐỔỖỘƠỜỚỞỠỢ", "U": "ÙÚỦŨỤƯỪỨỬỮỰ", "Y": "ỲÝỶỸỴ",
-}
 
 
 def strip(c: Column) -> Column:
@@ -71,33 +74,52 @@ def normalize_id(c: Column, kind: str) -> Column:
     return strip(c.cast("string"))
 
 
-def ascii_upper(c: Column, map_d: bool = False) -> Column:
-    """Upper case without the diacritics of Vietnamese; `đ` stays as it is unless `map_d`."""
-    upper = F.upper(c)
-    plain, marked = "".join(base * len(letters) for base, letters in BASE.items()), "".join(BASE.values())
+@cache
+def bases() -> tuple[str, str]:
+    """The characters whose compatibility decomposition is one ASCII letter or digit with marks, and that character."""
+    pairs = []
+    for code in range(0x80, 0x20000):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        if len(plain) == 1 and plain.isascii() and plain.isalnum():
+            pairs.append((chr(code), plain))
+    return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
+
+
+def ascii_base(c: Column, map_d: bool = False) -> Column:
+    """Letters and digits without their marks, full-width and other compatibility forms as plain ones; characters that
+    decompose to several stay as they are, and so does `đ` unless `map_d`."""
+    marked, plain = bases()
     if map_d:
-        plain, marked = plain + "D", marked + "Đ"
-    return F.regexp_replace(F.translate(upper, marked, plain), r"\p{M}+", "")
+        marked, plain = marked + "đĐ", plain + "dD"
+    return F.regexp_replace(F.translate(c, marked, plain), r"\p{M}+", "")
 
 
 def rel_type(c: Column, map_d: bool = False) -> Column:
     """A relationship label as an identifier: letters and digits in upper case, joined by `_`; empty ones become
     RELATED_TO, and those that begin with a digit get the prefix `R_`."""
-    name = F.regexp_replace(F.regexp_replace(ascii_upper(F.coalesce(c, F.lit("")), map_d), r"[^A-Z0-9]+", "_"), r"^_+|_+$", "")
+    joined = F.regexp_replace(ascii_base(F.coalesce(c, F.lit("")), map_d), r"[^a-zA-Z0-9]+", "_")
+    name = F.upper(F.regexp_replace(joined, r"^_+|_+$", ""))
     return F.when(name == "", F.lit("RELATED_TO")).when(name.rlike(r"^\d"), F.concat(F.lit("R_"), name)).otherwise(name)
 
 
+@F.pandas_udf(T.StringType())
+def unescaped(texts: pd.Series) -> pd.Series:
+    """All character references of HTML decoded, named and numeric ones."""
+    return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
+
+
 def html_to_text(c: Column, separator: str = " ") -> Column:
-    """Visible text nodes, stripped, joined by `separator`."""
+    """Visible text nodes, decoded and stripped, joined by `separator`.
+
+    Markup is cut natively and leaves a mark that no reference decodes to; one Arrow call decodes what is left.
+    """
     cut = F.regexp_replace(c, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<!--.*?-->", "\u0001")
-    nodes = F.split(F.regexp_replace(cut, r"(?s)<[^>]*>", "\u0001"), "\u0001")
+    return F.array_join(present(F.split(unescaped(F.regexp_replace(cut, r"(?s)<[^>]*>", "\u0001")), "\u0001")), separator)
 
-    def decoded(x: Column) -> Column:
-        for name, char in (("copy", "©"), ("middot", "·"), ("nbsp", " "), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("#39", "'"), ("amp", "&")):
-            x = F.replace(x, F.lit(f"&{name};"), F.lit(char))
-        return F.regexp_replace(x, r"^[ \t\n\r\x{A0}]+|[ \t\n\r\x{A0}]+$", "")
 
-    return F.array_join(F.filter(F.transform(nodes, decoded), lambda x: x != ""), separator)
+def preview(c: Column, size: int = 1000) -> Column:
+    """The first `size` characters of a text."""
+    return F.substring(c, 1, size)
 
 
 def part_pieces(c: Column) -> Column:

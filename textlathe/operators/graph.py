@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import normalize_id, parse_articles, rel_type
+from ..sources.tables import scratch_table
 from .profile import keep_first
 
 # The columns of documents and chunks.
@@ -40,7 +43,7 @@ def upsert_edges(rels: DataFrame, nodes: DataFrame, order: str | None = None) ->
     return both.groupBy("src", "rel_type", "dst").agg(last.alias("raw_label"))
 
 
-def normalize_chunks(chunks: DataFrame, plain_suffix: bool = False) -> DataFrame:
+def normalize_chunks(chunks: DataFrame, plain_suffix: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Chunk rows with ids as text, missing document ids and indexes taken from the chunk id (`_c<n>`; `_<n>` too with
     `plain_suffix`), part 0 for none, and articles as an array. An index that cannot be found is an error."""
     mark = r"_c?(\d+)$" if plain_suffix else r"_c(\d+)$"
@@ -50,7 +53,7 @@ def normalize_chunks(chunks: DataFrame, plain_suffix: bool = False) -> DataFrame
     return chunks.select(
         chunk_id.alias("chunk_id"), F.coalesce(id_column(chunks, "doc_id"), doc).alias("doc_id"),
         F.coalesce(index, F.raise_error(F.concat(F.lit("no chunk_index for "), chunk_id)).cast("bigint")).alias("chunk_index"),
-        F.coalesce(F.expr("try_cast(part_index AS bigint)"), F.lit(0)).cast("bigint").alias("part_index"), parse_articles(F.col("articles")).alias("articles"), "text",
+        F.coalesce(F.expr("try_cast(part_index AS bigint)"), F.lit(0)).cast("bigint").alias("part_index"), parse_articles(F.col("articles")).alias("articles"), "text", *keep,
     )
 
 
@@ -113,18 +116,39 @@ def both_ways(edges: DataFrame) -> DataFrame:
 
 
 def shortest_path(documents: DataFrame, edges: DataFrame, start: object, goal: object, max_hops: int = 4) -> DataFrame:
-    """`hops, path, rel_types` of the shortest undirected path, of several the one whose ids come first; no row if there
-    is none of at most `max_hops`. A node keeps one path, the first by ids, so a level has at most one row per node."""
-    start, goal = str(start).strip(), str(goal).strip()
-    steps = both_ways(edges).groupBy("a", "b").agg(F.min("rel_type").alias("rel_type"))
-    level = documents.where(F.col("id") == start).select("id", F.array("id").alias("path"), F.array().cast("array<string>").alias("rel_types")).distinct()
-    known, seen = level, level.select("id")
-    for _ in range(max_hops if start != goal else 0):
-        step = level.join(steps, level["id"] == steps["a"]).select(F.col("b").alias("id"), F.array_append("path", F.col("b")).alias("path"), F.array_append("rel_types", F.col("rel_type")).alias("rel_types"))
-        step = step.join(seen, "id", "left_anti").groupBy("id").agg(F.min(F.struct("path", "rel_types")).alias("p")).select("id", "p.path", "p.rel_types")
-        level = step
-        known, seen = known.unionByName(level), seen.unionByName(level.select("id"))
-    return known.where(F.col("id") == goal).select((F.size("path") - 1).cast("long").alias("hops"), "path", "rel_types").orderBy("hops").limit(1)
+    """`hops, path, titles, rel_types` of the shortest undirected path, of several the one whose ids come first; no row if
+    there is none of at most `max_hops`. `path` has ids, `titles` what `documents` calls them.
+
+    Both ends are searched, always the one with fewer nodes at its rim, until the rims meet. Steps and rims are stored,
+    so each hop reads the steps and one rim, and a node keeps one path, the first by ids. In an undirected graph what a
+    rim reaches lies in it, in the one before, or is new, so only these two are compared.
+    """
+    ends = str(start).strip(), str(goal).strip()
+    steps = scratch_table(both_ways(edges).where("a <> b").groupBy("a", "b").agg(F.min("rel_type").alias("rel_type")), "path-steps")
+    first = [documents.where(F.col("id") == end).select("id", F.array("id").alias("path"), F.array().cast("array<string>").alias("rel_types")).distinct() for end in ends]
+    rims, before, sizes = [scratch_table(f, "path-rim") for f in first], [f.select("id").limit(0) for f in first], [1, 1]
+    there = rims[1].select("id", F.col("path").alias("rest"), F.col("rel_types").alias("rest_types"))
+    met = rims[0].join(there, "id")
+    for _ in range(max_hops):
+        if not met.isEmpty():
+            break
+        side = 0 if sizes[0] <= sizes[1] else 1
+        step = rims[side].withColumnRenamed("id", "a").join(steps, "a")
+        if side == 0:
+            grown = step.select(F.col("b").alias("id"), F.array_append("path", F.col("b")).alias("path"), F.array_append("rel_types", F.col("rel_type")).alias("rel_types"))
+        else:
+            grown = step.select(F.col("b").alias("id"), F.array_prepend("path", F.col("b")).alias("path"), F.array_prepend("rel_types", F.col("rel_type")).alias("rel_types"))
+        known = rims[side].select("id").unionByName(before[side])
+        grown = grown.join(known, "id", "left_anti").groupBy("id").agg(F.min(F.struct("path", "rel_types")).alias("p")).select("id", "p.path", "p.rel_types")
+        before[side], rims[side] = rims[side].select("id"), scratch_table(grown, "path-rim")
+        sizes[side] = rims[side].count()
+        met = rims[0].join(rims[1].select("id", F.col("path").alias("rest"), F.col("rel_types").alias("rest_types")), "id")
+    whole = F.struct(F.concat("path", F.slice("rest", 2, F.size("rest"))).alias("path"), F.concat("rel_types", "rest_types").alias("rel_types"))
+    best = met.agg(F.min(whole).alias("p")).where("p IS NOT NULL").select("p.*")
+    names = documents.select("id", "title")
+    placed = best.select(F.posexplode("path").alias("at", "id")).join(names, "id").agg(F.sort_array(F.collect_list(F.struct("at", "title"))).alias("named"))
+    named = placed.select(F.transform("named", lambda n: n["title"]).alias("titles"))  # one row
+    return best.join(F.broadcast(named), F.lit(True)).select((F.size("path") - 1).cast("long").alias("hops"), "path", "titles", "rel_types")
 
 
 def neighbours(edges: DataFrame, sources: DataFrame, hops: int = 1) -> DataFrame:
@@ -167,19 +191,39 @@ def denormalized_edges(rels: DataFrame, meta: DataFrame) -> DataFrame:
     return rels.join(own, F.col("doc_id") == F.col("doc_id_"), "left").join(meta, F.col("other_doc_id") == F.col("id"), "left")
 
 
-def build_graph(metadata: DataFrame, relationships: DataFrame, chunks: DataFrame | None = None, content: DataFrame | None = None) -> dict[str, DataFrame]:
+def build_graph(metadata: DataFrame, relationships: DataFrame, chunks: DataFrame | None = None, content: DataFrame | None = None, *, order: str | None = None, indexes: bool = True) -> dict[str, DataFrame]:
     """Nodes, edges and chunks of a graph from its tables. Of `chunks` and `content` one may be given; with neither there
-    are no chunks. Edges whose ends are not both documents go, and of chunks only those of documents are linked."""
+    are no chunks, and a warning. Edges whose ends are not both documents go, and of chunks only those of documents are
+    linked.
+
+    Of rows with one id the last by the column `order`, which all tables must have then, sets all properties; without it
+    the greatest by all columns does, so that the result does not depend on how files are laid out. `indexes` adds the
+    search terms of titles and, where there are chunks, of chunk texts.
+    """
+    from .search import fulltext_index
+
     if chunks is not None and content is not None:
         raise ValueError("chunks and content exclude each other")
-    order = F.monotonically_increasing_id()
-    documents = upsert_nodes(with_metadata_columns(metadata).withColumn("_at", order), "id", "_at").drop("_at")
-    graph = {"documents": documents, "edges": upsert_edges(relationships.withColumn("_at", order), documents, "_at")}
+    if chunks is None and content is None:
+        warnings.warn("neither chunks nor content: the graph will have no chunks", stacklevel=2)
+
+    def last(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("_at", F.col(order) if order else F.struct(*[F.col(f"`{c}`").cast("string") for c in rows.columns]))
+
+    metadata = last(metadata)
+    documents = with_metadata_columns(metadata).columns
+    nodes = metadata.select(*[F.col(c) if c in metadata.columns else F.lit(None).cast("string").alias(c) for c in documents], "_at")
+    nodes = upsert_nodes(nodes, "id", "_at").drop("_at")
+    graph = {"documents": nodes, "edges": upsert_edges(last(relationships), nodes, "_at")}
     if chunks is not None:
-        rows = normalize_chunks(require_columns(chunks, CHUNK_COLUMNS)).withColumn("_at", order)
-        graph["chunks"] = upsert_nodes(rows, "chunk_id", "_at").drop("_at")
+        rows = last(require_columns(chunks, CHUNK_COLUMNS))
+        graph["chunks"] = upsert_nodes(normalize_chunks(rows, keep=("_at",)), "chunk_id", "_at").drop("_at")
     elif content is not None:
         graph["chunks"] = content_as_chunks(content)
     if "chunks" in graph:
-        graph["part_of"] = part_of(graph["chunks"], documents)
+        graph["part_of"] = part_of(graph["chunks"], nodes)
+    if indexes:
+        graph["title_terms"] = fulltext_index(nodes, "id", "title")
+        if "chunks" in graph:
+            graph["chunk_terms"] = fulltext_index(graph["chunks"], "chunk_id", "text")
     return graph

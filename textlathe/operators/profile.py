@@ -26,9 +26,14 @@ def describe(df: DataFrame, col: str) -> DataFrame:
     return df.agg(F.count(col).alias("n"), F.round(F.avg(col), 6).alias("mean"), F.round(F.stddev_samp(col), 6).alias("std"), F.min(col).alias("least"), *q, F.max(col).alias("most"))
 
 
+def digests(df: DataFrame, keys: tuple[str, ...] | list[str]) -> list[Column]:
+    """What rows are compared and shuffled by: of text columns the SHA-256, so that no text leaves the scan."""
+    return [F.sha2(F.col(k).cast("binary"), 256) if df.schema[k].dataType.simpleString() == "string" else F.col(k) for k in keys]
+
+
 def duplicate_count(df: DataFrame, *keys: str) -> DataFrame:
     """How many rows repeat an earlier one."""
-    return df.groupBy(*keys).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
+    return df.groupBy(*digests(df, keys)).count().agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).cast("long").alias("n_duplicates"))
 
 
 def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
@@ -36,13 +41,20 @@ def duplicate_keys(df: DataFrame, *keys: str) -> DataFrame:
 
 
 def keep_first(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
-    """The first row of each key in `order`."""
-    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_nth = 1").drop("_nth")
+    """The first row of each key in `order`; of a group, each task passes on only its own first row."""
+    return df.withColumn("_nth", F.row_number().over(Window.partitionBy(*digests(df, keys)).orderBy(*order))).where("_nth = 1").drop("_nth")
+
 
+def duplicate_flags(df: DataFrame, keys: list[str], *order: str) -> DataFrame:
+    """`df` with `is_duplicate`: whether an earlier row in `order`, which no two rows share, has the same key.
 
-def duplicate_flags(df: DataFrame, keys: list[str], *order: str | Column) -> DataFrame:
-    """`df` with `is_duplicate`: whether an earlier row has the same key."""
-    return df.withColumn("is_duplicate", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) > 1)
+    The firsts of all keys are one aggregate, so a key that many rows have meets nowhere; rows are joined to the first of
+    their key by digest and place.
+    """
+    named = [d.alias(f"_k{i}") for i, d in enumerate(digests(df, keys))]
+    place = F.struct(*order)
+    firsts = df.select(*named, place.alias("_at")).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_at").alias("_at"))
+    return df.withColumn("_at", place).join(firsts.select("_at", F.lit(True).alias("_first")), "_at", "left").withColumn("is_duplicate", F.col("_first").isNull()).drop("_at", "_first")
 
 
 def length_report(chunks: DataFrame, size: int = 1500) -> DataFrame:
@@ -68,5 +80,6 @@ def chunk_integrity(chunks: DataFrame) -> DataFrame:
 
 
 def table_profile(df: DataFrame) -> DataFrame:
-    """Number of rows and columns, and the names of the columns."""
-    return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"), F.lit(" ".join(df.columns)).alias("names"))
+    """Number of rows and columns, and the names and types of the columns."""
+    types = " ".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema)
+    return df.agg(F.count("*").alias("n_rows"), F.lit(len(df.columns)).cast("bigint").alias("n_columns"), F.lit(types).alias("columns"))

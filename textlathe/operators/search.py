@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
+from ..sources.tables import scratch_table
 from .graph import neighbours
 
 K1, B = 1.2, 0.75
@@ -21,31 +23,74 @@ def fulltext_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return base.select("id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("n_terms").cast("long").alias("n_terms"))
 
 
-def keyword_scores(df: DataFrame, id_col: str, text_col: str, keyword: str) -> DataFrame:
-    """`id, score` (BM25) of the texts that hold a term of `keyword`. Terms are compared as built-in columns inside the
-    scan, so only hits leave it; statistics are over all texts."""
-    terms = df.sparkSession.range(1).select(F.explode(F.array_distinct(tokens(F.lit(keyword)))).alias("term"))
-    base = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("terms"))
-    stats = base.agg(F.count("*").alias("n_docs"), F.avg(F.size("terms")).alias("mean_terms"))
-    hits = base.select("id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).join(F.broadcast(terms), "term").groupBy("id", "term").agg(F.count("*").alias("tf"), F.first("n_terms").alias("n_terms"))
-    df_ = hits.groupBy("term").agg(F.count("*").alias("n_with"))
-    idf = F.log(1 + (F.col("n_docs") - F.col("n_with") + 0.5) / (F.col("n_with") + 0.5))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.col("mean_terms")))
-    return hits.join(F.broadcast(df_), "term").join(F.broadcast(stats), F.lit(True)).groupBy("id").agg(F.sum(part).alias("score"))
+def keyword_scores(df: DataFrame, id_col: str, text_col: str, keyword: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """`id, score` (BM25) and the columns `keep` of the texts that hold a term of `keyword`; statistics are over all texts.
+
+    One scan reads the texts: of each it stores how many terms it has and how often those of the keyword are among them.
+    Statistics (one row) and scores come from these numbers, without a join or a shuffle of terms.
+    """
+    spark = df.sparkSession
+    terms = spark.range(1).select(F.array_distinct(tokens(F.lit(keyword)))).first()[0]
+    found = F.filter("terms", lambda x: x.isin(terms)) if terms else F.array().cast("array<string>")
+    base = df.select(F.col(id_col).alias("id"), *keep, tokens(F.col(text_col)).alias("terms")).select("id", *keep, F.size("terms").alias("n_terms"), found.alias("found"))
+    counts = F.transform(F.array(*map(F.lit, terms)), lambda t: F.size(F.filter("found", lambda x: x == t))) if terms else F.array().cast("array<int>")
+    stored = scratch_table(base.select("id", *keep, "n_terms", counts.alias("tf")), "keyword-counts")
+    stats = stored.agg(F.count("*").alias("n_docs"), F.avg("n_terms").alias("mean"), *[F.count_if(F.col("tf")[i] > 0).alias(f"df{i}") for i in range(len(terms))]).first()
+    score = F.lit(0.0)
+    for i in range(len(terms)):
+        idf = math.log(1 + (stats["n_docs"] - stats[f"df{i}"] + 0.5) / (stats[f"df{i}"] + 0.5))
+        tf = F.col("tf")[i]
+        score = score + idf * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("n_terms") / (stats["mean"] or 1.0)))
+    return stored.where(F.exists("tf", lambda n: n > 0)).select("id", *keep, score.alias("score"))
 
 
 def keyword_search(df: DataFrame, id_col: str, text_col: str, keyword: str, top_k: int = 5) -> DataFrame:
     return keyword_scores(df, id_col, text_col, keyword).orderBy(F.desc("score"), "id").limit(top_k)
 
 
+def with_chunks(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
+    """Hits (`id` of a chunk, `score`; at most some top k) with their chunks and documents, best first."""
+    names = documents.select(F.col("id").alias("doc_id"), "title", "tinh_trang_hieu_luc")
+    found = F.broadcast(hits.withColumnRenamed("id", "chunk_id"))
+    rows = chunks.join(found, "chunk_id").join(names, "doc_id")
+    return rows.select("doc_id", "title", F.col("tinh_trang_hieu_luc").alias("tinh_trang"), "part_index", "chunk_index", "articles", "text", "score").orderBy(F.desc("score"), "doc_id", "chunk_index")
+
+
+def search_by_keyword(chunks: DataFrame, documents: DataFrame, keyword: str, top_k: int = 5) -> DataFrame:
+    """The best chunks of known documents for a keyword, with their documents."""
+    scores = keyword_scores(chunks, "chunk_id", "text", keyword, keep=("doc_id",))
+    known = scores.join(documents.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    hits = scratch_table(known.orderBy(F.desc("score"), "id").limit(top_k).select("id", "score"), "keyword-hits")
+    return with_chunks(hits, chunks, documents)
+
+
+def search_by_vector(chunks: DataFrame, documents: DataFrame, vectors: DataFrame, query: list[float], top_k: int = 5) -> DataFrame:
+    """The chunks nearest to a vector by (1 + cosine) / 2, with their documents; `vectors` has `chunk_id, embedding`. Of
+    the top k those of no document go."""
+    hits = scratch_table(vector_search(vectors, "chunk_id", "embedding", query, top_k, halved=True), "vector-hits")
+    return with_chunks(hits, chunks, documents).drop("tinh_trang")
+
+
+def embedding_search(vectors: DataFrame, meta: DataFrame, query: list[float], top_k: int = 5) -> DataFrame:
+    """`score, chunk_id, doc_id, articles, text` of the vectors (`vector_id, embedding`) nearest to a query; hits without
+    metadata are skipped."""
+    hits = scratch_table(vector_search(vectors, "vector_id", "embedding", query, top_k), "embedding-hits")
+    return meta.join(F.broadcast(hits.withColumnRenamed("id", "vector_id")), "vector_id").select("score", "chunk_id", "doc_id", "articles", "text").orderBy(F.desc("score"), "chunk_id")
+
+
 def dot(vector: Column, query: list[float]) -> Column:
     q = F.array(*[F.lit(float(x)) for x in query])
     return F.aggregate(F.zip_with(vector, q, lambda a, b: a.cast("double") * b), F.lit(0.0), lambda s, x: s + x)
 
 
+def norm(vector: Column) -> Column:
+    return F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+
+
 def normalized(vector: Column) -> Column:
-    norm = F.sqrt(F.aggregate(vector, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.transform(vector, lambda x: F.when(norm > 0, x.cast("double") / norm).otherwise(0.0))
+    """The vector by its length, which is told once for all components; a zero vector stays."""
+    scaled = lambda n: F.transform(vector, lambda x: F.when(n > 0, x.cast("double") / n).otherwise(0.0))
+    return F.element_at(F.transform(F.array(norm(vector)), scaled), 1)
 
 
 def vector_index(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
@@ -55,16 +100,18 @@ def vector_index(df: DataFrame, id_col: str, vector_col: str) -> DataFrame:
 
 def vector_search(vectors: DataFrame, id_col: str, vector_col: str, query: list[float], top_k: int = 5, halved: bool = False) -> DataFrame:
     """`id, score`: the exact top by inner product of unit vectors; `halved` gives (1 + score) / 2."""
-    score = dot(normalized(F.col(vector_col)), query)
-    rows = vectors.select(F.col(id_col).alias("id"), ((1 + score) / 2 if halved else score).alias("score"))
+    sized = vectors.select(F.col(id_col).alias("id"), dot(F.col(vector_col), query).alias("dot"), norm(F.col(vector_col)).alias("norm"))
+    score = F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0)
+    rows = sized.select("id", ((1 + score) / 2 if halved else score).alias("score"))
     return rows.orderBy(F.desc("score"), "id").limit(top_k)
 
 
 def hybrid_retrieve(chunks: DataFrame, documents: DataFrame, edges: DataFrame, keyword: str, top_k: int = 5, hops: int = 1, most: int = 5) -> DataFrame:
     """The best chunks for a keyword with their documents and up to `most` titles of documents around each."""
-    hits = keyword_search(chunks, "chunk_id", "text", keyword, top_k)
-    found = chunks.join(hits, chunks["chunk_id"] == hits["id"]).drop("id").join(documents.select(F.col("id").alias("doc_id"), "title"), "doc_id")
-    around = neighbours(edges, found.select(F.col("doc_id").alias("id")), hops)
+    hits = scratch_table(keyword_search(chunks, "chunk_id", "text", keyword, top_k), "hybrid-hits")
+    found = with_chunks(hits, chunks, documents)
+    found = scratch_table(found.drop("tinh_trang"), "hybrid-found")  # at most top_k rows
+    around = neighbours(edges, F.broadcast(found.select(F.col("doc_id").alias("id"))), hops)
     titles = around.join(documents.select(F.col("id").alias("other"), F.col("title").alias("other_title")), "other")
     titles = titles.groupBy(F.col("id").alias("doc_id")).agg(F.slice(F.sort_array(F.collect_set("other_title")), 1, most).alias("related_docs"))
     columns = ["doc_id", "title", "part_index", "chunk_index", "articles", F.col("text").alias("chunk_text"), "score", F.coalesce("related_docs", F.array().cast("array<string>")).alias("related_docs")]

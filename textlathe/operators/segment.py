@@ -7,6 +7,8 @@ looks at what it has merged, so both run in an Arrow function over whole columns
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -19,7 +21,7 @@ ARTICLE_AT = {1: re.compile(r"(?=Điều\s+\d+[a-zA-Z]?(?!\.\d)\s*[:.])"), 2: re
 ARTICLE_NO = {1: re.compile(r"Điều\s+(\d+[a-zA-Z]?)\b"), 2: re.compile(r"\s*Điều\s+(\d+[a-zA-Z]?)\b", re.IGNORECASE)}
 CLAUSE_AT = re.compile(r"(?=\n\s*(?:\d+[.)]|[a-zA-ZđĐ][.)])\s)")
 PARAGRAPH_AT = re.compile(r"\n\s*\n+")
-BREAKS = {1: " ", 2: "\n "}
+BREAKS = {1: (" ",), 2: ("\n", " ")}
 
 
 def cut(pattern: re.Pattern, text: str) -> list[str]:
@@ -27,18 +29,39 @@ def cut(pattern: re.Pattern, text: str) -> list[str]:
 
 
 def windows(text: str, size: int, overlap: int, version: int) -> list[str]:
-    """Windows of at most `size` characters that end at the last break there is, each `overlap` before the last end."""
-    found, start = [], 0
+    """Windows of at most `size` characters, each from `overlap` before the end of the last one.
+
+    A window that does not reach the end of the text ends at the last line end in it (version 2), else at its last
+    space, else at its full size. All breaks are found once; that of a window is looked up by bisection.
+    """
+    breaks = [[m.start() for m in re.finditer(mark, text)] for mark in BREAKS[version]]
+
+    def end_of(start: int) -> int:
+        full = start + size
+        if full >= len(text):
+            return len(text)
+        last = ((at[i - 1] if (i := bisect_left(at, full)) else -1) for at in breaks)
+        return next((at for at in last if at > start), full)
+
+    spans, start = [], 0
     while start < len(text):
-        stop = start + size
-        if stop < len(text):
-            ends = (text.rfind(mark, start + 1, stop) for mark in BREAKS[version])
-            stop = next((end for end in ends if end > 0), stop)
-        else:
-            stop = len(text)
-        found.append(text[start:stop].strip())
+        stop = end_of(start)
+        spans.append((start, stop))
         start = stop - overlap if stop - overlap > start else stop
-    return [x for x in found if x]
+    return [piece for a, b in spans if (piece := text[a:b].strip())]
+
+
+def runs(lengths: list[int], goes_on: Callable[[int, int], bool]) -> Iterator[slice]:
+    """Runs of items that are joined by one character each: an item is added while `goes_on` holds of the length of the
+    run so far and its own."""
+    first = held = 0
+    for i, length in enumerate(lengths):
+        if i > first and not goes_on(held, length):
+            yield slice(first, i)
+            first = i
+        held = length if i == first else held + 1 + length
+    if lengths:
+        yield slice(first, len(lengths))
 
 
 def bounded(text: str, size: int, overlap: int, version: int) -> list[str]:
@@ -54,24 +77,13 @@ def bounded(text: str, size: int, overlap: int, version: int) -> list[str]:
     pieces = [x for unit in units for x in ([unit] if len(unit) <= size else windows(unit, size, overlap, version))]
     if version == 2:
         return pieces
-    packed: list[str] = []
-    for piece in pieces:
-        if packed and len(packed[-1]) + len(piece) <= size:
-            packed[-1] = f"{packed[-1]}\n{piece}"
-        else:
-            packed.append(piece)
-    return packed
+    return ["\n".join(pieces[run]) for run in runs([len(x) for x in pieces], lambda held, length: held + length <= size)]
 
 
 def joined(items: list[tuple[str, list[str]]], size: int, least: int, version: int) -> list[tuple[str, list[str]]]:
-    """Adds each item to the one before while that is shorter than `least`; version 2 only if the sum fits `size`."""
-    out: list[tuple[str, list[str]]] = []
-    for text, articles in items:
-        if out and len(out[-1][0]) < least and (version == 1 or len(out[-1][0]) + 1 + len(text) <= size):
-            before, numbers = out.pop()
-            text, articles = f"{before}\n{text}", numbers + articles
-        out.append((text, articles))
-    return out
+    """The items, those shorter than `least` with what follows them; in version 2 only if the sum fits `size`."""
+    fits = lambda held, length: held < least and (version == 1 or held + 1 + length <= size)
+    return [("\n".join(t for t, _ in items[run]), [n for _, numbers in items[run] for n in numbers]) for run in runs([len(t) for t, _ in items], fits)]
 
 
 def part_chunks(part: str, size: int, overlap: int, least: int, version: int) -> list[tuple[str, list[str]]]:
@@ -86,11 +98,11 @@ def part_chunks(part: str, size: int, overlap: int, least: int, version: int) ->
 
 
 def window_array(text: Column, size: int = MAX_CHARS, overlap: int = OVERLAP, version: int = 2) -> Column:
-    """The windows of each text. Version 2 leaves a text that fits as it is."""
+    """The windows of each text; in version 2 a text that fits is one, stripped, even if nothing is left of it."""
 
     @F.pandas_udf("array<string>")
     def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else [t] if version == 2 and 0 < len(t) <= size else windows(t, size, overlap, version))
+        return texts.map(lambda t: None if t is None else [t.strip()] if version == 2 and 0 < len(t) <= size else windows(t, size, overlap, version))
 
     return run(text)
 

@@ -95,22 +95,32 @@ def clean_noise(spark, sf):
     return table(spark, sf, "documents").select("doc_id", X.clean_noise(raw).alias("text"))
 
 
-NOTICE_ROWS = ["(1, '( Xem  file đính kèm )', true)", "(2, 'Có văn bản đính kèm', true)", "(3, 'VĂN BẢN MẬT', true)", "(4, 'văn bản mật 2', false)", "(5, 'Xem file đính kèm ở trang cuối của văn bản này', false)", "(6, '', true)", "(7, 'Điều 1. Phạm vi', false)", "(8, 'văn bản đính kèm', true)"]
+NOTICE = "CASE doc_id % 5 WHEN 0 THEN '( Xem  file đính kèm )' WHEN 1 THEN 'Văn bản mật' WHEN 2 THEN 'văn bản mật ' || doc_id WHEN 3 THEN '' ELSE text END"
+FLAT = r"lower(trim(regexp_replace(text, '\s+', ' ', 'g')))"
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(NOTICE_ROWS) + ") v(n, text, is_notice)")
+@query(rf"""SELECT doc_id, text = '' OR (length({FLAT}) <= 40 AND NOT regexp_matches({FLAT}, '\d') AND
+    regexp_matches({FLAT}, '^\(?\s*(xem file đính kèm|có file đính kèm|có văn bản đính kèm|văn bản đính kèm|văn bản mật)\s*\)?$')) AS is_notice FROM (SELECT doc_id, {NOTICE} AS text FROM documents)""")
 def boilerplate_filter(spark, sf):
-    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(NOTICE_ROWS) + " AS v(n, text, expected)")
-    return rows.select("n", "text", X.is_notice(F.col("text")).alias("is_notice"))
+    """All documents, of which some have notices and near-notices for texts."""
+    kind = F.col("doc_id") % 5
+    text = F.when(kind == 0, "( Xem  file đính kèm )").when(kind == 1, "Văn bản mật").when(kind == 2, F.concat(F.lit("văn bản mật "), "doc_id")).when(kind == 3, "").otherwise(F.col("text"))
+    return table(spark, sf, "documents").select("doc_id", X.is_notice(text).alias("is_notice"))
 
 
-NUMBER_ROWS = ["(1, 'Điều 12a. Phạm vi', '12a', '12a')", "(2, ' điều 12a. x', '12a', NULL)", "(3, 'Điều 12ạ', NULL, NULL)", "(4, 'ĐIỀU 7: x', '7', NULL)", "(5, 'Theo Điều 3', NULL, NULL)", "(6, '', NULL, NULL)"]
+@query(r"""SELECT doc_id, nullif(regexp_extract(text, '(?i)^\s*điều\s+(\d+[a-z]?)\b', 1), '') AS number_v2, nullif(regexp_extract(text, '^Điều\s+(\d+[a-zA-Z]?)\b', 1), '') AS number_v1
+    FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'Điều ' || doc_id || 'a. ' WHEN 1 THEN '  ĐIỀU ' || doc_id || ': ' WHEN 2 THEN 'Theo Điều 3 ' WHEN 3 THEN chr(10) || 'điều ' || doc_id || ' ' ELSE '' END || text AS text FROM documents)""")
+def article_number(spark, sf):
+    """All documents, most of them after a heading of some form."""
+    kind, n = F.col("doc_id") % 5, F.col("doc_id").cast("string")
+    head = F.when(kind == 0, F.concat(F.lit("Điều "), n, F.lit("a. "))).when(kind == 1, F.concat(F.lit("  ĐIỀU "), n, F.lit(": "))).when(kind == 2, "Theo Điều 3 ").when(kind == 3, F.concat(F.lit("\nđiều "), n, F.lit(" "))).otherwise("")
+    text = F.concat(head, "text")
+    return table(spark, sf, "documents").select("doc_id", X.article_number(text).alias("number_v2"), X.article_number(text, 1).alias("number_v1"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(NUMBER_ROWS) + ") v(n, text, number_v2, number_v1)")
-def article_number(spark, sf):
-    rows = spark.sql("SELECT * FROM VALUES " + ", ".join(NUMBER_ROWS) + " AS v(n, text, a, b)")
-    return rows.select("n", "text", X.article_number(F.col("text")).alias("number_v2"), X.article_number(F.col("text"), 1).alias("number_v1"))
+@query("SELECT doc_id, substr(text, 1, 1000) AS preview FROM documents")
+def text_preview(spark, sf):
+    return table(spark, sf, "documents").select("doc_id", X.preview(F.col("text")).alias("preview"))
 
 
 @query("""SELECT n, array_to_string(coalesce(list_filter(list_transform(string_split(s, ','), lambda x: trim(x)), lambda x: x <> ''), []), '|') AS articles
@@ -232,7 +242,7 @@ def dedup_edges(spark, sf):
     return A.rels(spark, sf).select("doc_id", "other_doc_id", "relationship").distinct()
 
 
-@query("SELECT (SELECT count(*) FROM docs) AS n_rows, 8::BIGINT AS n_columns, 'id title loai_van_ban co_quan_ban_hanh text n_chars ngay_ban_hanh tinh_trang_hieu_luc' AS names", "docs")
+@query("SELECT (SELECT count(*) FROM docs) AS n_rows, 8::BIGINT AS n_columns, 'id:bigint title:string loai_van_ban:string co_quan_ban_hanh:string text:string n_chars:bigint ngay_ban_hanh:string tinh_trang_hieu_luc:string' AS columns", "docs")
 def table_profile(spark, sf):
     return P.table_profile(A.docs(spark, sf))
 
@@ -241,6 +251,7 @@ def table_profile(spark, sf):
     SELECT min(id) AS id, text FROM (SELECT id, {HTML_SQL} AS text FROM content) GROUP BY text) WHERE length(text) > 30) ORDER BY num_words DESC, id LIMIT 10""", "content")
 def top_longest(spark, sf):
     text = A.content(spark, sf).select("id", X.html_to_text(F.col("content_html")).alias("text")).where(F.length("text") > 30)
-    first = text.groupBy("text").agg(F.min("id").alias("id"))
-    counted = first.select("id", F.concat(F.lit("Page "), "id").alias("title"), F.size(F.split("text", " ")).cast("bigint").alias("num_words"))
+    measured = text.select("id", F.sha2(F.col("text").cast("binary"), 256).alias("digest"), F.size(F.split("text", " ")).cast("bigint").alias("num_words"))
+    first = measured.groupBy("digest").agg(F.min("id").alias("id"), F.first("num_words").alias("num_words"))  # equal texts, equal numbers
+    counted = first.select("id", F.concat(F.lit("Page "), "id").alias("title"), "num_words")
     return counted.orderBy(F.desc("num_words"), "id").limit(10)

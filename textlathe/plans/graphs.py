@@ -37,12 +37,17 @@ def rounded(df):
     return df.withColumn("score", F.round("score", 6))
 
 
-CHUNK_FIXTURE = "('72_c0', NULL, NULL, NULL, '12,13a'), ('72_0', NULL, '5', '1', NULL), ('9_c12', '9', NULL, '2', ' 1 ,, 2 ')"
-
-
-@query("SELECT * FROM (VALUES ('72_c0', '72', 0::BIGINT, 0::BIGINT, '12|13a'), ('72_0', '72_0', 5, 1, ''), ('9_c12', '9', 12, 2, '1|2')) v(chunk_id, doc_id, chunk_index, part_index, articles)")
+@query("""SELECT chunk_id, CASE WHEN k % 3 = 0 THEN CAST(k AS VARCHAR) ELSE 'd' || k END AS doc_id, CASE WHEN k % 2 = 0 THEN k % 7 ELSE c END AS chunk_index, coalesce(TRY_CAST(part AS BIGINT), 0) AS part_index,
+    CASE k % 4 WHEN 0 THEN '' WHEN 1 THEN c || '|' || k || 'a' ELSE CAST(c AS VARCHAR) END AS articles
+    FROM (SELECT *, k || '_c' || CASE WHEN k % 2 = 0 THEN k % 7 ELSE c END AS chunk_id, CASE WHEN k % 5 = 0 THEN NULL ELSE CAST(k % 3 AS VARCHAR) END AS part FROM (SELECT o_orderkey AS k, o_custkey AS c FROM orders))""")
 def normalize_chunks(spark, sf):
-    rows = spark.sql(f"SELECT *, 'x' AS text FROM VALUES {CHUNK_FIXTURE} AS v(chunk_id, doc_id, chunk_index, part_index, articles)")
+    """All orders as chunk rows, some without a document id, an index, a part or articles."""
+    k, c = F.col("o_orderkey"), F.col("o_custkey").cast("string")
+    index = F.when(k % 2 == 0, (k % 7).cast("string")).otherwise(c)
+    rows = table(spark, sf, "orders").select(
+        F.concat(k, F.lit("_c"), index).alias("chunk_id"), F.when(k % 3 != 0, F.concat(F.lit("d"), k)).alias("doc_id"), F.when(k % 2 == 1, c).alias("chunk_index"), F.when(k % 5 != 0, (k % 3).cast("string")).alias("part_index"),
+        F.when(k % 4 == 1, F.concat(F.lit(" "), c, F.lit(" ,, "), k, F.lit("a"))).when(k % 4 > 1, c).alias("articles"), F.lit("x").alias("text"),
+    )
     return G.normalize_chunks(rows).withColumn("articles", F.array_join("articles", "|")).drop("text")
 
 
@@ -107,13 +112,26 @@ def incoming_relations(spark, sf):
     return G.incoming_relations(A.nodes(spark, sf), A.edges(spark, sf), 42)
 
 
-@query("""WITH st AS (SELECT a, b, min(rel_type) AS rel_type FROM (SELECT src AS a, dst AS b, rel_type FROM edges UNION ALL SELECT dst, src, rel_type FROM edges) GROUP BY a, b),
-    p AS (SELECT 1::BIGINT AS hops, [a, b] AS path, [rel_type] AS rels FROM st WHERE a = '500' AND b = '777'
-        UNION ALL SELECT 2, [x.a, x.b, y.b], [x.rel_type, y.rel_type] FROM st x JOIN st y ON x.b = y.a WHERE x.a = '500' AND y.b = '777')
-    SELECT hops, array_to_string(path, '>') AS path, array_to_string(rels, '>') AS rel_types FROM p ORDER BY hops, p.path LIMIT 1""", "edges")
+def path_sql(start: str, goal: str, hops: int = 4) -> str:
+    """Level by level, the first path by ids to each node that no earlier level has."""
+    levels = [f"l0 AS (SELECT id, [id] AS path, []::VARCHAR[] AS rels FROM nodes WHERE id = '{start}')"]
+    for n in range(1, hops + 1):
+        seen = " UNION ALL ".join(f"SELECT id FROM l{i}" for i in range(n))
+        levels.append(f"""l{n} AS (SELECT id, min(p).path AS path, min(p).rels AS rels FROM (SELECT st.b AS id, {{'path': list_append(l.path, st.b), 'rels': list_append(l.rels, st.rel_type)}} AS p
+            FROM l{n - 1} l JOIN st ON l.id = st.a WHERE st.b NOT IN ({seen})) GROUP BY id)""")
+    every = " UNION ALL ".join(f"SELECT {n}::BIGINT AS hops, * FROM l{n}" for n in range(hops + 1))
+    return f"""WITH st AS MATERIALIZED (SELECT a, b, min(rel_type) AS rel_type FROM (SELECT src AS a, dst AS b, rel_type FROM edges UNION ALL SELECT dst, src, rel_type FROM edges) WHERE a <> b GROUP BY a, b),
+        {", ".join(levels)}, p AS (SELECT * FROM ({every}) WHERE id = '{goal}' ORDER BY hops LIMIT 1)
+        SELECT hops, array_to_string(path, '>') AS path, (SELECT string_agg(n.title, '>' ORDER BY u.i) FROM unnest(range(1, len(path) + 1)) u(i) JOIN nodes n ON n.id = path[u.i]) AS titles, array_to_string(rels, '>') AS rel_types FROM p"""
+
+
+def joined_path(found):
+    return found.select("hops", *[F.array_join(c, ">").alias(c) for c in ("path", "titles", "rel_types")])
+
+
+@query(path_sql("500", "777"), "edges")
 def shortest_path(spark, sf):
-    found = G.shortest_path(A.nodes(spark, sf), A.edges(spark, sf), 500, 777)
-    return found.select("hops", F.array_join("path", ">").alias("path"), F.array_join("rel_types", ">").alias("rel_types"))
+    return joined_path(G.shortest_path(A.nodes(spark, sf), A.edges(spark, sf), 500, 777))
 
 
 @query("SELECT n.title, c.part_index, c.chunk_index, array_to_string(c.articles, ',') AS articles, c.text FROM article_chunks c JOIN nodes n ON c.doc_id = n.id WHERE c.doc_id = '7' AND list_contains(c.articles, '2')", "article_chunks nodes")
@@ -141,6 +159,25 @@ def keyword_search(spark, sf):
     return rounded(R.keyword_search(table(spark, sf, "documents"), "doc_id", "text", KEYWORD))
 
 
+@query("SELECT term, id, count(*) AS tf, max(n) AS n_terms FROM (SELECT id, len(terms) AS n, unnest(terms) AS term FROM (SELECT id, " + TERMS.replace("text", "title") + " AS terms FROM nodes)) GROUP BY term, id", "nodes")
+def title_index(spark, sf):
+    return R.fulltext_index(A.nodes(spark, sf), "id", "title")
+
+
+FULL = "c.doc_id, n.title{more}, c.part_index, c.chunk_index, array_to_string(c.articles, ',') AS articles, md5(c.text) AS text_md5, round(h.score, 6) AS score"
+
+
+def flat(found):
+    """The rows of a search with arrays and texts as short strings."""
+    found = rounded(found).withColumn("articles", F.array_join("articles", ","))
+    return found.withColumn("text_md5", F.md5(F.col("text").cast("binary"))).drop("text")
+
+
+@query("WITH " + bm25("chunk_id", "text_chunks") + " SELECT " + FULL.format(more=", n.tinh_trang_hieu_luc AS tinh_trang") + " FROM hits h JOIN text_chunks c ON h.id = c.chunk_id JOIN nodes n ON c.doc_id = n.id", "text_chunks nodes")
+def search_by_keyword(spark, sf):
+    return flat(R.search_by_keyword(A.text_chunks(spark, sf), A.nodes(spark, sf), KEYWORD))
+
+
 @query("WITH " + bm25("chunk_id", "text_chunks") + """,
     around AS (SELECT DISTINCT h.id, m.title FROM hits h JOIN text_chunks c ON h.id = c.chunk_id JOIN (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges) e ON c.doc_id = e.a JOIN nodes m ON e.b = m.id),
     titles AS (SELECT id, array_to_string(list_sort(list(title))[1:5], ';') AS related_docs FROM around GROUP BY id)
@@ -178,6 +215,20 @@ def vector_search_graph(spark, sf):
     return rounded(R.vector_search(table(spark, sf, "embeddings"), "vec_id", "embedding", query_vector(spark, sf), halved=True))
 
 
+@query("WITH h AS (" + NEAR.format(score="((1 + list_inner_product(a.v, b.v)) / 2)") + ") SELECT " + FULL.format(more="") + " FROM h JOIN text_chunks c ON c.doc_id = CAST(h.id AS VARCHAR) JOIN nodes n ON c.doc_id = n.id", "text_chunks nodes")
+def search_by_vector(spark, sf):
+    """A vector stands for the chunk of the document of its number."""
+    vectors = table(spark, sf, "embeddings").select(F.concat("vec_id", F.lit("_c0")).alias("chunk_id"), "embedding")
+    return flat(R.search_by_vector(A.text_chunks(spark, sf), A.nodes(spark, sf), vectors, query_vector(spark, sf)))
+
+
+@query("WITH h AS (" + NEAR.format(score="list_inner_product(a.v, b.v)") + ") SELECT h.score, c.chunk_id, c.doc_id, array_to_string(c.articles, ',') AS articles, md5(c.text) AS text_md5 FROM h JOIN text_chunks c ON c.doc_id = CAST(h.id AS VARCHAR)", "text_chunks")
+def embedding_search(spark, sf):
+    vectors = R.vector_index(table(spark, sf, "embeddings"), "vec_id", "embedding")
+    meta = A.text_chunks(spark, sf).withColumn("vector_id", F.col("doc_id").cast("long"))
+    return flat(R.embedding_search(vectors, meta, query_vector(spark, sf)))
+
+
 @query()
 def encode_documents(spark, sf):
     return R.encode_texts(table(spark, sf, "documents"), "doc_id", "text")

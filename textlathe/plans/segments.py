@@ -41,16 +41,17 @@ def end_sql(version: int, size: int = S.MAX_CHARS) -> str:
     return f"CASE WHEN {e0} = n THEN n ELSE coalesce({', '.join(ends)}, {e0}) END"
 
 
-def windows_sql(name: str, source: str, keys: str, version: int, whole: bool = True, size: int = S.MAX_CHARS, overlap: int = S.OVERLAP) -> str:
-    """Tables that end in `name`: `keys, w, text, articles` of the windows of `source` (`keys, text, articles`). With
-    `whole`, a text that fits is its only window."""
+def windows_sql(name: str, source: str, keys: str, version: int, whole: str | None = "text", size: int = S.MAX_CHARS, overlap: int = S.OVERLAP) -> str:
+    """Tables that end in `name`: `keys, w, text, articles` of the windows of `source` (`keys, text, articles`). `whole`
+    is the only window of a text that fits."""
     k, step = keys, f"CASE WHEN e - {overlap} > s THEN e - {overlap} ELSE e END"
     window = f"trim(substr(text, s + 1, e - s), {TRIM})"
-    piece, goes_on = (f"CASE WHEN n <= {size} THEN text ELSE {window} END", f"n > {size} AND") if whole else (window, "")
+    piece, goes_on = (f"CASE WHEN n <= {size} THEN {whole} ELSE {window} END", f"n > {size} AND") if whole else (window, "")
+    kept = f"piece <> '' OR n <= {size}" if whole else "piece <> ''"
     return f"""{name}_r AS (
         SELECT {k}, text, articles, n, 0::BIGINT AS w, 0::BIGINT AS s, CAST({end_sql(version, size)} AS BIGINT) AS e FROM (SELECT *, length(text) AS n, 0 AS s FROM {source}) WHERE n > 0
         UNION ALL SELECT {k}, text, articles, n, w, s, CAST({end_sql(version, size)} AS BIGINT) FROM (SELECT {k}, text, articles, n, w + 1 AS w, {step} AS s FROM {name}_r WHERE {goes_on} {step} < n)),
-        {name} AS (SELECT {k}, w, piece AS text, articles FROM (SELECT *, {piece} AS piece FROM {name}_r) WHERE piece <> '')"""
+        {name} AS (SELECT {k}, w, piece AS text, articles FROM (SELECT *, {piece} AS piece FROM {name}_r) WHERE {kept})"""
 
 
 def fold_sql(name: str, source: str, keys: str, order: str, joins: str, gathers: str = "list_concat(a.articles, b.articles)") -> str:
@@ -116,13 +117,10 @@ def split_articles(spark, sf):
     return A.article_chunks(spark, sf).select(F.col("doc_id").cast("bigint").alias("id"), "part_index", "chunk_index", F.array_join("articles", ",").alias("article"), "text")
 
 
-V1_ROWS = ["(1, 0, 'Theo')", "(1, 1, 'Điều 3.')", "(1, 2, 'Điều 4: x')", "(2, 0, 'Điều 3.4 abc')", "(3, 0, 'Điều 1. a')", "(3, 1, 'Điều 2a : b')", "(5, 0, 'điều 1. a')"]
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(V1_ROWS) + ") v(id, pos, text)")
+@query(exploded_sql("legal", "id", pieces_sql("text", ARTICLE[1]), "pos"), "legal")
 def split_articles_v1(spark, sf):
-    rows = spark.sql(r"SELECT * FROM VALUES (1, 'Theo Điều 3. Điều 4: x'), (2, 'Điều 3.4 abc'), (3, 'Điều 1. a\nĐiều 2a : b'), (4, ''), (5, 'điều 1. a') AS v(id, text)")
-    return rows.select("id", F.posexplode(X.article_pieces(F.col("text"), 1)).alias("pos", "text"))
+    rows = A.legal(spark, sf).select("id", F.posexplode(X.article_pieces(F.col("text"), 1)).alias("pos", "text"))
+    return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query(exploded_sql("(SELECT doc_id, replace(text, ', ', chr(10) || ' b) ') AS text FROM documents)", "doc_id", pieces_sql("text", CLAUSE), "pos"))
@@ -140,13 +138,13 @@ def split_paragraphs(spark, sf):
 PLAIN = "(SELECT doc_id, text, []::VARCHAR[] AS articles FROM documents)"
 
 
-@query("WITH RECURSIVE " + windows_sql("windows", PLAIN, "doc_id", 2) + " SELECT doc_id, w AS pos, text FROM windows")
+@query("WITH RECURSIVE " + windows_sql("windows", PLAIN, "doc_id", 2, whole=f"trim(text, {TRIM})") + " SELECT doc_id, w AS pos, text FROM windows")
 def word_windows(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(S.window_array(F.col("text"))).alias("pos", "text"))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
-@query("WITH RECURSIVE " + windows_sql("windows", PLAIN, "doc_id", 1, whole=False) + " SELECT doc_id, w AS pos, text FROM windows")
+@query("WITH RECURSIVE " + windows_sql("windows", PLAIN, "doc_id", 1, whole=None) + " SELECT doc_id, w AS pos, text FROM windows")
 def word_windows_v1(spark, sf):
     rows = table(spark, sf, "documents").select("doc_id", F.posexplode(S.window_array(F.col("text"), version=1)).alias("pos", "text"))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))

@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 BOM = "\ufeff"
+#: The scratch paths that have been given out and not been removed.
+SCRATCH: list[str] = []
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -16,12 +18,30 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names; in a temporary folder only where it names none (tests)."""
+    """A new path in the shared folder that the session names. Where it names none: in a temporary folder in local mode
+    (tests), an error on a cluster, whose executors could not read that."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="textlathe-")
         spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    SCRATCH.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return SCRATCH[-1]
+
+
+def scratch_table(df: DataFrame, name: str) -> DataFrame:
+    """`df` as a scratch table, for what is read more than once."""
+    return write_parquet(df, scratch_path(df.sparkSession, name))
+
+
+def drop_scratch(spark: SparkSession) -> int:
+    """Removes the scratch paths so far and tells how many; for when the results that read them have been written."""
+    n = len(SCRATCH)
+    while SCRATCH:
+        path = spark._jvm.org.apache.hadoop.fs.Path(SCRATCH.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> DataFrame:
