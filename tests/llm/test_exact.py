@@ -51,13 +51,67 @@ def removed_by_brute_force(rows, size=20):
     return out
 
 
-@pytest.mark.parametrize("seed", [1, 2])
-def test_repeats_on_made_texts(spark, seed):
+@pytest.mark.parametrize(("seed", "setting"), [(1, {}), (2, {}), (3, {"BLOCK_CHARS": 300}), (5, {"SAMPLE": 1, "LEAST_SHARED": 0})])
+def test_repeats_on_made_texts(spark, monkeypatch, seed, setting):
+    """Also with texts in many pieces, and with all 10-grams taken for very frequent ones."""
+    for name, value in setting.items():
+        monkeypatch.setattr(R, name, value)
+    if "SAMPLE" in setting:
+        monkeypatch.setattr(R, "shared_grams", lambda docs, size, share, plain=R.shared_grams: plain(docs, size, 0.0))
     rows = shared_passages(seed)
     got = R.repeat_digests(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
     assert {r[0]: tuple(r)[1:] for r in got} == removed_by_brute_force(rows)
 
 
+def test_repeats_of_odd_rows(spark, odd):
+    """Nulls in any column, empty, white and very long texts, repeated rows, more columns; and an empty table."""
+    clash = odd.withColumn("bucket", F.lit(1)).withColumn("words", F.lit("x")).withColumn("print", F.lit(0))
+    rows = [(-1 if r["doc_id"] is None else r["doc_id"], r["text"]) for r in odd.collect()]
+    expected = removed_by_brute_force(set(rows))
+    got = R.remove_repeats(clash).select("doc.*", "n_words", "n_removed").collect()
+    assert len(got) == len(rows) and all((r["n_words"], r["n_removed"]) == expected[-1 if r["doc_id"] is None else r["doc_id"]][:2] for r in got)
+    assert set(clash.columns) <= set(got[0].asDict())
+    assert R.repeat_digests(odd.limit(0)).count() == 0
+
+
+def test_pieces_of_a_text(monkeypatch):
+    monkeypatch.setattr(R, "BLOCK_CHARS", 40)
+    rng = random.Random(8)
+    for overlap in (0, 3, 19):
+        text = b" \n "[: rng.randrange(4)] + b" ".join(b"w" * rng.choice([1, 3, 90]) + str(i).encode() for i in range(300)) + b"\t "[: rng.randrange(3)]
+        words, seen = text.split(), []
+        for base, piece in R.pieces(text, overlap):
+            own = piece.split()
+            assert own == words[base : base + len(own)]
+            seen += [(base + i, tuple(own[i : i + overlap + 1])) for i in range(len(own) - overlap)]
+        assert seen == [(i, tuple(words[i : i + overlap + 1])) for i in range(len(words) - overlap)]
+
+
+def test_choices_in_a_text_of_many_words():
+    """A text of more than 2**24 words: each window chooses the first of the least 10-grams in it."""
+    n = (1 << 24) + 5000
+    block = R.Block.__new__(R.Block)
+    block.words, block.doc = R.mixed(np.arange(n, dtype=np.uint64) % np.uint64(1 << 22)), np.zeros(n, np.int8)
+    at, place, grams = block.chosen(20)
+    for i in [0, 5, (1 << 24) - 30, *range((1 << 24) - 3, len(at), 499), len(at) - 1]:
+        assert place[i] == i + int(np.argmin(grams[i : i + 11]))
+
+
+def test_equal_hashes_are_no_equal_words(spark, monkeypatch):
+    """Where all 10-grams have one hash, words alone tell which windows are equal."""
+    monkeypatch.setattr(R, "mixed", lambda x: np.zeros_like(x))
+    words = [f"w{i}" for i in range(60)]
+    block = R.Block(np.array([1]), np.array([0]), np.array([0]), [" ".join(words).encode()])
+    _, place, grams = block.chosen(20)
+    assert len(set(grams.tolist())) == 1
+    texts = [b" ".join(w.encode() for w in words[i : i + 20]) for i in (0, 30, 0)]
+    row = R.packed(0, hashes=np.zeros(3, np.uint64), keys=np.array([1, 1, 2]), prints=np.zeros(3, np.int64), places=np.array([0, 30, 7]) * R.RUN + 1, words=b"\n".join(texts))
+    import pyarrow as pa
+
+    found = R.meet_passages(pa.Table.from_batches([R.sent([row])]), 20, 1, [])
+    assert R.column(found, "keys", np.int64).tolist() == [2] and R.column(found, "places", np.int64).tolist() == [7 * R.RUN + 1]
+
+
 def test_repeats_on_documents(documents):
     rows = [(r["doc_id"], r["text"]) for r in documents.select("doc_id", "text").collect()]
     assert {r[0]: tuple(r)[1:] for r in R.repeat_digests(documents).collect()} == removed_by_brute_force(rows)

@@ -59,9 +59,10 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+#: For ids that are not null; rows that repeat an id and a text are one document here as well.
 OP3_SQL = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
     win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS words FROM w, unnest(range(0, len(w) - 19)) u(i)),
-    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY words ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1),
+    again AS (SELECT doc_id, i FROM (SELECT doc_id, i, rank() OVER (PARTITION BY words ORDER BY doc_id, i) AS nth FROM win) WHERE nth > 1),
     gone AS (SELECT DISTINCT doc_id, i + j AS at_word FROM again, range(0, 20) v(j)),
     kept AS (SELECT t.doc_id, string_agg(t.word, ' ' ORDER BY t.at_word) AS text, count(*) AS n FROM (SELECT doc_id, i AS at_word, w[i + 1] AS word FROM w, unnest(range(0, len(w))) u(i)) t ANTI JOIN gone g ON t.doc_id = g.doc_id AND t.at_word = g.at_word GROUP BY t.doc_id)
     SELECT w.doc_id, CAST(len(w.w) AS BIGINT) AS n_words, CAST(len(w.w) - coalesce(k.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.text, '')) AS kept_sha256 FROM w LEFT JOIN kept k ON w.doc_id = k.doc_id"""

@@ -1,15 +1,17 @@
 """Substring dedup: removal of word spans that occur before, in a reference or in the corpus itself.
 
-`SuffixAutomaton` and `remove_known` follow the plain form: automata of bounded reference shards are broadcast and
-documents are streamed past them for matching statistics. Where the reference is the corpus (`remove_repeats`), neither
-the shards nor the passes over the corpus would be bounded; there, windows meet by hash in two rounds. First, of every
-window one 10-gram is chosen (the least by hash), and 10-grams chosen only once are dropped with their windows; then the
-windows that are left meet, and all but the first are repeats. Every equal pair of windows chooses equal 10-grams, so
-nothing is lost.
+Both forms stream words past suffix automata and cut what the matching statistics show. `remove_known` broadcasts the
+automata of a bounded reference to all tasks. In `remove_repeats` the reference is the corpus, so neither a broadcast nor
+a pass over all documents for each shard would be bounded. There, every window of words chooses one of its 10-grams (the
+least by hash; equal windows choose equal ones), 10-grams chosen only once are left out with their windows, and the
+passages around each of the others are dealt to shards by that 10-gram. A shard holds an automaton of the passages that
+share a 10-gram; each passage is streamed past it in the order of the corpus, then added. So every passage meets just the
+shard that can hold its windows, words are compared as words, and nothing is lost.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -19,16 +21,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import shuffle_partitions
+from .common import shuffle_partitions, written
 
 GRAM = 10
 #: A task works on blocks of about so many characters of text.
 BLOCK_CHARS = 6_000_000
+#: A bucket or shard has about so many bytes of text.
+PART_BYTES = 32_000_000
+#: One in so many documents is looked at for 10-grams that very many windows choose, this often at least.
+SAMPLE, LEAST_SHARED = 32, 256
 NULL_ID = -(1 << 63)
 U = np.uint64
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
-BYTE_FACTOR, WORD_FACTOR, CHECK_FACTOR = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93), U(0xA0761D6478BD642F)
+BYTE_FACTOR, WORD_FACTOR = U(0x9E3779B97F4A7C15), U(0xD6E8FEB86659FD93)
+WHITE = re.compile(rb"[\x20\x09-\x0D]+")
 
 
 class SuffixAutomaton:
@@ -134,10 +141,11 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 class Block:
-    """Some documents as one array of word hashes."""
+    """Some documents, or pieces of them, as one array of word hashes and one of bytes with single spaces. `bases`: the
+    number of the first word of each piece in its document."""
 
-    def __init__(self, keys: np.ndarray, prints: np.ndarray, texts: list[bytes]):
-        self.keys, self.prints = keys, prints
+    def __init__(self, keys: np.ndarray, prints: np.ndarray, bases: np.ndarray, texts: list[bytes]):
+        self.keys, self.prints, self.bases = keys, prints, bases
         data = np.frombuffer(b"\n".join([*texts, b""]), np.uint8)
         inner = ~SPACE[data]
         edges = np.flatnonzero(np.diff(inner, prepend=False, append=False))
@@ -154,6 +162,11 @@ class Block:
         digits *= data + np.uint16(1)
         digits *= inner
         self.words = mixed(np.add.reduceat(digits, starts) + (ends - starts).astype(U)) if len(starts) else np.zeros(0, U)
+        del digits
+        kept = inner.copy()
+        kept[ends] = True  # the first white space after each word; a text always has one after its last
+        self.text = np.where(inner, data, np.uint8(32))[kept].tobytes()
+        self.at_byte = np.concatenate(([0], np.cumsum(ends - starts + 1)))
 
     @staticmethod
     def places(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -166,7 +179,7 @@ class Block:
 
     def start(self, at: np.ndarray) -> np.ndarray:
         """Of words by number, the number within their document."""
-        return (at - self.first[self.doc[at]]).astype(np.int32)
+        return at - self.first[self.doc[at]] + self.bases[self.doc[at]]
 
     def windows(self, size: int) -> np.ndarray:
         """The first words of all windows of `size` words of one document."""
@@ -179,15 +192,25 @@ class Block:
         grams = mixed(rolled(self.words, GRAM, WORD_FACTOR))
         if not len(at):
             return at, at, grams
-        place = np.arange(len(grams), dtype=U)
-        least = (grams & ~U((1 << 24) - 1)) | place
+        least, place = grams, np.arange(len(grams))
+
+        def narrowed(by: int) -> tuple[np.ndarray, np.ndarray]:
+            """The lesser of each value and the one `by` places on, the first of equal ones, with its place."""
+            n = len(least) - by
+            later = least[by:] < least[:n]
+            return np.where(later, least[by:], least[:n]), np.where(later, place[by:], place[:n])
+
         span, width = size - GRAM + 1, 1
         while 2 * width <= span:
-            least = np.minimum(least[: len(least) - width], least[width:])
+            least, place = narrowed(width)
             width *= 2
         if width < span:
-            least = np.minimum(least[: len(least) - (span - width)], least[span - width :])
-        return at, (least[at] & U((1 << 24) - 1)).astype(np.int64), grams
+            least, place = narrowed(span - width)
+        return at, place[at], grams
+
+    def passage(self, first: int, n: int) -> bytes:
+        """`n` words from one on, with single spaces."""
+        return self.text[self.at_byte[first] : self.at_byte[first + n] - 1]
 
 
 def rolled(words: np.ndarray, n: int, factor: np.uint64) -> np.ndarray:
@@ -217,19 +240,38 @@ def step(factor: np.uint64, n: int) -> np.uint64:
     return U(pow(int(factor), n, 1 << 64))
 
 
-def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[np.ndarray]]]:
+def pieces(data: bytes, overlap: int) -> Iterator[tuple[int, bytes]]:
+    """A text in pieces of about BLOCK_CHARS bytes that share `overlap` words with the one before, and the number of the
+    first word of each: every window of `overlap` + 1 words lies in just one."""
+    base = start = 0
+    stop = BLOCK_CHARS
+    while len(data) - start > BLOCK_CHARS and (gap := WHITE.search(data, stop)):
+        piece = data[start : gap.start()]
+        n = len(piece.split())
+        stop = gap.end() + BLOCK_CHARS
+        if n <= overlap:  # few and very long words: the piece goes on
+            continue
+        yield base, piece
+        base, start = base + n - overlap, gap.start()
+        for _ in range(overlap):  # back over white space and a word
+            while SPACE[data[start - 1]]:
+                start -= 1
+            while not SPACE[data[start - 1]]:
+                start -= 1
+    yield base, data[start:]
+
+
+def blocks(batches: Iterator[pa.RecordBatch], overlap: int) -> Iterator[tuple[Block, list[np.ndarray]]]:
     """Blocks of documents in the order of their keys and prints, and the marked places of each document (`marks`, if
-    given). Rows of one key and print are one document; a block has it once."""
-    keys: list[int] = []
-    prints: list[int] = []
+    given). Rows of one key and print are one document; a block has it once. Long texts are blocks of pieces."""
+    held: list[tuple[int, int, int, bytes, np.ndarray | None]] = []
     seen: set[tuple[int, int]] = set()
-    texts: list[bytes] = []
-    marks: list[np.ndarray] = []
-    held = 0
+    size = 0
 
     def ended() -> tuple[Block, list[np.ndarray]]:
-        order = np.lexsort((np.array(prints, np.int64), np.array(keys, np.int64)))
-        return Block(np.array(keys, np.int64)[order], np.array(prints, np.int64)[order], [texts[i] for i in order]), [marks[i] for i in order] if marks else []
+        order = sorted(range(len(held)), key=lambda i: held[i][:3])
+        rows = [held[i] for i in order]
+        return Block(*(np.array([r[c] for r in rows], np.int64) for c in range(3)), [r[3] for r in rows]), [r[4] for r in rows]
 
     for batch in batches:
         given = batch.column("marks") if "marks" in batch.schema.names else None
@@ -237,34 +279,34 @@ def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, list[np.n
             if (key, given_print) in seen:
                 continue
             data = (text or "").encode("utf-8", "surrogatepass")
-            if held and held + len(data) > BLOCK_CHARS:
-                yield ended()
-                keys, prints, texts, marks, held = [], [], [], [], 0
-                seen.clear()
+            marks = given[i].values.to_numpy() if given is not None else None
+            for base, piece in pieces(data, overlap):
+                if size and size + len(piece) > BLOCK_CHARS:
+                    yield ended()
+                    held, size = [], 0
+                    seen.clear()
+                held.append((key, given_print, base, piece, marks))
+                size += len(piece)
             seen.add((key, given_print))
-            keys.append(key)
-            prints.append(given_print)
-            texts.append(data)
-            held += len(data)
-            if given is not None:
-                marks.append(given[i].values.to_numpy())
-    if keys:
+    if held:
         yield ended()
 
 
-#: What meets: `part` says where; the arrays travel as bytes. `sole` entries want to know whether they are met again.
-MET = "part int, hashes binary, checks binary, keys binary, prints binary, starts binary, known_keys binary, known_prints binary, known_starts binary, many binary"
+#: What meets: `part` says where; the arrays travel as bytes. `words` has a passage a line.
+ARRAYS = ["hashes", "keys", "prints", "places", "known_keys", "known_prints", "known_places", "many", "words"]
+MET = "part int, " + ", ".join(f"{n} binary" for n in ARRAYS)
 #: What is found at places of documents, packed by the documents' buckets: at most one row for each part and bucket.
-FOUND = "bucket int, keys binary, prints binary, starts binary"
+FOUND = "bucket int, keys binary, prints binary, places binary"
+#: A run of windows as one number: its first word times this, and how many windows it has.
+RUN = 1 << 12
 
 
-def packed(part: int, **columns: np.ndarray) -> dict:
-    return {"part": part} | {k: v.tobytes() for k, v in columns.items()}
+def packed(part: int, **columns: np.ndarray | bytes) -> dict:
+    return {"part": part} | {k: v if isinstance(v, bytes) else v.tobytes() for k, v in columns.items()}
 
 
 def sent(rows: list[dict]) -> pa.RecordBatch:
-    names = ["hashes", "checks", "keys", "prints", "starts", "known_keys", "known_prints", "known_starts", "many"]
-    return pa.RecordBatch.from_arrays([pa.array([r["part"] for r in rows], pa.int32()), *[pa.array([r.get(n, b"") for r in rows], pa.binary()) for n in names]], names=["part", *names])
+    return pa.RecordBatch.from_arrays([pa.array([r["part"] for r in rows], pa.int32()), *[pa.array([r.get(n, b"") for r in rows], pa.binary()) for n in ARRAYS]], names=["part", *ARRAYS])
 
 
 def spread(parts: int, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -284,12 +326,14 @@ def bucket_of(key, print_, parts: int):
     return ((key ^ (key >> 7) ^ (key >> 19) ^ print_) % parts).astype(np.int64)
 
 
-def large_documents(docs: DataFrame, parts: int) -> list[tuple[int, int, int]]:
-    """`key, print` of documents whose rows have over BLOCK_CHARS bytes together, and over how many buckets these rows
-    are dealt: at most one more for each BLOCK_CHARS bytes."""
+def sizes_of(docs: DataFrame) -> tuple[int, list[tuple[int, int, int, int]]]:
+    """The bytes of all texts; and `key, print, rows, bytes` of documents whose rows have over BLOCK_CHARS bytes
+    together."""
     size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + F.lit(64))
-    rows = docs.groupBy("key", "print").agg(F.count("*").alias("n"), size.alias("size")).where((F.col("n") > 1) & (F.col("size") > BLOCK_CHARS)).collect()
-    return [(r["key"], r["print"], min(parts, r["n"], -(-r["size"] // BLOCK_CHARS))) for r in rows]
+    each = docs.groupBy("key", "print").agg(F.count("*").alias("n"), size.alias("size"))
+    large = F.collect_list(F.when((F.col("n") > 1) & (F.col("size") > BLOCK_CHARS), F.struct("key", "print", "n", "size")))
+    row = each.agg(F.sum("size").alias("total"), large.alias("large")).first()
+    return row["total"] or 0, [tuple(r) for r in row["large"]]
 
 
 def numbered(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
@@ -301,7 +345,7 @@ def numbered(keys: np.ndarray, prints: np.ndarray) -> np.ndarray:
     return out
 
 
-def by_bucket(keys: np.ndarray, prints: np.ndarray, starts: np.ndarray, parts: int, large: list[tuple[int, int, int]]) -> pa.Table:
+def by_bucket(keys: np.ndarray, prints: np.ndarray, places: np.ndarray, parts: int, large: list[tuple[int, int, int]]) -> pa.Table:
     bucket = bucket_of(keys, prints, parts)
     if large:  # the places in these go to each bucket that has rows of them
         deal = {(k, p): n for k, p, n in large}
@@ -310,26 +354,26 @@ def by_bucket(keys: np.ndarray, prints: np.ndarray, starts: np.ndarray, parts: i
         times[at] = [deal.get(pair, 1) for pair in zip(keys[at].tolist(), prints[at].tolist())]
         again = np.repeat(np.arange(len(keys)), times)
         nth = np.arange(len(again)) - np.repeat(np.cumsum(times) - times, times)
-        keys, prints, starts, bucket = keys[again], prints[again], starts[again], (bucket[again] + nth) % parts
+        keys, prints, places, bucket = keys[again], prints[again], places[again], (bucket[again] + nth) % parts
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1)) if len(keys) else np.zeros(0, np.int64)
     rows = [order[a:b] for a, b in zip(cuts, [*cuts[1:], len(keys)])]
-    return pa.table([pa.array([int(bucket[i[0]]) for i in rows], pa.int32()), *[pa.array([of[i].tobytes() for i in rows], pa.binary()) for of in (keys, prints, starts)]], names=["bucket", "keys", "prints", "starts"])
+    return pa.table([pa.array([int(bucket[i[0]]) for i in rows], pa.int32()), *[pa.array([of[i].tobytes() for i in rows], pa.binary()) for of in (keys, prints, places)]], names=["bucket", "keys", "prints", "places"])
 
 
-def by_key(keys: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
-    """The keys, each once and in order, and the starts of each."""
+def by_key(keys: np.ndarray, places: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The keys, each once and in order, and the places of each."""
     order = np.argsort(keys, kind="stable")
-    keys, starts = keys[order], starts[order]
+    keys, places = keys[order], places[order]
     cuts = np.append(np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))), len(keys)) if len(keys) else np.zeros(1, np.int64)
-    return keys[cuts[:-1]], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(starts, pa.int32()))
+    return keys[cuts[:-1]], pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(places, pa.int64()))
 
 
 def with_marks(docs: pa.Table, found: pa.Table, text_at: int) -> pa.Table:
     """`key, print, text, marks, doc` of the rows of a bucket; the marks of a document with none are null."""
     doc, found_keys = docs.column("doc").combine_chunks(), column(found, "keys", np.int64)
     pairs = numbered(np.concatenate((found_keys, docs.column("key").to_numpy())), np.concatenate((column(found, "prints", np.int64), docs.column("print").to_numpy())))
-    known, lists = by_key(pairs[: len(found_keys)], column(found, "starts", np.int32))
+    known, lists = by_key(pairs[: len(found_keys)], column(found, "places", np.int64))
     keys = pairs[len(found_keys) :]
     at = np.searchsorted(known, keys)
     hit = at < len(known)
@@ -341,12 +385,31 @@ def column(table: pa.Table, name: str, kind: type) -> np.ndarray:
     return np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
 
 
+def shared_grams(docs: DataFrame, size: int, share: float) -> np.ndarray:
+    """10-grams that more than `share` of the windows' choices fall on, told from one in SAMPLE documents: what they have
+    in common says only how their windows are dealt, not what is found. At most 1 / `share` come to the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, _ in blocks(batches, size - 1):
+            _, place, grams = block.chosen(size)
+            values, counts = np.unique(grams[np.unique(place)], return_counts=True)
+            many = counts > 1
+            yield pa.RecordBatch.from_arrays([pa.array(np.append(values[many], U(0)).view(np.int64)), pa.array(np.append(counts[many], 0)), pa.array(np.append(np.zeros(many.sum(), np.int64), counts.sum()))], names=["gram", "n", "total"])
+
+    sample = docs.where(F.pmod(F.xxhash64("key", "print"), F.lit(SAMPLE)) == 0)
+    summed = sample.mapInArrow(run, "gram long, n long, total long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    summed = written(summed, "repeats-sample")
+    total = summed.agg(F.sum("total")).first()[0] or 0
+    hot = summed.where(F.col("n") > max(LEAST_SHARED, total * share))
+    return np.sort(np.array([r["gram"] for r in hot.select("gram").collect()], np.int64).view(U))
+
+
 def send_grams(size: int, parts: int) -> Callable:
     """Of each block, the chosen 10-grams: those met twice in the block are known to be repeated, of each of the others
     the place is sent along; a 10-gram travels once from a block, however often it stands there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block, _ in blocks(batches):
+        for block, _ in blocks(batches, size - 1):
             _, place, grams = block.chosen(size)
             place = np.unique(place)
             hashes = grams[place]
@@ -355,74 +418,127 @@ def send_grams(size: int, parts: int) -> Callable:
             rows = []
             for p, i in spread(parts, values):
                 once = place[at[i][counts[i] == 1]]
-                rows.append(packed(p, hashes=values[i][counts[i] == 1], keys=block.keys[block.doc[once]], prints=block.prints[block.doc[once]], starts=block.start(once), many=values[i][counts[i] > 1]))
+                rows.append(packed(p, hashes=values[i][counts[i] == 1], keys=block.keys[block.doc[once]], prints=block.prints[block.doc[once]], places=block.start(once), many=values[i][counts[i] > 1]))
             known = place[twice]
-            known_keys, known_prints, known_starts = block.keys[block.doc[known]], block.prints[block.doc[known]], block.start(known)
-            rows += [packed(p, known_keys=known_keys[i], known_prints=known_prints[i], known_starts=known_starts[i]) for p, i in spread(parts, mixed((known_keys ^ known_prints).view(U)))]
+            rows += known_rows(parts, block.keys[block.doc[known]], block.prints[block.doc[known]], block.start(known))
             if rows:
                 yield sent(rows)
 
     return run
 
 
+def known_rows(parts: int, keys: np.ndarray, prints: np.ndarray, places: np.ndarray) -> list[dict]:
+    return [packed(p, known_keys=keys[i], known_prints=prints[i], known_places=places[i]) for p, i in spread(parts, mixed((keys ^ prints).view(U)))]
+
+
+def known_columns(table: pa.Table) -> list[np.ndarray]:
+    return [column(table, name, np.int64) for name in ("known_keys", "known_prints", "known_places")]
+
+
 def meet_grams(table: pa.Table, parts: int, large: list[tuple[int, int, int]]) -> pa.Table:
     """Which places have a 10-gram that was chosen more than once."""
-    hashes, keys, prints, starts = column(table, "hashes", U), column(table, "keys", np.int64), column(table, "prints", np.int64), column(table, "starts", np.int32)
-    many = column(table, "many", U)
+    hashes, many = column(table, "hashes", U), column(table, "many", U)
     values, counts = np.unique(np.concatenate((hashes, many, many)), return_counts=True)
     again = counts[np.searchsorted(values, hashes)] > 1 if len(hashes) else np.zeros(0, bool)
-    known = [column(table, "known_keys", np.int64), column(table, "known_prints", np.int64), column(table, "known_starts", np.int32)]
-    return by_bucket(*[np.concatenate((of[again], more)) for of, more in zip((keys, prints, starts), known)], parts, large)
+    met = [column(table, name, np.int64)[again] for name in ("keys", "prints", "places")]
+    return by_bucket(*map(np.concatenate, zip(met, known_columns(table))), parts, large)
 
 
-def send_windows(size: int, parts: int, text_at: int) -> Callable:
-    """Of each block, the windows whose chosen 10-gram is marked: the first of equal ones travels, the others are known
-    to be repeats."""
+def send_passages(size: int, parts: int, text_at: int, shared: np.ndarray) -> Callable:
+    """Of each block, the passages around marked 10-grams: the words of all windows that chose one. The first of equal
+    ones travels, the others are known to be repeats. Where `shared` says that very many windows chose a 10-gram, they
+    are passages of their own, dealt by all their words."""
 
     def run(docs: pa.Table, found: pa.Table) -> pa.Table:
         out = [sent([])]
         marked_docs = with_marks(docs, found, text_at).drop_columns("doc")
-        for block, marks in blocks(marked_docs.filter(pc.is_valid(marked_docs.column("marks"))).to_batches()):
-            at, place, _ = block.chosen(size)
+        for block, marks in blocks(marked_docs.filter(pc.is_valid(marked_docs.column("marks"))).to_batches(), size - 1):
+            at, place, grams = block.chosen(size)
             marked = np.zeros(len(block.words) + 1, bool)
-            for i, starts in enumerate(marks):
-                n = block.first[i + 1] - block.first[i]
-                marked[block.first[i] + starts[starts < n]] = True
-            at = at[marked[place]]
+            for i, places in enumerate(marks):
+                here = places - block.bases[i]
+                marked[block.first[i] + here[(here >= 0) & (here < block.first[i + 1] - block.first[i])]] = True
+            chosen = marked[place]
+            at, place = at[chosen], place[chosen]
             if not len(at):
                 continue
-            hashes = mixed(rolled(block.words, size, WORD_FACTOR))[at]
-            checks = (mixed(rolled(block.words, size, CHECK_FACTOR)) >> U(32)).astype(np.uint32)[at]
-            keys, prints, starts = block.keys[block.doc[at]], block.prints[block.doc[at]], block.start(at)
-            again = repeats(hashes, checks, keys, prints, starts)
-            h, c, k, d, s = hashes[~again], checks[~again], keys[~again], prints[~again], starts[~again]
-            rows = [packed(p, hashes=h[i], checks=c[i], keys=k[i], prints=d[i], starts=s[i]) for p, i in spread(parts, h)]
-            known_keys, known_prints, known_starts = keys[again], prints[again], starts[again]
-            rows += [packed(p, known_keys=known_keys[i], known_prints=known_prints[i], known_starts=known_starts[i]) for p, i in spread(parts, mixed((known_keys ^ known_prints).view(U)))]
-            out.append(sent(rows))
+            alone = np.isin(grams[place], shared)
+            heads = np.flatnonzero(alone | np.concatenate(([True], (place[1:] != place[:-1]) | alone[:-1])))
+            counts = np.diff(np.append(heads, len(at)))
+            first, gram = at[heads], grams[place[heads]]
+            gram = np.where(alone[heads], mixed(rolled(block.words, size, WORD_FACTOR))[first], gram)
+            texts = [block.passage(a, n + size - 1) for a, n in zip(first.tolist(), counts.tolist())]
+            known_texts: set[bytes] = set()
+            known = np.array([t in known_texts or known_texts.add(t) is not None for t in texts], bool)
+            keys, prints, places = block.keys[block.doc[first]], block.prints[block.doc[first]], block.start(first) * RUN + counts
+            fresh = np.flatnonzero(~known)
+            rows = [packed(p, hashes=gram[i], keys=keys[i], prints=prints[i], places=places[i], words=b"\n".join([texts[j] for j in i.tolist()])) for p, at_ in spread(parts, gram[fresh]) for i in [fresh[at_]]]
+            out.append(sent(rows + known_rows(parts, keys[known], prints[known], places[known])))
         return pa.Table.from_batches(out)
 
     return run
 
 
-def repeats(hashes: np.ndarray, checks: np.ndarray, keys: np.ndarray, prints: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Which windows are equal to one of a smaller (key, print, start)."""
-    order = np.lexsort((starts, prints, keys, checks, hashes))
-    h, c, k, p, s = hashes[order], checks[order], keys[order], prints[order], starts[order]
-    new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])
-    head = np.maximum.accumulate(np.where(new, np.arange(len(order)), 0)) if len(order) else np.zeros(0, int)
-    out = np.zeros(len(order), bool)
-    out[order] = (k != k[head]) | (p != p[head]) | (s != s[head])
-    return out
-
-
-def meet_windows(table: pa.Table, parts: int, large: list[tuple[int, int, int]]) -> pa.Table:
-    """Which windows are repeats."""
-    hashes, checks, keys, prints, starts = column(table, "hashes", U), column(table, "checks", np.uint32), column(table, "keys", np.int64), column(table, "prints", np.int64), column(table, "starts", np.int32)
-    again = repeats(hashes, checks, keys, prints, starts)
-    known = [column(table, "known_keys", np.int64), column(table, "known_prints", np.int64), column(table, "known_starts", np.int32)]
-    return by_bucket(*[np.concatenate((of[again], more)) for of, more in zip((keys, prints, starts), known)], parts, large)
+def meet_passages(table: pa.Table, size: int, parts: int, large: list[tuple[int, int, int]]) -> pa.Table:
+    """Which windows are repeats. Passages that share a 10-gram are streamed past the automaton of those before them, in
+    the order of key, print and place: a window is a repeat where the matching statistic reaches its size."""
+    hashes, keys, prints, places = column(table, "hashes", U), *(column(table, name, np.int64) for name in ("keys", "prints", "places"))
+    texts = [t for lines in table.column("words").to_pylist() if lines for t in lines.split(b"\n")]
+    order = np.lexsort((places, prints, keys, hashes))
+    # rows of one document can lie in several buckets, which send the same passages
+    same = [np.diff(of[order].view(np.int64), prepend=~of[order][:1].view(np.int64)) == 0 for of in (hashes, keys, prints, places)]
+    order = order[~np.logical_and.reduce(same)]
+    heads = np.flatnonzero(np.concatenate(([True], hashes[order][1:] != hashes[order][:-1]))) if len(order) else order
+    ends = np.append(heads[1:], len(order))
+    several = ends - heads > 1
+    again, runs = [], []
+    for a, b in zip(heads[several].tolist(), ends[several].tolist()):
+        automaton, seen = SuffixAutomaton(), set()
+        for i in order[a:b].tolist():
+            place, n = divmod(int(places[i]), RUN)
+            if texts[i] in seen:
+                again.append(i)
+                runs.append(place * RUN + n)
+                continue
+            words = texts[i].split(b" ")
+            if seen:
+                begun = -1
+                for end, length in enumerate(automaton.matches(words)):
+                    if length >= size and begun < 0:
+                        begun = end + 1 - size
+                    elif length < size and begun >= 0:
+                        again.append(i)
+                        runs.append((place + begun) * RUN + end + 1 - size - begun)
+                        begun = -1
+                if begun >= 0:
+                    again.append(i)
+                    runs.append((place + begun) * RUN + n - begun)
+            seen.add(texts[i])
+            automaton.add(words)
+    at = np.array(again, np.int64)
+    met = [keys[at], prints[at], np.array(runs, np.int64)]
+    return by_bucket(*map(np.concatenate, zip(met, known_columns(table))), parts, large)
+
+
+def kept_words(text: str | None, runs: np.ndarray | None, size: int) -> tuple[int, int, str]:
+    """How many words a text has, how many of them lie in windows of some runs, and the others. Long texts are cut piece
+    by piece."""
+    data = (text or "").encode("utf-8", "surrogatepass")
+    starts, stops = (np.zeros(0, np.int64),) * 2 if runs is None else (np.sort(runs // RUN), np.sort(runs // RUN + runs % RUN + size - 1))
+    total, out, n_kept = 0, [], 0
+    for base, piece in pieces(data, 0):
+        words = piece.split()
+        if len(starts):
+            at = np.arange(base, base + len(words))
+            keep = np.searchsorted(starts, at, "right") == np.searchsorted(stops, at, "right")  # as many runs begun as ended
+            words = [w for w, k in zip(words, keep.tolist()) if k]
+            total += len(at)
+        else:
+            total += len(words)
+        n_kept += len(words)
+        if words:
+            out.append(b" ".join(words))
+    return total, total - n_kept, b" ".join(out).decode("utf-8", "surrogatepass")
 
 
 def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 20) -> DataFrame:
@@ -432,17 +548,19 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     Ids must be integers; a null id comes before all others. Null and empty texts, and those of fewer than `size` words,
     lose nothing. A document is known by its id and the hash of its text: rows that share an id, or have none, are
-    documents of their own unless their texts are equal too; those are one document, and none of them repeats another. A
-    window travels at most once from each block of documents, so passages that a third of all documents share do not
-    gather in one task; nor do rows of one document, which are dealt over buckets by their size. An empty table gives no
-    rows.
+    documents of their own unless their texts are equal too; those are one document, and none of them repeats another.
+    Texts of any length are read in pieces. A passage travels at most once from each block of documents, so what a third
+    of all documents share does not gather in one task; nor do rows of one document, which are dealt over buckets by
+    their size. There are as many buckets and shards as the bytes of the texts ask for. An empty table gives no rows.
     """
     spark = docs.sparkSession
-    parts = shuffle_partitions(spark) | 1
     key, text_at = F.coalesce(F.col(id_col).cast("long"), F.lit(NULL_ID)).alias("key"), docs.columns.index(text_col)
     print_ = F.xxhash64(F.col(text_col)).alias("print")
     plain = docs.select(key, print_, F.col(text_col).alias("text"))
-    large = large_documents(plain, parts)
+    total, repeated = sizes_of(plain)
+    parts = max(shuffle_partitions(spark), total // PART_BYTES) | 1
+    large = [(k, p, min(parts, n, -(-size_ // BLOCK_CHARS))) for k, p, n, size_ in repeated]
+    shared = shared_grams(plain, size, 1 / min(100_000, max(4096, 4 * parts)))
     # texts go to their buckets once; both rounds read that exchange
     texts = docs.select(key, print_, F.struct(*[docs[c] for c in docs.columns]).alias("doc"))
     bucket = bucket_of(F.col("key"), F.col("print"), parts)
@@ -452,27 +570,14 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     texts = texts.select(bucket.alias("bucket"), "key", "print", "doc")
     grams = plain.mapInArrow(send_grams(size, parts), MET)
     marks = grams.groupBy("part").applyInArrow(lambda table: meet_grams(table, parts, large), FOUND)
-    met = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(send_windows(size, parts, text_at), MET)
-    spans = met.groupBy("part").applyInArrow(lambda table: meet_windows(table, parts, large), FOUND)
+    met = texts.groupBy("bucket").cogroup(marks.groupBy("bucket")).applyInArrow(send_passages(size, parts, text_at, shared), MET)
+    spans = met.groupBy("part").applyInArrow(lambda table: meet_passages(table, size, parts, large), FOUND)
     schema = T.StructType([T.StructField("doc", texts.schema["doc"].dataType), T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept", T.StringType())])
 
     def cut(rows: pa.Table, found: pa.Table) -> pa.Table:
         rows = with_marks(rows, found, text_at)
-        total, removed, kept = [], [], []
-        for text, spans_of in zip(rows.column("text"), rows.column("marks")):
-            words = words_of(text.as_py())
-            total.append(len(words))
-            if not spans_of.is_valid:
-                removed.append(0)
-                kept.append(b" ".join(words).decode("utf-8", "surrogatepass"))
-                continue
-            starts = spans_of.values.to_numpy()
-            starts = starts[starts + size <= len(words)]
-            cover = np.bincount(starts, minlength=len(words) + 1) - np.bincount(starts + size, minlength=len(words) + 1)
-            keep = np.cumsum(cover)[: len(words)] == 0
-            removed.append(len(words) - int(keep.sum()))
-            kept.append(b" ".join([w for w, k in zip(words, keep.tolist()) if k]).decode("utf-8", "surrogatepass"))
-        return pa.table([rows.column("doc"), pa.array(total, pa.int64()), pa.array(removed, pa.int64()), pa.array(kept, pa.string())], names=["doc", "n_words", "n_removed", "kept"])
+        done = [kept_words(text.as_py(), runs.values.to_numpy() if runs.is_valid else None, size) for text, runs in zip(rows.column("text"), rows.column("marks"))]
+        return pa.table([rows.column("doc"), *[pa.array([d[i] for d in done], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.string()))]], names=["doc", "n_words", "n_removed", "kept"])
 
     return texts.groupBy("bucket").cogroup(spans.groupBy("bucket")).applyInArrow(cut, schema)
 
