@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from textlathe.llm import html_text as X
 from textlathe.llm import quality as Q
 from textlathe.llm import toxicity as T
 from textlathe.llm.folds import fold
+from textlathe.llm.subwords import BUCKETS, STOPS, bag, grams
 
 import corpus_pipeline
 from tests.llm.test_exact import components_by_brute_force, contaminated_by_brute_force, removed_by_brute_force
@@ -68,15 +71,106 @@ def test_classifiers_on_odd_rows(odd, labels, run, fit):
     assert run(odd.limit(0), labels).count() == 0
 
 
-def test_held_out_labels_are_not_learnt(spark, documents, sf_dir):
-    from pyspark.sql import functions as F
+@pytest.mark.parametrize(("run", "label", "folds", "held"), [(T.toxicity, "toxic", 5, 0), (Q.quality, "quality", 3, 1)])
+def test_held_out_labels_are_not_learnt(spark, documents, sf_dir, run, label, folds, held):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    flipped = labels.withColumn(label, F.when(fold(F.col("doc_id"), folds) == held, 1 - F.col(label)).otherwise(F.col(label)))
+    one, two = ({r["doc_id"]: r["score"] for r in run(documents, x).collect()} for x in (labels, flipped))
+    assert one == two
+
 
+def test_labels_of_the_other_class_are_not_learnt(spark, documents, sf_dir):
+    """Positive-unlabelled learning: without the rows labelled 0 the model is the same."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    flipped = labels.withColumn("toxic", F.when(fold(F.col("doc_id"), 5) == 0, 1 - F.col("toxic")).otherwise(F.col("toxic")))
-    one, two = ({r["doc_id"]: r["score"] for r in T.toxicity(documents, x).collect()} for x in (labels, flipped))
+    one, two = ({r["doc_id"]: r["score"] for r in Q.quality(documents, x).collect()} for x in (labels, labels.where("quality = 1")))
     assert one == two
 
 
+def test_risk_and_its_gradient():
+    """By loops over texts, and by differences."""
+    rng = np.random.default_rng(4)
+    xp, xu, w, prior = rng.normal(1, 1, (7, 3)), rng.normal(0, 1, (9, 3)), rng.normal(size=3), 0.3
+    loss = lambda z, y: np.log(1 + np.exp(-y * z))
+    up, down, pull, push = Q.risk(w, xp, xu, prior)
+    assert np.isclose(up, prior * sum(loss(x @ w, 1) for x in xp) / 7)
+    assert np.isclose(down, sum(loss(x @ w, -1) for x in xu) / 9 - prior * sum(loss(x @ w, -1) for x in xp) / 7)
+    for i in range(3):
+        step = np.eye(3)[i] * 1e-6
+        above, below = (Q.risk(w + d, xp, xu, prior)[:2] for d in (step, -step))
+        assert np.allclose([(a - b) / 2e-6 for a, b in zip(above, below)], [pull[i], push[i]], atol=1e-6)
+
+
+def test_steps_follow_the_non_negative_risk():
+    """With a prior far too high the second part falls below zero; the minimum found keeps it near zero all the same."""
+    rng = np.random.default_rng(5)
+    p, u = (np.column_stack([x, np.ones(len(x))]) for x in (rng.normal(2, 1, (300, 1)), np.concatenate([rng.normal(2, 1, (100, 1)), rng.normal(-2, 1, (200, 1))])))
+    w = Q.minimised(p, u, 1 / 3, steps=400, batch=1000, rate=0.05, decay=0.0, seed=0)
+    right = np.concatenate([u[:100] @ w > 0, u[100:] @ w < 0])
+    assert right.mean() > 0.93
+    over = Q.minimised(p, u, 0.9, steps=400, batch=1000, rate=0.05, decay=0.0, seed=0)
+    assert Q.risk(over, p, u, 0.9)[1] > -0.1
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.85])
+def test_share_of_positives_is_estimated(share):
+    rng = np.random.default_rng(6)
+    p = rng.normal(2, 1, 1000)
+    u = np.concatenate([rng.normal(2, 1, int(2000 * share)), rng.normal(-2, 1, 2000 - int(2000 * share))])
+    assert abs(Q.mixture_share(p, u) - share) < 0.08
+
+
+def test_scores_of_quality_by_hand():
+    """The score of a text is that of its features and of the mean weights of its n-grams."""
+    rng = random.Random(9)
+    good = [" ".join(rng.choice("sea wind boat rope".split()) for _ in range(rng.randrange(5, 60))) + "." for _ in range(60)]
+    bad = ["|".join(rng.choice("xq zz 00 #".split()) for _ in range(rng.randrange(5, 60))) for _ in range(60)]
+    model = Q.train(good[:30], good[30:] + bad, 0.33, steps=200)
+    texts = [good[3], bad[5], "", "sea zz", None]
+    wanted = []
+    for t in texts:
+        made = ((Q.expand(Q.features(t)[None])[0] - model.mean) / model.spread).clip(-8, 8) @ model.weights
+        _, col, value = bag([t])
+        wanted.append(1 / (1 + np.exp(-(made + value @ model.gram_weights[col] + model.bias))))
+    assert np.allclose(model.score(texts), wanted, atol=1e-5)
+    assert min(model.score(good[30:])) > max(model.score(bad))
+
+
+def plain_bag(text: str) -> dict[int, float]:
+    """Of one text, by loops: the mean over its words of the mean over a word's n-grams, by bucket."""
+    marks = [" " if ord(c) <= 32 or c in STOPS else c for c in text.lower()]
+    words = [w for w in "".join(marks).split(" ") if w]
+    per_word = []
+    for word in words:
+        buckets, _, _, _ = grams(f"{word}\n")
+        if len(buckets):
+            per_word.append([(int(b), 1 / len(buckets)) for b in buckets])
+    out: dict[int, float] = {}
+    for found in per_word:
+        for b, v in found:
+            out[b] = out.get(b, 0) + v / len(per_word)
+    return out
+
+
+def test_forward_pass_of_toxicity():
+    """Scores are the softmax of the mean of the texts' subword vectors, told word by word and n-gram by n-gram."""
+    texts = ["You are awful, AWFUL!", "a b c", "", "Fähre über das Meer", "x" * 40, "one\ttwo\nthree"]
+    weights = np.random.default_rng(3).normal(size=BUCKETS).astype(np.float32)
+    model = T.ToxicityModel(weights, (1.5, -0.2), (0.3, 0.1))
+    for text, score in zip(texts, model.score(texts)):
+        mean = sum(weights[b] * v for b, v in plain_bag(text).items())
+        size = np.log1p(len(text)) / 10
+        assert np.isclose(score, 1 / (1 + np.exp(-((1.5 - 0.2 * size) * mean + 0.3 + 0.1 * size))), atol=1e-5)
+
+
+def test_misspellings_share_vectors():
+    rng = random.Random(2)
+    calm = "the boat came home with the wind and the sea was calm today".split()
+    made = [(" ".join(rng.choice(calm) for _ in range(20)) + (" dreadful idiotic" if i % 2 else ""), i % 2) for i in range(300)]
+    model = T.train([t for t, _ in made], np.array([y for _, y in made]), 1.0)
+    clean, bad = model.score(["the boat came home with the wind", "the boat came home dreadfull idiotik wind"])
+    assert clean < 0.5 < bad
+
+
 def texts(df):
     return [(r["doc_id"], r["text"]) for r in df.select("doc_id", "text").collect()]
 

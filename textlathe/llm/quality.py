@@ -1,4 +1,8 @@
-"""Quality classifier by positive-unlabelled learning with the non-negative unbiased risk."""
+"""Quality classifier by positive-unlabelled learning: trusted positives, unlabelled web text and an estimated class prior.
+
+A linear model over numbers on the make of a text and over hashed character n-grams minimises the non-negative unbiased
+risk. The prior is estimated from the same two samples: no label 0 is ever looked at.
+"""
 
 from __future__ import annotations
 
@@ -12,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .folds import first_by_hash, fold, labelled, texts_of
+from .subwords import BUCKETS, bag, mean_weights
 from .toxicity import score_texts, sigmoid
 
 #: Classes of characters: letters are told by case, the rest by code.
@@ -63,69 +68,124 @@ def expand(x: np.ndarray) -> np.ndarray:
     return np.concatenate((x, x[:, i] * x[:, j]), axis=1)
 
 
+#: Buckets of n-grams are folded to so many columns; in units of the spread of each, they weigh this much beside the rest.
+COLUMNS, GRAM_SCALE = 512, 0.1
+
+
+def gram_rows(texts: list[str]) -> np.ndarray:
+    """The mean share of each column of n-grams in the words of each text."""
+    row, col, value = bag(texts)
+    out = np.zeros((len(texts), COLUMNS), np.float32)
+    np.add.at(out, (row, col % COLUMNS), value)
+    return out
+
+
 @dataclass
 class QualityModel:
+    """`weights` of the expanded features, after `mean` and `spread`; `gram_weights` of each bucket of n-grams."""
+
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
+    gram_weights: np.ndarray
     bias: float
 
     def score(self, texts: list[str | None]) -> np.ndarray:
         if not len(texts):
             return np.zeros(0)
-        return sigmoid(self.logit(np.stack([features(t) for t in texts])))
-
-    def logit(self, x: np.ndarray) -> np.ndarray:
-        return ((expand(x) - self.mean) / self.spread).clip(-8, 8) @ self.weights + self.bias
+        return sigmoid(self.logit(texts))
 
+    def logit(self, texts: list[str | None]) -> np.ndarray:
+        made = ((expand(np.stack([features(t) for t in texts])) - self.mean) / self.spread).clip(-8, 8) @ self.weights
+        return made + mean_weights(texts, self.gram_weights, len(texts)) + self.bias
 
-def train(positive: list[str], unlabelled: list[str], prior: float, *, epochs: int = 100, batch: int = 1000, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> QualityModel:
-    """Minimises `prior * R_p(+) + max(0, R_u(-) - prior * R_p(-))`, the non-negative unbiased risk with the logistic loss.
 
-    R_p and R_u are means of losses over positives and unlabelled texts. Where the second part falls below zero, which
-    only memorised texts can cause, the step goes the other way for that part.
-    """
+def constant(prior: float) -> QualityModel:
     width = expand(np.stack([features("")])).shape[1]
-    if not positive or not unlabelled or prior >= 1:
-        share = min(max(prior, 1e-3), 1 - 1e-3)
-        return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), float(np.log(share / (1 - share))))
-    p, u = (expand(np.stack([features(t) for t in texts])) for texts in (positive, unlabelled))
-    mean, spread = u.mean(axis=0), u.std(axis=0) + 1e-6
-    p, u = (((x - mean) / spread).clip(-8, 8) for x in (p, u))
+    share = min(max(prior, 1e-3), 1 - 1e-3)
+    return QualityModel(np.zeros(width), np.ones(width), np.zeros(width), np.zeros(BUCKETS, np.float32), float(np.log(share / (1 - share))))
+
+
+def risk(w: np.ndarray, xp: np.ndarray, xu: np.ndarray, prior: float) -> tuple[float, float, np.ndarray, np.ndarray]:
+    """The two parts of the unbiased risk with the logistic loss, and the gradient of each: `prior * R_p(+)`, and
+    `R_u(-) - prior * R_p(-)`, where R_p and R_u are means of losses over positives and unlabelled texts."""
+    zp, zu = xp @ w, xu @ w
+    up = prior * np.logaddexp(0, -zp).mean()
+    down = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
+    pull = -prior * xp.T @ sigmoid(-zp) / len(zp)
+    push = xu.T @ sigmoid(zu) / len(zu) - prior * xp.T @ sigmoid(zp) / len(zp)
+    return up, down, pull, push
+
+
+def minimised(p: np.ndarray, u: np.ndarray, prior: float | None, *, steps: int, batch: int, rate: float, decay: float, seed: int) -> np.ndarray:
+    """Weights that minimise `up + max(0, down)` by Adam. Where `down` falls below zero, which only memorised texts can
+    cause, the step goes the other way for that part. Without a prior, positives are told from unlabelled texts."""
     rng = np.random.default_rng(seed)
-    w, first, second = np.zeros(width + 1), np.zeros(width + 1), np.zeros(width + 1)
-    rounds = max(1, len(u) // batch)
-    for step in range(epochs * rounds):
-        xp, xu = (np.column_stack([x[rng.integers(0, len(x), min(batch, len(x)))], np.ones(min(batch, len(x)))]) for x in (p, u))
-        zp, zu = xp @ w, xu @ w
-        down = np.logaddexp(0, zu).mean() - prior * np.logaddexp(0, zp).mean()
-        pull = -prior * xp.T @ sigmoid(-zp) / len(zp)
-        push = xu.T @ sigmoid(zu) / len(zu) - prior * xp.T @ sigmoid(zp) / len(zp)
-        grad = pull + push if down >= 0 else -push
-        grad[:-1] += decay * w[:-1]
+    w, first, second = np.zeros(p.shape[1]), np.zeros(p.shape[1]), np.zeros(p.shape[1])
+    for step in range(steps):
+        xp, xu = (x[rng.integers(0, len(x), min(batch, len(x)))] for x in (p, u))
+        now = w.astype(p.dtype)
+        if prior is None:
+            grad = -xp.T @ sigmoid(-xp @ now) / len(xp) + xu.T @ sigmoid(xu @ now) / len(xu)
+        else:
+            _, down, pull, push = risk(now, xp, xu, prior)
+            grad = pull + push if down >= 0 else -push
+        grad = grad + decay * np.append(w[:-1], 0)
         first, second = 0.9 * first + 0.1 * grad, 0.999 * second + 0.001 * grad * grad
-        now = rate * (1 - step / (epochs * rounds))
-        w -= now * first / (1 - 0.9 ** (step + 1)) / (np.sqrt(second / (1 - 0.999 ** (step + 1))) + 1e-8)
-    return QualityModel(mean, spread, w[:-1], float(w[-1]))
+        w -= rate * (1 - step / steps) * first / (1 - 0.9 ** (step + 1)) / (np.sqrt(second / (1 - 0.999 ** (step + 1))) + 1e-8)
+    return w
+
 
+def mixture_share(p: np.ndarray, u: np.ndarray, doubt: float = 0.1) -> float:
+    """Which share of the scores `u` comes from what the scores `p` come from.
 
-def fit_quality(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1, max_positive: int = 3000, max_unlabelled: int = 6000) -> QualityModel:
+    Above any level, the share of `u` is at least that share times the share of `p`; the ratio is closest where only
+    positives are. The level with the least upper bound of the ratio, by the deviation of both shares with confidence
+    1 - `doubt`, gives the estimate.
+    """
+    levels = np.unique(p)
+    of_p = 1 - np.searchsorted(np.sort(p), levels) / len(p)
+    of_u = 1 - np.searchsorted(np.sort(u), levels) / len(u)
+    wide = sum(np.sqrt(np.log(4 / doubt) / (2 * n)) for n in (len(p), len(u)))
+    best = int(np.argmin((of_u + wide) / of_p))
+    return float(min(1.0, of_u[best] / of_p[best]))
+
+
+def train(positive: list[str], unlabelled: list[str], prior: float | None = None, *, steps: int = 400, batch: int = 1000, rate: float = 0.01, decay: float = 1e-4, seed: int = 0) -> QualityModel:
+    """A model from both samples; the prior is estimated if none is given: a first model tells positives from unlabelled
+    texts on two of three texts of each, and the scores of the others tell the share of positives."""
+    if not positive or not unlabelled or (prior is not None and prior >= 1):
+        return constant(0.5 if prior is None else prior)
+    made_p, made_u = (expand(np.stack([features(t) for t in texts])) for texts in (positive, unlabelled))
+    mean, spread = made_u.mean(axis=0), made_u.std(axis=0) + 1e-6
+    gram_p, gram_u = gram_rows(positive), gram_rows(unlabelled)
+    middle, wide = gram_u.mean(axis=0), gram_u.std(axis=0) + 1e-6
+    p, u = (np.column_stack([((m - mean) / spread).clip(-8, 8), (g - middle) / wide * GRAM_SCALE, np.ones(len(m))]).astype(np.float32) for m, g in ((made_p, gram_p), (made_u, gram_u)))
+    how = {"steps": steps, "batch": batch, "rate": rate, "decay": decay, "seed": seed}
+    if prior is None:
+        told = minimised(p[np.arange(len(p)) % 3 > 0], u[np.arange(len(u)) % 3 > 0], None, **how) if min(len(p), len(u)) > 2 else np.zeros(p.shape[1])
+        prior = min(max(mixture_share(p[::3] @ told, u[::3] @ told), 1e-3), 1 - 1e-3)
+    w = minimised(p, u, prior, **how)
+    grams = w[made_p.shape[1] : -1] / wide * GRAM_SCALE
+    return QualityModel(mean, spread, w[: made_p.shape[1]], np.tile(grams, BUCKETS // COLUMNS).astype(np.float32), float(w[-1] - middle @ grams))
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1, max_positive: int = 3000, max_unlabelled: int = 6000, max_chars: int = 100_000) -> QualityModel:
     """A model from at most `max_positive` texts labelled 1 and `max_unlabelled` texts of any kind, whose labels are not
-    looked at; none is in the held-out fold. The class prior is the share of label 1 among all rows that may be learnt
-    from."""
-    rows = labelled(labels, "quality", folds, held_out)
-    prior = rows.agg(F.avg("y").alias("share")).first()["share"]
-    trusted = first_by_hash(rows.where("y = 1"), max_positive).select("doc_id", F.lit(1).alias("y"))
+    looked at; none is in the held-out fold. Of labels only the ones are read. Texts of more than `max_chars` characters
+    are scored like all others, but not learnt from, so that the sample is bounded in bytes too."""
+    trusted = first_by_hash(labelled(labels, "quality", folds, held_out).where("y = 1"), max_positive).select("doc_id", F.lit(1).alias("y"))
     open_ids = docs.where(F.coalesce(fold(F.col("doc_id"), folds) != held_out, F.lit(True))).select("doc_id")
     web = first_by_hash(open_ids, max_unlabelled, seed=29).distinct().select("doc_id", F.lit(0).alias("y"))
-    sample = texts_of(docs, trusted.unionByName(web)).select("doc_id", "text", "y").toPandas().sort_values(["y", "doc_id", "text"], kind="stable")
-    return train(sample.loc[sample["y"] == 1, "text"].tolist(), sample.loc[sample["y"] == 0, "text"].tolist(), 0.5 if prior is None else float(prior))
+    sample = texts_of(docs, trusted.unionByName(web)).where(F.char_length("text") <= max_chars)
+    sample = sample.select("doc_id", "text", "y").limit(2 * (max_positive + max_unlabelled)).toPandas().sort_values(["y", "doc_id", "text"], kind="stable")
+    return train(sample.loc[sample["y"] == 1, "text"].tolist(), sample.loc[sample["y"] == 0, "text"].tolist())
 
 
 def quality(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int = 1, max_positive: int = 3000, max_unlabelled: int = 6000) -> DataFrame:
     """`doc_id, held_out, score, predicted` of each row of `docs`; labels come from the other folds only.
 
-    Null and empty texts are scored by a feature of their own. Without labels all rows get 0.5. A null id is in no
+    Null and empty texts are scored by a feature of their own. Without a label 1 all rows get 0.5. A null id is in no
     held-out fold. Repeated rows give repeated results, an empty table none; no column but id and text is read.
     """
     model = fit_quality(docs, labels, folds=folds, held_out=held_out, max_positive=max_positive, max_unlabelled=max_unlabelled)
