@@ -196,10 +196,56 @@ def test_contamination_of_odd_texts(spark, odd):
     assert D.contamination(odd.limit(0), empty).count() == 0
 
 
-def test_proximity_finds_loose_matches(spark):
-    docs = spark.createDataFrame([(1, "alpha zz beta"), (2, "alpha a b c d e f g beta"), (3, "beta alpha")], "doc_id long, text string")
-    items = spark.createDataFrame([(1, "alpha beta")], "item_id long, text string")
-    assert [r["doc_id"] for r in D.proximity_matches(docs, items).collect()] == [1]
+def test_contamination_with_clashing_columns(spark, odd):
+    clash = odd.withColumns({c: F.lit(i) for i, c in enumerate(["term", "pos", "words", "n", "item", "at", "shift", "hit"])})
+    items = spark.createDataFrame([(1, "p3 P4 p5"), (2, " ".join(f"p{i}" for i in range(20)))], "item_id long, text string").withColumns({"doc_id": F.lit(1), "n": F.lit(2), "term": F.lit("x")})
+    got = D.contamination(clash, items).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == contaminated_by_brute_force([(r["doc_id"], r["text"]) for r in odd.collect()], [(1, "p3 P4 p5"), (2, " ".join(f"p{i}" for i in range(20)))])
+
+
+def test_contamination_without_broadcasts(spark, documents, sf_dir, monkeypatch):
+    """The same rows where all terms and matches are too many to be broadcast."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    plain = sorted((tuple(r) for r in D.contamination(documents, benchmark).collect()), key=repr)
+    monkeypatch.setattr(D, "small", lambda df: df)
+    assert sorted((tuple(r) for r in D.contamination(documents, benchmark).collect()), key=repr) == plain
+
+
+def near_by_brute_force(docs, items, size, slack):
+    split = lambda t: TERM.findall((t or "").translate(ASCII_LOWER))
+    texts = [(k, split(t)) for k, t in docs]
+    counts = defaultdict(int)
+    for _, text in texts:
+        for w in text:
+            counts[w] += 1
+    out = set()
+    for item, text in items:
+        found = split(text)
+        length = min(size, len(found))
+        for at in range(len(found) - length + 1 if found else 0):
+            window = range(at, at + length)
+            if not all(counts[found[p]] for p in window):
+                continue
+            low, *high = sorted(sorted(window, key=lambda p: (counts[found[p]], p))[:2])
+            for key, doc in texts:
+                for x, w in enumerate(doc):
+                    if w == found[low]:
+                        ends = range(len(doc)) if high else [x]
+                        out |= {(key, item, at, x, y) for y in ends if not high or (doc[y] == found[high[0]] and x < y and abs((y - x) - (high[0] - low)) <= slack)}
+    return out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_proximity_by_brute_force(spark, seed):
+    """With frequent terms, repeats between the two, and windows that share anchors."""
+    rng = random.Random(seed)
+    make = lambda n, k: " ".join(rng.choice("abcdefgh"[:k]) for _ in range(n))
+    docs = [(i, make(rng.randrange(0, 40), 8)) for i in range(12)] + [(90, "alpha x y z alpha beta"), (91, None)]
+    items = [(i, make(rng.randrange(0, 9), 6)) for i in range(6)] + [(90, "alpha c d e f beta"), (91, "alpha x beta")]
+    docs += [(92, "c d e f x")]
+    index = D.build_index(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), size=5)
+    got = {(r["doc_id"], r["item_id"], r["at"], r["first"], r["second"]) for r in D.proximity_matches(index, slack=3).collect()}
+    assert got == near_by_brute_force(docs, items, 5, 3)
 
 
 def fingerprint_by_brute_force(text):

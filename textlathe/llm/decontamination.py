@@ -7,6 +7,9 @@ alignments, and only these are compared word by word.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,77 +17,123 @@ from .common import small, written
 
 #: What stands between words: every ASCII character but digits and letters.
 BETWEEN = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Over how many tasks at least the rows of a frequent term are dealt where terms are too many to broadcast.
+SALTS = 16
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
-    """The words of a text with A-Z in lower case; other letters stay as they are. Null has none."""
+    """The words of a text with A-Z in lower case; other letters stay as they are. Null has none. The text is split once,
+    also where the result is used more than once or exploded."""
     text = F.coalesce(text, F.lit(""))
     ascii_only = F.octet_length(text) == F.char_length(text)
-    parts = F.split(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), BETWEEN)
-    n = F.size(parts)
-    first = F.when(F.element_at(parts, 1) == "", 1).otherwise(0)
-    last = F.when((n > 1) & (F.element_at(parts, -1) == ""), 1).otherwise(0)
-    return F.slice(parts, first + 1, n - first - last)
+    return F.array_remove(F.split(F.when(ascii_only, F.lower(text)).otherwise(F.translate(text, UPPER, LOWER)), BETWEEN), "")
+
 
+def among(tokens: DataFrame, terms: DataFrame) -> DataFrame:
+    """The rows of `tokens` whose `term` is one of `terms`, with what `terms` says of it. Few terms are broadcast; many
+    are repeated with each of SALTS salts, so that no frequent term gathers in one task."""
+    few = small(terms)
+    if few is not terms:
+        return tokens.join(few, "term")
+    salted = terms.select("*", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return tokens.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"]).drop("_salt")
 
-def term_counts(corpus: DataFrame, terms: DataFrame) -> DataFrame:
-    """`term, n`: how often each term stands in the `words` of the corpus, over all rows; absent terms have no row."""
-    return corpus.select(F.explode("words").alias("term")).join(small(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n"))
 
+@dataclass(frozen=True)
+class Index:
+    """The stored index: `items` (`item_id, words, n, item`), `anchors` (the two rarest places of each window of an item:
+    `item, item_id, n, at, place, term`), `postings` of their terms (`doc_id, text_hash, pos, term`) and `totals`
+    (`doc_id, text_hash, n_words` of each document row)."""
 
-def windows(items: DataFrame, size: int) -> DataFrame:
-    """`item, n, at`: the place of each window of `size` words; an item of fewer, but some, words is one window."""
-    return items.where("n > 0").select("item", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - size))).alias("at"))
+    items: DataFrame
+    anchors: DataFrame
+    postings: DataFrame
+    totals: DataFrame
 
 
 def rarest_terms(items: DataFrame, counts: DataFrame, size: int, most: int = 2) -> DataFrame:
-    """`item, n, place, term`: the `most` rarest places of each window, each place once."""
-    placed = items.select("item", F.posexplode("words").alias("place", "term")).join(counts, "term")
-    spread = windows(items, size).select("item", "n", "at", F.explode(F.sequence("at", F.least(F.col("at") + size, F.col("n")) - 1)).alias("place"))
-    ranked = spread.join(placed, ["item", "place"]).withColumn("rank", F.row_number().over(Window.partitionBy("item", "at").orderBy("n_corpus", "place")))
-    return ranked.where(F.col("rank") <= most).select("item", "n", "place", "term").distinct()
+    """`item, item_id, n, at, place, term`: the `most` rarest places of each window of `size` words (an item of fewer, but
+    some, words is one window). Windows with a word that no document has cannot occur, and are left out."""
+    length = F.least(F.lit(size), F.col("n"))
+    starts = F.explode(F.sequence(F.lit(0), F.col("n") - length)).alias("at")
+    each = items.where("n > 0").select("item", "item_id", "n", starts).select("*", F.explode(F.sequence(F.col("at"), F.col("at") + length - 1)).alias("place"))
+    placed = items.select("item", F.posexplode("words").alias("place", "term")).join(small(counts), "term", "left")
+    window = Window.partitionBy("item", "at")
+    ranked = each.join(placed, ["item", "place"]).withColumn("known", F.count("n_corpus").over(window))
+    ranked = ranked.withColumn("rank", F.row_number().over(window.orderBy("n_corpus", "place")))
+    return ranked.where((F.col("known") == length) & (F.col("rank") <= most)).select("item", "item_id", "n", "at", "place", "term")
+
+
+def build_index(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = 13) -> Index:
+    """The index of `docs` for the items of `benchmark`. Two scans: counts of the items' terms over all documents, then
+    the postings of the terms that are rarest in a window. A document is known by its id and its text, so rows that share
+    an id are kept apart."""
+    corpus = corpus_words(docs, id_col, text_col)
+    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("words"))
+    items = written(items.withColumn("n", F.size("words")).withColumn("item", F.struct("item_id", F.xxhash64("words").alias("h"))).distinct(), "bench-items")
+    tokens = corpus.select("doc_id", "text_hash", F.posexplode("words").alias("pos", "term"))
+    counts = among(tokens, items.select(F.explode("words").alias("term")).distinct()).groupBy("term").agg(F.count("*").alias("n_corpus"))
+    anchors = written(rarest_terms(items, written(counts, "bench-counts"), size), "bench-anchors")
+    # one scan for both: postings, and the numbers of words of all documents
+    posted = among(tokens, anchors.select("term").distinct()).select("doc_id", "text_hash", "pos", "term")
+    totals = corpus.select("doc_id", "text_hash", F.size("words").cast("long").alias("n_words"))
+    return Index(items, anchors, written(posted, "bench-postings"), totals)
+
 
+def corpus_words(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words(F.col(text_col)).alias("words"))
 
-def phrase_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = 13) -> tuple[DataFrame, DataFrame]:
-    """Two frames. `doc_id, text_hash, n_words` of each row of `docs`, and the exact matches `doc_id, text_hash,
-    item_id, start, length` of windows of `size` item words (from 0, in words).
 
-    A document is known by its id and its text, so rows that share an id are kept apart.
+def phrase_matches(docs: DataFrame, index: Index, *, id_col: str = "doc_id", text_col: str = "text", size: int = 13) -> DataFrame:
+    """The exact matches `doc_id, text_hash, item_id, start, length` of windows of `size` item words (`start` from 0).
+
+    The lists of the two rarest terms of the windows of an item, shifted by the terms' places, meet where both stand as
+    in the item; only there words are compared.
     """
-    corpus = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), words(F.col(text_col)).alias("words"))
-    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("words"))
-    items = written(items.withColumn("n", F.size("words")).withColumn("item", F.struct("item_id", F.xxhash64("words").alias("h"))).distinct(), "bench-items")
-    terms = items.select(F.explode("words").alias("term")).distinct()
-    counts = written(term_counts(corpus, terms).withColumnRenamed("n", "n_corpus"), "bench-counts")
-    anchors = written(rarest_terms(items, counts, size), "bench-anchors")
-
-    # the stored index: postings of the rarest terms, and one row without a term for each document
-    wanted = small(anchors.select("term").distinct().withColumn("wanted", F.lit(True)))
-    index = corpus.select("doc_id", "text_hash", F.size("words").alias("n_words"), F.posexplode_outer("words").alias("pos", "term")).join(wanted, "term", "left")
-    index = index.where(F.col("wanted") | F.coalesce(F.col("pos") == 0, F.lit(True)))
-    index = written(index.select("doc_id", "text_hash", "n_words", "pos", F.when(F.col("wanted"), F.col("term")).alias("term")), "bench-index")
-    totals = index.where(F.coalesce(F.col("pos") == 0, F.lit(True))).select("doc_id", "text_hash", F.col("n_words").cast("long"))
-
-    # both of the two rarest terms of a window stand where the window would have them
-    shifted = index.where("term is not null").join(small(anchors), "term").select("doc_id", "text_hash", "item", "n", "place", (F.col("pos") - F.col("place")).alias("shift"))
+    places = index.anchors.select("item", "n", "place", "term").distinct()
+    shifted = index.postings.join(small(places), "term").select("doc_id", "text_hash", "item", "n", "place", (F.col("pos") - F.col("place")).alias("shift"))
     met = shifted.groupBy("doc_id", "text_hash", "item", "n", "shift").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high or n = 1")
-    aligned = met.groupBy("doc_id", "text_hash").agg(F.collect_list(F.struct("item", "n", "shift")).alias("aligned"))
-    aligned = written(aligned, "bench-aligned").withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"})
+    # of a long document, the alignments of each stretch of it make a row of their own
+    aligned = met.groupBy("doc_id", "text_hash", F.floor(F.col("shift") / 1024).alias("stretch")).agg(F.collect_list(F.struct("item", "n", "shift")).alias("aligned"))
+    aligned = written(aligned.drop("stretch"), "bench-aligned").withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"})
 
     def stretch(a: Column) -> Column:
         lead = F.greatest(F.lit(0), -a["shift"])
         return F.struct(a["item"].alias("item"), a["shift"].alias("shift"), lead.alias("lead"), F.slice("words", F.greatest(F.lit(0), a["shift"]) + 1, a["n"] - lead).alias("found"))
 
-    pairs = corpus.join(aligned, corpus["doc_id"].eqNullSafe(F.col("id_")) & (corpus["text_hash"] == F.col("hash_")))
-    pairs = pairs.select("doc_id", "text_hash", F.explode(F.transform("aligned", stretch)).alias("a")).select("doc_id", "text_hash", "a.*")
-    both = pairs.join(items.select("item", "item_id", "n", F.col("words").alias("test")), "item")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    texts = keyed.join(small(aligned), keyed["doc_id"].eqNullSafe(F.col("id_")) & (keyed["text_hash"] == F.col("hash_")))
+    pairs = texts.select("doc_id", "text_hash", "aligned", words(F.col("text")).alias("words")).select("doc_id", "text_hash", F.explode(F.transform("aligned", stretch)).alias("a")).select("doc_id", "text_hash", "a.*")
+    both = pairs.join(small(index.items.select("item", "item_id", "n", F.col("words").alias("test"))), "item")
     length = F.least(F.col("n"), F.lit(size))
     last = F.least(F.col("n") - length, F.col("lead") + F.size("found") - length)
-    places = F.when(last >= F.col("lead"), F.sequence(F.col("lead"), last)).otherwise(F.array().cast("array<int>"))
-    equal = F.filter(places, lambda s: F.slice("found", s - F.col("lead") + 1, length) == F.slice("test", s + 1, length))
+    at = F.when(last >= F.col("lead"), F.sequence(F.col("lead"), last)).otherwise(F.array().cast("array<int>"))
+    equal = F.filter(at, lambda s: F.slice("found", s - F.col("lead") + 1, length) == F.slice("test", s + 1, length))
     hits = both.select("doc_id", "text_hash", "item_id", "shift", length.alias("length"), F.explode(equal).alias("at"))
-    return totals, hits.select("doc_id", "text_hash", "item_id", (F.col("shift") + F.col("at")).alias("start"), "length").distinct()
+    return hits.select("doc_id", "text_hash", "item_id", (F.col("shift") + F.col("at")).alias("start"), "length").distinct()
+
+
+def proximity_matches(index: Index, *, slack: int = 3) -> DataFrame:
+    """`doc_id, text_hash, item_id, at, first, second`: where the two rarest terms of the window of an item that begins at
+    its word `at` stand in a document at `first` and `second`, in the window's order and at a distance that differs by no
+    more than `slack` words from theirs there. A looser signal than an exact match; all such pairs are found, whatever
+    stands between. Windows of one word have one place, `first` and `second` alike.
+
+    Both lists say where the window would begin. They are joined on blocks of that, as wide as the slack.
+    """
+    anchors = index.anchors.select("item", "item_id", "at", "place", "term")
+    window = Window.partitionBy("item", "at")
+    sides = anchors.withColumns({"low": F.min("place").over(window), "high": F.max("place").over(window)})
+    keys = ["doc_id", "text_hash", "item", "item_id", "at", "block"]
+    posted = index.postings.join(small(sides), "term").withColumn("begins", F.col("pos") - F.col("place"))
+    block = F.floor(F.col("begins") / (slack + 1))
+    left = posted.where("place = low").select(*keys[:-1], block.alias("block"), F.col("pos").alias("first"), F.col("begins").alias("one"), "low", "high")
+    right = posted.where("place = high").select(*keys[:-1], F.explode(F.array(block - 1, block, block + 1)).alias("block"), F.col("pos").alias("second"), F.col("begins").alias("other")).withColumnsRenamed({k: f"{k}_" for k in keys})
+    same = [left[k].eqNullSafe(right[f"{k}_"]) for k in keys]
+    near = left.join(right, reduce(lambda a, b: a & b, same)).where(F.abs(F.col("one") - F.col("other")) <= slack)
+    near = near.where("low < high AND first < second OR low = high AND first = second")
+    return near.select(*keys[:-2], "at", "first", "second").drop("item").distinct()
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = 13, share: int = 20) -> DataFrame:
@@ -100,16 +149,17 @@ def judged(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
     words give no window, those with a null id hit words but are not named. Rows of `docs` that repeat an id are judged
     each by its own text; other columns are not read.
     """
-    totals, hits = phrase_matches(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, size=size)
-
-    def cover(state: Column, span: Column) -> Column:
-        end = span["start"] + span["length"]
-        fresh = F.greatest(F.lit(0), end - F.greatest(span["start"], state["end"]))
-        return F.struct((state["covered"] + fresh).alias("covered"), F.greatest(state["end"], end).alias("end"))
-
-    spans = F.array_sort(F.collect_set(F.struct("start", "length")))
-    found = hits.groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(spans.alias("spans"), F.collect_set(F.col("item_id").cast("string")).alias("items"))
-    found = found.select("id_", "hash_", "items", F.aggregate("spans", F.struct(F.lit(0).alias("covered"), F.lit(0).alias("end")), cover)["covered"].alias("hit"))
+    index = build_index(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, size=size)
+    totals, hits = index.totals, phrase_matches(docs, index, id_col=id_col, text_col=text_col, size=size)
+    hits = written(hits, "bench-hits")
+    # of spans in order, each adds what lies beyond the furthest end so far; a document's spans are no array
+    order = Window.partitionBy("doc_id", "text_hash").orderBy("start", "end")
+    spans = hits.select("doc_id", "text_hash", "start", (F.col("start") + F.col("length")).alias("end")).distinct()
+    reached = F.coalesce(F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    fresh = spans.withColumn("fresh", F.greatest(F.lit(0), F.col("end") - F.greatest("start", reached)))
+    covered = fresh.groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.sum("fresh").alias("hit"))
+    named = hits.groupBy("doc_id", "text_hash").agg(F.collect_set(F.col("item_id").cast("string")).alias("items"))  # the contract's list of items
+    found = covered.join(named, covered["id_"].eqNullSafe(named["doc_id"]) & (covered["hash_"] == named["text_hash"])).select("id_", "hash_", "items", "hit")
     items = F.coalesce("items", F.array().cast("array<string>"))
     n_hit = F.coalesce("hit", F.lit(0)).cast("long")
     return totals.join(found, totals["doc_id"].eqNullSafe(F.col("id_")) & (totals["text_hash"] == F.col("hash_")), "left").select(
@@ -117,19 +167,3 @@ def judged(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
         F.sha2(F.array_join(F.array_sort(items), ",").cast("binary"), 256).alias("items_sha256"),
         ((n_hit > 0) & (share * n_hit >= F.col("n_words"))).alias("contaminated"),
     )
-
-
-def proximity_matches(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = 13, slack: int = 3) -> DataFrame:
-    """`doc_id, item_id, at`: places where the two rarest terms of a window stand in its order, and at a distance that
-    differs by no more than `slack` words from theirs in the window; a looser signal than an exact match."""
-    corpus = docs.select(F.col(id_col).alias("doc_id"), words(F.col(text_col)).alias("words"))
-    items = benchmark.select(F.col(item_col).alias("item_id"), words(F.col(text_col)).alias("words"))
-    items = items.withColumn("n", F.size("words")).withColumn("item", F.struct("item_id", F.xxhash64("words").alias("h"))).distinct()
-    counts = written(term_counts(corpus, items.select(F.explode("words").alias("term")).distinct()).withColumnRenamed("n", "n_corpus"), "bench-counts")
-    anchors = written(rarest_terms(items, counts, size), "bench-anchors")
-    posted = corpus.select("doc_id", F.posexplode("words").alias("pos", "term")).join(small(anchors), "term")
-    posted = posted.select("doc_id", "item", "place", "pos").distinct()
-    order = Window.partitionBy("doc_id", "item").orderBy("pos", "place")
-    near = posted.withColumn("next", F.lead(F.struct("pos", "place")).over(order))
-    gap = (F.col("next.pos") - F.col("pos")) - (F.col("next.place") - F.col("place"))
-    return near.where((F.col("next.place") > F.col("place")) & (F.abs(gap) <= slack)).select("doc_id", "item.item_id", F.col("pos").alias("at")).distinct()
