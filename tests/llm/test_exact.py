@@ -505,35 +505,81 @@ def test_neighbours_of_odd_vectors(spark):
     assert N.nearest(frame.limit(0), F.lit(True)).count() == 0
 
 
-def test_licences_by_brute_force(spark):
-    texts = [(1, "Intro line.\nReleased under the MIT License.\nMore"), (2, "Nothing here under the sun."), (3, None), (4, ""), (5, "licensed UNDER cc by-nc 4.0. And so on"), (5, "again other text"), (None, "Licensed under CC BY 4.0."), (6, "the mit license")]
-    docs = spark.createDataFrame(texts, "doc_id long, text string")
-    split = lambda t: [w for w in re.split(D.BETWEEN, t.lower()) if w]
-    total = len(texts)
+def licences_by_brute_force(texts):
+    """Of each `(id, text)`, the best `(not a file, -score, licence)` over all templates and all windows around their two
+    rarest words."""
+    split = lambda t: [w for w in re.split(D.BETWEEN, (t or "").lower()) if w]
     df = defaultdict(int)
     for _, t in texts:
-        for w in set(split(t or "")):
+        for w in set(split(t)):
             df[w] += 1
-    idf = lambda w: np.log((1 + total) / (1 + df[w])) + 1
+    idf = lambda w: np.log((1 + len(texts)) / (1 + df[w])) + 1
 
-    def vector(t):
+    def vector(found):
         counts = defaultdict(float)
-        for w in split(t):
+        for w in found:
             counts[w] += idf(w)
         return counts, np.sqrt(sum(x * x for x in counts.values()))
 
-    expected = {}
-    for key, t in texts:
-        for sentence in re.sub(r"([.!?])[\x20\x09-\x0D]+", r"\1\n", t or "").split("\n"):
-            v, n = vector(sentence)
-            for name, template in L.TEMPLATES:
-                u, m = vector(template)
-                score = round(sum(v[w] * u[w] for w in v if w in u) / (n * m), 9) if n else 0
+    rows = [(kind, name, split(t)) for _, kind, name, t in L.template_rows()]
+    out = {}
+    for key, text in texts:
+        found = split(text)
+        for kind, name, template in rows:
+            u, m = vector(template)
+            order = sorted(range(len(template)), key=lambda i: (-idf(template[i]), i))
+            two = [order[0], next((i for i in order if template[i] != template[order[0]]), order[0])]
+            for start in {p - i for i in two for p, w in enumerate(found) if w == template[i]}:
+                window = found[max(0, start) : max(0, start + len(template))]
+                if not window:
+                    continue
+                v, n = vector(window)
+                score = round(sum(v[w] * u[w] for w in v if w in u) / (n * m), 9)
                 if score >= L.MIN_SCORE:
-                    expected[key] = min(expected.get(key, (0, "~")), (-score, name))
-    got = {r["doc_id"]: (-r["score"], r["licence"]) for r in L.licence_matches(docs, L.templates(spark)).collect()}
-    assert got.keys() == expected.keys() and {1, 5, None} <= set(got)
-    assert all(got[k][1] == expected[k][1] and abs(got[k][0] - expected[k][0]) < 1e-8 for k in got)
+                    file = kind != L.NOTICE and start <= L.MARGIN and (kind == L.OPENING or len(found) - len(template) <= L.MARGIN)
+                    out[key, text] = min(out.get((key, text), (True, 0.0, "~")), (not file, -score, name))
+    return out
+
+
+def wrapped(text: str, width: int = 60, mark: str = " * ") -> str:
+    import textwrap
+
+    return "\n".join(mark + line for line in textwrap.wrap(text, width))
+
+
+def licence_docs() -> list[tuple[int | None, str | None]]:
+    names = {name: text for name, text in L.NOTICES}
+    whole, openings = dict(L.WHOLE_TEXTS), dict(L.OPENINGS)
+    code = "def main ( ) return value of the function and print it to the screen " * 12
+    docs = [(i, f"/*\n{wrapped(names[n])}\n */\n{code}") for i, n in enumerate(["GPL-3.0", "GPL-2.0", "AGPL-3.0", "BSD-3-Clause", "ISC", "MIT", "MPL-2.0"])]
+    docs += [(20, f"/*\n{wrapped(L.NOTICES[1][1])}\n */\n{code}"), (21, f"MIT License\n\nCopyright (c) 2024 Somebody\n\n{wrapped(whole['MIT'], 80, '')}"), (22, f"Copyright 2020 A B\nAll rights reserved.\n{wrapped(whole['BSD-2-Clause'], 70, '')}"), (23, wrapped(openings["GPL-3.0"], 70, "    ") + " 0. Definitions. " + code), (24, f"{code} {whole['MIT']} {code}")]
+    return docs + [(30, "Intro line.\nReleased under the MIT License.\nMore"), (31, "Nothing here under the sun."), (32, None), (33, ""), (34, "licensed UNDER cc by-nc 4.0. And so on"), (34, "again other text"), (None, "Licensed under CC BY 4.0."), (35, "the mit license"), (36, "Preheat the oven, then serve with a license to eat.")]
+
+
+def test_licences_by_brute_force(spark):
+    texts = licence_docs()
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    prints = {r[2]: (r[0], r[1]) for r in docs.select("doc_id", "text", F.xxhash64("text")).collect()}
+    expected = licences_by_brute_force(texts)
+    got = {prints[r["text_hash"]]: (not r["is_licence_file"], -r["score"], r["licence"]) for r in L.licence_matches(docs, L.templates(spark)).collect()}
+    assert got.keys() == expected.keys()
+    assert all(got[k][0] == expected[k][0] and got[k][2] == expected[k][2] and abs(got[k][1] - expected[k][1]) < 1e-8 for k in got)
+    by_id = {k[0]: v for k, v in got.items()}
+    assert [by_id[i][2] for i in (0, 1, 2, 3, 4, 5, 6, 20, 30, 34, None)] == ["GPL-3.0", "GPL-2.0", "AGPL-3.0", "BSD-3-Clause", "ISC", "MIT", "MPL-2.0", "Apache-2.0", "MIT", "CC-BY-NC-4.0", "CC-BY-4.0"]
+    assert {k: v[2] for k, v in by_id.items() if not v[0]} == {21: "MIT", 22: "BSD-2-Clause", 23: "GPL-3.0"}
+    assert not {31, 32, 33, 36} & set(by_id)
+
+
+def test_scan_gives_licences_to_the_files_below(spark):
+    """Only texts that are licence files give theirs; a notice, a recipe and a poem give and get none elsewhere."""
+    texts = dict((k, t) for k, t in licence_docs() if k is not None)
+    rows = [(1, "a/LICENSE", texts[21]), (2, "a/src/x.py", texts[36]), (3, "a/src/gpl.c", texts[0]), (4, "a/src/deep/LICENSE", texts[23]), (5, "a/src/deep/y.py", None), (6, "b/poem.txt", texts[31]), (7, "b/header.py", texts[30]), (8, "aa/z.py", "")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string").withColumns({"licence": F.lit("x"), "score": F.lit(1), "term": F.lit("y")})
+    got = {r["doc_id"]: (r["licence"], r["origin"], r["from_path"]) for r in L.scan_licences(docs, path_col="path").collect()}
+    assert got == {
+        1: ("MIT", "own", "a/LICENSE"), 2: ("MIT", "inherited", "a/LICENSE"), 3: ("GPL-3.0", "own", "a/src/gpl.c"), 4: ("GPL-3.0", "own", "a/src/deep/LICENSE"),
+        5: ("GPL-3.0", "inherited", "a/src/deep/LICENSE"), 6: (None, "none", None), 7: ("MIT", "own", "b/header.py"), 8: (None, "none", None),
+    }
 
 
 def test_licence_of_the_nearest_directory(spark):
