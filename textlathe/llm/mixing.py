@@ -44,15 +44,16 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """`doc_id, size, source_size, target, taken` of each row.
 
     A source takes `round(target)` words: whole epochs of all its documents, then its documents in the order of a
-    random key (a hash of the id) until the budget is exactly reached, so that at most one document per source is taken
+    random key (a hash of id and text) until the budget is exactly reached, so that at most one document per source is taken
     in part. No document is taken more than `most` times. Keys are uniform, so ranges of keys have about equal rows
     however large a source is: sums per range are added up first, and only then the rows of each range.
 
-    A null or empty text has size 0 and is never taken; null sources form one source. Rows that repeat an id keep their
-    own size and share a place in the order (larger first); an empty table gives no rows. Other columns are not read.
+    A null or empty text has size 0 and is never taken; null sources form one source. Rows that repeat an id or have
+    none are told apart by their texts, and those that repeat both share a key; an empty table gives no rows. Other columns are not read.
     """
-    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"))
-    base = written(base.withColumn("key", F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 64 - KEY_BITS)), "mix-sizes")
+    key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - KEY_BITS)
+    base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
+    base = written(base, "mix-sizes")
     targets = source_targets(base, weights, most)
     per_range = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / RANGE_ROWS)).cast("long")
     ranged = (
