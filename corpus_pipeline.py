@@ -20,7 +20,8 @@ def matched(docs: DataFrame, rows: DataFrame, how: str) -> DataFrame:
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects go, each row by its own text, null and empty ones too; repeated rows go
+    or stay together. Labels of the documents' ids are only learnt from."""
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
@@ -35,7 +36,8 @@ def simhash_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Spans of 20 words and more that occur before go; texts that lose nothing stay as they are."""
+    """Spans of 20 words and more that occur before go; texts that lose nothing, null and empty ones too, stay as they are.
+    Rows that repeat an id and a text lose nothing to each other. All rows stay."""
     done = remove_repeats(docs)
     cut = F.col("n_removed") > 0
     changed = {"text": F.when(cut, F.col("kept")).otherwise(F.col("doc.text")), "n_chars": F.when(cut, F.char_length("kept").cast("long")).otherwise(F.col("doc.n_chars"))}
@@ -43,13 +45,14 @@ def substring_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Contaminated documents go, with or without an id; of rows that share an id, those whose own text is contaminated."""
+    """Contaminated documents go, with or without an id; of rows that share an id, those whose own text is contaminated.
+    Null and empty texts are clean, and without benchmark items all are."""
     gone = judged(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_hash").distinct()
     return matched(docs, written(gone, "pipeline-contaminated"), "left_anti").select(docs.columns)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """How many words of each document the mix takes."""
+    """How many words of each document the mix takes: none of null and empty texts; null sources are one source."""
     return mix_sources(docs)
 
 

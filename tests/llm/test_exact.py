@@ -6,11 +6,14 @@ import hashlib
 import random
 import re
 from collections import defaultdict
+from functools import cache
 
 import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from textlathe.llm import decontamination as D
 from textlathe.llm import licences as L
@@ -364,18 +367,40 @@ def test_token_counts(request, which):
 
 
 def test_token_counts_at_boundaries(spark):
-    texts = ["a  b <|endoftext|> c", "<|endoftext|>" * 5 + " x", "tab\tand\n new  lines   x", "don't 123 4é ñ 日本 語", " lead", "trail "]
+    texts = ["a  b <|endoftext|> c", "<|endoftext|>" * 5 + " x", "tab\tand\n new  lines   x", "don't 123 4é ñ 日本 語", " lead", "trail ", "日本語の文章。改行なしで続く、とても長い文", "var a=b1+c2;if(x){y('it''s')}", "one\ntwo\tthree\n\nfour", "e\u0301a\u00a0b\u2003c 1½x", "<|endof<|endoftext|>text|>"]
     from tokenizers import Tokenizer
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     model = Tokenizer.from_file(path)
     docs = spark.createDataFrame(list(enumerate(t * 40 for t in texts)), "doc_id long, text string")
-    got = {r["doc_id"]: r["n_tokens"] for r in K.count_tokens(docs, path, piece_chars=3).collect()}
-    assert got == {i: len(model.encode(t * 40, add_special_tokens=False)) for i, t in enumerate(texts)}
+    for size in (1, 3, 17):
+        got = {r["doc_id"]: r["n_tokens"] for r in K.count_tokens(docs, path, piece_chars=size).collect()}
+        assert got == {i: len(model.encode(t * 40, add_special_tokens=False)) for i, t in enumerate(texts)}
+    assert K.count_tokens(docs.limit(0), path).count() == 0
     model_path = public_tokenizers.path("piece_bpe_32k.model")
     assert all(r["n_tokens"] > 0 for r in K.count_tokens(docs, model_path).collect())
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(["a", "Bc", "é", "日本", " ", "  ", "\n", "\t", "'s", "'", "12", "½", "_", "-", "。", "\u0301", "\u00a0", "<|endoftext|>", "<|endof", "😀"]), max_size=60).map("".join), st.integers(1, 9))
+def test_pieces_have_the_tokens_of_the_text(text, size):
+    counter, may_cut, whole = loaded_counter()
+    found = list(K.pieces(text, size, whole))
+    assert may_cut and "".join(found) == text
+    assert sum(counter(found)) == sum(counter([text]))
+
+
+@cache
+def loaded_counter():
+    return K.load_counter(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@pytest.mark.parametrize("text", ["日本語の文章。" * 50_000, "var a=b1+c2;" * 30_000, "word\tnext\n" * 30_000])
+def test_long_texts_without_spaces_are_cut(text):
+    _, _, whole = loaded_counter()
+    assert max(map(len, K.pieces(text, 1 << 15, whole))) < (1 << 15) + 100
+
+
 def targets_by_brute_force(sizes, most=3):
     order = sorted((s for s in sizes if s is not None)) + [s for s in sizes if s is None]
     weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(order)}

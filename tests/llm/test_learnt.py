@@ -203,9 +203,33 @@ def test_pipeline_stages(spark, sf_dir):
 
 
 def test_pipeline_on_odd_rows(spark, odd, labels, tmp_path):
-    for name, table in (("documents", odd), ("labels", labels), ("benchmark", spark.createDataFrame([], "item_id long, text string"))):
+    """Each stage on nulls in any column, empty and very long texts, repeated rows and more columns, against plain
+    versions; and all stages on empty tables."""
+    items = [(1, "p3 P4 p5"), (None, None), (2, "")]
+    for name, table in (("documents", odd), ("labels", labels), ("benchmark", spark.createDataFrame(items, "item_id long, text string"))):
         table.write.parquet(f"{tmp_path}/{name}.parquet")
+    stages = dict(corpus_pipeline.STAGES)
+    everything = sorted(texts(odd), key=repr)
+    good = {(r["doc_id"], r["text"]) for r in Q.quality(odd, labels).where("predicted = 1").join(odd, "doc_id").collect()}
+    kept = stages["quality"](spark, odd, str(tmp_path))
+    assert {t for t in texts(kept) if t[0] is not None} == good and kept.columns == odd.columns
+
+    unique = set(everything)
+    groups = {k: c for k, _, c in components_by_brute_force([((-1 if k is None else k) * 2 + (t is None), t) for k, t in unique])}
+    kept = texts(stages["simhash"](spark, odd, str(tmp_path)))
+    assert len(kept) == len(set(kept)) == len(set(groups.values()))
+
+    expected = removed_by_brute_force({(-1 if k is None else k, t) for k, t in everything})
+    kept = stages["substrings"](spark, odd, str(tmp_path))
+    assert sorted((r["doc_id"] or -1, len((r["text"] or "").split())) for r in kept.collect()) == sorted((-1 if k is None else k, expected[-1 if k is None else k][0] - expected[-1 if k is None else k][1]) for k, _ in everything)
+
+    clean = sorted((t for t, r in ((t, contaminated_by_brute_force([t], items)[0]) for t in everything) if not r[5]), key=repr)
+    assert sorted(texts(stages["decontamination"](spark, odd, str(tmp_path))), key=repr) == clean and len(clean) < len(everything)
+    mixed = stages["mixing"](spark, odd, str(tmp_path)).collect()
+    assert len(mixed) == len(everything) and all(0 <= r["taken"] <= 3 * r["size"] for r in mixed)
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
+    for stage in stages.values():
+        assert stage(spark, odd.limit(0), str(tmp_path)).count() == 0
 
 
 def test_pipeline_decides_by_row(spark, odd, tmp_path):

@@ -193,7 +193,9 @@ def quality(docs: DataFrame, labels: DataFrame, *, folds: int = 3, held_out: int
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, **params) -> DataFrame:
-    """The rows of `docs`, all columns, whose texts score 0.5 or more."""
+    """The rows of `docs`, all columns, whose texts score 0.5 or more. Rows are judged one by one: null and empty texts by
+    a feature of their own, rows without an id and repeated rows like any other; without a label 1 all stay. An empty
+    table gives none."""
     model = fit_quality(docs, labels, **params)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

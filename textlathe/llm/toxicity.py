@@ -110,12 +110,14 @@ def calibrate(mean: np.ndarray, size: np.ndarray, y: np.ndarray, weight: np.ndar
     return p
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, max_rows: int = 3000) -> ToxicityModel:
-    """A model from at most `max_rows` labelled texts of either class, none of them in the held-out fold."""
+def fit_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out: int = 0, max_rows: int = 3000, max_chars: int = 100_000) -> ToxicityModel:
+    """A model from at most `max_rows` labelled texts of either class, none of them in the held-out fold. Texts of more
+    than `max_chars` characters are scored like all others, but not learnt from, so that the sample is bounded in bytes
+    too."""
     rows = labelled(labels, "toxic", folds, held_out)
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = first_by_hash(rows.where("y = 1"), max_rows).unionByName(first_by_hash(rows.where("y = 0"), max_rows))
-    sample = texts_of(docs, chosen).select("doc_id", "text", "y").toPandas().sort_values(["doc_id", "text"], kind="stable")
+    sample = texts_of(docs, chosen).where(F.char_length("text") <= max_chars).select("doc_id", "text", "y").limit(4 * max_rows).toPandas().sort_values(["doc_id", "text"], kind="stable")
     odds = max(totals.get(1, 0), 0.5) / max(totals.get(0, 0), 0.5)
     return train(sample["text"].tolist(), sample["y"].to_numpy(), odds)
 
