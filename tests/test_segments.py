@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -45,13 +47,15 @@ def test_last_window_repeats_the_overlap(spark, version, lengths):
     assert [len(r["text"]) for r in chunked(spark, "x" * 3000, version)] == lengths
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.lists(st.sampled_from(["a", "bb ccc", "\n", "\n\n", "Điều 1. x", "\n1. ", " ", "dài" * 30]), max_size=120).map("".join))
-def test_chunks_are_bounded_and_lose_nothing(text):
-    pieces = S.part_chunks(text.strip(), 100, 20, 10, 2) if text.strip() else []
-    assert all(0 < len(t) <= 100 for t, _ in pieces)
-    seen = "".join(t for t, _ in pieces)
-    assert set(text.split()) <= set(seen.split()) or all(c in seen for c in text if not c.isspace())
+def test_chunks_are_bounded_and_lose_nothing(spark):
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choice(["a", "bb ccc", "\n", "\n\n", "Điều 1. x", "\n1. ", "\nĐiều 2a. ", " ", "dài" * 30]) for _ in range(rng.randrange(121)))) for i in range(200)]
+    for version in (1, 2):
+        found = spark.createDataFrame(rows, "id int, t string").select("id", S.chunk_array(F.col("t"), 100, 20, 10, version).alias("c")).collect()
+        for text, pieces in zip((t for _, t in rows), (r["c"] for r in sorted(found))):
+            assert all(p["text"] for p in pieces) and (version == 1 or all(len(p["text"]) <= 100 for p in pieces))
+            assert set("".join(p["text"] for p in pieces)) >= {c for c in text if not c.isspace()}
+            assert version == 1 or sum(len("".join(p["text"].split())) for p in pieces) >= len("".join(text.split()))
 
 
 def test_oversize_chunks_fail(spark):

@@ -9,25 +9,18 @@ from __future__ import annotations
 import re
 from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import clean_noise, is_notice, part_pieces
+from ..functions.text import article_number, article_pieces, clause_pieces, clean_noise, is_notice, paragraph_pieces, part_pieces, present, strip
 
 MAX_CHARS, OVERLAP, MIN_CHARS = 1500, 200, 50
-ARTICLE_AT = {1: re.compile(r"(?=Điều\s+\d+[a-zA-Z]?(?!\.\d)\s*[:.])"), 2: re.compile(r"(?=(?:^|\n)\s*Điều\s+\d+)", re.IGNORECASE)}
-ARTICLE_NO = {1: re.compile(r"Điều\s+(\d+[a-zA-Z]?)\b"), 2: re.compile(r"\s*Điều\s+(\d+[a-zA-Z]?)\b", re.IGNORECASE)}
-CLAUSE_AT = re.compile(r"(?=\n\s*(?:\d+[.)]|[a-zA-ZđĐ][.)])\s)")
-PARAGRAPH_AT = re.compile(r"\n\s*\n+")
 BREAKS = {1: (" ",), 2: ("\n", " ")}
 
 
-def cut(pattern: re.Pattern, text: str) -> list[str]:
-    return [piece for piece in map(str.strip, pattern.split(text)) if piece]
-
-
 def windows(text: str, size: int, overlap: int, version: int) -> list[str]:
     """Windows of at most `size` characters, each from `overlap` before the end of the last one.
 
@@ -64,16 +57,26 @@ def runs(lengths: list[int], goes_on: Callable[[int, int], bool]) -> Iterator[sl
         yield slice(first, len(lengths))
 
 
-def bounded(text: str, size: int, overlap: int, version: int) -> list[str]:
-    """A text in pieces of at most `size`: paragraphs (2), then clauses, then windows; version 1 packs the pieces again."""
-    text = text.strip() if version == 2 else text
-    if len(text) <= size:
-        return [text] if text or version == 1 else []
-    units = [text]
-    if version == 2:
-        units = [c for p in cut(PARAGRAPH_AT, text) for c in ((len(p) > size and cut(CLAUSE_AT, p)) or [p])]
-    else:
-        units = cut(CLAUSE_AT, text)
+def unit_pieces(text: Column, size: int, version: int) -> Column:
+    """What windows are cut from: a text that fits, else its clauses; in version 2 its paragraphs, and the clauses of those
+    that do not fit. Native splits."""
+    if version == 1:
+        return F.when(F.length(text) <= size, F.array(text)).otherwise(clause_pieces(text))
+    clauses = lambda p: F.when((F.length(p) > size) & (F.size(clause_pieces(p)) > 0), clause_pieces(p)).otherwise(F.array(p))
+    return F.when(F.length(strip(text)) <= size, present(F.array(text))).otherwise(F.flatten(F.transform(paragraph_pieces(strip(text)), clauses)))
+
+
+def article_units(part: Column, size: int, version: int) -> Column:
+    """`number, units` of the articles of a part; in version 2 one article alone, or none, gives the part without a number."""
+    numbered_units = lambda a: F.struct(article_number(a, version).alias("number"), unit_pieces(a, size, version).alias("units"))
+    each = F.transform(article_pieces(part, version), numbered_units)
+    if version == 1:
+        return each
+    return F.when(F.size(article_pieces(part, 2)) > 1, each).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("number"), unit_pieces(part, size, 2).alias("units"))))
+
+
+def fitted(units: list[str], size: int, overlap: int, version: int) -> list[str]:
+    """The units with those that do not fit cut into windows; version 1 packs the pieces of several units again."""
     pieces = [x for unit in units for x in ([unit] if len(unit) <= size else windows(unit, size, overlap, version))]
     if version == 2:
         return pieces
@@ -86,14 +89,9 @@ def joined(items: list[tuple[str, list[str]]], size: int, least: int, version: i
     return [("\n".join(t for t, _ in items[run]), [n for _, numbers in items[run] for n in numbers]) for run in runs([len(t) for t, _ in items], fits)]
 
 
-def part_chunks(part: str, size: int, overlap: int, least: int, version: int) -> list[tuple[str, list[str]]]:
-    articles = cut(ARTICLE_AT[version], part)
-    if version == 2 and len(articles) < 2:
-        return joined([(x, []) for x in bounded(part, size, overlap, 2)], size, least, 2)
-    items = []
-    for article in articles:
-        number = ARTICLE_NO[version].match(article)
-        items += [(x, [number[1]] if number else []) for x in bounded(article, size, overlap, version)]
+def part_chunks(articles: list[dict], size: int, overlap: int, least: int, version: int) -> list[tuple[str, list[str]]]:
+    """The chunks of a part, from its `article_units`."""
+    items = [(text, [a["number"]] if a["number"] else []) for a in articles for text in fitted(list(a["units"]), size, overlap, version)]
     return joined(items, size, least, version)
 
 
@@ -108,21 +106,23 @@ def window_array(text: Column, size: int = MAX_CHARS, overlap: int = OVERLAP, ve
 
 
 def bounded_array(text: Column, size: int = MAX_CHARS, overlap: int = OVERLAP, version: int = 2) -> Column:
+    """The pieces of at most `size` characters of each text: paragraphs and clauses natively, windows in one Arrow call."""
+
     @F.pandas_udf("array<string>")
-    def run(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: None if t is None else bounded(t, size, overlap, version))
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda units: None if units is None else fitted(list(units), size, overlap, version))
 
-    return run(text)
+    return run(unit_pieces(text, size, version))
 
 
 def chunk_array(part: Column, size: int = MAX_CHARS, overlap: int = OVERLAP, least: int = MIN_CHARS, version: int = 2) -> Column:
     """`text, articles` of the chunks of each part."""
 
     @F.pandas_udf("array<struct<text:string,articles:array<string>>>")
-    def run(parts: pd.Series) -> pd.Series:
-        return parts.map(lambda p: None if p is None else [{"text": t, "articles": a} for t, a in part_chunks(p, size, overlap, least, version)])
+    def run(rows: pd.Series) -> pd.Series:
+        return rows.map(lambda articles: None if articles is None else [{"text": t, "articles": a} for t, a in part_chunks(articles, size, overlap, least, version)])
 
-    return run(part)
+    return run(article_units(part, size, version))
 
 
 def joined_array(pieces: Column, size: int = MAX_CHARS, least: int = MIN_CHARS, version: int = 2) -> Column:
@@ -152,17 +152,16 @@ def chunk_documents(df: DataFrame, id_col: str = "id", text_col: str = "text", *
     joined, notices dropped, numbered. Chunks of a document are flattened and numbered inside one array, without a
     shuffle; in version 2 none is longer than `size`."""
     text = clean_noise(F.col(text_col), line_ends=version == 2)
-    parts = df.select(F.col(id_col).alias("doc_id"), part_pieces(text).alias("parts"))
+    placed = lambda part, i: F.transform(article_units(part, size, version), lambda a: F.struct(i.alias("part"), a["number"].alias("number"), a["units"].alias("units")))
+    parts = df.select(F.col(id_col).alias("doc_id"), F.flatten(F.transform(part_pieces(text), placed)).alias("parts"))
 
     @F.pandas_udf("array<struct<part_index:bigint,articles:string,text:string>>")
-    def run(parts: pd.Series) -> pd.Series:
-        def rows(found: list[str]) -> list[dict]:
-            out = []
-            for number, part in enumerate(found):
-                out += [{"part_index": number, "articles": ",".join(a) or None, "text": t} for t, a in part_chunks(part, size, overlap, least, version)]
-            return out
-
-        return parts.map(rows)
+    def run(rows: pd.Series) -> pd.Series:
+        def chunked(articles: list[dict]) -> list[dict]:
+            each = groupby(articles, key=lambda a: a["part"])
+            return [{"part_index": part, "articles": ",".join(a) or None, "text": t} for part, of in each for t, a in part_chunks(list(of), size, overlap, least, version)]
+
+        return rows.map(chunked)
 
     chunks = F.filter(run(F.col("parts")), lambda c: ~is_notice(c["text"], empty=version == 2))
     out = parts.select("doc_id", F.posexplode(chunks).alias("chunk_index", "c"))
