@@ -52,6 +52,12 @@ def test_text_in_several_regions_stays():
     assert X.main_text(AROUND % f"<div>{FLOW}</div>{teaser}") == TEXT
 
 
+def test_plain_divs_are_paragraphs():
+    divs = "".join(f"<div>{t}</div>" for t in BODY)
+    assert X.main_text(AROUND % f"<div><h1>A headline</h1>{divs}</div>") == TEXT
+    assert X.main_text(f"<h1>A headline</h1><div><a href=/>Terms</a> <a href=/x>Help</a></div>{divs}<div class=footer>Us</div>") == TEXT
+
+
 def test_ratios_decide_where_names_do_not():
     """Plain elements only: with the clusters the article alone is left, without them all is."""
     page = f"<div>{MENU * 9}</div><div>{FLOW}</div><div><a href=/>Terms</a> <a href=/>Help</a></div>"

@@ -272,11 +272,17 @@ class Page:
             out[i] = out[self.parents[i]] * (1.0 if soft else own)
         return np.array(out)
 
+    def leaves(self) -> np.ndarray:
+        """Whether each node has no other node in it: a div that holds words only is a paragraph."""
+        out = np.ones(self.n_nodes, bool)
+        out[np.array(self.parents[1:], np.int64)] = False
+        return out
+
     def container(self) -> np.ndarray:
-        """Of each node, the innermost one around it (or itself) that can be a region."""
-        out = [0] * self.n_nodes
+        """Of each node, the innermost one around it (or itself) that can be a region and is no leaf."""
+        out, leaf = [0] * self.n_nodes, self.leaves()
         for i in range(1, self.n_nodes):
-            out[i] = i if self.names[i] in CONTAINERS else out[self.parents[i]]
+            out[i] = i if self.names[i] in CONTAINERS and not leaf[i] else out[self.parents[i]]
         return np.array(out)
 
     def within(self, nodes: list[int]) -> np.ndarray:
@@ -350,10 +356,12 @@ class Page:
         else:
             where = self.container()[self.line_node]
             direct = np.bincount(where, weights=weight, minlength=self.n_nodes)
-            chosen = (direct >= LEAST_SHARE * direct.max())[where]
+            links = 2 * np.array(self.parser.link_chars) > self.per_line(self.size)
+            row_of_links = np.array([self.names[i] in CONTAINERS for i in self.line_node]) & links & (np.log1p(per_tag) < cut)
+            chosen = (direct >= LEAST_SHARE * direct.max())[where] & ~row_of_links
             between = np.flatnonzero(chosen & (left > 0))
             inner = np.arange(between[0], between[-1] + 1)
-            chosen[inner] |= 2 * np.array(self.parser.link_chars)[inner] <= self.per_line(self.size)[inner]
+            chosen[inner] |= ~links[inner]
         chosen &= left > 0
         lead = self.headline(chosen, left > 0)
         return chosen | lead, stays | lead[self.line]
