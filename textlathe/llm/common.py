@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 
@@ -50,6 +51,13 @@ def drop_scratch(spark: SparkSession) -> int:
     return n
 
 
+def literal_rows(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A few rows as a literal of the plan: no Python worker makes them."""
+    names = [field.split(" ")[0] for field in schema.split(", ")]
+    text = json.dumps([dict(zip(names, row)) for row in rows])
+    return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{schema.replace(' ', ': ').replace(',: ', ', ')}>>")))
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df`, with a broadcast hint if it has no more than `rows` rows."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
