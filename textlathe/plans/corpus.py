@@ -19,21 +19,21 @@ HTML_SQL = r"""array_to_string(list_filter(list_transform(string_split(regexp_re
     lambda x: x <> ''), ' ')"""
 
 
-@query("SELECT doc_id, lang, source, n_chars FROM documents")
+@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
 def scan_documents(spark, sf):
-    return table(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars")
+    return table(spark, sf, "documents").select("doc_id", "text", "lang", "source", "n_chars")
 
 
-@query("SELECT * FROM nation")
+@query("SELECT * FROM documents")
 def parquet_roundtrip(spark, sf):
-    return write_parquet(table(spark, sf, "nation"), scratch_path(spark, "nation"))
+    return write_parquet(table(spark, sf, "documents"), scratch_path(spark, "documents"))
 
 
-@query("SELECT * FROM nation")
+@query("SELECT * FROM documents")
 def csv_roundtrip(spark, sf):
-    nation, path = table(spark, sf, "nation"), scratch_path(spark, "nation-csv")
-    write_csv(nation, path)
-    return read_csv(spark, path, nation.schema)
+    docs, path = table(spark, sf, "documents"), scratch_path(spark, "documents-csv")
+    write_csv(docs, path)
+    return read_csv(spark, path, docs.schema)
 
 
 @query("SELECT id, text FROM docs", "docs")
