@@ -72,11 +72,14 @@ def expand(x: np.ndarray) -> np.ndarray:
 COLUMNS, GRAM_SCALE = 512, 0.1
 
 
-def gram_rows(texts: list[str]) -> np.ndarray:
-    """The mean share of each column of n-grams in the words of each text."""
-    row, col, value = bag(texts)
+def gram_rows(texts: list[str], at_once: int = 128) -> np.ndarray:
+    """The mean share of each column of n-grams in the words of each text; of few texts at once, as their n-grams take
+    many times the memory of the result."""
     out = np.zeros((len(texts), COLUMNS), np.float32)
-    np.add.at(out, (row, col % COLUMNS), value)
+    for start in range(0, len(texts), at_once):
+        row, col, value = bag(texts[start : start + at_once])
+        n = min(at_once, len(texts) - start)
+        out[start : start + n] = np.bincount(row.astype(np.int64) * COLUMNS + col % COLUMNS, weights=value, minlength=n * COLUMNS).reshape(n, COLUMNS)
     return out
 
 
