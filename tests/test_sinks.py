@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import glob
 import html
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -53,3 +54,9 @@ def test_scratch_tables_can_be_dropped(spark):
     path = scratch_path(spark, "gone")
     write_parquet(spark.range(3), path)
     assert drop_scratch(spark) >= 1 and not glob.glob(path)
+
+
+def test_a_cluster_needs_a_shared_folder():
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        scratch_path(session, "x")
