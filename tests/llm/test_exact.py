@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import os
 import random
 import re
 from collections import defaultdict
 from functools import cache
+from types import SimpleNamespace
 
 import numpy as np
 import public_tokenizers
@@ -15,6 +17,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from textlathe.llm import common as C
 from textlathe.llm import decontamination as D
 from textlathe.llm import licences as L
 from textlathe.llm import mixing as M
@@ -621,3 +624,12 @@ def test_licences_of_odd_documents(odd):
     got = L.scan_licences(odd).collect()
     assert len(got) == odd.count() and {r["origin"] for r in got} == {"none"}
     assert L.scan_licences(odd.limit(0)).count() == 0
+
+
+def test_scratch_tables(spark):
+    """They are dropped when asked for; a cluster session without a shared folder gets an error."""
+    path = C.written(spark.range(3), "scratch-test").inputFiles()[0]
+    assert C.drop_scratch(spark) >= 1 and not os.path.exists(path.removeprefix("file://"))
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="yarn"))
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        C.scratch_root(session)
