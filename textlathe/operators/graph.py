@@ -142,6 +142,8 @@ def shortest_path(documents: DataFrame, edges: DataFrame, start: object, goal: o
         grown = grown.join(known, "id", "left_anti").groupBy("id").agg(F.min(F.struct("path", "rel_types")).alias("p")).select("id", "p.path", "p.rel_types")
         before[side], rims[side] = rims[side].select("id"), scratch_table(grown, "path-rim")
         sizes[side] = rims[side].count()
+        if not sizes[side]:
+            break
         met = rims[0].join(rims[1].select("id", F.col("path").alias("rest"), F.col("rel_types").alias("rest_types")), "id")
     whole = F.struct(F.concat("path", F.slice("rest", 2, F.size("rest"))).alias("path"), F.concat("rel_types", "rest_types").alias("rel_types"))
     best = met.agg(F.min(whole).alias("p")).where("p IS NOT NULL").select("p.*")
