@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from .common import table
 from .decontamination import contamination
 from .html_text import extract_text
+from .infill import infill_digests
+from .languages import languages
 from .licences import scan_licences
 from .mixing import mix_sources
 from .neighbours import nearest
@@ -17,6 +19,7 @@ from .simhash import near_duplicates
 from .substrings import repeat_digests
 from .token_counts import count_tokens
 from .toxicity import toxicity
+from .whitening import whiten
 
 
 def op1_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -59,6 +62,18 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_infill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return infill_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages(table(spark, sf_dir, "documents"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whiten(table(spark, sf_dir, "embeddings"))
+
+
 #: For ids that are not null; rows that repeat an id and a text are one document here as well.
 OP3_SQL = r"""WITH w AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
     win AS (SELECT doc_id, i, array_to_string(w[i + 1 : i + 20], ' ') AS words FROM w, unnest(range(0, len(w) - 19)) u(i)),
@@ -76,7 +91,13 @@ OP9_SQL = f"""WITH d AS (SELECT doc_id, {TERMS_SQL} AS w FROM documents), b AS (
     SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256,
         coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
     FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id"""
+OP11_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
+    r AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS p1, ('0x' || h[9:16])::BIGINT % (n + 1) AS p2, ('0x' || h[17:24])::BIGINT % 100 AS r3, ('0x' || h[25:32])::BIGINT % 100 AS r4 FROM d),
+    f AS (SELECT *, least(p1, p2) AS a, greatest(p1, p2) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r3 >= 90 THEN 'plain' WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
+    c AS (SELECT *, substring(t, 1, a) AS prefix, substring(t, a + 1, b - a) AS middle, substring(t, b + 1) AS suffix FROM f)
+    SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+        sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
 #: SQL for DuckDB where it can express the operator; the others hash, learn, tokenize or parse in ways it has no words for.
-ORACLES = {"op3_substring_dedup": OP3_SQL, "op9_decontamination": OP9_SQL}
+ORACLES = {"op3_substring_dedup": OP3_SQL, "op9_decontamination": OP9_SQL, "op11_infill": OP11_SQL}
 
-QUERIES = {f.__name__: f for f in (op1_main_text, op2_licences, op3_substring_dedup, op4_toxicity, op5_source_mix, op6_neighbours, op7_token_counts, op8_quality, op9_decontamination, op10_simhash)}
+QUERIES = {f.__name__: f for f in (op1_main_text, op2_licences, op3_substring_dedup, op4_toxicity, op5_source_mix, op6_neighbours, op7_token_counts, op8_quality, op9_decontamination, op10_simhash, op11_infill, op12_languages, op13_whitening)}
