@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 import unicodedata
 from functools import cache
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .markup import visible_text
+
 # Headings that begin an attached document, and notices that are no content.
 PART_HEADINGS = (r"QUY\s*ĐỊNH\s*:", r"QUY\s*CHẾ\s*:", r"NỘI\s*QUY\s*:", r"ĐIỀU\s*LỆ\s*:", r"QUY\s*TRÌNH\s*:")
 NOTICES = ("xem file đính kèm", "có file đính kèm", "có văn bản đính kèm", "văn bản đính kèm", "văn bản mật")
@@ -102,19 +103,14 @@ def rel_type(c: Column, map_d: bool = False) -> Column:
     return F.when(name == "", F.lit("RELATED_TO")).when(name.rlike(r"^\d"), F.concat(F.lit("R_"), name)).otherwise(name)
 
 
-@F.pandas_udf(T.StringType())
-def unescaped(texts: pd.Series) -> pd.Series:
-    """All character references of HTML decoded, named and numeric ones."""
-    return texts.map(lambda t: html.unescape(t) if t and "&" in t else t)
-
-
 def html_to_text(c: Column, separator: str = " ") -> Column:
-    """Visible text nodes, decoded and stripped, joined by `separator`.
+    """Visible text nodes, decoded and stripped, joined by `separator`; pages are parsed in Arrow batches."""
 
-    Markup is cut natively and leaves a mark that no reference decodes to; one Arrow call decodes what is left.
-    """
-    cut = F.regexp_replace(c, r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<!--.*?-->", "\u0001")
-    return F.array_join(present(F.split(unescaped(F.regexp_replace(cut, r"(?s)<[^>]*>", "\u0001")), "\u0001")), separator)
+    @F.pandas_udf(T.StringType())
+    def parsed(pages: pd.Series) -> pd.Series:
+        return pages.map(lambda page: visible_text(page, separator))
+
+    return parsed(c)
 
 
 def preview(c: Column, size: int = 1000) -> Column:
