@@ -44,6 +44,13 @@ def drop_scratch(spark: SparkSession) -> int:
     return n
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """`df`, dealt to all cores if it lies in fewer files than there are cores: before work on texts that takes longer
+    than moving them. A table of many files is left as it is."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partition_by: list[str] | None = None) -> DataFrame:
     """Writes `df` and reads it back, so that what follows does not compute it again."""
     writer = df.write.mode(mode)
