@@ -38,7 +38,7 @@ def test_incoming(graph):
 
 @pytest.mark.parametrize(("a", "b", "path", "titles"), [(1, 3, [["1", "2", "3"]], [["A", "B", "C"]]), (3, 1, [["3", "2", "1"]], [["C", "B", "A"]]), (1, 4, [], []), (2, 2, [["2"]], [["B"]]), (1, 99, [], [])])
 def test_shortest_path(graph, a, b, path, titles):
-    found = G.shortest_path(graph["documents"], graph["edges"], a, b).collect()
+    found = G.shortest_path(graph["documents"], G.steps_of(graph["edges"]), a, b).collect()
     assert [r["path"] for r in found] == path and [r["titles"] for r in found] == titles
 
 
@@ -56,7 +56,7 @@ def test_paths_of_a_random_graph(spark, hops):
             break
         paths = [[*p, n] for p in paths for n in near[p[-1]] if n not in p]
     expected = min((p for p in paths if p[-1] == "9"), default=None)
-    assert [r["path"] for r in G.shortest_path(docs, edges, 0, 9, hops).collect()] == ([expected] if expected else [])
+    assert [r["path"] for r in G.shortest_path(docs, G.steps_of(edges), 0, 9, hops).collect()] == ([expected] if expected else [])
 
 
 def test_inputs_without_chunks_warn(spark, graph):

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -140,21 +140,29 @@ def open_index(spark: SparkSession, path: str) -> Index:
     return Index(spark, path, *spark.read.parquet(f"{path}/stats").first())
 
 
-def cuts(words: Column, edits: int) -> Column:
-    """All that is left of words when up to `edits` characters are taken out."""
-    found = words
+def rests(word: str, edits: int) -> set[str]:
+    """All that is left of a word when up to `edits` characters are taken out."""
+    found = last = {word}
     for _ in range(edits):
-        less = lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(w), F.lit(1))), lambda i: F.concat(F.substring(w, F.lit(1), i - 1), F.substring(w, i + 1, F.char_length(w))))
-        found = F.array_distinct(F.concat(found, F.flatten(F.transform(found, less))))
+        last = {w[:i] + w[i + 1 :] for w in last for i in range(len(w))}
+        found = found | last
     return found
 
 
 def add_spelling(index: Index, edits: int = 2) -> None:
     """Stores what is left of each term of up to SPELT characters without some of them, sorted: two words within as many
     edits have one such rest in common."""
-    short = index.table("terms").where(F.char_length("term") <= SPELT)
-    rest = short.select(F.explode(cuts(F.array("term"), edits)).alias("rest"), "term", "df")
-    write_parquet(rest.repartitionByRange("rest").sortWithinPartitions("rest"), f"{index.path}/spelling")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                left = [sorted(rests(t, edits)) for t in part.column(0).to_pylist()]
+                row = pa.array(np.repeat(np.arange(len(left)), [len(x) for x in left]))
+                yield pa.RecordBatch.from_arrays([pa.array([w for x in left for w in x], pa.string()), part.column(0).take(row), part.column(1).take(row)], names=["rest", "term", "df"])
+
+    short = spread(index.table("terms").where(F.char_length("term") <= SPELT).select("term", "df"))
+    write_parquet(short.mapInArrow(run, SCHEMAS["spelling"]).repartitionByRange("rest").sortWithinPartitions("rest"), f"{index.path}/spelling")
 
 
 class Query:
@@ -284,8 +292,7 @@ def stands_for(index: Index, leaf: Leaf) -> DataFrame:
         return terms.where((F.col("term") >= leaf.text) & F.col("term").startswith(leaf.text)).select("term", "df", F.lit(1.0).alias("share"))
     near = terms.where(F.char_length("term").between(SPELT + 1, len(leaf.text) + leaf.edits)).select("term", "df")
     if len(leaf.text) <= SPELT + leaf.edits:
-        rests = index.spark.sql("SELECT :text AS text", args={"text": leaf.text}).select(cuts(F.array("text"), leaf.edits)).first()[0]
-        near = near.unionByName(index.table("spelling").where(F.col("rest").isin(rests)).select("term", "df").distinct())
+        near = near.unionByName(index.table("spelling").where(F.col("rest").isin(sorted(rests(leaf.text, leaf.edits)))).select("term", "df").distinct())
     off = F.levenshtein("term", F.lit(leaf.text))
     return near.where(off <= leaf.edits).select("term", "df", (1 - off / float(max(1, len(leaf.text)))).alias("share"))
 
@@ -375,16 +382,15 @@ def bounds(index: Index, q: Query, asked: Asked) -> DataFrame:
     return found.select("shard", combined(q, of, exclude=False).alias("bound")).where(F.col("bound").isNotNull())
 
 
-def search(index: Index, query: Query | str, top_k: int = 5, only: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """`id, score` of the `top_k` best hits, ties to the smaller id. `only` takes hits and returns those that may count.
+def search(index: Index, query: Query | str, top_k: int = 5) -> DataFrame:
+    """`id, score` of the `top_k` best hits, ties to the smaller id.
 
     In an index of many shards the ones with the greatest bounds are scored first; of the others only those are read
     whose bound is not below the last of the top hits found. The result is the same as from all.
     """
     q = keywords(index.spark, query) if isinstance(query, str) else query
     leaves = list(dict.fromkeys(leaves_of(q)))
-    only = only or (lambda hits: hits)
-    best = lambda hits: only(hits).orderBy(F.desc("score"), "id").limit(top_k)
+    best = lambda hits: hits.orderBy(F.desc("score"), "id").limit(top_k)
     asked = asked_terms(index, leaves)
     if negative(q) or (not asked.named and asked.more is None):
         return index.spark.createDataFrame([], f"id {index.id_type}, score double")
@@ -396,11 +402,3 @@ def search(index: Index, query: Query | str, top_k: int = 5, only: Callable[[Dat
     if len(found) == top_k and top_k:
         limits = limits.where(F.col("bound") >= found[-1]["score"] * (1 - 1e-9))
     return best(scores(index, q, asked, limits))
-
-
-def with_spelling(index: Index) -> Index:
-    """The index; adds its spelling table if it has none."""
-    fs = index.spark._jvm.org.apache.hadoop.fs.Path(f"{index.path}/spelling/_SUCCESS")
-    if not fs.getFileSystem(index.spark._jsc.hadoopConfiguration()).exists(fs):
-        add_spelling(index)
-    return index

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_id, parse_articles, rel_type
 from ..sources.tables import scratch_table
 from .profile import keep_first
+from .stored import Rows, StoredTable, picked
 
 # The columns of documents and chunks.
 METADATA_COLUMNS = (
@@ -115,17 +116,23 @@ def both_ways(edges: DataFrame) -> DataFrame:
     return there.unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"), "rel_type"))
 
 
-def shortest_path(documents: DataFrame, edges: DataFrame, start: object, goal: object, max_hops: int = 4) -> DataFrame:
+def steps_of(edges: DataFrame) -> DataFrame:
+    """`a, b, rel_type`: one step in each direction for two documents with an edge, with the least type."""
+    return both_ways(edges).groupBy("a", "b").agg(F.min("rel_type").alias("rel_type"))
+
+
+def shortest_path(documents: Rows, steps: Rows, start: object, goal: object, max_hops: int = 4) -> DataFrame:
     """`hops, path, titles, rel_types` of the shortest undirected path, of several the one whose ids come first; no row if
-    there is none of at most `max_hops`. `path` has ids, `titles` what `documents` calls them.
+    there is none of at most `max_hops`. `path` has ids, `titles` what `documents` calls them. `steps` is a stored table
+    of steps, or that of `steps_of`.
 
-    Both ends are searched, always the one with fewer nodes at its rim, until the rims meet. Steps and rims are stored,
-    so each hop reads the steps and one rim, and a node keeps one path, the first by ids. In an undirected graph what a
-    rim reaches lies in it, in the one before, or is new, so only these two are compared.
+    Both ends are searched, always the one with fewer nodes at its rim, until the rims meet. A hop reads the steps of the
+    nodes at one rim, by name where they are few; rims are stored, and a node keeps one path, the first by ids. In an
+    undirected graph what a rim reaches lies in it, in the one before, or is new, so only these two are compared.
     """
     ends = str(start).strip(), str(goal).strip()
-    steps = scratch_table(both_ways(edges).where("a <> b").groupBy("a", "b").agg(F.min("rel_type").alias("rel_type")), "path-steps")
-    first = [documents.where(F.col("id") == end).select("id", F.array("id").alias("path"), F.array().cast("array<string>").alias("rel_types")).distinct() for end in ends]
+    known_ends = scratch_table(picked(documents, "id", ends).select("id").distinct(), "path-ends")
+    first = [known_ends.where(F.col("id") == end).select("id", F.array("id").alias("path"), F.array().cast("array<string>").alias("rel_types")) for end in ends]
     rims, before, sizes = [scratch_table(f, "path-rim") for f in first], [f.select("id").limit(0) for f in first], [1, 1]
     there = rims[1].select("id", F.col("path").alias("rest"), F.col("rel_types").alias("rest_types"))
     met = rims[0].join(there, "id")
@@ -133,7 +140,8 @@ def shortest_path(documents: DataFrame, edges: DataFrame, start: object, goal: o
         if not met.isEmpty():
             break
         side = 0 if sizes[0] <= sizes[1] else 1
-        step = rims[side].withColumnRenamed("id", "a").join(steps, "a")
+        near = picked(steps, "a", rims[side].select("id"))
+        step = rims[side].withColumnRenamed("id", "a").join(near, "a")
         if side == 0:
             grown = step.select(F.col("b").alias("id"), F.array_append("path", F.col("b")).alias("path"), F.array_append("rel_types", F.col("rel_type")).alias("rel_types"))
         else:
@@ -147,19 +155,32 @@ def shortest_path(documents: DataFrame, edges: DataFrame, start: object, goal: o
         met = rims[0].join(rims[1].select("id", F.col("path").alias("rest"), F.col("rel_types").alias("rest_types")), "id")
     whole = F.struct(F.concat("path", F.slice("rest", 2, F.size("rest"))).alias("path"), F.concat("rel_types", "rest_types").alias("rel_types"))
     best = met.agg(F.min(whole).alias("p")).where("p IS NOT NULL").select("p.*")
-    names = documents.select("id", "title")
+    best = scratch_table(best, "path-best")  # one row
+    on_path = [i for r in best.select("path").collect() for i in r["path"]]
+    names = picked(documents, "id", on_path).select("id", "title")
     placed = best.select(F.posexplode("path").alias("at", "id")).join(names, "id").agg(F.sort_array(F.collect_list(F.struct("at", "title"))).alias("named"))
     named = placed.select(F.transform("named", lambda n: n["title"]).alias("titles"))  # one row
     return best.join(F.broadcast(named), F.lit(True)).select((F.size("path") - 1).cast("long").alias("hops"), "path", "titles", "rel_types")
 
 
-def neighbours(edges: DataFrame, sources: DataFrame, hops: int = 1) -> DataFrame:
-    """`id, other`: documents within `hops` undirected steps of each of `sources` (`id`)."""
-    steps = both_ways(edges).select("a", "b").distinct()
-    level = sources.select("id").distinct().withColumn("at", F.col("id"))
-    found = None
-    for _ in range(hops):
-        level = level.join(steps, level["at"] == steps["a"]).select("id", F.col("b").alias("at")).distinct()
+def around(edges: Rows, keys: list[str] | DataFrame) -> DataFrame:
+    """`at, to`: the undirected steps from some documents, of a stored table of steps or of plain edges."""
+    if isinstance(edges, StoredTable):
+        return edges.picked(keys).select(F.col("a").alias("at"), F.col("b").alias("to"))
+    ends = [("src", "dst"), ("dst", "src")]
+    one, other = (picked(edges.select(F.col(a).alias("at"), F.col(b).alias("to")), "at", keys) for a, b in ends)
+    return one.unionByName(other)
+
+
+def neighbours(edges: Rows, sources: list[str], hops: int = 1) -> DataFrame:
+    """`id, other`: documents within `hops` undirected steps of each of a few sources. Each hop takes the edges of what it
+    has reached before anything is made distinct."""
+    spark = edges.spark if isinstance(edges, StoredTable) else edges.sparkSession
+    level, found = spark.createDataFrame([(s, s) for s in sorted(set(sources))], "id string, at string"), None
+    for hop in range(hops):
+        near = around(edges, level.select("at") if hop else sources)
+        level = level.join(near, "at").select("id", F.col("to").alias("at")).distinct()
+        level = scratch_table(level, "neighbours") if hop + 1 < hops else level
         found = level if found is None else found.unionByName(level).distinct()
     return found.select("id", F.col("at").alias("other"))
 

@@ -7,20 +7,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.tables import scratch_table
+from .fulltext import K1, B, Index, Query, postings, search
 from .graph import neighbours
-
-K1, B = 1.2, 0.75
+from .stored import Rows, StoredTable, all_rows, picked
 
 
 def fulltext_index(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """`term, id, tf, n_terms`: the postings of all texts with their lengths."""
-    base = df.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("terms"))
-    return base.select("id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"), F.first("n_terms").cast("long").alias("n_terms"))
+    """`term, id, tf, n_terms`: the postings of all texts with their lengths; ids are meant to be unique."""
+    return postings(df, id_col, text_col)
 
 
 def keyword_scores(df: DataFrame, id_col: str, text_col: str, keyword: str, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -48,27 +47,43 @@ def keyword_search(df: DataFrame, id_col: str, text_col: str, keyword: str, top_
     return keyword_scores(df, id_col, text_col, keyword).orderBy(F.desc("score"), "id").limit(top_k)
 
 
-def with_chunks(hits: DataFrame, chunks: DataFrame, documents: DataFrame) -> DataFrame:
-    """Hits (`id` of a chunk, `score`; at most some top k) with their chunks and documents, best first."""
-    names = documents.select(F.col("id").alias("doc_id"), "title", "tinh_trang_hieu_luc")
-    found = F.broadcast(hits.withColumnRenamed("id", "chunk_id"))
-    rows = chunks.join(found, "chunk_id").join(names, "doc_id")
+def with_chunks(hits: list[Row], chunks: Rows, documents: Rows) -> DataFrame:
+    """Hits (`id` of a chunk, `score`; at most some top k) with their chunks and documents, best first. Chunks and
+    documents are looked up by id, so of stored tables only their folders are read."""
+    spark = chunks.spark if isinstance(chunks, StoredTable) else chunks.sparkSession
+    found = spark.createDataFrame([(r["id"], r["score"]) for r in hits], "chunk_id string, score double")
+    own = picked(chunks, "chunk_id", [r["id"] for r in hits])
+    names = picked(documents, "id", own.select("doc_id")).select(F.col("id").alias("doc_id"), "title", "tinh_trang_hieu_luc")
+    rows = own.join(F.broadcast(found), "chunk_id").join(names, "doc_id")
     return rows.select("doc_id", "title", F.col("tinh_trang_hieu_luc").alias("tinh_trang"), "part_index", "chunk_index", "articles", "text", "score").orderBy(F.desc("score"), "doc_id", "chunk_index")
 
 
-def search_by_keyword(chunks: DataFrame, documents: DataFrame, keyword: str, top_k: int = 5) -> DataFrame:
-    """The best chunks of known documents for a keyword, with their documents."""
-    scores = keyword_scores(chunks, "chunk_id", "text", keyword, keep=("doc_id",))
-    known = scores.join(documents.select(F.col("id").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    hits = scratch_table(known.orderBy(F.desc("score"), "id").limit(top_k).select("id", "score"), "keyword-hits")
-    return with_chunks(hits, chunks, documents)
+def keyword_hits(chunks: Rows, keyword: str | Query, top_k: int, index: Index | None) -> list[Row]:
+    """The best chunks by the index; without one the texts are read once, for words alone."""
+    if index:
+        return search(index, keyword, top_k).collect()
+    if not isinstance(keyword, str):
+        raise ValueError("queries other than words need an index")
+    return keyword_search(all_rows(chunks), "chunk_id", "text", keyword, top_k).collect()
+
+
+def search_by_keyword(chunks: Rows, documents: Rows, keyword: str | Query, top_k: int = 5, index: Index | None = None) -> DataFrame:
+    """The best chunks of known documents for a keyword line or a query, with their documents. More hits are asked for
+    until enough of them are of known documents."""
+    most = 2 * top_k
+    while True:
+        hits = keyword_hits(chunks, keyword, most, index)
+        own = picked(chunks, "chunk_id", [r["id"] for r in hits]).select("chunk_id", "doc_id")
+        known = {r["chunk_id"] for r in own.join(picked(documents, "id", own.select("doc_id")).select(F.col("id").alias("doc_id")), "doc_id", "left_semi").collect()}
+        if len(known) >= top_k or len(hits) < most:
+            return with_chunks([r for r in hits if r["id"] in known][:top_k], chunks, documents)
+        most *= 8
 
 
-def search_by_vector(chunks: DataFrame, documents: DataFrame, vectors: DataFrame, query: list[float], top_k: int = 5) -> DataFrame:
+def search_by_vector(chunks: Rows, documents: Rows, vectors: DataFrame, query: list[float], top_k: int = 5) -> DataFrame:
     """The chunks nearest to a vector by (1 + cosine) / 2, with their documents; `vectors` has `chunk_id, embedding`. Of
     the top k those of no document go."""
-    hits = scratch_table(vector_search(vectors, "chunk_id", "embedding", query, top_k, halved=True), "vector-hits")
-    return with_chunks(hits, chunks, documents).drop("tinh_trang")
+    return with_chunks(vector_search(vectors, "chunk_id", "embedding", query, top_k, halved=True).collect(), chunks, documents).drop("tinh_trang")
 
 
 def embedding_search(vectors: DataFrame, meta: DataFrame, query: list[float], top_k: int = 5) -> DataFrame:
@@ -106,13 +121,12 @@ def vector_search(vectors: DataFrame, id_col: str, vector_col: str, query: list[
     return rows.orderBy(F.desc("score"), "id").limit(top_k)
 
 
-def hybrid_retrieve(chunks: DataFrame, documents: DataFrame, edges: DataFrame, keyword: str, top_k: int = 5, hops: int = 1, most: int = 5) -> DataFrame:
-    """The best chunks for a keyword with their documents and up to `most` titles of documents around each."""
-    hits = scratch_table(keyword_search(chunks, "chunk_id", "text", keyword, top_k), "hybrid-hits")
-    found = with_chunks(hits, chunks, documents)
-    found = scratch_table(found.drop("tinh_trang"), "hybrid-found")  # at most top_k rows
-    around = neighbours(edges, F.broadcast(found.select(F.col("doc_id").alias("id"))), hops)
-    titles = around.join(documents.select(F.col("id").alias("other"), F.col("title").alias("other_title")), "other")
+def hybrid_retrieve(chunks: Rows, documents: Rows, edges: Rows, keyword: str | Query, top_k: int = 5, hops: int = 1, most: int = 5, index: Index | None = None) -> DataFrame:
+    """The best chunks for a keyword with their documents and up to `most` titles of documents around each. `edges` are
+    plain ones or a stored table of steps."""
+    found = scratch_table(with_chunks(keyword_hits(chunks, keyword, top_k, index), chunks, documents).drop("tinh_trang"), "hybrid-found")
+    near = scratch_table(neighbours(edges, [r[0] for r in found.select("doc_id").distinct().collect()], hops), "hybrid-near")
+    titles = near.join(picked(documents, "id", near.select("other")).select(F.col("id").alias("other"), F.col("title").alias("other_title")), "other")
     titles = titles.groupBy(F.col("id").alias("doc_id")).agg(F.slice(F.sort_array(F.collect_set("other_title")), 1, most).alias("related_docs"))
     columns = ["doc_id", "title", "part_index", "chunk_index", "articles", F.col("text").alias("chunk_text"), "score", F.coalesce("related_docs", F.array().cast("array<string>")).alias("related_docs")]
     return found.join(titles, "doc_id", "left").select(*columns).orderBy(F.desc("score"), "doc_id", "chunk_index")

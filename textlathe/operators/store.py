@@ -1,119 +1,15 @@
-"""A graph that is stored and merged into: tables in folders by a hash of their key, of which a load rewrites only those
-with rows that it changes, and a lookup reads only those of its keys."""
+"""A graph that is stored and merged into."""
 
 from __future__ import annotations
 
-import zlib
-from collections.abc import Iterable
-from dataclasses import dataclass, field
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.text import rel_type
 from ..sources.tables import scratch_table
 from .graph import CHUNK_COLUMNS, METADATA_COLUMNS, both_ways, content_as_chunks, id_column, normalize_chunks, require_columns
-
-#: Up to this many keys are named in a plan; more are joined.
-NAMED_KEYS = 1000
-#: About how many rows of a folder one task writes.
-TASK_ROWS = 2_000_000
-
-
-def bucket_of(key: Column, buckets: int) -> Column:
-    return (F.crc32(key.cast("binary")) % buckets).cast("int")
-
-
-@dataclass(frozen=True)
-class StoredTable:
-    """Rows with a unique `key` (its first column deals them to folders). Of rows with one key the one that is greatest by
-    the other columns in their order counts, or the least: so a table does not depend on how its rows were loaded."""
-
-    spark: SparkSession = field(repr=False)
-    path: str
-    schema: T.StructType
-    key: tuple[str, ...]
-    buckets: int
-    least: bool = False
-
-    def exists(self) -> bool:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        return path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path)
-
-    def stored(self) -> DataFrame:
-        """All rows with their `bucket`."""
-        schema = T.StructType([*self.schema, T.StructField("bucket", T.IntegerType())])
-        return self.spark.read.schema(schema).parquet(self.path) if self.exists() else self.spark.createDataFrame([], schema)
-
-    def rows(self) -> DataFrame:
-        return self.stored().drop("bucket")
-
-    def picked(self, keys: Iterable[str] | DataFrame) -> DataFrame:
-        """The rows of some values of the first key column. Few are named in the plan, so that only their folders and row
-        groups are read; a table of keys (its first column) is joined."""
-        if isinstance(keys, DataFrame):
-            few = keys.limit(NAMED_KEYS + 1).collect()
-            if len(few) > NAMED_KEYS:
-                return self.rows().join(keys.toDF(self.key[0]).distinct(), self.key[0], "left_semi")
-            keys = [r[0] for r in few]
-        keys = sorted({k for k in keys if k is not None})
-        folders = sorted({zlib.crc32(k.encode()) % self.buckets for k in keys})
-        return self.stored().where(F.col("bucket").isin(folders) & F.col(self.key[0]).isin(keys)).drop("bucket")
-
-    def value(self, prefix: str = "") -> Column:
-        return F.struct(*[F.col(prefix + f.name) for f in self.schema if f.name not in self.key])
-
-    def merge(self, rows: DataFrame) -> int:
-        """Puts rows in, and tells how many folders were rewritten: those with rows that are new or better than the stored
-        ones of their keys. Loading rows again changes nothing. A load that breaks off can be repeated; folders are
-        swapped one by one, each as a whole. Rows with a null in their key are left out."""
-        names, key = self.schema.names, list(self.key)
-        pick = F.min if self.least else F.max
-        one = rows.select(*names).dropna(subset=key).groupBy(*key).agg(pick(self.value()).alias("v")).select(*key, "v.*").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
-        one = scratch_table(one.withColumn("bucket", bucket_of(F.col(key[0]), self.buckets)), "merge-rows")
-        news = one
-        if self.exists():
-            folders = [r[0] for r in one.select("bucket").distinct().collect()]
-            old = self.stored().where(F.col("bucket").isin(folders)).select(*key, self.value().alias("old"))
-            better = self.value() < F.col("old") if self.least else self.value() > F.col("old")
-            news = scratch_table(one.join(old, key, "left").where(F.col("old").isNull() | better).select(one.columns), "merge-news")
-        touched = sorted(r[0] for r in news.select("bucket").distinct().collect())  # at most all folders
-        if not touched:
-            return 0
-        kept = self.stored().where(F.col("bucket").isin(touched)).join(news.select(*key), key, "left_anti")
-        merged = scratch_table(kept.select(one.columns).unionByName(news), "merged")
-        self.swap(merged, len(touched))
-        return len(touched)
-
-    def swap(self, rows: DataFrame, folders: int) -> None:
-        """Writes whole folders. Each is dealt to tasks by its full key, so that one value of its first column may have
-        most rows."""
-        parts = 1 + rows.count() // (folders * TASK_ROWS)
-        dealt = rows.repartition(folders * parts, "bucket", F.pmod(F.xxhash64(*self.key), F.lit(parts)))
-        dealt.sortWithinPartitions("bucket", *self.key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
-
-    def remove(self, keys: DataFrame) -> None:
-        """Takes rows out by their full keys."""
-        key = list(self.key)
-        gone = scratch_table(keys.select(*key).distinct().withColumn("bucket", bucket_of(F.col(key[0]), self.buckets)), "gone")
-        touched = [r[0] for r in gone.select("bucket").distinct().collect()]
-        left = scratch_table(self.stored().where(F.col("bucket").isin(touched)).join(gone.select(*key), key, "left_anti"), "left")
-        held = {r[0] for r in left.select("bucket").distinct().collect()}
-        if held:
-            self.swap(left, len(held))
-        for bucket in set(touched) - held:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={bucket}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def picked(table: DataFrame | StoredTable, key: str, values: Iterable[str]) -> DataFrame:
-    """Some rows of a table of either kind by key."""
-    return table.picked(values) if isinstance(table, StoredTable) else table.where(F.col(key).isin(sorted(set(values))))
-
-
-def all_rows(table: DataFrame | StoredTable) -> DataFrame:
-    return table.rows() if isinstance(table, StoredTable) else table
+from .stored import StoredTable
 
 
 class GraphStore:
@@ -156,7 +52,7 @@ class GraphStore:
             both = new.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi")
             both = scratch_table(both, "load-edges")
             done["edges"] = self.edges.merge(both)
-            done["steps"] = self.steps.merge(both_ways(both).where("a <> b"))
+            done["steps"] = self.steps.merge(both_ways(both))
             key = list(self.edges.key)
             done["waiting"] = self.waiting.merge(new.join(both.select(*key).distinct(), key, "left_anti"))
             if waiting is not None:

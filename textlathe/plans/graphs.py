@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import search as R
+from ..operators.fulltext import search
+from ..operators.store import GraphStore
 from ..sources import adapters as A
 from ..sources.tables import scratch_path, table, write_parquet
+from . import stores
 from .registry import query
 
 KEYWORD = "The Ing"
@@ -131,7 +136,8 @@ def joined_path(found):
 
 @query(path_sql("500", "777"), "edges")
 def shortest_path(spark, sf):
-    return joined_path(G.shortest_path(A.nodes(spark, sf), A.edges(spark, sf), 500, 777))
+    graph = stores.graph(spark, sf)
+    return joined_path(G.shortest_path(graph.documents, graph.steps, 500, 777))
 
 
 @query("SELECT n.title, c.part_index, c.chunk_index, array_to_string(c.articles, ',') AS articles, c.text FROM article_chunks c JOIN nodes n ON c.doc_id = n.id WHERE c.doc_id = '7' AND list_contains(c.articles, '2')", "article_chunks nodes")
@@ -156,7 +162,70 @@ def fulltext_index(spark, sf):
 
 @query("WITH " + bm25("doc_id", "documents") + " SELECT id, round(score, 6) AS score FROM hits")
 def keyword_search(spark, sf):
-    return rounded(R.keyword_search(table(spark, sf, "documents"), "doc_id", "text", KEYWORD))
+    return rounded(search(stores.text_index(spark, sf), KEYWORD))
+
+
+WEIGHT = "tf * 2.2e0 / (tf + 1.2e0 * (0.25e0 + 0.75e0 * n / mean))"
+LEAVES = {
+    "word": f"SELECT id, idf * {WEIGHT} AS score FROM tf JOIN df USING (term), s WHERE term = '{{0}}'",
+    "pair": f"SELECT id, idf * {WEIGHT} AS score FROM (SELECT a.id, a.n, count(*) AS tf, (SELECT sum(idf) FROM df WHERE term IN ('{{0}}', '{{1}}')) AS idf FROM pos a JOIN pos b ON a.id = b.id AND a.i + 1 = b.i WHERE a.term = '{{0}}' AND b.term = '{{1}}' GROUP BY a.id, a.n), s",
+    "start": "SELECT DISTINCT id, 1.0e0 AS score FROM tf WHERE starts_with(term, '{0}')",
+    "near": f"SELECT id, sum(idf * (1 - levenshtein(term, '{{0}}') / length('{{0}}')) * {WEIGHT}) AS score FROM tf JOIN df USING (term), s WHERE levenshtein(term, '{{0}}') <= {{1}} GROUP BY id",
+}
+#: Search lines with the leaves whose scores count, those that must hit, and those that must not.
+LINES = {
+    "tion OR zwischen": (["word tion", "word zwischen"], [], []),
+    '"of the"': (["pair of the"], [], []),
+    "the AND los": (["word the", "word los"], ["word the", "word los"], []),
+    "+the tion -of": (["word the", "word tion"], ["word the"], ["word of"]),
+    "erst*": (["start erst"], [], []),
+    "there~1": (["near there 1"], [], []),
+    '+ons* +ontheren~2 -"the and"': (["start ons", "near ontheren 2"], ["start ons", "near ontheren 2"], ["pair the and"]),
+    'de "et la" NOT der': (["word de", "pair et la"], [], ["word der"]),
+}
+
+
+def leaf_sql(leaf: str) -> str:
+    kind, *words = leaf.split()
+    return LEAVES[kind].format(*words)
+
+
+def line_sql(line: str) -> str:
+    count, must, never = LINES[line]
+    tests = [f"id IN (SELECT id FROM ({leaf_sql(x)}))" for x in must] + [f"id NOT IN (SELECT id FROM ({leaf_sql(x)}))" for x in never]
+    return f"""(SELECT '{line}' AS line, id, round(sum(score), 6) AS score FROM ({" UNION ALL ".join(map(leaf_sql, count))}) WHERE {" AND ".join(tests or ["true"])} GROUP BY id ORDER BY sum(score) DESC, id LIMIT 5)"""
+
+
+@query(f"""WITH t AS (SELECT doc_id AS id, {TERMS} AS terms FROM documents), s AS (SELECT count(*) AS n_docs, avg(len(terms)) AS mean FROM t),
+    pos AS MATERIALIZED (SELECT id, len(terms) AS n, u.i, terms[u.i] AS term FROM t, unnest(range(1, len(terms) + 1)) u(i)), tf AS MATERIALIZED (SELECT id, n, term, count(*) AS tf FROM pos GROUP BY id, n, term),
+    df AS MATERIALIZED (SELECT term, ln(1 + (any_value(n_docs) - count(*) + 0.5e0) / (count(*) + 0.5e0)) AS idf FROM tf, s GROUP BY term) """ + " UNION ALL ".join(map(line_sql, LINES)))
+def fulltext_query(spark, sf):
+    """Search lines of all forms against the stored index."""
+    index = stores.text_index(spark, sf)
+    found = [rounded(search(index, line)).withColumn("line", F.lit(line)) for line in LINES]
+    return reduce(lambda a, b: a.unionByName(b), found)
+
+
+@query(f"SELECT term, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest({TERMS}) AS term FROM documents) GROUP BY term")
+def fulltext_terms(spark, sf):
+    """The dictionary of the stored index."""
+    return stores.text_index(spark, sf).table("terms")
+
+
+@query("""SELECT 'edge' AS kind, src AS id, rel_type, dst AS other, raw_label AS label FROM edges
+    UNION ALL SELECT 'step', a, min(rel_type), b, NULL FROM (SELECT src AS a, dst AS b, rel_type FROM edges UNION ALL SELECT dst, src, rel_type FROM edges) GROUP BY a, b
+    UNION ALL SELECT 'document', id, loai_van_ban, NULL, title FROM nodes UNION ALL SELECT 'part', doc_id, NULL, chunk_id, NULL FROM text_chunks WHERE doc_id IN (SELECT id FROM nodes)""", "edges text_chunks")
+def merge_graph(spark, sf):
+    """Three loads into a new store: relations before most of their documents, the other half, and the first again."""
+    store = GraphStore(spark, scratch_path(spark, "graph"), 16)
+    nodes, rels, half = A.nodes(spark, sf).withColumn("at", F.lit(0)), stores.relations(spark, sf), F.col("id").cast("long") % 2
+    store.load(nodes.where(half == 0), rels, order="at")
+    store.load(nodes.where(half == 1), content=table(spark, sf, "documents").withColumnRenamed("doc_id", "id"), order="at")
+    store.load(nodes.where(half == 0), rels, order="at")
+    row = lambda df, kind, *columns: df.select(F.lit(kind).alias("kind"), *[F.col(c).alias(n) if c else F.lit(None).cast("string").alias(n) for c, n in zip(columns, ("id", "rel_type", "other", "label"))])
+    edges, steps = row(store.edges.rows(), "edge", "src", "rel_type", "dst", "raw_label"), row(store.steps.rows(), "step", "a", "rel_type", "b", "")
+    documents, parts = row(store.documents.rows(), "document", "id", "loai_van_ban", "", "title"), row(store.part_of(), "part", "doc_id", "", "chunk_id", "")
+    return edges.unionByName(steps).unionByName(documents).unionByName(parts)
 
 
 @query("SELECT term, id, count(*) AS tf, max(n) AS n_terms FROM (SELECT id, len(terms) AS n, unnest(terms) AS term FROM (SELECT id, " + TERMS.replace("text", "title") + " AS terms FROM nodes)) GROUP BY term, id", "nodes")
@@ -175,7 +244,8 @@ def flat(found):
 
 @query("WITH " + bm25("chunk_id", "text_chunks") + " SELECT " + FULL.format(more=", n.tinh_trang_hieu_luc AS tinh_trang") + " FROM hits h JOIN text_chunks c ON h.id = c.chunk_id JOIN nodes n ON c.doc_id = n.id", "text_chunks nodes")
 def search_by_keyword(spark, sf):
-    return flat(R.search_by_keyword(A.text_chunks(spark, sf), A.nodes(spark, sf), KEYWORD))
+    graph = stores.graph(spark, sf)
+    return flat(R.search_by_keyword(graph.chunks, graph.documents, KEYWORD, index=stores.chunk_index(spark, sf)))
 
 
 @query("WITH " + bm25("chunk_id", "text_chunks") + """,
@@ -184,7 +254,8 @@ def search_by_keyword(spark, sf):
     SELECT c.doc_id, n.title, c.part_index, c.chunk_index, md5(c.text) AS text_md5, round(h.score, 6) AS score, coalesce(t.related_docs, '') AS related_docs
     FROM hits h JOIN text_chunks c ON h.id = c.chunk_id JOIN nodes n ON c.doc_id = n.id LEFT JOIN titles t ON h.id = t.id""", "edges text_chunks")
 def hybrid_retrieve(spark, sf):
-    found = R.hybrid_retrieve(A.text_chunks(spark, sf), A.nodes(spark, sf), A.edges(spark, sf), KEYWORD)
+    graph = stores.graph(spark, sf)
+    found = R.hybrid_retrieve(graph.chunks, graph.documents, graph.steps, KEYWORD, index=stores.chunk_index(spark, sf))
     return rounded(found).select("doc_id", "title", "part_index", "chunk_index", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"), "score", F.array_join("related_docs", ";").alias("related_docs"))
 
 

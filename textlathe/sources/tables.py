@@ -17,19 +17,29 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder that the session names. Where it names none: in a temporary folder in local mode
-    (tests), an error on a cluster, whose executors could not read that."""
+def scratch_root(spark: SparkSession) -> str:
+    """The shared folder that the session names. Where it names none: a temporary folder in local mode (tests), an error
+    on a cluster, whose executors could not read that."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="textlathe-")
         spark.conf.set("spark.checkpoint.dir", root)
-    SCRATCH.append(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    return root.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which `drop_scratch` removes."""
+    SCRATCH.append(f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}")
     return SCRATCH[-1]
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def scratch_table(df: DataFrame, name: str) -> DataFrame:
     """`df` as a scratch table, for what is read more than once."""
     return write_parquet(df, scratch_path(df.sparkSession, name))
