@@ -93,3 +93,36 @@ def test_time_is_linear_in_nesting(start):
     begun = time.monotonic()
     X.main_text(start * 50_000)
     assert time.monotonic() - begun < 20
+
+
+PROSE = "Here the writer goes on for a while about nothing in particular, so that the paragraph has a length that is usual. "
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 10])
+@pytest.mark.parametrize("sizes", [(3,), (1, 6, 2), (8, 1)])
+def test_all_articles_of_a_page(n, sizes):
+    made = [(f"Heading number {i}", [f"{i}-{j} {PROSE * 2}".strip() for j in range(sizes[i % len(sizes)])]) for i in range(n)]
+    articles = "".join(f"<article><h2>{h}</h2>{''.join(f'<p>{p}</p>' for p in ps)}</article>" for h, ps in made)
+    menu = "<nav><ul><li><a href=/a>Home</a><li><a href=/b>News</a></ul></nav><div class=crumbs><a href=/>Up</a> <a href=/c>On</a></div>"
+    page = f"<html><body>{menu}<div>{articles}</div><footer>Copyright</footer></body></html>"
+    assert X.main_text(page).split("\n") == [line for h, ps in made for line in (h, *ps)]
+
+
+@pytest.mark.parametrize("small", [1, 2])
+def test_small_regions_beside_a_large_one(small):
+    large = "".join(f"<p>{i} {PROSE * 4}</p>" for i in range(7))
+    short = [f"{k} {PROSE * small}".strip() for k in range(4)]
+    page = f"<body><div class=menu><a href=/>Home</a> <a href=/x>More</a></div><div><div>{large}</div>{''.join(f'<div><p>{s}</p></div>' for s in short)}</div></body>"
+    found = X.main_text(page).split("\n")
+    assert found[-4:] == short and len(found) == 11
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a href='", "<!--", "<!-- x> ", '<a x=">" ', "<b>x ", "<div>", "</"])
+def test_unfinished_tags_take_time_in_proportion(piece):
+    def took(size: int) -> float:
+        start = time.perf_counter()
+        X.main_text("<p>" + PROSE + piece * (size // len(piece)))
+        return time.perf_counter() - start
+
+    took(1000)
+    assert took(1_000_000) < max(4.0, 16 * took(250_000))

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from html.parser import HTMLParser
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.markup import LinearParser
+
 # The element names of HTML by their part in a page.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BLOCKS = frozenset(
@@ -53,7 +54,7 @@ UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE
 
 #: How far a landmark or a hint lowers a ratio, and a weak hint.
 STRONG, WEAK = 0.05, 0.4
-#: Regions with less than this share of the text of the greatest one are no content.
+#: Regions with this share of the text of the greatest one are content; smaller ones are if their own ratio is high.
 LEAST_SHARE = 0.1
 
 
@@ -71,12 +72,12 @@ def hint_factor(value: str) -> tuple[float, bool]:
     return factor, comments
 
 
-class Lines(HTMLParser):
+class Lines(LinearParser):
     """Collects the lines of a page with their numbers of tags, and the elements (nodes) that they lie in. All work is
     in proportion to the page: open elements are also held by name, so that nothing walks over them."""
 
     def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.open: list[tuple[str, bool, int]] = []  # name, whether it or one around it is not shown, node
         self.places: dict[str, list[int]] = {}  # of each name, the places of the open elements
         self.blocks_open: list[int] = []
@@ -89,10 +90,8 @@ class Lines(HTMLParser):
         self.tags = self.links = 0
         self.title = ""
 
-    def parse_html_declaration(self, i: int) -> int:
-        if self.rawdata.startswith("<![", i):  # sections of other dialects are skipped like comments
-            return self.parse_bogus_comment(i)
-        return super().parse_html_declaration(i)
+    def tail(self, rest: str) -> None:
+        super().tail(CUT_TAG.sub("", rest))
 
     def hidden(self) -> bool:
         return bool(self.open) and self.open[-1][1]
@@ -188,8 +187,8 @@ class Lines(HTMLParser):
         elif self.open[-1][0] == "title":
             self.title += data
 
-    def close(self) -> None:
-        super().close()
+    def read(self, page: str) -> None:
+        super().read(page)
         self.end_line()
 
 
@@ -236,8 +235,7 @@ class Page:
 
     def __init__(self, html: str) -> None:
         parser = Lines()
-        parser.feed(CUT_TAG.sub("", html))
-        parser.close()
+        parser.read(html)
         self.parser, self.parents, self.names = parser, parser.parents, parser.names
         self.n_lines, self.n_nodes = len(parser.lines), len(parser.parents)
         self.line = np.array([i for i, pieces in enumerate(parser.lines) for _ in pieces], np.int64)
@@ -347,18 +345,20 @@ class Page:
         if not weight.any():
             weight = left
         of_node = sums_below(self.parents, np.bincount(self.line_node, weights=weight, minlength=self.n_nodes))
+        links = 2 * np.array(self.parser.link_chars) > self.per_line(self.size)
+        visible, linked = (sums_below(self.parents, np.bincount(self.line_node, weights=w, minlength=self.n_nodes)) for w in (left, left * links))
         for name in ("article", "main"):
-            found = [i for i in self.outermost(name) if of_node[i] > 0]
-            most = max((of_node[i] for i in found), default=0.0)
+            found = [i for i in self.outermost(name) if visible[i] > 0]
+            most = max((visible[i] for i in found), default=0.0)
             if found and 2 * sum(of_node[i] for i in found) > of_node[0]:
-                chosen = self.within([i for i in found if of_node[i] >= LEAST_SHARE * most])
+                chosen = self.within([i for i in found if visible[i] >= LEAST_SHARE * most or (of_node[i] > 0 and 2 * linked[i] <= visible[i])])
                 break
         else:
             where = self.container()[self.line_node]
-            direct = np.bincount(where, weights=weight, minlength=self.n_nodes)
-            links = 2 * np.array(self.parser.link_chars) > self.per_line(self.size)
+            direct, own, rank = (np.bincount(where, weights=w, minlength=self.n_nodes) for w in (weight, left, line_score * left))
+            region = (direct >= LEAST_SHARE * direct.max()) | ((direct > 0) & (rank >= cut * own))
             row_of_links = np.array([self.names[i] in CONTAINERS for i in self.line_node]) & links & (np.log1p(per_tag) < cut)
-            chosen = (direct >= LEAST_SHARE * direct.max())[where] & ~row_of_links
+            chosen = region[where] & ~row_of_links
             between = np.flatnonzero(chosen & (left > 0))
             inner = np.arange(between[0], between[-1] + 1)
             chosen[inner] |= ~links[inner]
@@ -373,7 +373,7 @@ def main_text(html: str | None, clustered: bool = True) -> str:
     The text-to-tag ratios of the lines are smoothed and split into two clusters. Ratios in elements that are called
     menus, adverts, comments and the like are lowered first, and those elements go whose mean lies in the lower cluster;
     nav, header, footer, aside and dialog elements always go. If articles (or main elements) hold most text of the upper
-    cluster, all the rest of them is content, short lines too; otherwise the elements that hold it directly are, with
+    cluster, they are the content, short lines too, but for small ones of links or low ratios; otherwise the elements that hold it directly are, with
     the lines between them that are not mostly links. A headline that stands before belongs to it.
     """
     if not html:
