@@ -26,6 +26,8 @@ from ..sources.tables import scratch_path, scratch_table, spread, write_parquet
 K1, B = 1.2, 0.75
 #: Up to this many terms that a prefix or a misspelt word stands for are named in the plan; more are joined.
 NAMED_TERMS = 1000
+#: Up to this many asked terms are a literal in the plan; more are a broadcast table of NAMED_TERMS a leaf at most.
+FEW_NAMED = 16
 #: How many shards are scored first, and up to how many all are.
 FIRST_SHARDS, FEW_SHARDS = 16, 64
 SCHEMAS = {
@@ -328,13 +330,18 @@ def blocks_of(index: Index, asked: Asked, columns: list[str]) -> DataFrame:
     """The blocks of the asked terms with `leaf, place, worth` of what asks for them. Terms are named in the plan, so that
     only their folders and row groups are read; many that one leaf stands for are joined."""
     rows = index.table("postings").select("bucket", "term", "shard", *columns)
-    terms = sorted({t for _, _, t, _ in asked.named})
-    by = F.array(*[F.struct(F.lit(i).alias("leaf"), F.lit(at).alias("place"), F.lit(t).alias("of"), F.lit(float(w)).alias("worth")) for i, at, t, w in asked.named])
-    here = rows.where(F.col("bucket").isin(sorted({folder(t, index.buckets) for t in terms})) & F.col("term").isin(terms))
-    found = here.select("term", "shard", *columns, F.explode(F.filter(by, lambda a: a["of"] == F.col("term"))).alias("a")).select("term", "shard", *columns, "a.leaf", "a.place", "a.worth") if terms else None
+    terms, columns = sorted({t for _, _, t, _ in asked.named}), ["term", "shard", *columns]
+    here = rows.where(F.col("bucket").isin(sorted({folder(t, index.buckets) for t in terms})) & F.col("term").isin(terms)).select(*columns)
+    if not terms:
+        found = None
+    elif len(asked.named) > FEW_NAMED:
+        found = here.join(F.broadcast(index.spark.createDataFrame(asked.named, "leaf int, place int, term string, worth double")), "term").select(*columns, "leaf", "place", "worth")
+    else:
+        by = F.array(*[F.struct(F.lit(i).alias("leaf"), F.lit(at).alias("place"), F.lit(t).alias("of"), F.lit(float(w)).alias("worth")) for i, at, t, w in asked.named])
+        found = here.select(*columns, F.explode(F.filter(by, lambda a: a["of"] == F.col("term"))).alias("a")).select(*columns, "a.leaf", "a.place", "a.worth")
     if asked.more is None:
         return found
-    joined = rows.drop("bucket").join(asked.more, "term").select("term", "shard", *columns, "leaf", "place", "worth")
+    joined = rows.drop("bucket").join(asked.more, "term").select(*columns, "leaf", "place", "worth")
     return joined if found is None else found.unionByName(joined)
 
 
