@@ -563,8 +563,12 @@ def licences_by_brute_force(texts):
                     continue
                 v, n = vector(window)
                 score = round(sum(v[w] * u[w] for w in v if w in u) / (n * m), 9)
+                if kind == L.NAME:
+                    before, after = found[max(0, start - L.BEFORE) : max(0, start)], found[start + len(template) : start + len(template) + 1]
+                    if start < 0 or sorted(window) != sorted(template) or L.SAID.isdisjoint([*before, found[start]]) or not L.DENIED.isdisjoint(before) or not L.NOT_NEXT.isdisjoint(after):
+                        continue
                 if score >= L.MIN_SCORE:
-                    file = kind != L.NOTICE and start <= L.MARGIN and (kind == L.OPENING or len(found) - len(template) <= L.MARGIN)
+                    file = kind in (L.WHOLE, L.OPENING) and start <= L.MARGIN and (kind == L.OPENING or len(found) - len(template) <= L.MARGIN)
                     out[key, text] = min(out.get((key, text), (True, 0.0, "~")), (not file, -score, name))
     return out
 
@@ -580,7 +584,7 @@ def licence_docs() -> list[tuple[int | None, str | None]]:
     whole, openings = dict(L.WHOLE_TEXTS), dict(L.OPENINGS)
     code = "def main ( ) return value of the function and print it to the screen " * 12
     docs = [(i, f"/*\n{wrapped(names[n])}\n */\n{code}") for i, n in enumerate(["GPL-3.0", "GPL-2.0", "AGPL-3.0", "BSD-3-Clause", "ISC", "MIT", "MPL-2.0"])]
-    docs += [(20, f"/*\n{wrapped(L.NOTICES[1][1])}\n */\n{code}"), (21, f"MIT License\n\nCopyright (c) 2024 Somebody\n\n{wrapped(whole['MIT'], 80, '')}"), (22, f"Copyright 2020 A B\nAll rights reserved.\n{wrapped(whole['BSD-2-Clause'], 70, '')}"), (23, wrapped(openings["GPL-3.0"], 70, "    ") + " 0. Definitions. " + code), (24, f"{code} {whole['MIT']} {code}")]
+    docs += [(20, f"/*\n{wrapped(names['Apache-2.0'])}\n */\n{code}"), (21, f"MIT License\n\nCopyright (c) 2024 Somebody\n\n{wrapped(whole['MIT'], 80, '')}"), (22, f"Copyright 2020 A B\nAll rights reserved.\n{wrapped(whole['BSD-2-Clause'], 70, '')}"), (23, wrapped(openings["GPL-3.0"], 70, "    ") + " 0. Definitions. " + code), (24, f"{code} {whole['MIT']} {code}")]
     return docs + [(30, "Intro line.\nReleased under the MIT License.\nMore"), (31, "Nothing here under the sun."), (32, None), (33, ""), (34, "licensed UNDER cc by-nc 4.0. And so on"), (34, "again other text"), (None, "Licensed under CC BY 4.0."), (35, "the mit license"), (36, "Preheat the oven, then serve with a license to eat.")]
 
 
@@ -598,6 +602,28 @@ def test_licences_by_brute_force(spark):
     assert not {31, 32, 33, 36} & set(by_id)
 
 
+def test_each_licence_by_its_names_and_no_other(spark):
+    """Each licence's usual notices and identifiers give it, whatever the verb; denied and bare names give none."""
+    rows, expected = [], {}
+    spelt = [*L.NAMES, *((i, i) for i in L.IDENTIFIERS if "-" in i)]
+    for licence, name in spelt:
+        for form in ("Licensed under the {}.", "This project is made available under the terms of the {}, see the file.", "# License: {}", "Code (c) 2020 A. Distributed\n * under the\n * {}", "It is not licensed under the {}.", "We looked at {} texts."):
+            expected[len(rows)] = None if "not" in form or ("looked" in form and name != "The Unlicense" and not name.startswith("License ")) else licence
+            if "looked" in form and (name == "The Unlicense" or name.startswith("License ")):
+                continue
+            rows.append((len(rows), form.format(name)))
+    for licence in L.IDENTIFIERS:
+        expected[len(rows)] = licence
+        rows.append((len(rows), f"// SPDX-License-Identifier: {licence}\nint main() {{}}"))
+    for text in ("// SPDX-License-Identifier: MIT-0", "under CC BY-XY 4.0", "the GNU Lesser Public Licence 3", "licensed under the MIT"):
+        expected[len(rows)] = None
+        rows.append((len(rows), text))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: (r["licence"], r["score"]) for r in L.licence_matches(docs, L.templates(spark)).collect()}
+    wrong = [(text, expected[i], got.get(i)) for i, text in rows if (got.get(i) or (None,))[0] != expected[i]]
+    assert not wrong and {s for _, s in got.values()} == {1.0}
+
+
 def test_scan_gives_licences_to_the_files_below(spark):
     """Only texts that are licence files give theirs; a notice, a recipe and a poem give and get none elsewhere."""
     texts = dict((k, t) for k, t in licence_docs() if k is not None)

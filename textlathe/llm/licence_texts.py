@@ -71,20 +71,14 @@ MPL_OPENING = (
 NOTICES = (
     ("AGPL-3.0", GPL_NOTICE.format(name="Affero ", version="3")),
     ("Apache-2.0", APACHE_NOTICE),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
     ("BSD-3-Clause", BSD_GRANT),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("GPL-2.0", GPL_NOTICE.format(name="", version="2")),
     ("GPL-3.0", GPL_NOTICE.format(name="", version="3")),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("ISC", ISC_GRANT),
     ("LGPL-3.0", GPL_NOTICE.format(name="Lesser ", version="3")),
-    ("MIT", "Released under the MIT License."),
     ("MIT", MIT_GRANT),
     ("MPL-2.0", MPL_NOTICE),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
@@ -107,3 +101,64 @@ OPENINGS = (
     ("LGPL-3.0", GPL_OPENING.format(name="LESSER ", version="3", date="29 June 2007", year="2007", place="<https://fsf.org/>")),
     ("MPL-2.0", MPL_OPENING),
 )
+
+#: Identifiers of SPDX, which also stand after "SPDX-License-Identifier:".
+IDENTIFIERS = (
+    "AGPL-3.0 Apache-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-NC-4.0 CC-BY-NC-ND-4.0 CC-BY-NC-SA-4.0 CC-BY-ND-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-2.0 Unlicense"
+).split()
+#: What licences are called in running text.
+NAMES = (
+    ("AGPL-3.0", "GNU Affero General Public License version 3"),
+    ("AGPL-3.0", "GNU Affero General Public License v3"),
+    ("AGPL-3.0", "AGPL v3"),
+    ("AGPL-3.0", "AGPLv3"),
+    ("Apache-2.0", "Apache License version 2.0"),
+    ("Apache-2.0", "Apache License 2.0"),
+    ("Apache-2.0", "Apache 2.0"),
+    ("BSD-2-Clause", "2-clause BSD"),
+    ("BSD-2-Clause", "BSD 2-Clause"),
+    ("BSD-3-Clause", "3-clause BSD"),
+    ("BSD-3-Clause", "BSD 3-Clause"),
+    ("CC-BY-4.0", "CC BY 4.0"),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0"),
+    ("CC-BY-NC-4.0", "CC BY-NC 4.0"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0"),
+    ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0"),
+    ("CC-BY-NC-ND-4.0", "Creative Commons Attribution-NonCommercial-NoDerivatives 4.0"),
+    ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0"),
+    ("CC-BY-NC-SA-4.0", "Creative Commons Attribution-NonCommercial-ShareAlike 4.0"),
+    ("CC-BY-ND-4.0", "CC BY-ND 4.0"),
+    ("CC-BY-ND-4.0", "Creative Commons Attribution-NoDerivatives 4.0"),
+    ("CC-BY-SA-4.0", "CC BY-SA 4.0"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0"),
+    ("CC0-1.0", "CC0 1.0"),
+    ("GPL-2.0", "GNU General Public License version 2"),
+    ("GPL-2.0", "GNU General Public License v2"),
+    ("GPL-2.0", "GPL v2"),
+    ("GPL-2.0", "GPLv2"),
+    ("GPL-3.0", "GNU General Public License version 3"),
+    ("GPL-3.0", "GNU General Public License v3"),
+    ("GPL-3.0", "GPL v3"),
+    ("GPL-3.0", "GPLv3"),
+    ("ISC", "ISC License"),
+    ("ISC", "License ISC"),
+    ("LGPL-2.1", "GNU Lesser General Public License version 2.1"),
+    ("LGPL-2.1", "LGPL v2.1"),
+    ("LGPL-2.1", "LGPLv2.1"),
+    ("LGPL-3.0", "GNU Lesser General Public License version 3"),
+    ("LGPL-3.0", "GNU Lesser General Public License v3"),
+    ("LGPL-3.0", "LGPL v3"),
+    ("LGPL-3.0", "LGPLv3"),
+    ("MIT", "MIT License"),
+    ("MIT", "MIT licence"),
+    ("MIT", "License MIT"),
+    ("MPL-2.0", "Mozilla Public License version 2.0"),
+    ("MPL-2.0", "Mozilla Public License v. 2.0"),
+    ("MPL-2.0", "Mozilla Public License 2.0"),
+    ("Unlicense", "The Unlicense"),
+)
+#: A name is a notice after one of these words, or if it begins with one.
+SAID = frozenset("license licence licensed licenced licensing released distributed available published provided covered governed offered shared under terms spdx".split())
+#: It is none after one of these, or before one of NOT_NEXT, which make it another name.
+DENIED = frozenset("not never neither nor unlike no previously formerly".split())
+NOT_NEXT = frozenset("0 clear".split())

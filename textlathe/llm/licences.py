@@ -3,7 +3,7 @@ inheritance from the nearest ancestor directory by joins on paths.
 
 A template is compared with windows of as many words as it has, wherever lines end: with those that have one of its two
 rarest words in the same place. So a notice is found in any wrapping, and a window is looked at only where a rare word
-stands.
+stands. Names and identifiers of licences are templates too, of which every word must be there.
 """
 
 from __future__ import annotations
@@ -15,17 +15,20 @@ from pyspark.sql import functions as F
 
 from .common import literal_rows, small, written
 from .decontamination import BETWEEN
-from .licence_texts import NOTICES, OPENINGS, WHOLE_TEXTS
+from .licence_texts import DENIED, IDENTIFIERS, NAMES, NOT_NEXT, NOTICES, OPENINGS, SAID, WHOLE_TEXTS
 
 MIN_SCORE = 0.8
 #: A licence file has its text within so many words of its start, and whole texts leave no more than these around them.
 MARGIN = 60
-NOTICE, WHOLE, OPENING = "notice", "whole", "opening"
+NOTICE, WHOLE, OPENING, NAME = "notice", "whole", "opening", "name"
+#: Within so many words before a name it is said, or denied, that it is a notice.
+BEFORE = 6
 
 
 def template_rows() -> list[tuple[int, str, str, str]]:
     """`template, kind, licence, text` of all templates."""
-    named = [(kind, *row) for kind, rows in ((NOTICE, NOTICES), (WHOLE, WHOLE_TEXTS), (OPENING, OPENINGS)) for row in rows]
+    names = [*NAMES, *((i, i) for i in IDENTIFIERS if "-" in i), *((i, f"SPDX-License-Identifier: {i}") for i in IDENTIFIERS)]
+    named = [(kind, *row) for kind, rows in ((NOTICE, NOTICES), (WHOLE, WHOLE_TEXTS), (OPENING, OPENINGS), (NAME, names)) for row in rows]
     return [(i, *row) for i, row in enumerate(named)]
 
 
@@ -74,6 +77,10 @@ def licence_matches(docs: DataFrame, texts: DataFrame, *, id_col: str = "doc_id"
     least `least`: the best one, ties to the licence first by name. All windows around the rarest words of the templates
     in all documents are scored.
 
+    A name of a licence or an identifier is a notice of its own if all its words and no others stand in the window, so its
+    score is 1 in any table; if a word such as "licensed" or "under" stands before it, and none such as "not"; and if
+    what follows does not make it another name.
+
     A document is a licence file if it opens with a template of one: after at most MARGIN words, and, for whole licence
     texts, with no more than MARGIN words left over.
     """
@@ -88,16 +95,21 @@ def licence_matches(docs: DataFrame, texts: DataFrame, *, id_col: str = "doc_id"
     placed = spotted.join(F.broadcast(anchors), "term").where(start + F.col("size") > 0)
     squares = weights.groupBy("template").agg(F.collect_list(F.struct("term", F.pow("weight", 2).alias("square"))).alias("squares"))
     reach = F.aggregate(F.filter("squares", lambda t: F.array_contains("window", t["term"])), F.lit(0.0), lambda s, t: s + t["square"])
+    first = F.greatest(start - BEFORE, F.lit(0))
+    before, after = F.slice("words", first + 1, F.greatest(start - first, F.lit(0))), F.coalesce(F.get("words", start + F.col("size")), F.lit(""))
+    among = lambda found: lambda w: w.isin(sorted(found))
+    said = (F.exists(before, among(SAID)) | F.get("words", start).isin(sorted(SAID))) & ~F.exists(before, among(DENIED)) & ~after.isin(sorted(NOT_NEXT))
+    placed = placed.where((F.col("kind") != NAME) | ((start >= 0) & said))
     windows = placed.select("doc_id", "text_hash", "template", "kind", "licence", "size", "n_words", start.alias("start"), window.alias("window")).join(F.broadcast(squares), "template")
-    # a cosine is at most the length of the part of the template's vector that lies on words of the window
-    windows = windows.where(reach >= least * least - 1e-9).drop("squares").dropDuplicates(["doc_id", "text_hash", "template", "start"])
+    # a cosine is at most the length of the part of the template's vector that lies on words of the window; names are whole
+    windows = windows.where(reach >= F.when(F.col("kind") == NAME, 1 - 1e-9).otherwise(least * least - 1e-9)).drop("squares").dropDuplicates(["doc_id", "text_hash", "template", "start"])
     keys = ["doc_id", "text_hash", "template", "kind", "licence", "size", "n_words", "start"]
     terms = windows.select(*keys, F.explode("window").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
     idf, named = F.broadcast(weights.select("term", "idf").distinct()), F.broadcast(weights.select("template", "term", "weight"))
     scaled = terms.join(idf, "term", "left").withColumn("value", F.col("tf") * F.coalesce("idf", F.lit(other))).join(named, ["template", "term"], "left")
     sums = scaled.groupBy(*keys).agg(F.sum(F.col("value") * F.coalesce("weight", F.lit(0.0))).alias("dot"), F.sum(F.pow("value", 2)).alias("square"))
-    scored = sums.withColumn("score", F.round(F.col("dot") / F.sqrt("square"), 9)).where(F.col("score") >= least)
-    near = (F.col("kind") != NOTICE) & (F.col("start") <= MARGIN) & ((F.col("kind") == OPENING) | (F.col("n_words") - F.col("size") <= MARGIN))
+    scored = sums.withColumn("score", F.round(F.col("dot") / F.sqrt("square"), 9)).where(F.col("score") >= F.when(F.col("kind") == NAME, 1 - 1e-9).otherwise(least))
+    near = F.col("kind").isin(WHOLE, OPENING) & (F.col("start") <= MARGIN) & ((F.col("kind") == OPENING) | (F.col("n_words") - F.col("size") <= MARGIN))
     best = F.min(F.struct((~near).alias("not_file"), (-F.col("score")).alias("low"), "licence")).alias("best")
     return scored.groupBy("doc_id", "text_hash").agg(best).select("doc_id", "text_hash", F.col("best.licence").alias("licence"), (-F.col("best.low")).alias("score"), (~F.col("best.not_file")).alias("is_licence_file"))
 
