@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import n_words, written
+from .common import n_words, small, written
 
 #: A range of hash keys has about so many documents.
 RANGE_ROWS = 4096
@@ -54,7 +54,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     key = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col), F.col(text_col)), 64 - KEY_BITS)
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"), key.alias("key"))
     base = written(base, "mix-sizes")
-    targets = source_targets(base, weights, most)
+    targets = small(written(source_targets(base, weights, most), "mix-targets"))
     per_range = F.greatest(F.lit(1), F.ceil(F.col("n_docs") / RANGE_ROWS)).cast("long")
     ranged = (
         base.join(targets.withColumn("ranges", per_range), base["source"].eqNullSafe(targets["source"]))
@@ -66,6 +66,7 @@ def mix_sources(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
         "source", "part",
         F.coalesce(F.sum("part_size").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("part_start"),
     )
+    starts = small(written(starts, "mix-starts"))  # one row for RANGE_ROWS rows
     placed = ranged.join(starts, ranged["source"].eqNullSafe(starts["source"]) & (ranged["part"] == starts["part"])).drop(starts["source"]).drop(starts["part"])
     upto = Window.partitionBy("source", "part").orderBy("key", "doc_id", F.col("size").desc()).rowsBetween(Window.unboundedPreceding, -1)
     start = F.col("part_start") + F.coalesce(F.sum("size").over(upto), F.lit(0))
