@@ -202,6 +202,19 @@ def test_contamination_of_odd_texts(spark, odd):
     assert D.contamination(odd.limit(0), empty).count() == 0
 
 
+@pytest.mark.parametrize("stretch", [1024, 7])
+def test_contamination_of_long_texts_with_hits_throughout(spark, monkeypatch, stretch):
+    """Items longer than a stretch, hits across its ends, a text that is one item over and over, and a cut-off beginning."""
+    monkeypatch.setattr(D, "STRETCH", stretch)
+    rng = random.Random(stretch)
+    long_item = [f"q{rng.randrange(40)}" for _ in range(1300)]
+    short_item = [f"s{i}" for i in range(15)]
+    docs = [(1, " ".join(long_item[600:] + ["x"] * 500 + long_item + ["y"] * 3 + long_item[:700])), (2, " ".join(short_item * 1500)), (3, " ".join(short_item[2:] + ["z"] * 1000 + short_item[:-1])), (4, " ".join(short_item)), (4, "other"), (2, " ".join(short_item * 1500))]
+    items = [(7, " ".join(long_item)), (8, " ".join(short_item)), (9, "z z")]
+    got = D.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((tuple(r) for r in got), key=repr) == contaminated_by_brute_force(docs, items)
+
+
 def test_contamination_with_clashing_columns(spark, odd):
     clash = odd.withColumns({c: F.lit(i) for i, c in enumerate(["term", "pos", "words", "n", "item", "at", "shift", "hit"])})
     items = spark.createDataFrame([(1, "p3 P4 p5"), (2, " ".join(f"p{i}" for i in range(20)))], "item_id long, text string").withColumns({"doc_id": F.lit(1), "n": F.lit(2), "term": F.lit("x")})

@@ -40,6 +40,10 @@ def among(tokens: DataFrame, terms: DataFrame) -> DataFrame:
     return tokens.withColumn("_salt", F.pmod(F.xxhash64("doc_id", "text_hash", "pos"), F.lit(SALTS)).cast("int")).join(salted, ["term", "_salt"]).drop("_salt")
 
 
+#: Words of a stretch of a text; as many as the longest item has, if that has more.
+STRETCH = 1024
+
+
 @dataclass(frozen=True)
 class Index:
     """The stored index: `items` (`item_id, words, n, item`), `anchors` (the two rarest places of each window of an item:
@@ -94,17 +98,22 @@ def phrase_matches(docs: DataFrame, index: Index, *, id_col: str = "doc_id", tex
     places = index.anchors.select("item", "n", "place", "term").distinct()
     shifted = index.postings.join(small(places), "term").select("doc_id", "text_hash", "item", "n", "place", (F.col("pos") - F.col("place")).alias("shift"))
     met = shifted.groupBy("doc_id", "text_hash", "item", "n", "shift").agg(F.min("place").alias("low"), F.max("place").alias("high")).where("low < high or n = 1")
-    # of a long document, the alignments of each stretch of it make a row of their own
-    aligned = met.groupBy("doc_id", "text_hash", F.floor(F.col("shift") / 1024).alias("stretch")).agg(F.collect_list(F.struct("item", "n", "shift")).alias("aligned"))
-    aligned = written(aligned.drop("stretch"), "bench-aligned").withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_"})
-
-    def stretch(a: Column) -> Column:
-        lead = F.greatest(F.lit(0), -a["shift"])
-        return F.struct(a["item"].alias("item"), a["shift"].alias("shift"), lead.alias("lead"), F.slice("words", F.greatest(F.lit(0), a["shift"]) + 1, a["n"] - lead).alias("found"))
-
-    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    texts = keyed.join(small(aligned), keyed["doc_id"].eqNullSafe(F.col("id_")) & (keyed["text_hash"] == F.col("hash_")))
-    pairs = texts.select("doc_id", "text_hash", "aligned", words(F.col("text")).alias("words")).select("doc_id", "text_hash", F.explode(F.transform("aligned", stretch)).alias("a")).select("doc_id", "text_hash", "a.*")
+    # texts that meet are cut into stretches of STRETCH words and those that the longest item may reach beyond; an alignment
+    # is looked at in its stretch alone, so a text is carried once however many it has
+    longest = int(index.items.agg(F.max("n")).first()[0] or 0)
+    wide = max(STRETCH, longest)
+    stretch = F.greatest(F.lit(0), F.floor(F.col("shift") / wide)).cast("int")
+    aligned = written(met.select("doc_id", "text_hash", "item", "n", "shift", stretch.alias("stretch")), "bench-aligned").withColumnsRenamed({"doc_id": "id_", "text_hash": "hash_", "stretch": "stretch_"})
+    whole = written(aligned.select("id_", "hash_").distinct(), "bench-met")
+    keyed = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text")).where("text IS NOT NULL")
+    same = keyed["doc_id"].eqNullSafe(F.col("id_")) & (keyed["text_hash"] == F.col("hash_"))
+    texts = keyed.join(small(whole), same, "left_semi").select("doc_id", "text_hash", words(F.col("text")).alias("words"))
+    number = F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor((F.size("words") - 1) / wide).cast("int")))
+    cut = texts.select("doc_id", "text_hash", F.explode(F.transform(number, lambda k: F.struct(k.alias("stretch"), F.slice("words", k * wide + 1, wide + longest).alias("words")))).alias("s")).select("doc_id", "text_hash", "s.*")
+    lead = F.greatest(F.lit(0), -F.col("shift"))
+    found = F.slice("words", F.greatest(F.lit(0), F.col("shift")) - F.col("stretch") * wide + 1, F.col("n") - lead)
+    pairs = cut.join(small(aligned), cut["doc_id"].eqNullSafe(F.col("id_")) & (cut["text_hash"] == F.col("hash_")) & (cut["stretch"] == F.col("stretch_")))
+    pairs = pairs.select("doc_id", "text_hash", "item", "shift", lead.cast("int").alias("lead"), found.alias("found"))
     both = pairs.join(small(index.items.select("item", "item_id", "n", F.col("words").alias("test"))), "item")
     length = F.least(F.col("n"), F.lit(size))
     last = F.least(F.col("n") - length, F.col("lead") + F.size("found") - length)
