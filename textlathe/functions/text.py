@@ -86,13 +86,29 @@ def bases() -> tuple[str, str]:
     return "".join(p[0] for p in pairs), "".join(p[1] for p in pairs)
 
 
+@cache
+def several() -> dict[str, str]:
+    """The characters whose compatibility decomposition has ASCII letters or digits among several characters, and that
+    with `_` for each other character."""
+    out = {}
+    for code in range(0x80, 0x20000):
+        plain = "".join(x for x in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(x))
+        if len(plain) > 1 and any(x.isascii() and x.isalnum() for x in plain):
+            out[chr(code)] = "".join(x if x.isascii() and x.isalnum() else "_" for x in plain)
+    return out
+
+
 def ascii_base(c: Column, map_d: bool = False) -> Column:
-    """Letters and digits without their marks, full-width and other compatibility forms as plain ones; characters that
-    decompose to several stay as they are, and so does `đ` unless `map_d`."""
+    """Letters and digits without their marks, compatibility forms as plain ones, those of several characters too (with `_`
+    for what is no letter or digit); `đ` stays as it is unless `map_d`. Texts without characters that decompose to several
+    are not taken apart."""
     marked, plain = bases()
     if map_d:
         marked, plain = marked + "đĐ", plain + "dD"
-    return F.regexp_replace(F.translate(c, marked, plain), r"\p{M}+", "")
+    pairs = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in several().items())), F.lit("\u0001"), F.lit("\u0002"))
+    letters = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(pairs, x), x))
+    whole = F.when(c.rlike("[" + "".join(several()) + "]"), F.array_join(letters, "")).otherwise(c)
+    return F.regexp_replace(F.translate(whole, marked, plain), r"\p{M}+", "")
 
 
 def rel_type(c: Column, map_d: bool = False) -> Column:

@@ -10,6 +10,7 @@ from ..operators import graph as G
 from ..operators import search as R
 from ..operators.fulltext import search
 from ..operators.store import GraphStore
+from ..operators.vectors import index_search
 from ..sources import adapters as A
 from ..sources.tables import scratch_path, table, write_parquet
 from . import stores
@@ -281,6 +282,12 @@ def vector_search(spark, sf):
     return rounded(R.vector_search(table(spark, sf, "embeddings"), "vec_id", "embedding", query_vector(spark, sf)))
 
 
+@query(NEAR.format(score="list_inner_product(a.v, b.v)"))
+def vector_index_search(spark, sf):
+    """The exact top from the stored index: cells are read until no other one can hold a nearer vector."""
+    return rounded(index_search(stores.vector_index(spark, sf), query_vector(spark, sf), exact=True))
+
+
 @query(NEAR.format(score="((1 + list_inner_product(a.v, b.v)) / 2)"))
 def vector_search_graph(spark, sf):
     return rounded(R.vector_search(table(spark, sf, "embeddings"), "vec_id", "embedding", query_vector(spark, sf), halved=True))

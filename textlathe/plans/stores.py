@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators.fulltext import Index, build_index, open_index
 from ..operators.store import GraphStore
+from ..operators.vectors import VectorIndex, build_vector_index, open_vector_index
 from ..sources import adapters as A
 from ..sources.tables import exists, scratch_root, table
 
@@ -54,3 +55,10 @@ def graph(spark: SparkSession, folder: str) -> GraphStore:
         store.load(A.nodes(spark, folder).withColumn("at", F.lit(0)), relations(spark, folder), order="at")
         spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/done")
     return store
+
+
+def vector_index(spark: SparkSession, folder: str) -> VectorIndex:
+    path = store_path(spark, folder, "vector-index", "embeddings")
+    if not exists(spark, f"{path}/stats/_SUCCESS"):
+        build_vector_index(table(spark, folder, "embeddings"), "vec_id", "embedding", path)
+    return open_vector_index(spark, path)
