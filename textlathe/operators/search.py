@@ -5,13 +5,13 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..sources.tables import scratch_table
+from .encoder import fit_encoder
 from .fulltext import K1, B, Index, Query, postings, search
 from .graph import neighbours
 from .stored import Rows, StoredTable, all_rows, picked
@@ -132,28 +132,16 @@ def hybrid_retrieve(chunks: Rows, documents: Rows, edges: Rows, keyword: str | Q
     return found.join(titles, "doc_id", "left").select(*columns).orderBy(F.desc("score"), "doc_id", "chunk_index")
 
 
-def hashing_encoder(dim: int = 64):
-    """Texts to unit vectors of hashed terms: a stand-in that needs no model."""
-
-    def encode(texts: list[str]) -> np.ndarray:
-        out = np.zeros((len(texts), dim), np.float32)
-        for row, text in enumerate(texts):
-            for term in text.lower().split():
-                code = sum((i + 1) * b for i, b in enumerate(term.encode())) * 2654435761 % (1 << 32)
-                out[row, code % dim] += 1 if code >> 16 & 1 else -1
-        return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
-
-    return encode
-
-
 def encode_texts(df: DataFrame, id_col: str, text_col: str, encoder=None, batch: int = 64) -> DataFrame:
-    """`vector_id, embedding` from any function of a list of texts to a matrix, called with `batch` texts at a time."""
-    encoder = encoder or hashing_encoder()
+    """`vector_id, embedding` from any function of a list of texts to a matrix, called with `batch` texts at a time; without
+    one from an encoder that is fitted to these texts."""
+    encoder = encoder or fit_encoder(df, text_col)
+    shared = df.sparkSession.sparkContext.broadcast(encoder)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for at in range(0, len(frame), batch):
                 part = frame.iloc[at : at + batch]
-                yield pd.DataFrame({"vector_id": part["vector_id"], "embedding": list(encoder(part["text"].tolist()))})
+                yield pd.DataFrame({"vector_id": part["vector_id"], "embedding": list(shared.value(part["text"].tolist()))})
 
     return df.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("vector_id"), F.col(text_col).alias("text")).mapInPandas(run, "vector_id long, embedding array<float>")
