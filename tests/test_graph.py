@@ -103,3 +103,28 @@ def test_inputs_are_checked(spark, graph):
 def test_last_row_of_an_id_sets_all_properties(spark):
     rows = spark.createDataFrame([(1.0, "a", 0), (1.0, None, 1), (None, "c", 2)], "id double, title string, at long")
     assert [(r["id"], r["title"]) for r in G.upsert_nodes(rows, "id", "at").collect()] == [("1", None)]
+
+
+@pytest.mark.parametrize("frontier", [100_000, 0])
+def test_paths_of_many_pairs(spark, monkeypatch, frontier):
+    """Each pair as if it were asked alone, with a broadcast frontier and with salted steps."""
+    monkeypatch.setattr(G, "FRONTIER", frontier)
+    monkeypatch.setattr(G, "SALTS", 3)
+    rng = random.Random(7)
+    pairs = {(rng.randrange(12), rng.randrange(12)) for _ in range(14)} | {(0, i) for i in range(12)}  # 0 is a hub
+    docs = spark.createDataFrame([(str(i), f"t{i}") for i in range(14)], "id string, title string")
+    steps = G.steps_of(spark.createDataFrame([(str(a), str(b), f"R{(a + b) % 3}") for a, b in pairs], "src string, dst string, rel_type string"))
+    asked = [(1, 2), (3, 9), (3, 4), (0, 5), (5, 5), (12, 1), (1, 12), (13, 13), (77, 1), (1, 77), (11, 10), (1, 2)]
+    got = {(r["a"], r["b"]): (r["hops"], r["path"], r["titles"]) for r in G.shortest_paths(docs, steps, spark.createDataFrame(asked, "a long, b long"), 3).collect()}
+    near = {str(i): {str(b) for a, b in pairs if a == i} | {str(a) for a, b in pairs if b == i} for i in range(14)}
+
+    def alone(a, b):
+        paths = [[a]] if a in near else []
+        for _ in range(4):
+            hit = [p for p in paths if p[-1] == b]
+            if hit:
+                return min(hit)
+            paths = [[*p, n] for p in paths for n in near[p[-1]] if n not in p]
+
+    expected = {(str(a), str(b)): p for a, b in asked if (p := alone(str(a), str(b)))}
+    assert got == {k: (len(p) - 1, p, [f"t{i}" for i in p]) for k, p in expected.items()}

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import warnings
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.text import normalize_id, parse_articles, rel_type
 from ..sources.tables import scratch_table
 from .profile import keep_first
-from .stored import Rows, StoredTable, picked
+from .stored import Rows, StoredTable, all_rows, picked
 
 # The columns of documents and chunks.
 METADATA_COLUMNS = (
@@ -19,6 +20,9 @@ METADATA_COLUMNS = (
 ).split()
 CHUNK_COLUMNS = "chunk_id doc_id chunk_index part_index articles text".split()
 
+#: Rows of a frontier that are broadcast, at most (ids, and paths of a few hops); into how many parts steps are salted beyond.
+FRONTIER, SALTS = 100_000, 16
+
 
 def id_column(df: DataFrame, name: str) -> Column:
     return normalize_id(F.col(name), df.schema[name].dataType.simpleString())
@@ -163,6 +167,46 @@ def shortest_path(documents: Rows, steps: Rows, start: object, goal: object, max
     return best.join(F.broadcast(named), F.lit(True)).select((F.size("path") - 1).cast("long").alias("hops"), "path", "titles", "rel_types")
 
 
+def shortest_paths(documents: Rows, steps: Rows, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
+    """`a, b, hops, path, titles, rel_types` of a table of pairs (`a, b`): what `shortest_path` gives for each, all at once.
+
+    The search goes out from all distinct `a` together; a row of the frontier is a source and a node it reached, with the
+    first path by ids. Sources whose pairs are all found stop. A frontier of up to FRONTIER rows is broadcast to the steps,
+    so a node with very many edges is no single task's; a larger one is joined with salted steps.
+    """
+    every = all_rows(steps).select(F.col("a").alias("at"), F.col("b").alias("to"), "rel_type")
+    asked = scratch_table(pairs.select(*[F.trim(F.col(c).cast("string")).alias(c) for c in ("a", "b")]).distinct(), "paths-asked")
+    known = picked(documents, "id", asked.select("a").union(asked.select("b"))).select("id").distinct()
+    asked = scratch_table(asked.join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi"), "paths-asked")
+    start = asked.select(F.col("a").alias("src"), F.col("a").alias("at"), F.array("a").alias("path"), F.array().cast("array<string>").alias("rel_types")).distinct()
+    level, before = scratch_table(start, "paths-level"), start.select("src", "at").limit(0)
+    hits = [asked.where("a = b").select("a", "b", F.array("a").alias("path"), F.array().cast("array<string>").alias("rel_types"))]
+    left = scratch_table(asked.where("a <> b"), "paths-left")
+    for _ in range(max_hops):
+        n = level.count()
+        if not n or left.isEmpty():
+            break
+        if n <= FRONTIER:
+            grown = every.join(F.broadcast(level), "at")
+        else:
+            salted = every.withColumn("salt", F.pmod(F.xxhash64("to"), F.lit(SALTS)))
+            grown = salted.join(level.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["at", "salt"])
+        grown = grown.select("src", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"), F.array_append("rel_types", F.col("rel_type")).alias("rel_types"))
+        known_nodes = level.select("src", "at").unionByName(before)
+        grown = grown.join(known_nodes, ["src", "at"], "left_anti").groupBy("src", "at").agg(F.min(F.struct("path", "rel_types")).alias("p")).select("src", "at", "p.*")
+        before, reached = level.select("src", "at"), scratch_table(grown, "paths-level")
+        hit = scratch_table(left.join(reached.withColumnsRenamed({"src": "a", "at": "b"}), ["a", "b"]).select("a", "b", "path", "rel_types"), "paths-hits")
+        hits.append(hit)
+        left = scratch_table(left.join(hit, ["a", "b"], "left_anti"), "paths-left")
+        level = reached.join(left.select(F.col("a").alias("src")).distinct(), "src", "left_semi")
+    found = scratch_table(reduce(lambda x, y: x.unionByName(y), hits), "paths-found")
+    nodes = found.select("a", "b", F.posexplode("path").alias("place", "id"))
+    names = picked(documents, "id", nodes.select("id")).select("id", "title")
+    titles = nodes.join(names, "id").groupBy("a", "b").agg(F.sort_array(F.collect_list(F.struct("place", "title"))).alias("named"))
+    told = titles.select("a", "b", F.transform("named", lambda x: x["title"]).alias("titles"))
+    return found.join(told, ["a", "b"]).select("a", "b", (F.size("path") - 1).cast("long").alias("hops"), "path", "titles", "rel_types")
+
+
 def around(edges: Rows, keys: list[str] | DataFrame) -> DataFrame:
     """`at, to`: the undirected steps from some documents, of a stored table of steps or of plain edges."""
     if isinstance(edges, StoredTable):

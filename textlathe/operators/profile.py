@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+#: Ranges that a pass of rank selection divides a span into, and how many values of the last one are fetched at most.
+RANGES, FETCHED = 1024, 10_000
+
 
 def value_counts(df: DataFrame, col: str, top: int | None = None) -> DataFrame:
     """Rows of each value that is not null, most first, ties by value."""
@@ -20,9 +23,57 @@ def null_profile(df: DataFrame) -> DataFrame:
     return sums.select("_rows", F.inline(each)).select("column_name", "n_null", share.alias("pct_null"))
 
 
-def describe(df: DataFrame, col: str) -> DataFrame:
-    """Count, mean, sample deviation, least, exact quartiles and greatest of a column."""
+def values_at(df: DataFrame, col: str, ranks: list[int]) -> dict[int, float]:
+    """The values of some ranks (from 0) among all values that are numbers, by rank selection: a pass counts the values of
+    equal ranges around each wanted one with the least and greatest of them, and the next pass divides the range that
+    holds it. Passes end where a range has one value, or so few that they are fetched. Only counts reach the driver."""
+    values = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)")
+    least, most = values.agg(F.min("v"), F.max("v")).first()
+    found: dict[int, float] = {}
+    wanted = {rank: (least, most, 0) for rank in ranks}  # the range that holds a rank, and how many values lie below it
+    while wanted:
+        spans = sorted(set(wanted.values()))
+        share = lambda lo, hi: (F.col("v") / RANGES - lo / RANGES) / (hi / RANGES - lo / RANGES) if hi > lo else F.lit(0.0)
+        place = F.lit(None).cast("int")
+        for i, (lo, hi, _) in enumerate(spans):
+            at = F.least(F.floor(share(lo, hi) * RANGES), F.lit(RANGES - 1)).cast("int")
+            place = F.when((F.col("v") >= lo) & (F.col("v") <= hi), i * RANGES + at).otherwise(place)
+        counted = values.select("v", place.alias("place")).where("place IS NOT NULL").groupBy("place").agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        bins = sorted(counted.collect())  # at most RANGES rows a span
+        narrowed = {}
+        for rank, span in wanted.items():
+            below, i = span[2], spans.index(span)
+            for r in bins:
+                if r["place"] // RANGES == i:
+                    if rank < below + r["n"]:
+                        narrowed[rank] = (r["lo"], r["hi"], below), r["n"]
+                        break
+                    below += r["n"]
+        wanted = {}
+        for rank, ((lo, hi, below), n) in narrowed.items():
+            if lo == hi:
+                found[rank] = lo
+            elif n <= FETCHED:
+                found[rank] = sorted(r["v"] for r in values.where(F.col("v").between(lo, hi)).collect())[rank - below]
+            else:
+                wanted[rank] = lo, hi, below
+    return found
+
+
+def exact_quantiles(df: DataFrame, col: str, shares: list[float]) -> list[float | None]:
+    """The quantiles of a column, between two values in proportion; None for a column without numbers."""
+    n = df.select(F.col(col).cast("double").alias("v")).where("v IS NOT NULL AND NOT isnan(v)").count()
+    places = [share * (n - 1) for share in shares]
+    at = values_at(df, col, sorted({rank for p in places for rank in (int(p), min(int(p) + 1, n - 1))})) if n else {}
+    return [at[int(p)] + (at[min(int(p) + 1, n - 1)] - at[int(p)]) * (p - int(p)) for p in places] if n else [None] * len(shares)
+
+
+def describe(df: DataFrame, col: str, in_one: int = 1_000_000) -> DataFrame:
+    """Count, mean, sample deviation, least, exact quartiles and greatest of a column. Up to about `in_one` distinct
+    values are counted at one place; quartiles of more are found by rank selection."""
     q = [F.percentile(col, F.lit(p)).alias(name) for p, name in ((0.25, "p25"), (0.5, "p50"), (0.75, "p75"))]
+    if df.select(F.approx_count_distinct(col)).first()[0] > in_one:
+        q = [F.lit(x).cast("double").alias(name) for x, name in zip(exact_quantiles(df, col, [0.25, 0.5, 0.75]), ("p25", "p50", "p75"))]
     return df.agg(F.count(col).alias("n"), F.round(F.avg(col), 6).alias("mean"), F.round(F.stddev_samp(col), 6).alias("std"), F.min(col).alias("least"), *q, F.max(col).alias("most"))
 
 

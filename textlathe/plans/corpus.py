@@ -212,6 +212,12 @@ def describe_lengths(spark, sf):
     return P.describe(table(spark, sf, "documents"), "n_chars")
 
 
+@query("SELECT count(l_extendedprice) AS n, round(avg(l_extendedprice), 6) AS mean, round(stddev_samp(l_extendedprice), 6) AS std, min(l_extendedprice) AS least, quantile_cont(l_extendedprice, 0.25) AS p25, quantile_cont(l_extendedprice, 0.5) AS p50, quantile_cont(l_extendedprice, 0.75) AS p75, max(l_extendedprice) AS most FROM lineitem")
+def describe_prices(spark, sf):
+    """Quartiles of a column of mostly distinct values, by rank selection."""
+    return P.describe(table(spark, sf, "lineitem"), "l_extendedprice", in_one=0)
+
+
 @query("SELECT CAST(count(*) - count(DISTINCT text) AS BIGINT) AS n_duplicates FROM documents")
 def duplicate_count(spark, sf):
     return P.duplicate_count(table(spark, sf, "documents"), "text")

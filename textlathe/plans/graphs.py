@@ -141,6 +141,18 @@ def shortest_path(spark, sf):
     return joined_path(G.shortest_path(graph.documents, graph.steps, 500, 777))
 
 
+PAIRS = [("500", "777"), ("500", "42"), ("3", "3"), ("7", "10"), ("1", "2"), ("9", "no"), ("12", "85")]
+STEPS, PATH = path_sql("{0}", "{1}").split(",\n        l0 AS", 1)
+
+
+@query(STEPS.replace("{{", "{") + " SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, * FROM (WITH l0 AS" + PATH.replace("{0}", a).replace("{1}", b) + ")" for a, b in PAIRS) + ")", "edges")
+def shortest_paths(spark, sf):
+    """The paths of several pairs at once."""
+    graph = stores.graph(spark, sf)
+    found = G.shortest_paths(graph.documents, graph.steps, spark.createDataFrame(PAIRS, "a string, b string"))
+    return found.select("a", "b", "hops", *[F.array_join(c, ">").alias(c) for c in ("path", "titles", "rel_types")])
+
+
 @query("SELECT n.title, c.part_index, c.chunk_index, array_to_string(c.articles, ',') AS articles, c.text FROM article_chunks c JOIN nodes n ON c.doc_id = n.id WHERE c.doc_id = '7' AND list_contains(c.articles, '2')", "article_chunks nodes")
 def search_by_article(spark, sf):
     return G.search_by_article(A.article_chunks(spark, sf), A.nodes(spark, sf), 7, 2).withColumn("articles", F.array_join("articles", ","))
