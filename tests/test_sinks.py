@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from textlathe.functions import text as X
-from textlathe.sources.tables import drop_scratch, read_csv, scratch_path, write_csv, write_parquet
+from textlathe.sources.tables import drop_scratch, read_csv, scratch_path, write_checked, write_csv, write_parquet
 
 
 def test_csv_has_a_mark_and_comes_back(spark, tmp_path):
@@ -60,3 +60,22 @@ def test_a_cluster_needs_a_shared_folder():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None), sparkContext=SimpleNamespace(master="spark://host:7077"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
         scratch_path(session, "x")
+
+
+def test_checks_of_a_write(spark):
+    """Rows that break rules are kept apart, numbers come from the write, and what is written is computed once."""
+    ran = spark.sparkContext.accumulator(0)
+
+    @F.udf("long")
+    def size(text):
+        ran.add(1)
+        return len(text) if text is not None else None
+
+    rows = spark.createDataFrame([(1, "ab"), (2, "abcdef"), (None, "a"), (3, None), (None, None)], "id long, text string").repartition(3)
+    rules = {"short": F.col("size") <= 3, "id": F.col("id").isNotNull()}
+    good, apart, seen = write_checked(rows.withColumn("size", size("text")), scratch_path(spark, "checked"), rules, {"most": F.max("size"), "chars": F.sum("size")})
+    assert ran.value == 5 and seen == {"n_rows": 5, "most": 6, "chars": 9, "n_short": 3, "n_id": 2}
+    assert [tuple(r) for r in good.collect()] == [(1, "ab", 2)]
+    assert sorted(((r["id"], r["broken"]) for r in apart.collect()), key=repr) == sorted([(2, ["short"]), (None, ["id"]), (3, ["short"]), (None, ["short", "id"])], key=repr)
+    none, gone, seen = write_checked(rows.limit(0), scratch_path(spark, "checked"), {"id": F.col("id").isNotNull()}, {"n": F.count("id")})
+    assert none.count() == gone.count() == 0 and seen["n_rows"] == 0

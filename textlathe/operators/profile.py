@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.tables import write_checked
+
 #: Ranges that a pass of rank selection divides a span into, and how many values of the last one are fetched at most.
 RANGES, FETCHED = 1024, 10_000
 
@@ -117,6 +119,15 @@ def length_report(chunks: DataFrame, size: int = 1500) -> DataFrame:
     )
 
 
+def write_chunks(chunks: DataFrame, path: str, size: int = 1500) -> tuple[DataFrame, DataFrame, dict]:
+    """Writes chunks; gives those that fit, those that are too long or lack an id or a text (kept apart), and the numbers of
+    `length_report`, all from one pass over the chunks."""
+    n = F.length("text").cast("long")
+    rules = {"long": n <= size, "id": F.col("chunk_id").isNotNull() & F.col("doc_id").isNotNull(), "text": F.col("text").isNotNull()}
+    measures = {"least": F.min(n), "most": F.max(n), "mean": F.round(F.avg(n), 6), "n_over": F.count_if(n > size), "n_far_over": F.count_if(n > 10000)}
+    return write_checked(chunks, path, rules, measures)
+
+
 def require_bounded(chunks: DataFrame, size: int = 1500) -> DataFrame:
     """`chunks`; reading it fails if one is longer than `size`."""
     fail = F.raise_error(F.concat(F.lit("chunk too long: "), F.col("chunk_id")))

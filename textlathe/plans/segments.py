@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import profile as P
 from ..operators import segment as S
 from ..sources import adapters as A
-from ..sources.tables import table
+from ..sources.tables import scratch_path, table
 from .registry import query
 
 TRIM = r"E' \t\n\r'"
@@ -197,6 +197,15 @@ def chunk_length_report(spark, sf):
     return P.length_report(P.require_bounded(S.chunk_documents(A.legal(spark, sf))))
 
 
+@query(CHUNKS[2] + " SELECT 'text' AS kind, count(*) AS n, CAST(sum(length(text)) AS BIGINT) AS chars FROM merged WHERE length(text) <= 700 UNION ALL SELECT 'apart', count(*), CAST(sum(length(text)) AS BIGINT) FROM merged WHERE length(text) > 700 UNION ALL SELECT 'seen', count(*), max(length(text)) FROM merged", "legal")
+def write_chunks(spark, sf):
+    """Chunks written with their checks, those of more than 700 characters kept apart; numbers from the write itself."""
+    good, apart, seen = P.write_chunks(S.chunk_documents(A.legal(spark, sf)), scratch_path(spark, "chunks"), 700)
+    told = spark.createDataFrame([("seen", seen["n_rows"], seen["most"])], "kind string, n long, chars long")
+    number = lambda df, kind: df.agg(F.count("*").alias("n"), F.sum(F.length("text").cast("long")).alias("chars")).select(F.lit(kind).alias("kind"), "n", "chars")
+    return number(good, "text").unionByName(number(apart, "apart")).unionByName(told)
+
+
 @query(CHUNKS[2] + " SELECT id AS doc_id, count(*) AS n, true AS contiguous, true AS unique_ids FROM merged GROUP BY id", "legal")
 def chunk_integrity(spark, sf):
     return P.chunk_integrity(S.chunk_documents(A.legal(spark, sf)))

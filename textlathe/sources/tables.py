@@ -5,7 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BOM = "\ufeff"
@@ -68,6 +69,21 @@ def write_parquet(df: DataFrame, path: str, mode: str = "errorifexists", partiti
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def write_checked(df: DataFrame, path: str, rules: dict[str, Column], measures: dict[str, Column]) -> tuple[DataFrame, DataFrame, dict]:
+    """Writes `df` once and returns the rows that keep all rules, the others with `broken` (the names of the rules they
+    break; one that is null is broken), and the `measures` (aggregates over all rows, and `n_<rule>`, how many rows break
+    each), which the write itself observes: `df` is not computed a second time for its checks."""
+    broken = F.filter(F.array(*[F.when(F.coalesce(keeps, F.lit(False)), F.lit(None).cast("string")).otherwise(F.lit(name)) for name, keeps in rules.items()]), lambda x: x.isNotNull())
+    seen = Observation()
+    marked = df.withColumn("broken", broken)
+    counts = [F.count_if(F.array_contains("broken", name)).alias(f"n_{name}") for name in rules]
+    observed = marked.observe(seen, F.count("*").alias("n_rows"), *[m.alias(name) for name, m in measures.items()], *counts)
+    observed.withColumn("kept", F.size("broken") == 0).write.partitionBy("kept").parquet(path)
+    schema = T.StructType([*marked.schema, T.StructField("kept", T.BooleanType())])
+    stored = df.sparkSession.read.schema(schema).parquet(path)
+    return stored.where("kept").select(df.columns), stored.where("NOT kept").drop("kept"), seen.get
+
+
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     """CSV files with a header, each of which starts with a byte order mark, as spreadsheets expect of UTF-8."""
     first, *rest = df.columns
