@@ -206,6 +206,6 @@ def write_chunks(spark, sf):
     return number(good, "text").unionByName(number(apart, "apart")).unionByName(told)
 
 
-@query(CHUNKS[2] + " SELECT id AS doc_id, count(*) AS n, true AS contiguous, true AS unique_ids FROM merged GROUP BY id", "legal")
+@query(CHUNKS[2] + f" SELECT doc_id, count(*) AS n, min(chunk_index) = 0 AND max(chunk_index) = count(*) - 1 AND count(DISTINCT chunk_index) = count(*) AS contiguous, count(DISTINCT chunk_id) = count(*) AS unique_ids FROM ({CHUNK_ROWS}) GROUP BY doc_id", "legal")
 def chunk_integrity(spark, sf):
     return P.chunk_integrity(S.chunk_documents(A.legal(spark, sf)))
