@@ -107,7 +107,7 @@ def ascii_base(c: Column, map_d: bool = False) -> Column:
         marked, plain = marked + "đĐ", plain + "dD"
     pairs = F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in several().items())), F.lit("\u0001"), F.lit("\u0002"))
     letters = F.transform(F.regexp_extract_all(c, F.lit("(?s)."), F.lit(0)), lambda x: F.coalesce(F.try_element_at(pairs, x), x))
-    whole = F.when(c.rlike("[" + "".join(several()) + "]"), F.array_join(letters, "")).otherwise(c)
+    whole = F.when(F.translate(c, "".join(several()), "") != c, F.array_join(letters, "")).otherwise(c)
     return F.regexp_replace(F.translate(whole, marked, plain), r"\p{M}+", "")
 
 
