@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..operators import graph as G
 from ..operators import search as R
 from ..operators.fulltext import search
+from ..operators.patterns import Hop, chain_matches
 from ..operators.store import GraphStore
 from ..operators.vectors import index_search
 from ..sources import adapters as A
@@ -322,3 +323,35 @@ def embedding_search(spark, sf):
 @query()
 def encode_documents(spark, sf):
     return R.encode_texts(table(spark, sf, "documents"), "doc_id", "text")
+
+
+BOTH_WAYS = "u AS (SELECT src AS a, dst AS b, src, rel_type, dst FROM edges UNION ALL SELECT dst, src, src, rel_type, dst FROM edges WHERE src <> dst)"
+
+
+@query("""SELECT e.src AS id, f.dst AS other, count(*) AS n_ways, count(DISTINCT e.dst) AS n_between FROM edges e JOIN edges f ON e.dst = f.src AND (e.src, e.rel_type, e.dst) <> (f.src, f.rel_type, f.dst)
+    JOIN nodes s ON e.src = s.id JOIN nodes t ON f.dst = t.id WHERE e.rel_type = 'R_1_URGENT' AND f.rel_type IN ('R_2_HIGH', 'R_5_LOW') AND s.tinh_trang_hieu_luc = 'in force' AND t.tinh_trang_hieu_luc = 'expired' GROUP BY e.src, f.dst""", "edges")
+def expired_basis(spark, sf):
+    """Documents in force that rest on an expired one through a document between them."""
+    store, status = stores.graph(spark, sf), F.col("tinh_trang_hieu_luc")
+    found = chain_matches(store.documents, store.edges, [Hop(("R_1_URGENT",)), Hop(("R_2_HIGH", "R_5_LOW"), where=status == "expired")], start=status == "in force")
+    ends = F.col("nodes")
+    return found.groupBy(ends[0].alias("id"), ends[2].alias("other")).agg(F.count("*").alias("n_ways"), F.count_distinct(ends[1]).alias("n_between"))
+
+
+@query("""SELECT e.src AS id, count(*) AS n_cycles FROM edges e JOIN edges f ON e.dst = f.src JOIN edges g ON f.dst = g.src AND g.dst = e.src
+    WHERE e.rel_type = 'R_1_URGENT' AND f.rel_type = 'R_2_HIGH' AND (g.src, g.rel_type, g.dst) <> (e.src, e.rel_type, e.dst) AND (g.src, g.rel_type, g.dst) <> (f.src, f.rel_type, f.dst) GROUP BY e.src""", "edges")
+def relation_cycles(spark, sf):
+    """Documents that come back to themselves over three relations."""
+    store = stores.graph(spark, sf)
+    found = chain_matches(store.documents, store.edges, [Hop(("R_1_URGENT",)), Hop(("R_2_HIGH",)), Hop()], closed=True)
+    return found.groupBy(F.col("nodes")[0].alias("id")).agg(F.count("*").alias("n_cycles"))
+
+
+@query("WITH " + BOTH_WAYS + """, m AS (SELECT x.a AS id, x.b AS other, 1 AS hops FROM u x WHERE x.a IN ('7', '12')
+    UNION ALL SELECT x.a, y.b, 2 FROM u x JOIN u y ON x.b = y.a AND (x.src, x.rel_type, x.dst) <> (y.src, y.rel_type, y.dst) WHERE x.a IN ('7', '12'))
+    SELECT m.id, other, count(*) AS n_ways, CAST(min(hops) AS BIGINT) AS hops FROM m JOIN nodes n ON m.other = n.id WHERE n.loai_van_ban = 'en' GROUP BY m.id, other""", "edges")
+def related_within(spark, sf):
+    """English documents within two relations in any direction of two documents, and how many ways lead there."""
+    store = stores.graph(spark, sf)
+    found = chain_matches(store.documents, store.edges, [Hop((), "any", 1, 2, F.col("loai_van_ban") == "en")], start_ids=["7", "12"])
+    return found.groupBy(F.col("nodes")[0].alias("id"), F.col("nodes")[1].alias("other")).agg(F.count("*").alias("n_ways"), F.min(F.size("path") - 1).cast("bigint").alias("hops"))
