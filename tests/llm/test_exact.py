@@ -267,6 +267,23 @@ def test_proximity_by_brute_force(spark, seed):
     assert got == near_by_brute_force(docs, items, 5, 3)
 
 
+def test_items_near_by_brute_force(spark, odd):
+    """How many items are near each row, among odd texts, rows without ids and items that share their rarest terms."""
+    docs = [(r["doc_id"], r["text"]) for r in odd.collect()] + [(70, "alpha x y z beta a b"), (71, "beta alpha"), (None, "alpha x y z beta")]
+    items = [(1, "p3 P4 p5"), (2, " ".join(f"p{i}" for i in range(20))), (3, ""), (4, None), (5, "x"), (6, "alpha x y z beta"), (7, "w alpha x y z q beta x"), (8, "alpha beta")]
+    rows = spark.createDataFrame(docs, "doc_id long, text string")
+    got = D.contamination(rows, spark.createDataFrame([*items, (None, "alpha beta")], "item_id long, text string"), size=5, slack=2)
+    near = defaultdict(set)
+    for at in range(len(docs)):
+        near[at] = set()
+    for at, item, *_ in near_by_brute_force([(i, t) for i, (_, t) in enumerate(docs)], items, 5, 2):
+        near[at].add(item)
+    assert sorted((repr(r["doc_id"]), r["n_words"], r["n_near"]) for r in got.collect()) == sorted((repr(docs[at][0]), len(TERM.findall((docs[at][1] or "").translate(ASCII_LOWER))), len(found)) for at, found in near.items())
+    assert all(r["n_near"] >= r["n_items"] for r in got.collect())
+    empty = D.contamination(rows, spark.createDataFrame([], "item_id long, text string"), slack=3)
+    assert {r["n_near"] for r in empty.collect()} == {0}
+
+
 def fingerprint_by_brute_force(text):
     words = WORD.findall((text or "").translate(ASCII_LOWER))
     shingles = [" ".join(words[i : i + 3]) for i in range(len(words) - 2)] or ([" ".join(words)] if words else [])

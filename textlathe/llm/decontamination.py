@@ -145,12 +145,41 @@ def proximity_matches(index: Index, *, slack: int = 3) -> DataFrame:
     return near.select(*keys[:-2], "at", "first", "second").drop("item").distinct()
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = 13, share: int = 20) -> DataFrame:
-    """`doc_id, n_words, n_hit, n_items, items_sha256, contaminated` of each row of `docs`; see `judged`."""
-    return judged(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, size=size, share=share).drop("text_hash")
+def near_items(index: Index, *, slack: int = 3) -> DataFrame:
+    """`doc_id, text_hash, item_id`: the items of which a document has a proximity match (see `proximity_matches`), each
+    once, so also all of which it has an exact one.
 
+    Windows of all items whose two rarest terms are the same, at the same distance, are looked for together.
+    """
+    window = F.struct("place", "term")
+    sides = index.anchors.groupBy("item", "item_id", "at").agg(F.min(window).alias("low"), F.max(window).alias("high"))
+    named = written(sides.select("item_id", F.col("low.term").alias("one"), F.col("high.term").alias("other"), (F.col("high.place") - F.col("low.place")).alias("gap")).distinct(), "bench-named")
+    pairs = written(named.select("one", "other", "gap").distinct(), "bench-pairs")
+    block = F.floor((F.col("pos") + F.col("gap")) / (slack + 1))
+    left = among(index.postings, pairs.withColumn("term", F.col("one"))).select("doc_id", "text_hash", "one", "other", "gap", block.alias("block"), F.col("pos").alias("first"))
+    block = F.floor(F.col("pos") / (slack + 1))
+    right = among(index.postings, pairs.withColumn("term", F.col("other"))).select("doc_id", "text_hash", "one", "other", "gap", F.explode(F.array(block - 1, block, block + 1)).alias("block"), F.col("pos").alias("second"))
+    keys = ["doc_id", "text_hash", "one", "other", "gap", "block"]
+    right = right.withColumnsRenamed({k: f"{k}_" for k in keys})
+    same = [left[k].eqNullSafe(right[f"{k}_"]) if k == "doc_id" else left[k] == right[f"{k}_"] for k in keys]
+    met = left.join(right, reduce(lambda a, b: a & b, same)).where(F.abs(F.col("second") - F.col("first") - F.col("gap")) <= slack)
+    met = met.where("gap > 0 AND first < second OR gap = 0 AND first = second").select(*keys[:-1]).distinct()
+    return met.join(small(named), ["one", "other", "gap"]).select("doc_id", "text_hash", "item_id").distinct()
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = 13, share: int = 20, slack: int | None = None) -> DataFrame:
+    """`doc_id, n_words, n_hit, n_items, items_sha256, contaminated` of each row of `docs`; see `judged`. With a `slack`,
+    also `n_near`: how many items with an id have a proximity match in it (see `near_items`), 0 where nothing has."""
+    index = build_index(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, size=size)
+    out = judged(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, size=size, share=share, index=index)
+    if slack is None:
+        return out.drop("text_hash")
+    near = near_items(index, slack=slack).groupBy(F.col("doc_id").alias("id_"), F.col("text_hash").alias("hash_")).agg(F.count("item_id").alias("n_near"))
+    near = small(written(near, "bench-near"))
+    return out.join(near, out["doc_id"].eqNullSafe(F.col("id_")) & (out["text_hash"] == F.col("hash_")), "left").drop("text_hash", "id_", "hash_").withColumn("n_near", F.coalesce("n_near", F.lit(0)))
 
-def judged(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = 13, share: int = 20) -> DataFrame:
+
+def judged(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", size: int = 13, share: int = 20, index: Index | None = None) -> DataFrame:
     """`doc_id, text_hash, n_words, n_hit, n_items, items_sha256, contaminated` of each row of `docs`.
 
     A word is hit if it lies in an exact occurrence of a window; a document is contaminated if at least one of `share`
@@ -158,7 +187,7 @@ def judged(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", tex
     words give no window, those with a null id hit words but are not named. Rows of `docs` that repeat an id are judged
     each by its own text; other columns are not read.
     """
-    index = build_index(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, size=size)
+    index = index or build_index(docs, benchmark, id_col=id_col, text_col=text_col, item_col=item_col, size=size)
     totals, hits = index.totals, phrase_matches(docs, index, id_col=id_col, text_col=text_col, size=size)
     hits = written(hits, "bench-hits")
     # of spans in order, each adds what lies beyond the furthest end so far; a document's spans are no array

@@ -55,7 +55,7 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slack=3)
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,10 +87,15 @@ OP9_SQL = f"""WITH d AS (SELECT doc_id, {TERMS_SQL} AS w FROM documents), b AS (
     doc_windows AS (SELECT doc_id, l, i, array_to_string(w[i + 1 : i + l], ' ') AS words FROM d, (SELECT DISTINCT l FROM item_windows) s, unnest(range(0, greatest(0, len(w) - l + 1))) u(i)),
     hits AS (SELECT doc_id, item_id, i, l FROM doc_windows JOIN item_windows USING (l, words)),
     covered AS (SELECT doc_id, count(*) AS n_hit FROM (SELECT DISTINCT doc_id, at_word FROM (SELECT doc_id, unnest(range(i, i + l)) AS at_word FROM hits)) GROUP BY doc_id),
-    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id)
-    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256,
+    named AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item FROM hits) GROUP BY doc_id),
+    places AS (SELECT item_id, l, i AS at_word, i + j AS place, w[i + j + 1] AS term FROM (SELECT item_id, w, least(13, len(w)) AS l FROM b WHERE len(w) > 0), unnest(range(0, len(w) - l + 1)) u(i), unnest(range(0, l)) v(j)),
+    tokens AS MATERIALIZED (SELECT * FROM (SELECT doc_id, i AS pos, w[i + 1] AS term FROM d, unnest(range(0, len(w))) u(i)) WHERE term IN (SELECT term FROM places)),
+    ranked AS (SELECT p.*, count(n) OVER (PARTITION BY item_id, at_word) AS known, row_number() OVER (PARTITION BY item_id, at_word ORDER BY n NULLS LAST, place) AS nth FROM places p LEFT JOIN (SELECT term, count(*) AS n FROM tokens GROUP BY term) c USING (term)),
+    pairs AS (SELECT DISTINCT item_id, one, other, gap FROM (SELECT item_id, at_word, arg_min(term, place) AS one, arg_max(term, place) AS other, max(place) - min(place) AS gap FROM ranked WHERE known = l AND nth <= 2 GROUP BY item_id, at_word)),
+    near AS (SELECT doc_id, count(DISTINCT item_id) AS n_near FROM (SELECT x.doc_id, p.item_id FROM pairs p JOIN tokens x ON x.term = p.one JOIN tokens y ON y.doc_id = x.doc_id AND y.term = p.other AND y.pos BETWEEN x.pos + p.gap - 3 AND x.pos + p.gap + 3 AND (p.gap > 0 AND x.pos < y.pos OR p.gap = 0 AND x.pos = y.pos)) GROUP BY doc_id)
+    SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(c.n_hit, 0) AS n_hit, coalesce(r.n_near, 0) AS n_near, coalesce(n.n_items, 0) AS n_items, sha256(coalesce(n.items, '')) AS items_sha256,
         coalesce(c.n_hit, 0) > 0 AND 20 * coalesce(c.n_hit, 0) >= len(d.w) AS contaminated
-    FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id"""
+    FROM d LEFT JOIN covered c ON d.doc_id = c.doc_id LEFT JOIN named n ON d.doc_id = n.doc_id LEFT JOIN near r ON d.doc_id = r.doc_id"""
 OP11_SQL = """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || doc_id) AS h FROM documents),
     r AS (SELECT *, ('0x' || h[1:8])::BIGINT % (n + 1) AS p1, ('0x' || h[9:16])::BIGINT % (n + 1) AS p2, ('0x' || h[17:24])::BIGINT % 100 AS r3, ('0x' || h[25:32])::BIGINT % 100 AS r4 FROM d),
     f AS (SELECT *, least(p1, p2) AS a, greatest(p1, p2) AS b, CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r3 >= 90 THEN 'plain' WHEN r4 < 20 THEN 'spm' ELSE 'psm' END AS form FROM r),
