@@ -355,3 +355,16 @@ def related_within(spark, sf):
     store = stores.graph(spark, sf)
     found = chain_matches(store.documents, store.edges, [Hop((), "any", 1, 2, F.col("loai_van_ban") == "en")], start_ids=["7", "12"])
     return found.groupBy(F.col("nodes")[0].alias("id"), F.col("nodes")[1].alias("other")).agg(F.count("*").alias("n_ways"), F.min(F.size("path") - 1).cast("bigint").alias("hops"))
+
+
+ASKED = {"doc_id": ["3", "41", "77"], "articles": ["3", "8"]}
+
+
+@query("""SELECT 'doc_id' AS asked, chunk_id, doc_id, chunk_index, array_to_string(articles, ',') AS articles, md5(text) AS text_md5 FROM article_chunks WHERE doc_id IN ('3', '41', '77')
+    UNION ALL SELECT 'articles', chunk_id, doc_id, chunk_index, array_to_string(articles, ','), md5(text) FROM article_chunks WHERE list_has_any(articles, ['3', '8'])""", "article_chunks")
+def clustered_lookup(spark, sf):
+    """Chunks by document and by article from a stored table that is clustered for both."""
+    stored = stores.article_table(spark, sf)
+    found = [stored.find(column, values).withColumn("asked", F.lit(column)) for column, values in ASKED.items()]
+    rows = reduce(lambda a, b: a.unionByName(b), found)
+    return rows.select("asked", "chunk_id", "doc_id", "chunk_index", F.array_join("articles", ",").alias("articles"), F.md5(F.col("text").cast("binary")).alias("text_md5"))

@@ -11,6 +11,7 @@ from ..operators.fulltext import Index, build_index, open_index
 from ..operators.store import GraphStore
 from ..operators.vectors import VectorIndex, build_vector_index, open_vector_index
 from ..sources import adapters as A
+from ..sources.layout import ClusteredTable, write_clustered
 from ..sources.tables import exists, scratch_root, table
 
 
@@ -62,3 +63,12 @@ def vector_index(spark: SparkSession, folder: str) -> VectorIndex:
     if not exists(spark, f"{path}/stats/_SUCCESS"):
         build_vector_index(table(spark, folder, "embeddings"), "vec_id", "embedding", path)
     return open_vector_index(spark, path)
+
+
+def article_table(spark: SparkSession, folder: str) -> ClusteredTable:
+    """The chunks of articles, to be asked by document and by article."""
+    path = store_path(spark, folder, "articles", "conversations")
+    if not exists(spark, f"{path}/done/_SUCCESS"):
+        write_clustered(A.article_chunks(spark, folder), path, "doc_id", ["articles"])
+        spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{path}/done")
+    return ClusteredTable(spark, path, "doc_id")
