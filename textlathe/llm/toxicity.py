@@ -117,7 +117,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, folds: int = 5, held_out
     rows = labelled(labels, "toxic", folds, held_out)
     totals = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
     chosen = first_by_hash(rows.where("y = 1"), max_rows).unionByName(first_by_hash(rows.where("y = 0"), max_rows))
-    sample = texts_of(docs, chosen).where(F.char_length("text") <= max_chars).select("doc_id", "text", "y").limit(4 * max_rows).toPandas().sort_values(["doc_id", "text"], kind="stable")
+    sample = texts_of(docs, chosen).where(F.char_length("text") <= max_chars).select("doc_id", "text", "y").orderBy("doc_id", F.xxhash64("text"), "y").limit(4 * max_rows).toPandas().sort_values(["doc_id", "text"], kind="stable")
     odds = max(totals.get(1, 0), 0.5) / max(totals.get(0, 0), 0.5)
     return train(sample["text"].tolist(), sample["y"].to_numpy(), odds)
 
