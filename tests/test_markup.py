@@ -47,6 +47,26 @@ def test_column(spark):
     assert rows.where("id = 3").select(html_to_text(F.col("page"), "|")).first()[0] == "a|b|c"
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<title>a&amp;&amp</title>", "a&&amp"), ("<p>&copy &copy; &#233 &#233; &#xe9; &notit; &no;</p>", "&copy © &#233 é é &notit; &no;"),
+    ("<p>\ue000&amp &</p>", "\ue000&amp &"), ("<![CDATA[a &amp; &b]]><p title='&amp'>&lt</p>&gt", "a &amp; &b &lt &gt"), ("&amp", "&amp"), (None, None),
+])
+def test_references_without_their_semicolon_can_stay(page, text):
+    assert visible_text(page, open_references=False) == text
+
+
+def test_pages_that_end_a_title_in_an_open_reference_agree_with_sql(spark, tmp_path):
+    import duckdb
+
+    from textlathe import plans
+
+    spark.createDataFrame([(1, "u", "<title>a&amp;&amp</title><p>b &lt; c"), (2, "u", "<p>d &copy; &copy</p>")], "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    got = plans.QUERIES["html_to_text"](spark, str(tmp_path)).collect()
+    assert sorted((r["id"], r["text"]) for r in got) == sorted(con.execute(plans.ORACLES["html_to_text"]).fetchall())
+
+
 @pytest.mark.parametrize("piece", ["<a ", "<a href='", "<!--", "<!-- x> ", '<a x=">" ', "<![CDATA[", "<![CDATA[ x> ", "</", "</a ", "<", "&#", "&", "<?", "<!x", "<script>", "<p", "<b>x", "<a title=\"o>'"])
 def test_pages_of_unfinished_markup_take_time_in_proportion(piece):
     page = piece * (1_000_000 // len(piece))

@@ -119,12 +119,13 @@ def rel_type(c: Column, map_d: bool = False) -> Column:
     return F.when(name == "", F.lit("RELATED_TO")).when(name.rlike(r"^\d"), F.concat(F.lit("R_"), name)).otherwise(name)
 
 
-def html_to_text(c: Column, separator: str = " ") -> Column:
-    """Visible text nodes, decoded and stripped, joined by `separator`; pages are parsed in Arrow batches."""
+def html_to_text(c: Column, separator: str = " ", open_references: bool = True) -> Column:
+    """Visible text nodes, decoded and stripped, joined by `separator`; pages are parsed in Arrow batches. References
+    without their semicolon are decoded if `open_references`."""
 
     @F.pandas_udf(T.StringType())
     def parsed(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: visible_text(page, separator))
+        return pages.map(lambda page: visible_text(page, separator, open_references))
 
     return parsed(c)
 
