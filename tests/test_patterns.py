@@ -89,3 +89,29 @@ def test_chains_of_empty_tables(spark):
         Hop(low=0)
     with pytest.raises(ValueError, match="one hop"):
         chain_matches(docs, edges, [])
+
+
+def test_ids_beyond_the_frontier_do_not_go_through_the_driver(spark, monkeypatch):
+    monkeypatch.setattr(P, "FRONTIER", 0)
+    plans, stored = [], P.scratch_table
+
+    def watched(df, name):
+        plans.append((name, df._jdf.queryExecution().executedPlan().toString()))
+        return stored(df, name)
+
+    monkeypatch.setattr(P, "scratch_table", watched)
+    docs = spark.createDataFrame([(str(i),) for i in range(9)], "id string")
+    edges = spark.createDataFrame([(str(i), "A", str((i + 1) % 9)) for i in range(9)], EDGES)
+    assert chain_matches(docs, edges, [Hop(), Hop()]).count() == 9
+    kept = [plan for name, plan in plans if name in ("chain-forth", "chain-back")]
+    assert kept and not any("BroadcastHashJoin" in plan for plan in kept)
+
+
+@pytest.mark.parametrize("name", ["relation_cycles", "expired_basis"])
+def test_queries_on_all_relations_store_no_texts_and_steps(spark, sf_dir, monkeypatch, name):
+    from tests.compare import both, connect
+    from textlathe import plans
+
+    monkeypatch.setattr(plans.graphs.stores, "graph", None)
+    ours, theirs = both(plans.QUERIES[name](spark, sf_dir), connect(sf_dir), plans.ORACLES[name])
+    assert ours == theirs

@@ -20,8 +20,28 @@ METADATA_COLUMNS = (
 ).split()
 CHUNK_COLUMNS = "chunk_id doc_id chunk_index part_index articles text".split()
 
-#: Rows of a frontier that are broadcast, at most (ids, and paths of a few hops); into how many parts steps are salted beyond.
-FRONTIER, SALTS = 100_000, 16
+#: Rows of a frontier that are broadcast, at most (ids, and paths of a few hops); into how many parts the steps of a node
+#: with more than HEAVY are salted beyond.
+FRONTIER, SALTS, HEAVY = 20_000, 16, 100_000
+
+
+def with_steps(steps: DataFrame, level: DataFrame, frontier: int | None = None) -> DataFrame:
+    """The steps (`at, to` and more) from the nodes `at` of a stored frontier. A small one is broadcast, so that a node
+    with very many steps is no single task's; a larger one is shuffled, and only such nodes are salted."""
+    if level.count() <= (FRONTIER if frontier is None else frontier):
+        return steps.join(F.broadcast(level), "at")
+    most = F.broadcast(steps.groupBy("at").count().where(F.col("count") > HEAVY).select("at", F.lit(True).alias("heavy")))  # few
+    dealt = steps.join(most, "at", "left").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("to"), F.lit(SALTS))).otherwise(0)).drop("heavy")
+    every = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
+    copied = level.join(most, "at", "left").withColumn("salt", F.explode(F.when(F.col("heavy"), every).otherwise(F.array(F.lit(0).cast("bigint"))))).drop("heavy")
+    return dealt.join(copied.hint("merge"), ["at", "salt"]).drop("salt")
+
+
+def among(rows: DataFrame, column: str, ids: DataFrame, frontier: int | None = None) -> DataFrame:
+    """The rows with a `column` among stored distinct `id`s. More of these than FRONTIER do not go through the driver."""
+    known = ids.select(F.col("id").alias(column))
+    few = ids.count() <= (FRONTIER if frontier is None else frontier)
+    return rows.join(F.broadcast(known) if few else known.hint("merge"), column, "left_semi")
 
 
 def id_column(df: DataFrame, name: str) -> Column:

@@ -11,9 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import scratch_table
-from .graph import FRONTIER, SALTS
-from .stored import Rows, all_rows, picked
-
+from .graph import FRONTIER, among, with_steps
+from .stored import Rows, StoredTable, all_rows, picked
 
 
 @dataclass(frozen=True)
@@ -42,24 +41,26 @@ def chain_matches(documents: Rows, edges: Rows, hops: Sequence[Hop], *, start: C
     count once. Empty tables give no matches.
 
     Before edges are joined into chains, each place keeps only edges that the places before it reach and from which the
-    places after it can be reached; so what is joined grows with the matches. A frontier of up to FRONTIER chains is
-    broadcast to the edges; a larger one is joined with salted edges, so that a document with very many is no single
-    task's.
+    places after it can be reached; so what is joined grows with the matches. Plain edges are stored once, those of the
+    types of the hops only. Up to FRONTIER ids or chains are broadcast; more are shuffled, and the edges of documents with
+    very many are salted, so that these are no single task's.
     """
     if not hops:
         raise ValueError("a chain has one hop at least")
     begin = all_rows(documents) if start_ids is None else picked(documents, "id", [str(i).strip() for i in start_ids])
     begin = scratch_table((begin if start is None else begin.where(start)).where("id IS NOT NULL").select("id").distinct(), "chain-start")
-    known = all_rows(documents).where("id IS NOT NULL")
-    each = all_rows(edges).select("src", "rel_type", "dst").dropna().distinct()
-    ids = known.select("id").distinct()
-    each = scratch_table(each.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi"), "chain-edges")
-    ends = [None if h.where is None else scratch_table(known.where(h.where).select("id").distinct(), "chain-ends") for h in hops]
+    documents = all_rows(documents).where("id IS NOT NULL")
+    known = begin if start is None and start_ids is None else scratch_table(documents.select("id").distinct(), "chain-known")
+    each, types = all_rows(edges).select("src", "rel_type", "dst").dropna(), sorted({t for h in hops for t in h.rel_types})
+    if all(h.rel_types for h in hops):
+        each = each.where(F.col("rel_type").isin(types))
+    each = each if isinstance(edges, StoredTable) else scratch_table(each, "chain-edges")
+    ends = [known if h.where is None else scratch_table(documents.where(h.where).select("id").distinct(), "chain-ends") for h in hops]
     found = []
     for lengths in product(*[range(h.low, h.high + 1) for h in hops]):
         # one entry for each edge: its hop, and whether the hop ends with it
         plan = [(i, at == n - 1) for i, n in enumerate(lengths) for at in range(n)]
-        found.append(joined(reduced(each, hops, ends, begin, plan, closed), plan, begin, closed))
+        found.append(joined(reduced(each, hops, known, ends, begin, plan, closed), plan, begin, closed))
     return reduce(lambda a, b: a.unionByName(b), found)
 
 
@@ -70,20 +71,19 @@ def directed(edges: DataFrame, hop: Hop) -> DataFrame:
     return {"out": forth, "in": back, "any": forth.unionByName(back.where("src <> dst"))}[hop.direction]
 
 
-def reduced(edges: DataFrame, hops: Sequence[Hop], ends: list[DataFrame | None], begin: DataFrame, plan: list[tuple[int, bool]], closed: bool) -> list[DataFrame]:
-    """The edges of each place of a chain, without those that no chain can have there."""
+def reduced(edges: DataFrame, hops: Sequence[Hop], known: DataFrame, ends: list[DataFrame], begin: DataFrame, plan: list[tuple[int, bool]], closed: bool) -> list[DataFrame]:
+    """The edges of each place of a chain, each once, without those that no chain can have there."""
     rows, reach = [], begin
     for hop, last in plan:
-        here = directed(edges, hops[hop]).join(reach.withColumnRenamed("id", "at"), "at", "left_semi")
-        if last and ends[hop] is not None:
-            here = here.join(ends[hop].withColumnRenamed("id", "to"), "to", "left_semi")
-        rows.append(scratch_table(here, "chain-forth"))
-        reach = rows[-1].select(F.col("to").alias("id")).distinct()
+        here = among(among(directed(edges, hops[hop]), "at", reach, FRONTIER), "to", ends[hop] if last else known, FRONTIER)
+        rows.append(scratch_table(here.distinct(), "chain-forth"))
+        reach = scratch_table(rows[-1].select(F.col("to").alias("id")).distinct(), "chain-reach")
     reach = begin if closed else None
     for place in reversed(range(len(plan))):
         if reach is not None:
-            rows[place] = scratch_table(rows[place].join(reach.withColumnRenamed("id", "to"), "to", "left_semi"), "chain-back")
-        reach = rows[place].select(F.col("at").alias("id")).distinct()
+            rows[place] = scratch_table(among(rows[place], "to", reach, FRONTIER), "chain-back")
+        if place:
+            reach = scratch_table(rows[place].select(F.col("at").alias("id")).distinct(), "chain-reach")
     return rows
 
 
@@ -93,11 +93,7 @@ def joined(rows: list[DataFrame], plan: list[tuple[int, bool]], begin: DataFrame
     for place, (_, last) in enumerate(plan):
         level = level if place == 0 else scratch_table(level, "chain-level")
         steps = rows[place].select("at", "to", F.col("rel_type").alias("kind"), edge.alias("edge"))
-        if level.count() <= FRONTIER:
-            grown = steps.join(F.broadcast(level), "at")
-        else:
-            salted = steps.withColumn("salt", F.pmod(F.xxhash64("edge"), F.lit(SALTS)))
-            grown = salted.join(level.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["at", "salt"])
+        grown = with_steps(steps, level, FRONTIER)
         grown = grown.where(~F.array_contains("used", F.col("edge")))
         if closed and place == len(plan) - 1:
             grown = grown.where(F.col("to") == F.col("path")[0])
