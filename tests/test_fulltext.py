@@ -165,3 +165,21 @@ def test_places_of_terms(spark, corpus):
             expected = {t: [at for at, x in enumerate(terms) if x == t] for t in terms} or {None: []}
             assert {t: p for t, _, p, _ in found} == expected and {n for _, n, _, _ in found} == {len(terms)}
             assert len(found) == len(expected) and sum(f for *_, f in found) == 1
+
+
+@pytest.mark.parametrize(("most", "files"), [(1_000_000, 8), (100, 40)])
+def test_files_do_not_grow_with_folders_times_tasks(spark, monkeypatch, most, files):
+    """800 postings in 8 folders: one file a folder, or one for some hundred postings."""
+    monkeypatch.setattr(T, "PART_ROWS", most)
+    rows = spark.createDataFrame([(i, " ".join(f"w{(i + j) % 40}" for j in range(4))) for i in range(400)], "id long, text string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.adaptive.enabled", "spark.sql.shuffle.partitions")}
+    for k, v in zip(old, ("false", "32")):
+        spark.conf.set(k, v)
+    try:
+        index = T.build_index(rows, "id", "text", block=4, buckets=8)
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    stored = index.table("postings")
+    assert len(stored.inputFiles()) <= files and stored.agg(F.sum(F.size("id"))).first()[0] == 1600
+    assert [r["id"] for r in T.search(index, "w7", 3).collect()] == [4, 5, 6]

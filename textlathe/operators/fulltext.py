@@ -34,6 +34,8 @@ SCHEMAS = {
     "postings": "term string, shard long, top double, id array<{id}>, tf array<int>, n_terms array<long>, positions array<array<int>>, bucket int",
     "terms": "term string, df long", "spelling": "rest string, term string, df long", "stats": "n_docs long, mean double, n_shards long, buckets int, id_type string",
 }
+#: About how many postings of a folder one task writes.
+PART_ROWS = 1_000_000
 #: Terms of more characters have no entries in the spelling table; they are compared one by one.
 SPELT = 24
 
@@ -114,16 +116,20 @@ def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def build_index(texts: DataFrame, id_col: str, text_col: str, path: str | None = None, *, block: int = 1024, buckets: int | None = None, spelling: bool = False) -> Index:
     """Writes the index of `texts` to `path` (a scratch path if none is given). Null texts count as empty; ids are meant
     to be unique, and texts that share one are one hit. One shuffle: that of the postings to their blocks. There are as
-    many folders as `buckets` says, or one for some hundred texts, from 4 to 1,024."""
+    many folders as `buckets` says, or one for some thousand texts, from 4 to 1,024. A folder is one file for each
+    PART_ROWS postings in it, so files grow with the postings and not with folders times tasks."""
     spark = texts.sparkSession
     path = path or scratch_path(spark, "fulltext")
     forward = scratch_table(places(texts, id_col, text_col), "fulltext-terms")
     stats = forward.where("first").agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean")).first()
     mean, n_shards = float(stats["mean"] or 0.0), max(1, -(-stats["n"] // block))
-    buckets = buckets or min(1024, max(4, stats["n"] // 512))
-    wide = max(1, n_shards // 64)  # shards whose blocks of a folder go to one task: 64 parts of each folder at most
+    buckets = buckets or min(1024, max(4, stats["n"] // 4096))
     shard = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(n_shards))
-    rows = forward.where("term IS NOT NULL").select((F.crc32(F.col("term").cast("binary")) % buckets).cast("int").alias("bucket"), F.floor(shard / wide).alias("part"), "term", shard.alias("shard"), "id", "n_terms", "positions", F.size("positions").alias("tf"))
+    bucket = (F.crc32(F.col("term").cast("binary")) % buckets).cast("int").alias("bucket")
+    held = forward.where("term IS NOT NULL").groupBy(bucket).count().collect()  # a row a folder
+    several = {r["bucket"]: min(n_shards, -(-r["count"] // PART_ROWS)) for r in held if r["count"] > PART_ROWS}
+    parts = F.array(*[F.lit(several.get(i, 1)) for i in range(buckets)])[F.col("bucket")] if several else F.lit(1)
+    rows = forward.where("term IS NOT NULL").withColumn("bucket", bucket).select("bucket", F.floor(shard * parts / n_shards).alias("part"), "term", shard.alias("shard"), "id", "n_terms", "positions", F.size("positions").alias("tf"))
     one = F.struct("id", "tf", "n_terms", "positions")
     blocks = rows.repartition("bucket", "part").groupBy("bucket", "part", "term", "shard").agg(F.max(weight(F.col("tf"), F.col("n_terms"), mean)).alias("top"), F.sort_array(F.collect_list(one)).alias("hits"))
     of = lambda name: F.transform("hits", lambda h: h[name]).alias(name)
