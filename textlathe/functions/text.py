@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable, Iterator
 from functools import cache
 
 import pandas as pd
@@ -17,6 +18,8 @@ PART_HEADINGS = (r"QUY\s*ĐỊNH\s*:", r"QUY\s*CHẾ\s*:", r"NỘI\s*QUY\s*:", r
 NOTICES = ("xem file đính kèm", "có file đính kèm", "có văn bản đính kèm", "văn bản đính kèm", "văn bản mật")
 NOTICE_MAX_CHARS = 40
 GAP = " [...] "
+#: Of how many values results are given back at once by functions in Python.
+SLICE = 256
 
 
 def strip(c: Column) -> Column:
@@ -119,13 +122,21 @@ def rel_type(c: Column, map_d: bool = False) -> Column:
     return F.when(name == "", F.lit("RELATED_TO")).when(name.rlike(r"^\d"), F.concat(F.lit("R_"), name)).otherwise(name)
 
 
+def by_slices(batches: Iterator[pd.Series], f: Callable) -> Iterator[pd.Series]:
+    """`f` of each value, given back some hundred values at a time: a batch of Spark has thousands of rows, and what is made
+    of them need not be held beside them."""
+    for batch in batches:
+        for at in range(0, len(batch), SLICE):
+            yield batch.iloc[at : at + SLICE].map(f)
+
+
 def html_to_text(c: Column, separator: str = " ", open_references: bool = True) -> Column:
     """Visible text nodes, decoded and stripped, joined by `separator`; pages are parsed in Arrow batches. References
     without their semicolon are decoded if `open_references`."""
 
     @F.pandas_udf(T.StringType())
-    def parsed(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: visible_text(page, separator, open_references))
+    def parsed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        return by_slices(batches, lambda page: visible_text(page, separator, open_references))
 
     return parsed(c)
 
