@@ -128,3 +128,23 @@ def test_paths_of_many_pairs(spark, monkeypatch, frontier):
 
     expected = {(str(a), str(b)): p for a, b in asked if (p := alone(str(a), str(b)))}
     assert got == {k: (len(p) - 1, p, [f"t{i}" for i in p]) for k, p in expected.items()}
+
+
+def test_a_path_is_searched_to_half_its_length_from_each_end(spark, monkeypatch):
+    """Twenty ways out of each end and of each node there: four hops from one end would reach 20 + 400 nodes and more."""
+    sizes, stored = [], G.scratch_table
+
+    def watched(df, name):
+        out = stored(df, name)
+        if name in ("paths-rim", "paths-level"):
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "scratch_table", watched)
+    tree = [(end, f"{end}{i}") for end in "ab" for i in range(20)] + [(f"{end}{i}", f"{end}{i}_{j}") for end in "ab" for i in range(20) for j in range(20)]
+    edges = [*tree, ("a0", "m"), ("b0", "m")]
+    docs = spark.createDataFrame([(n, n) for n in sorted({x for e in edges for x in e})], "id string, title string")
+    steps = G.steps_of(spark.createDataFrame([(x, y, "R") for x, y in edges], "src string, dst string, rel_type string"))
+    found = G.shortest_paths(docs, steps, spark.createDataFrame([("a", "b"), ("a", "a0_1"), ("b", "nowhere")], "a string, b string"))
+    assert sorted((r["a"], r["b"], r["path"]) for r in found.collect()) == [("a", "a0_1", ["a", "a0", "a0_1"]), ("a", "b", ["a", "a0", "m", "b0", "b"])]
+    assert max(sizes) < 450

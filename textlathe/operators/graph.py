@@ -190,35 +190,37 @@ def shortest_path(documents: Rows, steps: Rows, start: object, goal: object, max
 def shortest_paths(documents: Rows, steps: Rows, pairs: DataFrame, max_hops: int = 4) -> DataFrame:
     """`a, b, hops, path, titles, rel_types` of a table of pairs (`a, b`): what `shortest_path` gives for each, all at once.
 
-    The search goes out from all distinct `a` together; a row of the frontier is a source and a node it reached, with the
-    first path by ids. Sources whose pairs are all found stop. A frontier of up to FRONTIER rows is broadcast to the steps,
-    so a node with very many edges is no single task's; a larger one is joined with salted steps.
+    The searches go out from all distinct `a` and from all distinct `b` together; a row of a rim is an end and a node that
+    it reached, with the first path by ids. The smaller rim grows, so a path is searched to half its length from each end.
+    Ends whose pairs are all found stop. A rim of up to FRONTIER rows is broadcast to the steps; beyond, steps are shuffled
+    and those of nodes with very many salted.
     """
     every = all_rows(steps).select(F.col("a").alias("at"), F.col("b").alias("to"), "rel_type")
     asked = scratch_table(pairs.select(*[F.trim(F.col(c).cast("string")).alias(c) for c in ("a", "b")]).distinct(), "paths-asked")
     known = picked(documents, "id", asked.select("a").union(asked.select("b"))).select("id").distinct()
-    asked = scratch_table(asked.join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi"), "paths-asked")
-    start = asked.select(F.col("a").alias("src"), F.col("a").alias("at"), F.array("a").alias("path"), F.array().cast("array<string>").alias("rel_types")).distinct()
-    level, before = scratch_table(start, "paths-level"), start.select("src", "at").limit(0)
-    hits = [asked.where("a = b").select("a", "b", F.array("a").alias("path"), F.array().cast("array<string>").alias("rel_types"))]
-    left = scratch_table(asked.where("a <> b"), "paths-left")
-    for _ in range(max_hops):
-        n = level.count()
-        if not n or left.isEmpty():
+    left = scratch_table(asked.join(known.withColumnRenamed("id", "a"), "a", "left_semi").join(known.withColumnRenamed("id", "b"), "b", "left_semi"), "paths-left")
+    none = F.array().cast("array<string>")
+    rims = [scratch_table(left.select(F.col(end).alias("src"), F.col(end).alias("at"), F.array(end).alias("path"), none.alias("rel_types")).distinct(), "paths-rim") for end in ("a", "b")]
+    before, hits, sizes = [rim.select("src", "at").limit(0) for rim in rims], [], [rim.count() for rim in rims]
+    for hop in range(max_hops + 1):
+        if hop:
+            side = 0 if sizes[0] <= sizes[1] else 1
+            step, add = with_steps(every, rims[side], FRONTIER), (F.array_append, F.array_prepend)[side]
+            grown = step.select("src", F.col("to").alias("at"), add("path", F.col("to")).alias("path"), add("rel_types", F.col("rel_type")).alias("rel_types"))
+            grown = grown.join(rims[side].select("src", "at").unionByName(before[side]), ["src", "at"], "left_anti")
+            grown = grown.groupBy("src", "at").agg(F.min(F.struct("path", "rel_types")).alias("p")).select("src", "at", "p.*")
+            before[side], rims[side] = rims[side].select("src", "at"), scratch_table(grown, "paths-rim")
+        one, other = (rim.select(F.col("src").alias(end), "at", F.struct("path", "rel_types").alias(f"from_{end}")) for rim, end in zip(rims, ("a", "b")))
+        whole = F.struct(F.concat("from_a.path", F.slice("from_b.path", 2, F.size("from_b.path"))).alias("path"), F.concat("from_a.rel_types", "from_b.rel_types").alias("rel_types"))
+        met = one.join(left, "a").join(other, ["b", "at"]).groupBy("a", "b").agg(F.min(whole).alias("p")).select("a", "b", "p.*")
+        hits.append(scratch_table(met, "paths-hits"))
+        left = scratch_table(left.join(hits[-1], ["a", "b"], "left_anti"), "paths-left")
+        if left.isEmpty():
+            break
+        rims = [scratch_table(rim.join(left.select(F.col(end).alias("src")).distinct(), "src", "left_semi"), "paths-rim") for rim, end in zip(rims, ("a", "b"))]
+        sizes = [rim.count() for rim in rims]
+        if not min(sizes):
             break
-        if n <= FRONTIER:
-            grown = every.join(F.broadcast(level), "at")
-        else:
-            salted = every.withColumn("salt", F.pmod(F.xxhash64("to"), F.lit(SALTS)))
-            grown = salted.join(level.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>"))), ["at", "salt"])
-        grown = grown.select("src", F.col("to").alias("at"), F.array_append("path", F.col("to")).alias("path"), F.array_append("rel_types", F.col("rel_type")).alias("rel_types"))
-        known_nodes = level.select("src", "at").unionByName(before)
-        grown = grown.join(known_nodes, ["src", "at"], "left_anti").groupBy("src", "at").agg(F.min(F.struct("path", "rel_types")).alias("p")).select("src", "at", "p.*")
-        before, reached = level.select("src", "at"), scratch_table(grown, "paths-level")
-        hit = scratch_table(left.join(reached.withColumnsRenamed({"src": "a", "at": "b"}), ["a", "b"]).select("a", "b", "path", "rel_types"), "paths-hits")
-        hits.append(hit)
-        left = scratch_table(left.join(hit, ["a", "b"], "left_anti"), "paths-left")
-        level = reached.join(left.select(F.col("a").alias("src")).distinct(), "src", "left_semi")
     found = scratch_table(reduce(lambda x, y: x.unionByName(y), hits), "paths-found")
     nodes = found.select("a", "b", F.posexplode("path").alias("place", "id"))
     names = picked(documents, "id", nodes.select("id")).select("id", "title")
