@@ -22,3 +22,12 @@ def test_labels_of_all_decompositions(spark):
     rows = spark.createDataFrame([(x,) for x in labels], "label string").repartition(4)
     wrong = [(r["label"], r["name"]) for r in rows.select("label", rel_type(F.col("label")).alias("name")).collect() if r["name"] != plainly(r["label"])]
     assert not wrong and len(several()) > 100
+
+
+def test_results_of_a_large_batch_are_given_back_in_slices():
+    import pandas as pd
+
+    from textlathe.functions.text import SLICE, by_slices
+
+    got = list(by_slices(iter([pd.Series(range(1000)), pd.Series([], dtype=object), pd.Series([7])]), str))
+    assert max(map(len, got)) <= SLICE and [x for part in got for x in part] == [*map(str, range(1000)), "7"]
