@@ -148,3 +148,12 @@ def test_a_path_is_searched_to_half_its_length_from_each_end(spark, monkeypatch)
     found = G.shortest_paths(docs, steps, spark.createDataFrame([("a", "b"), ("a", "a0_1"), ("b", "nowhere")], "a string, b string"))
     assert sorted((r["a"], r["b"], r["path"]) for r in found.collect()) == [("a", "a0_1", ["a", "a0", "a0_1"]), ("a", "b", ["a", "a0", "m", "b0", "b"])]
     assert max(sizes) < 450
+
+
+def test_only_nodes_with_very_many_steps_are_salted(spark, monkeypatch):
+    monkeypatch.setattr(G, "HEAVY", 3)
+    monkeypatch.setattr(G, "SALTS", 3)
+    steps = spark.createDataFrame([("h", str(i)) for i in range(9)] + [("x", "1"), ("y", "2")], "at string, to string")
+    level = spark.createDataFrame([("h", 1), ("h", 2), ("x", 3), ("z", 4)], "at string, n int")
+    got = sorted((r["at"], r["to"], r["n"]) for r in G.with_steps(steps, level, 0).collect())
+    assert got == sorted([("h", str(i), n) for i in range(9) for n in (1, 2)] + [("x", "1", 3)])
