@@ -113,3 +113,67 @@ def test_the_graph_of_the_test_tables_stores_no_texts(spark, sf_dir):
     from textlathe.plans import stores
 
     assert stores.graph(spark, sf_dir).chunks.rows().isEmpty()
+
+
+def test_rows_are_moved_once(spark, tables, monkeypatch):
+    """First rows go through no scratch table, relations of several loads are settled at once, and those of a repeated
+    load are not kept again, settled or not."""
+    from textlathe.operators import store as L
+    from textlathe.operators import stored as S
+
+    written = []
+    for module in (L, S):
+        monkeypatch.setattr(module, "scratch_table", lambda df, name, write=module.scratch_table: written.append(name) or write(df, name))
+    metadata, rels, chunks = tables
+    store = GraphStore(spark, scratch_path(spark, "graph"), 4)
+    store.load(metadata.where("id % 2 = 0"), rels, chunks, order="at")
+    assert written == []
+    store.load(metadata.where("id % 2 = 1"), order="at")
+    assert store.load(metadata.where("id % 2 = 0"), rels.orderBy(F.desc("at")), order="at") == {"documents": 0, "relations": 0}
+    assert written.count("settled") == 0
+    whole = GraphStore(spark, scratch_path(spark, "graph"), 4)
+    whole.load(*tables, order="at")
+    assert contents(store) == contents(whole)
+    assert store.load(relationships=rels, order="at") == {"relations": 0} and store.load(relationships=rels.limit(3), order="at") == {"relations": 1}
+    before = {f for f in files(store) if "/noted/" not in f}
+    assert contents(store) == contents(whole) and set(files(store)) == before
+
+
+def test_many_new_rows_come_beside_the_stored_ones(spark):
+    rows = lambda *parts: spark.createDataFrame([(i, title, "z", at) for ids, title, at in parts for i in ids], "id long, title string, nganh string, at int")
+    store = GraphStore(spark, scratch_path(spark, "graph"), 1)
+    store.load(rows((range(20), "a", 0)), order="at")
+    first = set(files(store))
+    assert store.load(rows((range(20), "a", 0), (range(20, 40), "b", 0)), order="at")["documents"] == 1
+    assert first < set(files(store))  # nothing was rewritten
+    second = set(files(store))
+    store.load(rows((range(1), "c", 1), (range(40, 80), "d", 0)), order="at")  # a row is replaced: the folder is rewritten
+    assert not second & set(files(store))
+    third = set(files(store))
+    store.load(rows((range(100, 101), "e", 0)), order="at")  # one row is no file of its own
+    assert not third & set(files(store))
+    assert sorted((int(r["id"]), r["title"]) for r in store.documents.rows().collect()) == [(0, "c"), *((i, "a") for i in range(1, 20)), *((i, "b") for i in range(20, 40)), *((i, "d") for i in range(40, 80)), (100, "e")]
+
+
+def test_names_of_loads_tell_rows_apart(spark):
+    from textlathe.operators.store import digest
+
+    schema = "src string, dst string"
+    names = [digest(spark.createDataFrame(rows, schema))[1] for rows in ([("a", None)], [(None, "a")], [("a", None)] * 2, [("a", ""), ("b", "c")], [("b", ""), ("a", "c")])]
+    assert len(set(names)) == 5
+    assert digest(spark.createDataFrame([("a", "b"), ("c", None)], schema)) == digest(spark.createDataFrame([("c", None), ("a", "b")], schema).repartition(2))
+
+
+def test_a_settling_that_broke_off_is_repeated(spark, tables, monkeypatch):
+    store, whole = (GraphStore(spark, scratch_path(spark, "graph"), 4) for _ in range(2))
+    whole.load(*tables, order="at")
+    metadata, rels, chunks = tables
+    store.load(metadata.where("id % 2 = 0"), rels.where("at % 2 = 0"), chunks, order="at")
+    assert store.waiting.rows().count()
+    store.load(metadata, rels, order="at")
+    for broken in (store._steps, store._waiting):
+        with monkeypatch.context() as m:
+            m.setattr(type(store._edges), "merge", lambda self, rows, merge=type(store._edges).merge, path=broken.path: merge(self, rows) if self.path != path else 1 / 0)
+            with pytest.raises(ZeroDivisionError):
+                store.settle()
+    assert contents(store) == contents(whole)

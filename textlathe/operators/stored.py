@@ -3,6 +3,7 @@ reads only those of its keys."""
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterable
 from dataclasses import dataclass, field
@@ -11,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..sources.tables import exists, scratch_table
+from ..sources.tables import scratch_table
 
 #: Up to this many keys are named in a plan; more are joined.
 NAMED_KEYS = 1000
-#: About how many rows of a folder one task writes.
-TASK_ROWS = 2_000_000
+#: Into how many parts the rows of a folder are dealt for writing; of new rows, how many times as many the folders may have
+#: that get them as further files, if none replaces a row.
+DEALS, ADDED = 32, 8
 
 
 def bucket_of(key: Column, buckets: int) -> Column:
@@ -35,10 +37,20 @@ class StoredTable:
     buckets: int
     least: bool = False
 
+    def files(self):
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+        return path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def folders(self, path: str | None = None) -> list[int]:
+        """The numbers of the folders that are there."""
+        top = self.spark._jvm.org.apache.hadoop.fs.Path(path or self.path)
+        names = [f.getPath().getName() for f in self.files().listStatus(top)] if self.files().exists(top) else []
+        return sorted(int(n.removeprefix("bucket=")) for n in names if n.startswith("bucket="))
+
     def stored(self) -> DataFrame:
         """All rows with their `bucket`."""
         schema = T.StructType([*self.schema, T.StructField("bucket", T.IntegerType())])
-        return self.spark.read.schema(schema).parquet(self.path) if exists(self.spark, self.path) else self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path) if self.folders() else self.spark.createDataFrame([], schema)
 
     def rows(self) -> DataFrame:
         return self.stored().drop("bucket")
@@ -58,48 +70,68 @@ class StoredTable:
     def value(self, prefix: str = "") -> Column:
         return F.struct(*[F.col(prefix + f.name) for f in self.schema if f.name not in self.key])
 
+    def picked_value(self, value: Column | str) -> Column:
+        return F.min(value) if self.least else F.max(value)
+
     def merge(self, rows: DataFrame) -> int:
         """Puts rows in, and tells how many folders were rewritten: those with rows that are new or better than the stored
         ones of their keys. Loading rows again changes nothing. A load that breaks off can be repeated; folders are
-        swapped one by one, each as a whole. Rows with a null in their key are left out."""
-        names, key = self.schema.names, list(self.key)
-        pick = F.min if self.least else F.max
-        one = rows.select(*names).dropna(subset=key).groupBy(*key).agg(pick(self.value()).alias("v")).select(*key, "v.*").select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema])
-        one = scratch_table(one.withColumn("bucket", bucket_of(F.col(key[0]), self.buckets)), "merge-rows")
-        folders = sorted(r[0] for r in one.select("bucket").distinct().collect())  # at most all folders
-        if folders and not exists(self.spark, self.path):
-            self.swap(one, len(folders))
-            return len(folders)
-        old = self.stored().where(F.col("bucket").isin(folders)).select(*key, self.value().alias("old"))
-        better = self.value() < F.col("old") if self.least else self.value() > F.col("old")
-        news = scratch_table(one.join(old, key, "left").where(F.col("old").isNull() | better).select(one.columns), "merge-news")
-        touched = sorted(r[0] for r in news.select("bucket").distinct().collect())
+        swapped one by one, each as a whole. Rows with a null in their key are left out. The first rows of a table are
+        shuffled once; later `rows` are read twice, first for the folders they go to."""
+        key = list(self.key)
+        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schema]
+        rows = rows.dropna(subset=key).select(*typed).withColumn("bucket", bucket_of(F.col(key[0]), self.buckets))
+        if not self.folders():
+            return len(self.put(rows, unique=False))
+        held = self.stored().where(F.col("bucket").isin([r[0] for r in rows.select("bucket").distinct().collect()]))  # at most all folders
+        no = F.lit(None).cast(T.StructType([f for f in self.schema if f.name not in key]))
+        both = rows.select("bucket", *key, self.value().alias("new"), no.alias("old")).unionByName(held.select("bucket", *key, no.alias("new"), self.value().alias("old")))
+        met = both.groupBy("bucket", *key).agg(self.picked_value("new").alias("new"), self.picked_value("old").alias("old"))
+        better = F.col("new") < F.col("old") if self.least else F.col("new") > F.col("old")
+        news = met.where(F.col("new").isNotNull() & (F.col("old").isNull() | better))
+        news = scratch_table(news.select("bucket", *key, "new.*", F.col("old").isNotNull().alias("replaces")), "merge-news")
+        touched = {r["bucket"]: r for r in news.groupBy("bucket").agg(F.count("*").alias("n"), F.max("replaces").alias("replaces")).collect()}
         if not touched:
             return 0
-        kept = self.stored().where(F.col("bucket").isin(touched)).join(news.select(*key), key, "left_anti")
-        merged = scratch_table(kept.select(one.columns).unionByName(news), "merged")
-        self.swap(merged, len(touched))
-        return len(touched)
-
-    def swap(self, rows: DataFrame, folders: int) -> None:
-        """Writes whole folders. Each is dealt to tasks by its full key, so that one value of its first column may have
-        most rows."""
-        parts = 1 + rows.count() // (folders * TASK_ROWS)
-        dealt = rows.repartition(folders * parts, "bucket", F.pmod(F.xxhash64(*self.key), F.lit(parts)))
-        dealt.sortWithinPartitions("bucket", *self.key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(self.path)
+        kept = self.stored().where(F.col("bucket").isin(list(touched)))
+        if any(r["replaces"] for r in touched.values()):
+            kept = kept.join(news.where("replaces").select(*key), key, "left_anti")
+        elif kept.count() <= ADDED * sum(r["n"] for r in touched.values()):
+            return len(self.put(news, add=True))
+        return len(self.put(kept.unionByName(news.drop("replaces"))))
+
+    def put(self, rows: DataFrame, unique: bool = True, add: bool = False) -> list[int]:
+        """Writes whole folders, or with `add` further files of folders, and names them. Rows are dealt to tasks by their
+        full key, so that one value of its first column may have most rows; in the same shuffle one row is left of each
+        key that is not `unique`. Folders are written aside, so `rows` may read those that they take the place of."""
+        names, key = self.schema.names, list(self.key)
+        dealt = rows.withColumn("deal", F.pmod(F.xxhash64(*key), F.lit(DEALS)).cast("int")).repartition("bucket", "deal")
+        if not unique:
+            dealt = dealt.groupBy("bucket", "deal", *key).agg(self.picked_value(self.value()).alias("v")).select("bucket", *key, "v.*")
+        aside = f"{self.path}/_next-{uuid.uuid4().hex}"
+        dealt.select(*names, "bucket").sortWithinPartitions("bucket", *key).write.partitionBy("bucket").parquet(aside)
+        fs, path = self.files(), self.spark._jvm.org.apache.hadoop.fs.Path
+        written = self.folders(aside)
+        for bucket in written:
+            source, target = path(f"{aside}/bucket={bucket}"), path(f"{self.path}/bucket={bucket}")
+            if add and fs.exists(target):
+                moves = [(f.getPath(), path(target, f.getPath().getName())) for f in fs.listStatus(source)]
+            else:
+                fs.delete(target, True)
+                moves = [(source, target)]
+            if not all(fs.rename(*move) for move in moves):
+                raise OSError(f"{source} cannot be moved to {target}")
+        fs.delete(path(aside), True)
+        return written
 
     def remove(self, keys: DataFrame) -> None:
-        """Takes rows out by their full keys."""
+        """Takes rows out by their full keys, which are read twice."""
         key = list(self.key)
-        gone = scratch_table(keys.select(*key).distinct().withColumn("bucket", bucket_of(F.col(key[0]), self.buckets)), "gone")
-        touched = [r[0] for r in gone.select("bucket").distinct().collect()]
-        left = scratch_table(self.stored().where(F.col("bucket").isin(touched)).join(gone.select(*key), key, "left_anti"), "left")
-        held = {r[0] for r in left.select("bucket").distinct().collect()}
-        if held:
-            self.swap(left, len(held))
-        for bucket in set(touched) - held:
-            path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={bucket}")
-            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        gone = keys.select(*key).withColumn("bucket", bucket_of(F.col(key[0]), self.buckets))
+        touched = [r[0] for r in gone.select("bucket").distinct().collect()]  # at most all folders
+        held = self.put(self.stored().where(F.col("bucket").isin(touched)).join(gone.select(*key), key, "left_anti")) if touched else []
+        for bucket in set(touched) - set(held):
+            self.files().delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/bucket={bucket}"), True)
 
 
 #: A table of either kind.
