@@ -93,3 +93,25 @@ def test_a_text_that_fits_is_stripped(spark):
     rows = spark.createDataFrame([(1, "  a b \n"), (2, " "), (3, ""), (4, None)], "id int, t string")
     got = {r["id"]: r["w"] for r in rows.select("id", S.window_array(F.col("t")).alias("w")).collect()}
     assert got == {1: ["a b"], 2: [""], 3: [], 4: None}
+
+
+def test_enforced_chunks_follow_their_sql(spark, tmp_path):
+    from tests.compare import both
+    from textlathe import plans
+
+    import duckdb
+
+    texts = ["", None, " \n ", "a b", "x" * 1501, " " + "word " * 400 + "　", ("abc def " + " ") * 300, " " * 1600, " " * 1600]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    rows.coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("enforce_max", "word_windows", "word_windows_v1"):
+        ours, theirs = both(plans.QUERIES[name](spark, str(tmp_path)), con, plans.ORACLES[name])
+        assert ours == theirs, name
+
+
+def test_enforced_chunks_are_numbered_without_empty_ones(spark):
+    rows = spark.createDataFrame([("d", i, 0, [], t) for i, t in enumerate(["", "a", " ", "x" * 12])], "doc_id string, chunk_index long, part_index long, articles array<string>, text string")
+    found = S.enforce_max(rows, 10, 2).orderBy("chunk_index").collect()
+    assert [(r["chunk_id"], r["text"]) for r in found] == [("d_0", "a"), ("d_1", " "), ("d_2", "x" * 10), ("d_3", "x" * 4), ("d_4", "xx")]

@@ -12,6 +12,8 @@ from ..sources.tables import scratch_path, table
 from .registry import query
 
 TRIM = r"E' \t\n\r'"
+#: The white space that TRIM takes away: the SQL of windows leaves that of other scripts at their ends.
+BLANKS = " \t\n\r"
 CLAUSE = r"\n\s*(?:\d+[.)]|[a-zA-ZđĐ][.)])\s"
 PARAGRAPH = r"\n\s*\n+"
 ARTICLE = {1: r"Điều\s+\d+[a-zA-Z]?\s*[:.]", 2: r"(?:^|\n)\s*[Đđ][Ii][Ềề][Uu]\s+\d+"}
@@ -140,13 +142,13 @@ PLAIN = "(SELECT doc_id, text, []::VARCHAR[] AS articles FROM documents)"
 
 @query("WITH RECURSIVE " + windows_sql("windows", PLAIN, "doc_id", 2, whole=f"trim(text, {TRIM})") + " SELECT doc_id, w AS pos, text FROM windows")
 def word_windows(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(S.window_array(F.col("text"))).alias("pos", "text"))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(S.window_array(F.col("text"), blanks=BLANKS)).alias("pos", "text"))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
 @query("WITH RECURSIVE " + windows_sql("windows", PLAIN, "doc_id", 1, whole=None) + " SELECT doc_id, w AS pos, text FROM windows")
 def word_windows_v1(spark, sf):
-    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(S.window_array(F.col("text"), version=1)).alias("pos", "text"))
+    rows = table(spark, sf, "documents").select("doc_id", F.posexplode(S.window_array(F.col("text"), version=1, blanks=BLANKS)).alias("pos", "text"))
     return rows.withColumn("pos", F.col("pos").cast("bigint"))
 
 
@@ -179,7 +181,7 @@ def chunk_parts(spark, sf):
 
 @query("WITH RECURSIVE " + windows_sql("windows", PLAIN, "doc_id", 2) + " SELECT doc_id || '_' || (row_number() OVER (PARTITION BY doc_id ORDER BY w) - 1) AS chunk_id, CAST(doc_id AS VARCHAR) AS doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY w) - 1 AS chunk_index, 0::BIGINT AS part_index, '' AS articles, text FROM windows")
 def enforce_max(spark, sf):
-    return S.enforce_max(A.text_chunks(spark, sf)).withColumn("articles", F.array_join("articles", ","))
+    return S.enforce_max(A.text_chunks(spark, sf), blanks=BLANKS).withColumn("articles", F.array_join("articles", ","))
 
 
 @query(CHUNKS[2] + " " + CHUNK_ROWS, "legal")
