@@ -183,3 +183,32 @@ def test_files_do_not_grow_with_folders_times_tasks(spark, monkeypatch, most, fi
     stored = index.table("postings")
     assert len(stored.inputFiles()) <= files and stored.agg(F.sum(F.size("id"))).first()[0] == 1600
     assert [r["id"] for r in T.search(index, "w7", 3).collect()] == [4, 5, 6]
+
+
+def test_build_writes_nothing_beside_the_index(spark, corpus, tmp_path):
+    from textlathe.sources import tables
+
+    before = list(tables.SCRATCH)
+    T.build_index(spark.createDataFrame(list(corpus.items()), "id long, text string"), "id", "text", f"{tmp_path}/index", block=8)
+    assert tables.SCRATCH == before and sorted(p.name for p in tmp_path.glob("index/*")) == ["postings", "stats", "terms"]
+
+
+def test_shards_of_many_terms_are_cut(spark, corpus, monkeypatch):
+    """Texts that share an id stay together, and no shard has two blocks of a term, so bounds hold."""
+    twice = [*corpus.items(), *[(i, corpus[i]) for i in range(0, N, 3)]]
+    rows = spark.createDataFrame(twice, "id long, text string")
+    whole, cut = (T.build_index(rows, "id", "text", block=50, buckets=3, most=most) for most in (1 << 21, 10))
+    blocks = {name: index.table("postings").collect() for name, index in (("whole", whole), ("cut", cut))}
+    hits = {name: sorted((r["term"], i, tf, n, p) for r in found for i, tf, n, p in zip(r["id"], r["tf"], r["n_terms"], r["positions"])) for name, found in blocks.items()}
+    terms = [(i, split(t)) for i, t in twice]
+    assert hits["whole"] == hits["cut"] == sorted((w, i, t.count(w), len(t), [at for at, x in enumerate(t) if x == w]) for i, t in terms for w in set(t))
+    for found in blocks.values():
+        assert len({(r["term"], r["shard"]) for r in found}) == len(found)
+        assert len({(i, r["shard"]) for r in found for i in r["id"]}) == len({i for i, t in terms if t})
+        top = lambda r: max(tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / whole.mean)) for tf, n in zip(r["tf"], r["n_terms"]))
+        assert all(abs(r["top"] - top(r)) < 1e-12 and r["id"] == sorted(r["id"]) for r in found)
+    assert len({r["shard"] for r in blocks["cut"]}) > len({r["shard"] for r in blocks["whole"]})
+    monkeypatch.setattr(T, "FEW_SHARDS", 0)
+    monkeypatch.setattr(T, "FIRST_SHARDS", 1)
+    for q in (T.word("an"), T.phrase("an ant"), T.prefix("ba") & T.word("cat")):
+        assert [tuple(r) for r in T.search(cut, q, 1000).collect()] == [tuple(r) for r in T.search(whole, q, 1000).collect()]

@@ -177,3 +177,16 @@ def test_a_settling_that_broke_off_is_repeated(spark, tables, monkeypatch):
             with pytest.raises(ZeroDivisionError):
                 store.settle()
     assert contents(store) == contents(whole)
+
+
+def test_searches_look_up_documents_and_relations(spark, sf_dir, monkeypatch):
+    """No graph is stored for a search, and nothing is joined for few keys."""
+    from textlathe import plans
+    from textlathe.plans import stores
+
+    monkeypatch.setattr(stores, "GraphStore", None)
+    assert all(plans.QUERIES[name](spark, sf_dir).count() == 5 for name in ("search_by_keyword",))
+    rows, keys = spark.range(100).select(F.col("id").cast("string").alias("k")), spark.createDataFrame([("3",), (None,), ("3",), ("200",)], "k string")
+    few = picked(rows, "k", keys)
+    assert [r["k"] for r in few.collect()] == ["3"] and "Join" not in few._jdf.queryExecution().executedPlan().toString()
+    assert picked(rows, "k", rows.unionByName(spark.range(2000).selectExpr("cast(id AS string) AS k"))).count() == 100

@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.text import tokens
 from ..sources.tables import scratch_path, scratch_table, spread, write_parquet
@@ -34,8 +35,10 @@ SCHEMAS = {
     "postings": "term string, shard long, top double, id array<{id}>, tf array<int>, n_terms array<long>, positions array<array<int>>, bucket int",
     "terms": "term string, df long", "spelling": "rest string, term string, df long", "stats": "n_docs long, mean double, n_shards long, buckets int, id_type string",
 }
-#: About how many postings of a folder one task writes.
-PART_ROWS = 1_000_000
+#: About how many terms of a folder one task writes at most, and of how many shards one task makes the blocks.
+PART_ROWS, TASK_SHARDS = 1_000_000, 16
+#: About how many bytes of blocks a task gives back as rows at once.
+PAGES_BYTES = 8 << 20
 #: Terms of more characters have no entries in the spelling table; they are compared one by one.
 SPELT = 24
 
@@ -113,31 +116,125 @@ def postings(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return places(df, id_col, text_col).where("term IS NOT NULL").select("term", "id", F.size("positions").cast("long").alias("tf"), "n_terms")
 
 
-def build_index(texts: DataFrame, id_col: str, text_col: str, path: str | None = None, *, block: int = 1024, buckets: int | None = None, spelling: bool = False) -> Index:
+def shard_groups(batches: Iterator[pa.RecordBatch], n_shards: int, most: int) -> Iterator[tuple[int, pa.Array, pa.ListArray]]:
+    """Of rows `shard, id, terms` in the order of the first two the shards with their ids and terms. One of over `most`
+    terms is cut into several, with numbers of their own from `n_shards` on. Texts that share an id are not parted."""
+    held: list[pa.RecordBatch] = []
+    last, n, cut = None, 0, 0
+
+    def group() -> tuple[int, pa.Array, pa.ListArray]:
+        rows = pa.concat_batches(held)
+        return last[0] + cut * n_shards, rows.column(1), rows.column(2)
+
+    for batch in batches:
+        sizes, first = np.diff(np.asarray(batch.column(2).offsets, np.int64)).tolist(), 0
+        for i, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())):
+            if last is not None and key != last and (key[0] != last[0] or n >= most):
+                held.append(batch.slice(first, i - first))
+                yield group()
+                held, n, first, cut = [], 0, i, cut + 1 if key[0] == last[0] else 0
+            n, last = n + sizes[i], key
+        held.append(batch.slice(first))
+    if last is not None:
+        yield group()
+
+
+def page_schema(ids: pa.DataType) -> pa.Schema:
+    """Of a page, one row of lists: its terms, in how many texts each is, the texts with their lengths, and of each hit its
+    text, how many places it has, and how far each place is from the last one."""
+    kinds = {"term": pa.string(), "n": pa.int32(), "id": ids, "n_terms": pa.int64(), "text": pa.int32(), "tf": pa.int32(), "step": pa.int32()}
+    return pa.schema([(name, pa.list_(kind)) for name, kind in kinds.items()])
+
+
+def shard_pages(shard: int, ids: pa.Array, terms: pa.ListArray, buckets: int) -> pa.RecordBatch:
+    """`bucket, shard, size, page`: what a shard has for each folder, by one stable sort of all its terms. Pages are
+    compressed: postings as rows take three times as much in a shuffle, and more."""
+    flat, sizes = terms.flatten(), np.diff(np.asarray(terms.offsets, np.int64))
+    words = flat.dictionary_encode()
+    bucket = np.array([folder(t, buckets) for t in words.dictionary.to_pylist()], np.int64)
+    by = np.argsort(bucket, kind="stable")
+    rank = np.empty_like(by)
+    rank[by] = np.arange(len(by))
+    word, text = rank[np.asarray(words.indices, np.int64)], np.repeat(np.arange(len(sizes)), sizes)
+    order = np.argsort(word * max(1, len(sizes)) + text, kind="stable")
+    word, text = word[order], text[order]
+    place = order - (np.cumsum(sizes) - sizes)[text]
+    hits = np.flatnonzero((np.diff(word, prepend=-1) != 0) | (np.diff(text, prepend=-1) != 0))
+    step = np.diff(place, prepend=0)
+    step[hits] = place[hits]
+    n, tf = np.bincount(word[hits], minlength=len(by)), np.diff(hits, append=len(order))
+    names, first = np.unique(bucket[by], return_index=True)
+    w = np.append(first, len(by))
+    h = np.append(0, np.cumsum(n))[w]
+    p = np.append(hits, len(order))[h]
+    named, schema, pages = words.dictionary.take(pa.array(by)), page_schema(ids.type), []
+    for i in range(len(names)):
+        own, which = np.unique(text[hits[h[i] : h[i + 1]]], return_inverse=True)
+        values = [named.slice(w[i], w[i + 1] - w[i]), n[w[i] : w[i + 1]], ids.take(pa.array(own)), sizes[own], which, tf[h[i] : h[i + 1]], step[p[i] : p[i + 1]]]
+        lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), (x if isinstance(x, pa.Array) else pa.array(x)).cast(f.type.value_type)) for x, f in zip(values, schema)]
+        pages.append(pa.RecordBatch.from_arrays(lists, schema=schema).serialize())
+    columns = [pa.array(names, pa.int32()), pa.array(np.full(len(names), shard), pa.int64()), pa.array([x.size for x in pages], pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in pages], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "size", "page"])
+
+
+def page_blocks(row: dict, ids: pa.DataType, mean: float) -> pa.RecordBatch:
+    """The blocks of a row of `shard_pages`, with the greatest weight of each."""
+    page = pa.ipc.read_record_batch(pa.decompress(row["page"], row["size"], "zstd"), page_schema(ids))
+    term, n, id, n_terms, text, tf, step = (c.flatten() for c in page.columns)
+    n, n_terms, tf, step = (np.asarray(x, np.int64) for x in (n, n_terms.take(text), tf, step))
+    blocks, hits, total = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(tf)), np.cumsum(step)
+    places = total - np.repeat((total - step)[hits[:-1]], tf)
+    top = np.maximum.reduceat(tf * (K1 + 1) / (tf + K1 * (1 - B + B * n_terms / (mean or 1.0))), blocks[:-1])
+    positions = pa.ListArray.from_arrays(pa.array(hits, pa.int32()), pa.array(places, pa.int32()))
+    lists = [pa.ListArray.from_arrays(pa.array(blocks, pa.int32()), x) for x in (id.take(text), pa.array(tf, pa.int32()), pa.array(n_terms, pa.int64()), positions)]
+    number = lambda name, kind: pa.array(np.full(len(term), row[name]), kind)
+    return pa.RecordBatch.from_arrays([number("bucket", pa.int32()), term, number("shard", pa.int64()), pa.array(top), *lists], names=["bucket", "term", "shard", "top", "id", "tf", "n_terms", "positions"])
+
+
+def build_index(texts: DataFrame, id_col: str, text_col: str, path: str | None = None, *, block: int = 1024, buckets: int | None = None, spelling: bool = False, most: int = 1 << 21) -> Index:
     """Writes the index of `texts` to `path` (a scratch path if none is given). Null texts count as empty; ids are meant
-    to be unique, and texts that share one are one hit. One shuffle: that of the postings to their blocks. There are as
-    many folders as `buckets` says, or one for some thousand texts, from 4 to 1,024. A folder is one file for each
-    PART_ROWS postings in it, so files grow with the postings and not with folders times tasks."""
+    to be unique, and texts that share one are one hit. `texts` is read twice: for its numbers, and to deal the texts to
+    their shards, where their blocks are made, `most` terms at once; only the blocks are dealt to folders, and nothing is
+    written beside the index. There are as many folders as `buckets` says, or one for some thousand texts, from 4 to
+    1,024. A folder is one file for each PART_ROWS terms in it, so files grow with the terms and not with folders times
+    tasks."""
     spark = texts.sparkSession
     path = path or scratch_path(spark, "fulltext")
-    forward = scratch_table(places(texts, id_col, text_col), "fulltext-terms")
-    stats = forward.where("first").agg(F.count("*").alias("n"), F.avg("n_terms").alias("mean")).first()
+    kind, ids = texts.schema[id_col].dataType.simpleString(), to_arrow_type(texts.schema[id_col].dataType)
+    rows = texts.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    stats = rows.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("text")))).alias("mean")).first()
     mean, n_shards = float(stats["mean"] or 0.0), max(1, -(-stats["n"] // block))
     buckets = buckets or min(1024, max(4, stats["n"] // 4096))
+    parts = max(1, min(n_shards, -(-round(stats["n"] * mean) // (buckets * PART_ROWS))))
+    tasks = min(n_shards, max(spark.sparkContext.defaultParallelism, -(-n_shards // TASK_SHARDS)))
     shard = F.pmod(F.xxhash64(F.col("id").cast("string")), F.lit(n_shards))
-    bucket = (F.crc32(F.col("term").cast("binary")) % buckets).cast("int").alias("bucket")
-    held = forward.where("term IS NOT NULL").groupBy(bucket).count().collect()  # a row a folder
-    several = {r["bucket"]: min(n_shards, -(-r["count"] // PART_ROWS)) for r in held if r["count"] > PART_ROWS}
-    parts = F.array(*[F.lit(several.get(i, 1)) for i in range(buckets)])[F.col("bucket")] if several else F.lit(1)
-    rows = forward.where("term IS NOT NULL").withColumn("bucket", bucket).select("bucket", F.floor(shard * parts / n_shards).alias("part"), "term", shard.alias("shard"), "id", "n_terms", "positions", F.size("positions").alias("tf"))
-    one = F.struct("id", "tf", "n_terms", "positions")
-    blocks = rows.repartition("bucket", "part").groupBy("bucket", "part", "term", "shard").agg(F.max(weight(F.col("tf"), F.col("n_terms"), mean)).alias("top"), F.sort_array(F.collect_list(one)).alias("hits"))
-    of = lambda name: F.transform("hits", lambda h: h[name]).alias(name)
-    flat = blocks.select("bucket", "term", "shard", "top", *map(of, ("id", "tf", "n_terms", "positions"))).sortWithinPartitions("bucket", "term", "shard")
-    stored = write_parquet(flat, f"{path}/postings", partition_by=["bucket"])
-    terms = stored.select("term", F.size("id").alias("n")).groupBy("term").agg(F.sum("n").alias("df"))
+    dealt = rows.select(shard.alias("shard"), "id", "text").repartitionById(tasks, F.floor(F.col("shard") * tasks / n_shards).cast("int")).sortWithinPartitions("shard", "id").select("shard", "id", tokens(F.col("text")).alias("terms"))
+
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in shard_groups(batches, n_shards, most):
+            yield shard_pages(*group, buckets)
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held, size = [], 0
+            for row in batch.to_pylist():
+                held.append(page_blocks(row, ids, mean))
+                size += held[-1].nbytes
+                if size >= PAGES_BYTES:
+                    yield pa.concat_batches(held)
+                    held, size = [], 0
+            if held:
+                yield pa.concat_batches(held)
+
+    pages = dealt.mapInArrow(pack, "bucket int, shard long, size long, page binary")
+    placed = pages.repartitionById(buckets * parts, (F.col("bucket") * parts + F.floor(F.col("shard") % n_shards * parts / n_shards)).cast("int"))
+    blocks = placed.mapInArrow(unpack, f"bucket int, term string, shard long, top double, id array<{kind}>, tf array<int>, n_terms array<long>, positions array<array<int>>")
+    blocks.sortWithinPartitions("bucket", "term", "shard").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
+    stored = spark.read.schema(SCHEMAS["postings"].format(id=kind)).parquet(f"{path}/postings")
+    terms = stored.select("term", F.size("tf").alias("n")).groupBy("term").agg(F.sum("n").alias("df"))
     write_parquet(terms.repartitionByRange("term").sortWithinPartitions("term"), f"{path}/terms")
-    index = Index(spark, path, stats["n"], mean, n_shards, buckets, texts.schema[id_col].dataType.simpleString())
+    index = Index(spark, path, stats["n"], mean, n_shards, buckets, kind)
     if spelling:
         add_spelling(index)
     spark.createDataFrame([(index.n_docs, mean, n_shards, buckets, index.id_type)], SCHEMAS["stats"]).coalesce(1).write.parquet(f"{path}/stats")

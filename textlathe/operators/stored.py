@@ -139,11 +139,15 @@ Rows = DataFrame | StoredTable
 
 
 def picked(table: Rows, key: str, values: Iterable[str] | DataFrame) -> DataFrame:
-    """Some rows of a table by key: of a few values, or of a table of them."""
+    """Some rows of a table by key: of a few values, or of a table of them, which are named if they are few, so that nothing
+    is shuffled for them."""
     if isinstance(table, StoredTable):
         return table.picked(values)
     if isinstance(values, DataFrame):
-        return table.join(values.toDF(key).distinct(), key, "left_semi")
+        few = values.limit(NAMED_KEYS + 1).collect()
+        if len(few) > NAMED_KEYS:
+            return table.join(values.toDF(key).distinct(), key, "left_semi")
+        values = [r[0] for r in few]
     return table.where(F.col(key).isin(sorted({v for v in values if v is not None})))
 
 
