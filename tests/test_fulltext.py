@@ -212,3 +212,17 @@ def test_shards_of_many_terms_are_cut(spark, corpus, monkeypatch):
     monkeypatch.setattr(T, "FIRST_SHARDS", 1)
     for q in (T.word("an"), T.phrase("an ant"), T.prefix("ba") & T.word("cat")):
         assert [tuple(r) for r in T.search(cut, q, 1000).collect()] == [tuple(r) for r in T.search(whole, q, 1000).collect()]
+
+
+def test_pages_of_long_texts_give_their_blocks_back():
+    import pyarrow as pa
+
+    for n in (70, 70_000):
+        texts = [["a", "b"] * (n // 2) + ["c"], [], ["b", "é"]]
+        got = {}
+        for row in T.shard_pages(4, pa.array(["x", "y", "z"]), pa.array(texts, pa.list_(pa.string())), 3).to_pylist():
+            assert row["wide"] == (n > 1 << 16)
+            got |= {(r["bucket"], r["term"]): r for r in T.page_blocks(row, pa.string(), 2.0).to_pylist()}
+        assert set(got) == {(T.folder(t, 3), t) for t in "abcé"} and {r["shard"] for r in got.values()} == {4}
+        b = got[T.folder("b", 3), "b"]
+        assert (b["id"], b["tf"], b["n_terms"], b["positions"]) == (["x", "z"], [n // 2, 1], [n + 1, 2], [list(range(1, n, 2)), [0]])

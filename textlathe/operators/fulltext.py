@@ -139,15 +139,16 @@ def shard_groups(batches: Iterator[pa.RecordBatch], n_shards: int, most: int) ->
         yield group()
 
 
-def page_schema(ids: pa.DataType) -> pa.Schema:
+def page_schema(ids: pa.DataType, wide: bool) -> pa.Schema:
     """Of a page, one row of lists: its terms, in how many texts each is, the texts with their lengths, and of each hit its
-    text, how many places it has, and how far each place is from the last one."""
-    kinds = {"term": pa.string(), "n": pa.int32(), "id": ids, "n_terms": pa.int64(), "text": pa.int32(), "tf": pa.int32(), "step": pa.int32()}
+    text, how many places it has, and how far each place is from the last one; numbers have two bytes, or four."""
+    number = pa.uint32() if wide else pa.uint16()
+    kinds = {"term": pa.string(), "n": number, "id": ids, "n_terms": number, "text": number, "tf": number, "step": number}
     return pa.schema([(name, pa.list_(kind)) for name, kind in kinds.items()])
 
 
 def shard_pages(shard: int, ids: pa.Array, terms: pa.ListArray, buckets: int) -> pa.RecordBatch:
-    """`bucket, shard, size, page`: what a shard has for each folder, by one stable sort of all its terms. Pages are
+    """`bucket, shard, wide, size, page`: what a shard has for each folder, by one stable sort of all its terms. Pages are
     compressed: postings as rows take three times as much in a shuffle, and more."""
     flat, sizes = terms.flatten(), np.diff(np.asarray(terms.offsets, np.int64))
     words = flat.dictionary_encode()
@@ -167,19 +168,21 @@ def shard_pages(shard: int, ids: pa.Array, terms: pa.ListArray, buckets: int) ->
     w = np.append(first, len(by))
     h = np.append(0, np.cumsum(n))[w]
     p = np.append(hits, len(order))[h]
-    named, schema, pages = words.dictionary.take(pa.array(by)), page_schema(ids.type), []
+    wide = max(len(sizes), sizes.max(initial=0)) >= 1 << 16
+    named, schema, pages = words.dictionary.take(pa.array(by)), page_schema(ids.type, wide), []
     for i in range(len(names)):
         own, which = np.unique(text[hits[h[i] : h[i + 1]]], return_inverse=True)
         values = [named.slice(w[i], w[i + 1] - w[i]), n[w[i] : w[i + 1]], ids.take(pa.array(own)), sizes[own], which, tf[h[i] : h[i + 1]], step[p[i] : p[i + 1]]]
         lists = [pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), (x if isinstance(x, pa.Array) else pa.array(x)).cast(f.type.value_type)) for x, f in zip(values, schema)]
         pages.append(pa.RecordBatch.from_arrays(lists, schema=schema).serialize())
-    columns = [pa.array(names, pa.int32()), pa.array(np.full(len(names), shard), pa.int64()), pa.array([x.size for x in pages], pa.int64()), pa.array([pa.compress(x, "zstd", asbytes=True) for x in pages], pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "size", "page"])
+    codec = pa.Codec("zstd", compression_level=6)
+    columns = [pa.array(names, pa.int32()), pa.array(np.full(len(names), shard), pa.int64()), pa.array(np.full(len(names), wide), pa.bool_()), pa.array([x.size for x in pages], pa.int64()), pa.array([codec.compress(x, asbytes=True) for x in pages], pa.binary())]
+    return pa.RecordBatch.from_arrays(columns, names=["bucket", "shard", "wide", "size", "page"])
 
 
 def page_blocks(row: dict, ids: pa.DataType, mean: float) -> pa.RecordBatch:
     """The blocks of a row of `shard_pages`, with the greatest weight of each."""
-    page = pa.ipc.read_record_batch(pa.decompress(row["page"], row["size"], "zstd"), page_schema(ids))
+    page = pa.ipc.read_record_batch(pa.decompress(row["page"], row["size"], "zstd"), page_schema(ids, row["wide"]))
     term, n, id, n_terms, text, tf, step = (c.flatten() for c in page.columns)
     n, n_terms, tf, step = (np.asarray(x, np.int64) for x in (n, n_terms.take(text), tf, step))
     blocks, hits, total = np.append(0, np.cumsum(n)), np.append(0, np.cumsum(tf)), np.cumsum(step)
@@ -227,7 +230,7 @@ def build_index(texts: DataFrame, id_col: str, text_col: str, path: str | None =
             if held:
                 yield pa.concat_batches(held)
 
-    pages = dealt.mapInArrow(pack, "bucket int, shard long, size long, page binary")
+    pages = dealt.mapInArrow(pack, "bucket int, shard long, wide boolean, size long, page binary")
     placed = pages.repartitionById(buckets * parts, (F.col("bucket") * parts + F.floor(F.col("shard") % n_shards * parts / n_shards)).cast("int"))
     blocks = placed.mapInArrow(unpack, f"bucket int, term string, shard long, top double, id array<{kind}>, tf array<int>, n_terms array<long>, positions array<array<int>>")
     blocks.sortWithinPartitions("bucket", "term", "shard").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
